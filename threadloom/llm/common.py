@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,3 +36,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 def scaled_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def share(spark: SparkSession, value: object) -> Broadcast[bytes]:
+    """A broadcast of a value whose classes executors needn't have: read it with pickle.loads."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import chat, language, quality, sharding
+from threadloom.llm import chat, contamination, language, quality, sharding
 from threadloom.llm.common import table
 
 
@@ -25,6 +25,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document contains."""
+    return contamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards cut from their Hilbert order."""
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
@@ -38,9 +43,23 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op1_chat_formatting": op1_chat_formatting, "op10_language_id": op10_language_id, "op4_quality_rules": op4_quality_rules, "op7_hilbert_sharding": op7_hilbert_sharding}
+QUERIES = {"op5_decontamination": op5_decontamination, "op1_chat_formatting": op1_chat_formatting, "op10_language_id": op10_language_id, "op4_quality_rules": op4_quality_rules, "op7_hilbert_sharding": op7_hilbert_sharding}
+
+#: Distinct 5-word shingles of lower-cased texts; a text of fewer words is one shingle.
+_SHINGLES = """
+{name}_words AS (SELECT {id} AS id, [x FOR x IN regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+') IF x <> ''] AS w FROM {table} WHERE text IS NOT NULL),
+{name}_sets AS (SELECT DISTINCT id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i : i + 4], ' ') FOR i IN range(1, len(w) - 3)] END) AS s FROM {name}_words)"""
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op5_decontamination": "WITH "
+    + _SHINGLES.format(name="d", id="doc_id", table="documents")
+    + ", "
+    + _SHINGLES.format(name="b", id="item_id", table="benchmark")
+    + """,
+sizes AS (SELECT id, count(*) AS n_item FROM b_sets GROUP BY id),
+shared AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_shared FROM d_sets d JOIN b_sets b ON d.s = b.s GROUP BY ALL)
+SELECT doc_id, item_id, n_item, n_shared, CAST(n_shared AS DOUBLE) / n_item AS containment FROM shared JOIN sizes ON sizes.id = item_id WHERE n_shared >= 0.75 * n_item""",
+}
 
 
 def queries():

@@ -95,7 +95,9 @@ def shard_documents(docs: DataFrame, shards: int = 24, bits: int = 8) -> DataFra
         F.when(F.col("text").isNull(), F.lit("null")).otherwise(F.md5("text")).alias("digest"),
     )
     rows = sized.select("doc_id", "size", "text_crc32", "digest", hilbert_index(document_dims(bits), bits).alias("cell"))
+    # small tables are checkpointed before a join, so that both sides are plain exchanges and a hot group can be split
     groups = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "cell")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", F.col("first.cell").alias("group_cell"), "n")
+    groups = checkpoint(groups)
     placed = rows.join(groups, "digest", "left").select("doc_id", "size", "text_crc32", "digest", F.coalesce("group_cell", "cell").alias("curve_index"), F.coalesce("n", F.lit(1)).alias("n"))
 
     order = ["curve_index", "digest", "doc_id", "size"]
@@ -119,7 +121,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, bits: int = 8) -> DataFra
     )
     whole = F.col("n") * F.col("size") <= F.greatest(F.col("total") / shards * WHOLE_GROUP_SHARE, F.col("largest").cast("double"))
     summed = checkpoint(summed.select("doc_id", "size", "text_crc32", "digest", "curve_index", "n", "begin", "row", "total", whole.alias("whole")))
-    starts = summed.filter("n > 1 and whole").groupBy("digest").agg(F.min("begin").alias("group_begin"))
+    starts = checkpoint(summed.filter("n > 1 and whole").groupBy("digest").agg(F.min("begin").alias("group_begin")))
     middle = F.when(F.col("group_begin").isNotNull(), F.col("group_begin") + F.col("n") * F.col("size") / 2).otherwise(F.col("begin") + F.col("size") / 2)
     cut = summed.join(starts, "digest", "left").withColumn("shard", F.least(F.floor(middle * shards / F.col("total")), F.lit(shards - 1)).cast("int"))
     cut = checkpoint(cut.select("doc_id", "size", "text_crc32", "shard", "row", "curve_index"))
