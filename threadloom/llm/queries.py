@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import chat, contamination, language, mixing, quality, sharding
+from threadloom.llm import chat, contamination, language, mixing, passages, quality, sharding
 from threadloom.llm.common import table
 
 
@@ -17,6 +17,11 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.format_windows(conversations.unionByName(tricky)))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages that occur in earlier documents."""
+    return passages.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 #: Twice the default weight for domain0; German and Spanish over their natural share.
 MIX_WEIGHTS = {("domain0",): 2.0, **{(d, lang): w for d in ("domain0", "domain1", "domain2", "domain3") for lang, w in (("en", 2.0), ("de", 1.0), ("fr", 1.0), ("es", 1.0))}}
 
@@ -53,7 +58,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op3_mixing": op3_mixing, "op5_decontamination": op5_decontamination, "op1_chat_formatting": op1_chat_formatting, "op10_language_id": op10_language_id, "op4_quality_rules": op4_quality_rules, "op7_hilbert_sharding": op7_hilbert_sharding}
+QUERIES = {"op2_substring_dedup": op2_substring_dedup, "op3_mixing": op3_mixing, "op5_decontamination": op5_decontamination, "op1_chat_formatting": op1_chat_formatting, "op10_language_id": op10_language_id, "op4_quality_rules": op4_quality_rules, "op7_hilbert_sharding": op7_hilbert_sharding}
 
 #: Distinct 5-word shingles of lower-cased texts; a text of fewer words is one shingle.
 _SHINGLES = """
