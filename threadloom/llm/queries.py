@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import chat, contamination, language, mixing, passages, quality, sharding
+from threadloom.llm import chat, contamination, language, mixing, near_dedup, passages, quality, sharding
 from threadloom.llm.common import table
 
 
@@ -45,6 +45,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards cut from their Hilbert order."""
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
@@ -58,7 +63,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op2_substring_dedup": op2_substring_dedup, "op3_mixing": op3_mixing, "op5_decontamination": op5_decontamination, "op1_chat_formatting": op1_chat_formatting, "op10_language_id": op10_language_id, "op4_quality_rules": op4_quality_rules, "op7_hilbert_sharding": op7_hilbert_sharding}
+QUERIES = {"op6_near_dedup": op6_near_dedup, "op2_substring_dedup": op2_substring_dedup, "op3_mixing": op3_mixing, "op5_decontamination": op5_decontamination, "op1_chat_formatting": op1_chat_formatting, "op10_language_id": op10_language_id, "op4_quality_rules": op4_quality_rules, "op7_hilbert_sharding": op7_hilbert_sharding}
 
 #: Distinct 5-word shingles of lower-cased texts; a text of fewer words is one shingle.
 _SHINGLES = """
@@ -74,6 +79,16 @@ ORACLE: dict[str, str] = {
 sizes AS (SELECT id, count(*) AS n_item FROM b_sets GROUP BY id),
 shared AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_shared FROM d_sets d JOIN b_sets b ON d.s = b.s GROUP BY ALL)
 SELECT doc_id, item_id, n_item, n_shared, CAST(n_shared AS DOUBLE) / n_item AS containment FROM shared JOIN sizes ON sizes.id = item_id WHERE n_shared >= 0.75 * n_item""",
+    "op6_near_dedup": "WITH RECURSIVE "
+    + _SHINGLES.format(name="d", id="doc_id", table="documents")
+    + """,
+sizes AS (SELECT id, count(*) AS n FROM d_sets GROUP BY id),
+pairs AS (SELECT a.id AS a, b.id AS b, count(*) AS shared FROM d_sets a JOIN d_sets b ON a.s = b.s AND a.id < b.id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN sizes x ON x.id = a JOIN sizes y ON y.id = b WHERE 100 * shared >= 75 * (x.n + y.n - shared)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON l.a = r.b),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM documents JOIN least ON least.a = doc_id LEFT JOIN sizes ON sizes.id = doc_id""",
 }
 
 
