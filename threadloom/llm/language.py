@@ -11,11 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from threadloom.llm.tokens import offsets_of
+
 #: Buckets of hashed n-grams; the broadcast matrix has so many rows and a column for each language.
 BUCKETS = 1 << 14
 #: Labelled documents that a fit counts, at most, the first in md5 order of the ids within each language.
@@ -58,10 +59,7 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
 
 def _pieces(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of slices of about ``_PIECE`` bytes."""
-    column = pc.fill_null(column, b"")
-    _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    data, offsets = offsets_of(column)
     row = 0
     while row < len(column):
         last = max(row + 1, int(np.searchsorted(offsets, offsets[row] + _PIECE, "right")) - 1)

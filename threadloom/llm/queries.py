@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import chat, contamination, language, mixing, near_dedup, passages, quality, sharding
+from threadloom.llm import chat, contamination, language, mixing, near_dedup, passages, quality, sharding, toxicity
 from threadloom.llm.common import table
 
 
@@ -55,6 +55,14 @@ def op7_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learned from labels that aren't held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").filter(~toxicity.held_out(F.col("doc_id")))
+    scored = toxicity.score_documents(docs, toxicity.fit_toxicity(docs, labels))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", F.size("segments").alias("n_segments"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The predicted language of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -63,7 +71,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op6_near_dedup": op6_near_dedup, "op2_substring_dedup": op2_substring_dedup, "op3_mixing": op3_mixing, "op5_decontamination": op5_decontamination, "op1_chat_formatting": op1_chat_formatting, "op10_language_id": op10_language_id, "op4_quality_rules": op4_quality_rules, "op7_hilbert_sharding": op7_hilbert_sharding}
+QUERIES = {"op8_toxicity": op8_toxicity, "op6_near_dedup": op6_near_dedup, "op2_substring_dedup": op2_substring_dedup, "op3_mixing": op3_mixing, "op5_decontamination": op5_decontamination, "op1_chat_formatting": op1_chat_formatting, "op10_language_id": op10_language_id, "op4_quality_rules": op4_quality_rules, "op7_hilbert_sharding": op7_hilbert_sharding}
 
 #: Distinct 5-word shingles of lower-cased texts; a text of fewer words is one shingle.
 _SHINGLES = """

@@ -70,17 +70,22 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def chunks(column: pa.Array, lower: bool = False):
-    """(first row, Words) of slices of a binary or string column; null counts as empty."""
+def offsets_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary or string column and its offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = pc.fill_null(column, b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
-    if not len(column):
-        return
     wide = pa.types.is_large_binary(column.type) or pa.types.is_large_string(column.type)
     _, offsets, data = column.buffers()
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     offsets = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), offsets
+
+
+def chunks(column: pa.Array, lower: bool = False):
+    """(first row, Words) of slices of a binary or string column; null counts as empty."""
+    data, offsets = offsets_of(column)
     row = 0
     while row < len(column):
         last = max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK_BYTES, "right")) - 1)
