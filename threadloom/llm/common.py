@@ -28,16 +28,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="threadloom-checkpoint-"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that the driver and all executors see: the one of checkpoints."""
+    ensure_checkpoint_dir(spark)
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Written to the shared checkpoint folder, with its lineage cut."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def scaled_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def share(spark: SparkSession, value: object) -> Broadcast[bytes]:
     """A broadcast of a value whose classes executors needn't have: read it with pickle.loads."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(value))

@@ -144,3 +144,10 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[st
 def held_out(doc_id: Column) -> Column:
     """Whether a document is kept from the fit: crc32 of its id as text leaves 2 on division by 4; a null id is."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(True))
+
+
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """The documents whose language was told; all columns stay as they are. The model is learned from ``docs`` itself."""
+    names = docs.columns
+    model = fit_languages(docs)
+    return identify(docs, model, names).filter(F.col("lang_pred") != UNKNOWN).select(*names)
