@@ -201,5 +201,5 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = 0.75)
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = 0.75) -> DataFrame:
     """The documents that contain no item; all columns stay as they are."""
-    bad = contained_items(docs, items, threshold).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    bad = contained_items(docs, items, threshold).select(F.col("doc_id").alias("_bad")).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti").select(*docs.columns)

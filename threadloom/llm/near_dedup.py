@@ -218,4 +218,4 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
     """One document of each component; all columns stay as they are. Of repeated rows all stay."""
     gone = near_duplicates(docs, percent).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.withColumnRenamed("doc_id", "_gone"), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti").select(*docs.columns)
