@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import posixpath
 import tempfile
+import uuid
 
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,9 +37,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Written to the shared checkpoint folder, with its lineage cut."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Written as a table to the shared checkpoint folder and read from there, so its lineage is cut.
+
+    Unlike rows of a checkpointed RDD, the table is compressed, read by column and its size known.
+    """
+    spark = df.sparkSession
+    path = posixpath.join(shared_folder(spark), f"table-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def share(spark: SparkSession, value: object) -> Broadcast[bytes]:

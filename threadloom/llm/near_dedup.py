@@ -114,8 +114,8 @@ def _sets(involved):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = involved.value
         for batch in batches:
-            batch = batch.filter(pa.array(contains(known, mix(batch.column(0).to_numpy().view(np.uint64)))))
-            for row, words in chunks(batch.column(1), lower=True):
+            batch = batch.filter(pa.array(contains(known, batch.column(1).to_numpy().view(np.uint64))))
+            for row, words in chunks(batch.column(2), lower=True):
                 s, bounds = shingle_sets(words, SHINGLE)
                 sets = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(s.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[row : row + len(sets)], sets], names=["ord", "shingles"])
@@ -123,18 +123,6 @@ def _sets(involved):
     return run
 
 
-def _mixed(column: str):
-    """The hash by which ids enter a bitmap, as ``_sets`` takes it."""
-
-    @F.pandas_udf("long")
-    def run(x):
-        import pandas as pd
-
-        return pd.Series(mix(x.to_numpy().view(np.uint64)).view(np.int64))
-
-    return run(F.col(column))
-
-
 def _likely(least: float, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,13 +141,21 @@ def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, percent:
     side = lambda x: sketches.select(F.col("ord").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
     known = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
     likely = checkpoint(known.mapInArrow(_likely(percent / 100 - MARGIN, percent / 100), "a long, b long"))
-    ids = likely.select(F.col("a").alias("ord")).union(likely.select("b")).distinct()
-    sets = texts.mapInArrow(_sets(bitmap(ids.select(_mixed("ord").alias("h")), "h")), "ord long, shingles array<long>").dropDuplicates(["ord"])
+    ids = likely.select(F.xxhash64("a").alias("h")).union(likely.select(F.xxhash64("b")))
+    sets = texts.select("ord", F.xxhash64("ord").alias("h"), "text").mapInArrow(_sets(bitmap(ids, "h")), "ord long, shingles array<long>").dropDuplicates(["ord"])
     both = likely.join(sets.select(F.col("ord").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("ord").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return checkpoint(both.filter(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b"))
 
 
+def _settle(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, component) after more links. Only what joins different components is contracted again."""
+    a, b = labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    step = components(links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    moved = labels.join(step.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+    return checkpoint(moved.select("node", F.coalesce("to", "component").alias("component")).union(step.join(labels, "node", "left_anti").select("node", "component")))
+
+
 def link(docs: DataFrame, percent: int = 75) -> DataFrame:
     """(ord, n, component) of every row: the id with nulls last, the set's size and the smallest id that is reachable.
 
@@ -167,24 +163,25 @@ def link(docs: DataFrame, percent: int = 75) -> DataFrame:
     """
     texts = docs.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("ord"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     sketches = checkpoint(texts.mapInArrow(_sketch, "ord long, n long, f1 long, f2 long, bands array<long>, sketch binary"))
-    classes = checkpoint(sketches.filter("n > 0").groupBy("f1", "f2", "n").agg(F.min("ord").alias("rep"), F.count("*").alias("copies")))
-    firsts = sketches.join(classes.select("f1", "f2", "n", F.col("rep").alias("ord")), ["f1", "f2", "n", "ord"], "left_semi").dropDuplicates(["ord", "f1", "f2"])
+    classes = checkpoint(sketches.filter("n > 0").groupBy("f1", "f2", "n").agg(F.min("ord").alias("rep")))
+    firsts = classes.select("f1", "f2", "n", F.col("rep").alias("ord"))
+    of_firsts = lambda *columns: sketches.select("f1", "f2", "n", "ord", *columns).join(firsts, ["f1", "f2", "n", "ord"], "left_semi")
+    by_id = of_firsts("sketch").select("ord", "n", "sketch").dropDuplicates(["ord"])
 
-    keys = firsts.select("ord", F.explode("bands").alias("key"))
-    shared = checkpoint(keys.groupBy("key").agg(F.min("ord").alias("hub"), F.max("ord").alias("last")).filter("hub < last").select("key", "hub"))
-    members = checkpoint(keys.join(shared, "key").select("key", "ord", "hub"))
-    by_id = firsts.select("ord", "n", "sketch").dropDuplicates(["ord"])
+    keys = checkpoint(of_firsts("bands").select("ord", F.explode("bands").alias("key")).distinct())
+    shared = keys.groupBy("key").agg(F.min("ord").alias("hub"), F.max("ord").alias("last")).filter("hub < last").select("key", "hub")
+    members = checkpoint(keys.join(checkpoint(shared), "key").select("key", "ord", "hub"))
 
     tested = checkpoint(members.filter("ord <> hub").select(F.col("hub").alias("a"), F.col("ord").alias("b")).distinct())
-    links = _verified(tested, by_id, texts, percent)
+    # copies hang on the first of their class; rows of one id are one document
+    copies = sketches.filter("n > 0").select("f1", "f2", "n", "ord").join(classes, ["f1", "f2", "n"]).filter("ord <> rep").select(F.col("rep").alias("a"), F.col("ord").alias("b"))
+    labels = components(_verified(tested, by_id, texts, percent).union(copies))
     for round_ in range(1, HUB_ROUNDS + 1):
-        labels = components(links)
         placed = members.select("key", "ord").join(labels.select(F.col("node").alias("ord"), "component"), "ord", "left").select("key", "ord", F.coalesce("component", "ord").alias("component"))
-        last = round_ == HUB_ROUNDS
         hub = F.min(F.struct(F.xxhash64("ord", F.lit(round_)).alias("h"), F.col("ord").alias("hub"), F.col("component").alias("of"))).alias("first")
         open_ = checkpoint(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), hub).filter("lo < hi").select("key", "first.hub", "first.of"))
         left = placed.join(open_, "key")
-        if last:
+        if round_ == HUB_ROUNDS:
             left = checkpoint(left.select("key", "ord", "component"))
             x, y = left.select("key", F.col("ord").alias("a"), F.col("component").alias("ca")), left.select("key", F.col("ord").alias("b"), F.col("component").alias("cb"))
             pairs = x.join(y, "key").filter("a < b AND ca <> cb").select("a", "b")
@@ -192,10 +189,7 @@ def link(docs: DataFrame, percent: int = 75) -> DataFrame:
             pairs = left.filter("component <> of").select(F.least("hub", "ord").alias("a"), F.greatest("hub", "ord").alias("b"))
         pairs = checkpoint(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
         tested = tested.union(pairs)
-        links = links.union(_verified(pairs, by_id, texts, percent))
-    # copies hang on the first of their class; rows of one id are one document
-    copies = sketches.filter("n > 0").join(classes, ["f1", "f2", "n"]).filter("ord <> rep").select(F.col("rep").alias("a"), F.col("ord").alias("b"))
-    labels = components(links.union(copies))
+        labels = _settle(labels, _verified(pairs, by_id, texts, percent))
     found = sketches.select("ord", "n").join(labels.select(F.col("node").alias("ord"), "component"), "ord", "left")
     return found.select("ord", "n", F.coalesce("component", "ord").alias("component"))
 
