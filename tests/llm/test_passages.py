@@ -33,8 +33,7 @@ def test_against_brute_force(spark):
 
 
 def test_many_small_shards_and_tasks(spark, monkeypatch):
-    monkeypatch.setattr(passages, "PASSAGES_PER_SHARD", 3)
-    monkeypatch.setattr(passages, "OCCURRENCES_PER_TASK", 4)
+    monkeypatch.setattr(passages, "PER_SHARD", 8)
     rng = random.Random(5)
     common = [prose(rng, 14, 30) for _ in range(5)]
     rows = [(i, prose(rng, rng.randrange(20), 12) + " " + rng.choice(common) + "\t" + prose(rng, 5, 12) + "\n" + rng.choice(common), "en", "s", 0, 0, "", 0, "", "") for i in range(60)]

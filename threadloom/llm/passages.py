@@ -6,14 +6,15 @@ starts in a document with a smaller doc_id.
 1. Anchors. Each window names its 5-word run of the smallest hash. Equal windows name the
    same anchor, so only windows whose anchor occurs in two documents can recur. About one
    run in five is an anchor, so this looks at the whole corpus for a fifth of its words.
-2. Confirmation. Windows under recurring anchors are grouped by their own hash, and those
-   of one document alone drop out. What is left are the recurring passages.
-3. Automata. Distinct passages are dealt into shards by anchor. A shard compiles those of
-   its windows that truly occur, word by word, in two documents into an Aho-Corasick
-   automaton over word numbers, each with its first document.
-4. Streaming. The passages of all documents run through the automata of their shards. Shards
-   with many occurrences are dealt over several tasks, each with its own automaton.
-5. Removal. The located ranges go back to their documents.
+2. Passages. The runs of windows under one recurring anchor are dealt into shards by anchor.
+   An anchor with very many occurrences is dealt over several tasks, which all get its
+   distinct passages, aggregated before.
+3. Automata. A shard confirms which of its windows truly occur, word by word, in two
+   documents, and compiles these into an Aho-Corasick automaton over word numbers, each with
+   its first document.
+4. Streaming. The passages of all documents run through the automata of their shards.
+5. Removal. The located ranges go back to their documents; the texts of documents without
+   any stay where they are.
 
 Hashes only select what is looked at. What is removed is decided by the automata, on words.
 """
@@ -34,10 +35,10 @@ from threadloom.llm.common import checkpoint
 from threadloom.llm.tokens import Words, chunks, windows
 
 WINDOW, ANCHOR = 13, 5
-#: Distinct passages that a shard compiles, about, and occurrences that one task of a shard streams.
-PASSAGES_PER_SHARD, OCCURRENCES_PER_TASK = 20_000, 60_000
-#: Shards with more than one task that are broadcast, at most; beyond it they are joined by shuffle.
-BROADCAST_SHARDS = 100_000
+#: Passages that a shard compiles and streams, about. Anchors with over half as many occurrences are dealt over tasks.
+PER_SHARD = 20_000
+#: Such anchors that are broadcast, at most; beyond it they are joined by shuffle.
+BROADCAST_ANCHORS = 100_000
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -82,33 +83,16 @@ def _emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays(_longs(anchor[new], ids[row + doc[new]]), names=["anchor", "ord"])
 
 
-def _emit_windows(recurring: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = recurring.value
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for row, words in chunks(batch.column(2)):
-                h = words.hashes()
-                anchor, start, doc = _anchors(words, h)
-                hit = contains(known, anchor)
-                whole, _, _ = windows(h, words.first, WINDOW)
-                yield pa.RecordBatch.from_arrays(_longs(whole[hit], ids[row + doc[hit]]), names=["whole", "ord"])
-
-    return run
-
-
-def _emit_passages(recurring, confirmed):
-    """(anchor, ord, digest, first word, text) of the runs of confirmed windows under one anchor."""
+def _emit_passages(recurring):
+    """(anchor, ord, digest, first word, text) of the runs of windows under one recurring anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, sure = recurring.value, confirmed.value
+        known = recurring.value
         for batch in batches:
             ids, digests = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for row, words in chunks(batch.column(2)):
-                h = words.hashes()
-                anchor, start, doc = _anchors(words, h)
-                whole, _, _ = windows(h, words.first, WINDOW)
-                keep = np.flatnonzero(contains(known, anchor) & contains(sure, whole))
+                anchor, start, doc = _anchors(words, words.hashes())
+                keep = np.flatnonzero(contains(known, anchor))
                 if not len(keep):
                     continue
                 anchor, start, doc = anchor[keep], start[keep], doc[keep]
@@ -150,10 +134,12 @@ def compile_automaton(passages: list[bytes], first: list[int], last: list[int])
 
 
 def _locate(passages: pa.Table, occurrences: pa.Table) -> pa.Table:
-    """Word ranges of the occurrences that an earlier document has too."""
+    """Word ranges of the occurrences that an earlier document has too. Without passages, these are the occurrences' own."""
     out: list[tuple[int, int, int, int]] = []
-    if passages.num_rows and occurrences.num_rows:
-        automaton, numbers, owners = compile_automaton(*[passages[c].to_pylist() for c in ("text", "first", "last")])
+    if occurrences.num_rows:
+        if not passages.num_rows:
+            passages = occurrences.group_by("text").aggregate([("ord", "min"), ("ord", "max")]).rename_columns({"text": "passage", "ord_min": "first", "ord_max": "last"})
+        automaton, numbers, owners = compile_automaton(*[passages[c].to_pylist() for c in ("passage", "first", "last")])
         if automaton is not None:
             number = numbers.get
             for ord_, digest, at, text in zip(*[occurrences[c].to_pylist() for c in ("ord", "digest", "at", "text")], strict=True):
@@ -172,13 +158,17 @@ def _locate(passages: pa.Table, occurrences: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, pa.int64()) for c in columns], names=["ord", "digest", "begin", "end"])
 
 
+_RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+
+
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (doc_id, text, ranges) or, where nothing goes, (doc_id, text)."""
     for batch in batches:
         n_words, n_removed, digests = [], [], []
-        for text, ranges in zip(batch.column(1), batch.column(2), strict=True):
+        for i, text in enumerate(batch.column(1)):
             w = (text.as_py() or b"").split()
             n = len(w)
-            found = ranges.as_py()
+            found = batch.column(2)[i].as_py() if batch.num_columns > 2 else None
             if found:
                 keep = bytearray(b"\x01") * n
                 for r in found:
@@ -190,6 +180,17 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
+def _maybe(touched, wanted: bool):
+    """Rows whose last column, a hash, may be in a bitmap, or those where it can't be."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = touched.value
+        for batch in batches:
+            yield batch.filter(pa.array(contains(known, batch.column(batch.num_columns - 1).to_numpy().view(np.uint64)) == wanted))
+
+    return run
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """A null doc_id counts as larger than any; rows are told apart by id and text."""
     ord_: Column = F.coalesce("doc_id", F.lit((1 << 63) - 1))
@@ -199,20 +200,20 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """(ord, digest, begin, end): word ranges of documents that occur in earlier documents, as the automata locate them."""
     keyed = _keyed(docs).select("ord", "digest", "text")
-    of_two = lambda df, key: df.groupBy(key).agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).filter("lo < hi")
-    recurring = bitmap(of_two(keyed.mapInArrow(_emit_anchors, "anchor long, ord long"), "anchor"), "anchor")
-    confirmed = bitmap(of_two(keyed.mapInArrow(_emit_windows(recurring), "whole long, ord long"), "whole"), "whole")
-
-    occurrences = keyed.mapInArrow(_emit_passages(recurring, confirmed), "anchor long, ord long, digest long, at long, text binary")
-    passages = checkpoint(occurrences.groupBy("anchor", "text").agg(F.min("ord").alias("first"), F.max("ord").alias("last"), F.count("*").alias("n")))
-    shards = max(1, -(-passages.count() // PASSAGES_PER_SHARD))
-    shard = F.pmod(F.xxhash64("anchor"), F.lit(shards))
-    hot = checkpoint(passages.groupBy(shard.alias("shard")).agg(F.sum("n").alias("n")).filter(F.col("n") > OCCURRENCES_PER_TASK).select("shard", F.ceil(F.col("n") / OCCURRENCES_PER_TASK).alias("tasks")))
-    if hot.count() <= BROADCAST_SHARDS:
+    anchors = keyed.mapInArrow(_emit_anchors, "anchor long, ord long").groupBy("anchor").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"), F.count("*").alias("n"))
+    anchors = checkpoint(anchors.filter("lo < hi").select("anchor", "n"))
+    occurrences = keyed.mapInArrow(_emit_passages(bitmap(anchors, "anchor")), "anchor long, ord long, digest long, at long, text binary")
+
+    shards = max(1, -(-(anchors.agg(F.sum("n")).first()[0] or 0) // PER_SHARD))
+    hot = checkpoint(anchors.filter(2 * F.col("n") > PER_SHARD).select("anchor", F.ceil(2 * F.col("n") / PER_SHARD).alias("tasks")))
+    if hot.count() <= BROADCAST_ANCHORS:
         hot = F.broadcast(hot)
-    tasks = F.coalesce("tasks", F.lit(1))
-    spread = passages.withColumn("shard", shard).join(hot, "shard", "left").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), tasks - 1)).alias("task"), "text", "first", "last")
-    dealt = occurrences.withColumn("shard", shard).join(hot, "shard", "left").select("shard", F.pmod(F.xxhash64("ord", "at"), tasks).alias("task"), "ord", "digest", "at", "text")
+    dealt = occurrences.join(hot, "anchor", "left")
+    # anchors of many occurrences get negative shards, their own, and a task for each share of them
+    cold, own = F.pmod(F.xxhash64("anchor"), F.lit(shards)), F.col("anchor").bitwiseOR(F.lit(-(1 << 63)))
+    passages = dealt.filter("tasks IS NOT NULL").groupBy("anchor", "tasks", F.col("text").alias("passage")).agg(F.min("ord").alias("first"), F.max("ord").alias("last"))
+    spread = passages.select(own.alias("shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("task"), "passage", "first", "last")
+    dealt = dealt.select(F.when(F.col("tasks").isNull(), cold).otherwise(own).alias("shard"), F.coalesce(F.pmod(F.xxhash64("ord", "at"), "tasks"), F.lit(0)).alias("task"), "ord", "digest", "at", "text")
     by = ["shard", "task"]
     return spread.groupBy(*by).cogroup(dealt.groupBy(*by)).applyInArrow(_locate, "ord long, digest long, begin long, end long")
 
@@ -225,6 +226,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     counts as the largest, a null text has no words. Repeated rows each get a row; extra columns
     are ignored; an empty table gives no rows.
     """
-    found = repeated_ranges(docs).groupBy("ord", "digest").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
-    joined = _keyed(docs).join(found, ["ord", "digest"], "left").select("doc_id", "text", "ranges")
-    return joined.mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    found = checkpoint(repeated_ranges(docs).groupBy("ord", "digest").agg(F.collect_list(F.struct("begin", "end")).alias("ranges")))
+    touched = bitmap(found.select(F.xxhash64("ord", "digest").alias("h")), "h")
+    keyed = _keyed(docs).withColumn("h", F.xxhash64("ord", "digest"))
+    untouched = keyed.select("doc_id", "text", "h").mapInArrow(_maybe(touched, False), "doc_id long, text binary, h long").select("doc_id", "text").mapInArrow(_remove, _RESULT)
+    rest = keyed.select("doc_id", "ord", "digest", "text", "h").mapInArrow(_maybe(touched, True), "doc_id long, ord long, digest long, text binary, h long")
+    return untouched.unionByName(rest.join(found, ["ord", "digest"], "left").select("doc_id", "text", "ranges").mapInArrow(_remove, _RESULT))
