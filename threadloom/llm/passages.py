@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.bits import bitmap, contains
 from threadloom.llm.common import checkpoint
-from threadloom.llm.tokens import Words, chunks, windows
+from threadloom.llm.tokens import Words, chunks, mix, windows
 
 WINDOW, ANCHOR = 13, 5
 #: Passages that a shard compiles and streams, about. Anchors with over half as many occurrences are dealt over tasks.
@@ -111,49 +111,99 @@ def _emit_passages(recurring):
     return run
 
 
-def compile_automaton(passages: list[bytes], first: list[int], last: list[int]) -> tuple[ahocorasick.Automaton | None, dict[bytes, int], list[int]]:
-    """The automaton of the windows of these passages that occur in two documents, the numbers of its words, and the first documents."""
-    seen: dict[tuple[bytes, ...], tuple[int, int]] = {}
-    for text, lo, hi in zip(passages, first, last, strict=True):
-        w = text.split()
-        for i in range(len(w) - WINDOW + 1):
-            key = tuple(w[i : i + WINDOW])
-            old = seen.get(key)
-            seen[key] = (lo, hi) if old is None else (min(lo, old[0]), max(hi, old[1]))
-    numbers: dict[bytes, int] = {}
-    owners: list[int] = []
+def number_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The words of a binary column as numbers that are equal where the words are, and the bounds of its texts."""
+    numbers, bounds = [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
+    known: dict[bytes, int] = {}
+    for _, words in chunks(column):
+        size = words.end - words.begin
+        ends = np.concatenate([[0], np.cumsum(size)])
+        data = words.data[np.repeat(words.begin - ends[:-1], size) + np.arange(ends[-1])]
+        coded = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())]).dictionary_encode()
+        own = np.array([known.setdefault(w, len(known)) for w in coded.dictionary.to_pylist()], np.int64)
+        numbers.append(own[coded.indices.to_numpy()])
+        bounds.append(bounds[-1][-1] + words.first[1:])
+    return np.concatenate(numbers), np.concatenate(bounds)
+
+
+def compile_automaton(numbers: np.ndarray, bounds: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[ahocorasick.Automaton | None, np.ndarray]:
+    """The automaton of the windows of these texts that occur in two documents, and the first document of each.
+
+    Windows are grouped by a hash of their numbers; one that isn't equal to the first of its
+    group, number by number, is told apart by its numbers themselves.
+    """
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for key, (lo, hi) in seen.items():
-        if lo < hi:
-            automaton.add_word(tuple(numbers.setdefault(w, len(numbers) + 1) for w in key), len(owners))
-            owners.append(lo)
+    hashes, at, text = windows(mix(numbers.astype(np.uint64)), bounds, WINDOW)
+    if not len(at):
+        return None, np.zeros(0, np.int64)
+    all_windows = np.lib.stride_tricks.sliding_window_view(numbers, WINDOW)
+    _, example, group = np.unique(hashes, return_index=True, return_inverse=True)
+    lo, hi = np.full(len(example), np.iinfo(np.int64).max), np.full(len(example), np.iinfo(np.int64).min)
+    apart: dict[tuple[int, ...], tuple[int, int]] = {}
+    for a in range(0, len(at), 1 << 16):  # a bounded number of windows at once
+        w, g, t = at[a : a + (1 << 16)], group[a : a + (1 << 16)], text[a : a + (1 << 16)]
+        same = (all_windows[w] == all_windows[at[example[g]]]).all(1)
+        np.minimum.at(lo, g[same], first[t[same]])
+        np.maximum.at(hi, g[same], last[t[same]])
+        for i in np.flatnonzero(~same):
+            key, x, y = tuple(all_windows[w[i]].tolist()), int(first[t[i]]), int(last[t[i]])
+            old = apart.get(key, (x, y))
+            apart[key] = (min(x, old[0]), max(y, old[1]))
+    owners = []
+    for g in np.flatnonzero(lo < hi):
+        automaton.add_word(tuple(all_windows[at[example[g]]].tolist()), len(owners))
+        owners.append(lo[g])
+    for key, (x, y) in apart.items():
+        if x < y:
+            automaton.add_word(key, len(owners))
+            owners.append(x)
     if not owners:
-        return None, numbers, owners
+        return None, np.zeros(0, np.int64)
     automaton.make_automaton()
-    return automaton, numbers, owners
+    return automaton, np.array(owners, np.int64)
+
+
+def _ranges(stops: np.ndarray) -> list[tuple[int, int]]:
+    """The union, in words, of the windows that end at these words."""
+    cut = np.flatnonzero(np.diff(stops) > WINDOW)
+    begin, end = stops[np.concatenate([[0], cut + 1])] - WINDOW + 1, stops[np.concatenate([cut, [len(stops) - 1]])] + 1
+    return list(zip(begin.tolist(), end.tolist(), strict=True))
 
 
 def _locate(passages: pa.Table, occurrences: pa.Table) -> pa.Table:
-    """Word ranges of the occurrences that an earlier document has too. Without passages, these are the occurrences' own."""
+    """Word ranges of the occurrences that an earlier document has too. Without passages, these are the occurrences' own.
+
+    Equal texts run through the automaton once.
+    """
     out: list[tuple[int, int, int, int]] = []
     if occurrences.num_rows:
-        if not passages.num_rows:
-            passages = occurrences.group_by("text").aggregate([("ord", "min"), ("ord", "max")]).rename_columns({"text": "passage", "ord_min": "first", "ord_max": "last"})
-        automaton, numbers, owners = compile_automaton(*[passages[c].to_pylist() for c in ("passage", "first", "last")])
+        texts = occurrences["text"].combine_chunks().dictionary_encode()
+        which = texts.indices.to_numpy()
+        numbers, bounds = number_words(pa.concat_arrays([texts.dictionary, passages["passage"].combine_chunks().cast(pa.binary())]))
+        n, ids = len(texts.dictionary), occurrences["ord"].to_numpy()
+        if passages.num_rows:
+            automaton, owners = compile_automaton(numbers[bounds[n] :], bounds[n:] - bounds[n], passages["first"].to_numpy(), passages["last"].to_numpy())
+        else:
+            lo, hi = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
+            np.minimum.at(lo, which, ids)
+            np.maximum.at(hi, which, ids)
+            automaton, owners = compile_automaton(numbers[: bounds[n]], bounds[: n + 1], lo, hi)
         if automaton is not None:
-            number = numbers.get
-            for ord_, digest, at, text in zip(*[occurrences[c].to_pylist() for c in ("ord", "digest", "at", "text")], strict=True):
-                begin = end = -1
-                for stop, k in automaton.iter(tuple([number(w, 0) for w in text.split()])):
-                    if owners[k] < ord_:
-                        lo, hi = at + stop - WINDOW + 1, at + stop + 1
-                        if lo > end:
-                            if end > 0:
-                                out.append((ord_, digest, begin, end))
-                            begin = lo
-                        end = hi
-                if end > 0:
-                    out.append((ord_, digest, begin, end))
+            found: list[tuple | None] = []
+            for d in range(n):
+                hits = list(automaton.iter(tuple(numbers[bounds[d] : bounds[d + 1]].tolist())))
+                if not hits:
+                    found.append(None)
+                    continue
+                stops, k = np.array(hits, np.int64).T
+                own = owners[k]
+                found.append((stops, own, int(own.min()), int(own.max()), _ranges(stops)))
+            for ord_, digest, at, d in zip(ids.tolist(), occurrences["digest"].to_pylist(), occurrences["at"].to_pylist(), which.tolist(), strict=True):
+                if found[d] is None or ord_ <= found[d][2]:
+                    continue
+                stops, own, _, most, whole = found[d]
+                for begin, end in whole if ord_ > most else _ranges(stops[own < ord_]):
+                    out.append((ord_, digest, at + begin, at + end))
     columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
     return pa.table([pa.array(c, pa.int64()) for c in columns], names=["ord", "digest", "begin", "end"])
 
