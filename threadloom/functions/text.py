@@ -1,0 +1,88 @@
+"""Text scalars on the JVM: bigram similarity, tokens, noise rules."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Substrings that mark a decision, words that alone are noise, and subjects of small talk.
+DECISION_SIGNALS = [
+    "决定", "确认", "采用", "选择", "结论", "通过", "方案", "选型", "批准", "同意", "拒绝",
+    "decide", "confirm", "adopt", "select", "choose", "approve", "agree", "reject", "conclusion",
+]
+NOISE_WORDS = [
+    "好的", "收到", "嗯", "哦", "ok", "好", "行", "是", "对", "嗯嗯", "哈哈", "嘿嘿", "谢谢", "感谢", "辛苦了", "赞",
+    "+1", "1", "yes", "no", "thanks", "thx", "got it", "sure", "lol", "haha", "nice", "good", "well",
+]
+NOISE_TOPICS = [
+    "天气", "下雨", "太阳", "温度", "热", "冷", "吃饭", "午餐", "晚餐", "早餐", "外卖", "食堂",
+    "周末", "假期", "旅游", "电影", "游戏", "综艺", "地铁", "公交", "堵车", "迟到",
+]
+MIN_LENGTH = 5
+
+
+def strip(text: Column) -> Column:
+    """Without white space at the ends; null stays null."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def bigrams(text: Column) -> Column:
+    """Distinct pairs of neighbouring characters; an empty array under two characters."""
+    pairs = F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substring(text, i, F.lit(2)))
+    return F.when(F.length(text) >= 2, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    """Of two arrays of distinct values; 0 if both are empty."""
+    both = F.size(F.array_intersect(a, b))
+    union = F.size(a) + F.size(b) - both
+    return F.when(union == 0, F.lit(0.0)).otherwise(both / union)
+
+
+def bigram_jaccard(a: Column, b: Column) -> Column:
+    """Similarity of two texts, stripped and lower-cased."""
+    return jaccard(bigrams(F.lower(strip(a))), bigrams(F.lower(strip(b))))
+
+
+def character_overlap(a: Column, b: Column) -> Column:
+    """Shared distinct characters over those of the richer text."""
+    x, y = (F.array_distinct(F.filter(F.split(t, ""), lambda c: c != "")) for t in (a, b))
+    most = F.greatest(F.size(x), F.size(y))
+    return F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(x, y)) / most)
+
+
+def search_tokens(text: Column) -> Column:
+    """Lower-cased runs of letters, digits and underscores of two characters or more."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}_]{2,})"), 1)
+
+
+def has_decision_signal(text: Column) -> Column:
+    return F.lower(text).rlike("|".join(DECISION_SIGNALS))
+
+
+def is_link_only(text: Column) -> Column:
+    """A URL alone or with a comment of under three characters."""
+    return text.rlike(r"^https?://\S+(\s+.{0,2})?$")
+
+
+def is_noise(text: Column) -> Column:
+    """Whether a message says nothing: empty, a noise word, too short or small talk without a signal, or a bare link."""
+    clear = strip(F.coalesce(text, F.lit("")))
+    signal = has_decision_signal(clear)
+    return (
+        (clear == "")
+        | F.lower(clear).isin(NOISE_WORDS)
+        | ((F.length(clear) < MIN_LENGTH) & ~signal)
+        | (F.lower(clear).rlike("|".join(NOISE_TOPICS)) & ~signal)
+        | is_link_only(clear)
+    )
+
+
+def truncate(text: Column, most: int) -> Column:
+    """At most ``most`` characters, the last three an ellipsis where something is cut."""
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.substring(text, 1, most - 3), F.lit("...")))
+
+
+def content_hash(text: Column) -> Column:
+    """The first 16 hex digits of the SHA-256."""
+    return F.substring(F.sha2(text, 256), 1, 16)
