@@ -8,8 +8,8 @@ registers give the likelihood of the Jaccard similarity jointly with the known s
 pairs far below the threshold drop out, the others are verified on their full sets.
 
 Documents of equal sets are one class and only its first takes part. Within a bucket no
-pairs are spelled out at first: all members are compared with one hub, in a second round
-with another. Buckets whose members are in one component by then need no more pairs. In
+pairs are spelled out at first: all members are compared with one hub, the one that meets
+most documents over all its buckets, and in a second round with another. Buckets whose members are in one component by then need no more pairs. In
 the others every pair between different components is compared, so no link within a bucket
 that could join two components is left out.
 """
@@ -169,10 +169,14 @@ def link(docs: DataFrame, percent: int = 75) -> DataFrame:
     by_id = of_firsts("sketch").select("ord", "n", "sketch").dropDuplicates(["ord"])
 
     keys = checkpoint(of_firsts("bands").select("ord", F.explode("bands").alias("key")).distinct())
-    shared = keys.groupBy("key").agg(F.min("ord").alias("hub"), F.max("ord").alias("last")).filter("hub < last").select("key", "hub")
-    members = checkpoint(keys.join(checkpoint(shared), "key").select("key", "ord", "hub"))
-
-    tested = checkpoint(members.filter("ord <> hub").select(F.col("hub").alias("a"), F.col("ord").alias("b")).distinct())
+    shared = checkpoint(keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"))
+    members = checkpoint(keys.join(shared, "key").select("key", "ord", "size"))
+    # the hub is the member that meets most others over all its buckets: copies that differ from each other still link with it
+    weights = members.groupBy("ord").agg(F.sum("size").alias("weight"))
+    hubs = members.join(weights, "ord").groupBy("key").agg(F.max(F.struct("weight", (-F.col("ord")).alias("o"))).alias("best")).select("key", (-F.col("best.o")).alias("hub"))
+
+    met = members.join(checkpoint(hubs), "key").filter("ord <> hub")
+    tested = checkpoint(met.select(F.least("hub", "ord").alias("a"), F.greatest("hub", "ord").alias("b")).distinct())
     # copies hang on the first of their class; rows of one id are one document
     copies = sketches.filter("n > 0").select("f1", "f2", "n", "ord").join(classes, ["f1", "f2", "n"]).filter("ord <> rep").select(F.col("rep").alias("a"), F.col("ord").alias("b"))
     labels = components(_verified(tested, by_id, texts, percent).union(copies))
