@@ -60,3 +60,31 @@ def test_sketches_merge_and_estimate():
     similar = near_dedup.estimate_jaccard(of(a), of(b), np.array([3000.0]), np.array([3000.0]))[0]
     assert abs(similar - 0.5) < 0.2
     assert near_dedup.estimate_jaccard(of(a), of(a), np.array([3000.0]), np.array([3000.0]))[0] > 0.99
+
+
+def test_bitmaps_never_drop_a_link():
+    rng = np.random.default_rng(2)
+    dropped = 0
+    for n in (3, 40, 150, 900, 5000):
+        for shared in np.unique(np.linspace(n // 2, n, 25).astype(int)):
+            pool = np.unique(rng.integers(1 << 63, size=2 * n, dtype=np.uint64))
+            a, b = pool[:n], pool[n - shared : 2 * n - shared]
+            bits = near_dedup.parity(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+            may = near_dedup.may_reach(bits[0], bits[1], len(a), len(b), 75)
+            assert may or 100 * shared < 75 * (len(a) + len(b) - shared)
+            dropped += not may
+    assert dropped > 40
+
+
+def test_tiles_hold_every_pair_of_different_components(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 7)  # one bucket in many tiles
+    rng = np.random.default_rng(3)
+    base = rng.integers(1 << 63, size=100, dtype=np.uint64)
+    sets = [np.unique(np.where(rng.random(100) < share, rng.integers(1 << 63, size=100, dtype=np.uint64), base)) for share in rng.choice([0.02, 0.1, 0.2, 0.3], size=60)]
+    bits = near_dedup.parity(np.concatenate(sets), np.append(0, np.cumsum([len(s) for s in sets])))
+    component = [int(c) for c in rng.integers(3, size=60)]
+    placed = spark.createDataFrame([(key, i, 60, component[i]) for key in (5, 9) for i in range(60)], "key long, ord long, size long, component long").repartition(3)
+    known = spark.createDataFrame([(i, len(s), bytearray(bits[i].tobytes())) for i, s in enumerate(sets)], "ord long, n long, bits binary")
+    found = sorted((r["a"], r["b"]) for r in near_dedup._open_pairs(placed, known, 75).collect())
+    want = [(i, j) for i in range(60) for j in range(i + 1, 60) if component[i] != component[j] and near_dedup.may_reach(bits[i], bits[j], len(sets[i]), len(sets[j]), 75)]
+    assert found == want and 0 < len(want) < 1770
