@@ -57,3 +57,16 @@ def test_empty(spark):
 
 def test_more_rows_for_more_similar_classes():
     assert contamination.rows_in_band(0.9) > contamination.rows_in_band(0.3) >= 1
+
+
+def test_short_items_in_long_documents_are_all_found(spark):
+    rng = random.Random(5)
+    items = [(i, prose(rng, 5 + i % 3, 100000), "x") for i in range(600)]
+    items += [(600 + i, items[i][1] + " and what comes after it", "x") for i in range(3)]  # shingles in common
+    rows = [(i, " ".join([prose(rng, rng.randrange(200), 100000), items[i][1], prose(rng, 200, 100000)]), "en", "s", 0, 0, "", 0, "", "") for i in range(600)]
+    found = contamination.contained_items(spark.createDataFrame(rows, DOCS).repartition(3), spark.createDataFrame(items, ITEMS))
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(i, i) for i in range(600)}
+
+
+def test_no_row_number_is_given_where_one_row_misses_too_much():
+    assert contamination.rows_in_band(1 / 32) == 0

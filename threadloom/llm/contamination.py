@@ -8,6 +8,8 @@ small blocks once, and a window's sketch is the minimum of its blocks' sketches.
 class the containment threshold turns into a Jaccard threshold, and the number of rows in
 a band follows from it. Windows that share a band with an item make a candidate pair, and
 a pair counts only if the item's shingles, taken exactly, are contained in the document.
+Where even bands of one row would miss too many pairs, as for items of few shingles, a class
+has no sketches: a document is looked up in a sorted array of its items' rarest shingles.
 
 Items are the stated queries. They are broadcast in blocks of a fixed number, one pass
 over the documents for each block.
@@ -38,6 +40,8 @@ CLASS_RATIO = 1.5
 ITEMS_PER_PASS, BYTES_PER_PASS = 20_000, 16 << 20
 #: A window is looked at if it may hold this share of what an item needs: an item may be scattered over a few places.
 WINDOW_SHARE = 0.5
+#: Pairs that are spelled out at once: 8 MB.
+HITS_AT_ONCE = 1 << 20
 _MISS = 1e-4
 
 _RNG = np.random.default_rng(20240229)
@@ -50,16 +54,16 @@ def _values(shingles: np.ndarray, i: int) -> np.ndarray:
 
 
 def rows_in_band(jaccard: float, hashes: int = HASHES, miss: float = _MISS) -> int:
-    """The largest number of rows whose bands miss a pair of this similarity with a probability of at most ``miss``; 1 at least."""
-    best = 1
-    for r in range(2, 9):
+    """The largest number of rows whose bands miss a pair of this similarity with a probability of at most ``miss``; 0 if one row does not do."""
+    best = 0
+    for r in range(1, 9):
         if (1 - jaccard**r) ** (hashes // r) <= miss:
             best = r
     return best
 
 
 class ItemIndex:
-    """Items of one pass: exact shingles, and for each size class the values of their bands."""
+    """Items of one pass: exact shingles, and for each size class the values of their bands or, without a loss, their rarest shingles."""
 
     def __init__(self, items: list[tuple[int, bytes]], threshold: float):
         self.ids = np.array([k for k, _ in items], np.int64)
@@ -69,8 +73,8 @@ class ItemIndex:
             self.sets += [s[bounds[d] : bounds[d + 1]] for d in range(len(bounds) - 1)]
         self.sizes = np.array([len(s) for s in self.sets], np.int64)
         self.need = np.ceil(self.sizes * threshold - 1e-9).astype(np.int64)
-        self.all = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.sets]))
         self.classes: list[tuple[int, int, list]] = []
+        exact: list[int] = []
         left = np.flatnonzero(self.sizes > 0)
         left = left[np.argsort(self.sizes[left], kind="stable")]
         while len(left):
@@ -80,8 +84,27 @@ class ItemIndex:
             least = int(self.sizes[here].min())
             held = max(1.0, threshold * WINDOW_SHARE * least)
             r = rows_in_band(held / (least + blocks * BLOCK - held))
+            if not r:
+                exact += here.tolist()
+                continue
             bands = [self._band(here, first, r) for first in range(0, HASHES - r + 1, r)]
             self.classes.append((blocks, r, bands))
+        self.rare = self._rare(exact)
+
+    def _rare(self, here: list[int]):
+        """The rarest shingles of items: as many as must hold one that a text with what the item needs has."""
+        known, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *[self.sets[i] for i in here]]), return_counts=True)
+        keys, items = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for i in here:
+            s = self.sets[i]
+            own = s[np.argsort(times[np.searchsorted(known, s)], kind="stable")][: len(s) - max(1, self.need[i]) + 1]
+            keys.append(own)
+            items.append(np.full(len(own), i))
+        keys, items = np.concatenate(keys), np.concatenate(items)
+        order = np.argsort(keys, kind="stable")
+        seen = np.zeros(1 << 16, bool)
+        seen[keys >> np.uint64(48)] = True
+        return seen, keys[order], items[order]
 
     def _band(self, here: np.ndarray, first: int, r: int):
         keys = np.array([[_values(self.sets[i], j).min() for j in range(first, first + r)] for i in here], np.uint32)
@@ -101,8 +124,26 @@ def fold(columns: np.ndarray) -> np.ndarray:
     return key * np.uint64(0x9E3779B97F4A7C15)
 
 
+def _hits(own: np.ndarray, doc: np.ndarray, table: tuple, index: ItemIndex) -> np.ndarray:
+    """Distinct (text, item) pairs, as text * items + item, of the keys that a table (seen, sorted keys, items) holds."""
+    seen, keys, items = table
+    at = np.flatnonzero(seen[own >> np.uint64(48)])
+    lo, hi = np.searchsorted(keys, own[at], "left"), np.searchsorted(keys, own[at], "right")
+    at, lo, n = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+    ends, found, k = np.cumsum(n), [np.zeros(0, np.int64)], 0
+    while k < len(at):  # HITS_AT_ONCE or one key's items at a time
+        m = max(k + 1, int(np.searchsorted(ends, ends[k] - n[k] + HITS_AT_ONCE, "right")))
+        part = n[k:m]
+        found.append(np.unique(np.repeat(doc[at[k:m]], part) * len(index.ids) + items[np.repeat(lo[k:m] - np.cumsum(part) + part, part) + np.arange(part.sum())]))
+        k = m
+    return np.unique(np.concatenate(found))
+
+
 def _candidates(shingles: np.ndarray, doc: np.ndarray, n_docs: int, index: ItemIndex) -> np.ndarray:
-    """Distinct (text, item) pairs, as text * items + item, whose windows share a band."""
+    """Distinct (text, item) pairs, as text * items + item, whose windows share a band or that share a rare shingle."""
+    found = [_hits(shingles, doc, index.rare, index)]
+    if not index.classes:
+        return found[0]
     count = np.bincount(doc, minlength=n_docs)
     blocks_of = -(-count // BLOCK)
     first_block = np.concatenate([[0], np.cumsum(blocks_of)])
@@ -112,22 +153,14 @@ def _candidates(shingles: np.ndarray, doc: np.ndarray, n_docs: int, index: ItemI
     if not len(begin):
         return np.zeros(0, np.int64)
     minima = np.stack([np.minimum.reduceat(_values(shingles, i), begin) for i in range(HASHES)])
-    found = []
     for blocks, r, bands in index.classes:
         sketch = minima.copy()
         for j in range(1, blocks):  # the window that begins at a block takes in those after it, within the text
             same = block_doc[j:] == block_doc[:-j] if j < len(block_doc) else np.zeros(0, bool)
             at = np.flatnonzero(same)
             sketch[:, at] = np.minimum(sketch[:, at], minima[:, at + j])
-        for b, (seen, keys, items) in enumerate(bands):
-            own = fold(sketch[b * r : (b + 1) * r])
-            at = np.flatnonzero(seen[own >> np.uint64(48)])
-            if len(at):
-                lo, hi = np.searchsorted(keys, own[at], "left"), np.searchsorted(keys, own[at], "right")
-                n = hi - lo
-                hit = np.repeat(block_doc[at], n) * len(index.ids) + items[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
-                found.append(np.unique(hit))
-    return np.unique(np.concatenate([np.zeros(0, np.int64), *found]))
+        found += [_hits(fold(sketch[b * r : (b + 1) * r]), block_doc, band, index) for b, band in enumerate(bands)]
+    return np.unique(np.concatenate(found))
 
 
 def _search(batches: Iterator[pa.RecordBatch], index: ItemIndex) -> Iterator[pa.RecordBatch]:
@@ -170,9 +203,10 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = 0.75)
     if at least ``threshold`` of the item's shingles occur anywhere in the document. Items
     and documents without words match nothing. Repeated documents and items each match;
     rows with a null doc_id are searched, items with a null id aren't. Extra columns are
-    ignored; empty tables give no pairs. The candidate search misses an item whose share
-    ``WINDOW_SHARE * threshold`` lies in one place with a probability of about 1e-4 at most
-    where the class allows, and finds contiguous passages practically always.
+    ignored; empty tables give no pairs. Items of size classes for which one-row bands would
+    miss more than 1e-4 (those of up to about 40 shingles) are all found. Of larger ones, the
+    candidate search misses an item whose share ``WINDOW_SHARE * threshold`` lies in one place
+    with a probability of about 1e-4 at most, and finds contiguous passages practically always.
     """
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     spark = docs.sparkSession
