@@ -70,3 +70,9 @@ def test_short_items_in_long_documents_are_all_found(spark):
 
 def test_no_row_number_is_given_where_one_row_misses_too_much():
     assert contamination.rows_in_band(1 / 32) == 0
+
+
+def test_decontaminate_judges_rows_by_their_own_texts(spark):
+    rows = [(None, "one two three four"), (None, "clean"), (1, "one two three four"), (1, "clean"), (2, None), (None, None)]
+    kept = contamination.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, "one two three four", "x")], ITEMS))
+    assert sorted((tuple(r) for r in kept.collect()), key=str) == sorted([(None, "clean"), (1, "clean"), (2, None), (None, None)], key=str)

@@ -1,8 +1,10 @@
+import random
+
 import numpy as np
 
 from threadloom.llm import near_dedup
 from threadloom.llm.graph import components
-from tests.llm.helpers import awkward, awkward_rows, empty, order, shingles
+from tests.llm.helpers import awkward, awkward_rows, empty, order, prose, shingles
 
 
 def brute(rows):
@@ -88,3 +90,18 @@ def test_tiles_hold_every_pair_of_different_components(spark, monkeypatch):
     found = sorted((r["a"], r["b"]) for r in near_dedup._open_pairs(placed, known, 75).collect())
     want = [(i, j) for i in range(60) for j in range(i + 1, 60) if component[i] != component[j] and near_dedup.may_reach(bits[i], bits[j], len(sets[i]), len(sets[j]), 75)]
     assert found == want and 0 < len(want) < 1770
+
+
+def test_rows_without_an_id_or_with_one_id_are_linked_by_their_own_texts(spark):
+    rng = random.Random(9)
+    a, b, c, d, e, f, g = (prose(rng, 80, 5000) for _ in range(7))
+    rows = [(1, a), (None, a + " end"), (None, b), (None, c), (None, c + " end"), (2, d), (2, e), (3, e + " end"), (3, f), (4, f + " end"), (5, g), (5, g), (6, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = [tuple(r) for r in near_dedup.near_duplicates(docs).select("doc_id", "component_id", "kept").collect()]
+    want = [(1, 1, True), (None, 1, False), (None, None, True), (None, None, True), (None, None, False), (None, None, True)]
+    want += [(2, 2, True), (2, 2, True), (3, 2, False), (3, 2, False), (4, 2, False), (5, 5, True), (5, 5, True), (6, 6, True)]
+    assert sorted(found, key=str) == sorted(want, key=str)
+    kept = [tuple(r) for r in near_dedup.keep_one(docs).collect()]
+    assert sum(r[1] in (c, c + " end") for r in kept) == 1
+    want = [(1, a), (None, b), (2, d), (2, e), (3, f), (5, g), (5, g), (6, None), (None, None)]
+    assert sorted((r for r in kept if r[1] not in (c, c + " end")), key=str) == sorted(want, key=str)

@@ -59,3 +59,11 @@ def test_empty_and_written(spark, tmp_path):
     rows = [(i, f"text {i}", "en", "s", 0, 0, "", 0, "", "") for i in range(50)]
     sharding.write_shards(spark.createDataFrame(rows, DOCS), str(tmp_path / "out"), shards=4)
     assert spark.read.parquet(str(tmp_path / "out")).groupBy("shard").count().count() == 4
+
+
+def test_written_shards_hold_every_row_once(spark, tmp_path):
+    rows = [(None, f"text {i}", "en", "s") for i in range(20)] + [(7, f"other {i}", "en", "s") for i in range(20)] + [(8, "same", "en", "s")] * 3
+    sharding.write_shards(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), str(tmp_path / "s"), 4)
+    written = spark.read.parquet(str(tmp_path / "s"))
+    assert sorted((tuple(r) for r in written.select("doc_id", "text", "lang", "source").collect()), key=str) == sorted(rows, key=str)
+    assert written.select("shard", "slot").distinct().count() == len(rows)

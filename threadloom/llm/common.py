@@ -24,6 +24,14 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")
 
 
+def row_key() -> Column:
+    """A hash of 64 bits of a row's doc_id, which may be null, and its text: what tells rows apart where an id doesn't.
+
+    Rows that repeat both share it. Two of n other rows share it with a probability of n * n / 2**65.
+    """
+    return F.xxhash64("doc_id", "text")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Leave the cluster's spark.checkpoint.dir alone; where it is unset, as in tests, take a temporary folder."""
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:

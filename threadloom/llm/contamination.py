@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import share
+from threadloom.llm.common import row_key, share
 from threadloom.llm.tokens import chunks, shingle_sets, windows
 
 SHINGLE = 5
@@ -234,6 +234,6 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = 0.75)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """The documents that contain no item; all columns stay as they are."""
-    bad = contained_items(docs, items, threshold).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti").select(*docs.columns)
+    """The rows whose text contains no item, whatever other rows of their doc_id, or of none, contain; all columns stay as they are."""
+    bad = contained_items(docs.select(row_key().alias("doc_id"), "text"), items, threshold).select(F.col("doc_id").alias("_bad")).distinct()
+    return docs.join(bad, row_key() == F.col("_bad"), "left_anti").select(*docs.columns)

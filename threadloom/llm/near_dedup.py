@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.bits import bitmap, contains
-from threadloom.llm.common import checkpoint
+from threadloom.llm.common import checkpoint, row_key
 from threadloom.llm.graph import components
 from threadloom.llm.tokens import chunks, mix, shingle_sets
 
@@ -133,8 +133,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     keys = mix(keys ^ (sketch[:, r::ROWS].astype(np.uint64) + (np.uint64(r + 1) << np.uint64(32))))
             bits = parity(s, bounds)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.reshape(-1).view(np.int64)))
-            columns = [ids[row : row + len(size)], pa.array(size), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), bands, pa.array([x.tobytes() for x in sketch], pa.binary()), pa.array([x.tobytes() for x in bits], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["ord", "n", "f1", "f2", "bands", "sketch", "bits"])
+            columns = [ids[row : row + len(size)], batch.column(2)[row : row + len(size)], pa.array(size), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), bands, pa.array([x.tobytes() for x in sketch], pa.binary()), pa.array([x.tobytes() for x in bits], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["ord", "doc_id", "n", "f1", "f2", "bands", "sketch", "bits"])
 
 
 def _sets(involved):
@@ -252,12 +252,13 @@ def _settle(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def link(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """(ord, n, component) of every row: the id with nulls last, the set's size and the smallest id that is reachable.
+    """(ord, doc_id, n, component) of every row: its key, its id, the set's size and the smallest key that is reachable.
 
+    Keys are of the id and the text, so rows without an id, or of one id and other texts, are linked each by its own set.
     See ``near_duplicates`` for the rules.
     """
-    texts = docs.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("ord"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    sketches = checkpoint(texts.mapInArrow(_sketch, "ord long, n long, f1 long, f2 long, bands array<long>, sketch binary, bits binary"))
+    texts = docs.select(row_key().alias("ord"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
+    sketches = checkpoint(texts.mapInArrow(_sketch, "ord long, doc_id long, n long, f1 long, f2 long, bands array<long>, sketch binary, bits binary"))
     classes = checkpoint(sketches.filter("n > 0").groupBy("f1", "f2", "n").agg(F.min("ord").alias("rep")))
     firsts = classes.select("f1", "f2", "n", F.col("rep").alias("ord"))
     of_firsts = lambda *columns: sketches.select("f1", "f2", "n", "ord", *columns).join(firsts, ["f1", "f2", "n", "ord"], "left_semi")
@@ -272,14 +273,30 @@ def link(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     met = members.join(checkpoint(hubs), "key").filter("ord <> hub")
     tested = checkpoint(met.select(F.least("hub", "ord").alias("a"), F.greatest("hub", "ord").alias("b")).distinct())
-    # copies hang on the first of their class; rows of one id are one document
+    # copies hang on the first of their class
     copies = sketches.filter("n > 0").select("f1", "f2", "n", "ord").join(classes, ["f1", "f2", "n"]).filter("ord <> rep").select(F.col("rep").alias("a"), F.col("ord").alias("b"))
     labels = components(_verified(tested, by_id, texts, percent).union(copies))
     placed = members.join(labels.select(F.col("node").alias("ord"), "component"), "ord", "left").select("key", "ord", "size", F.coalesce("component", "ord").alias("component"))
     pairs = checkpoint(_open_pairs(placed, by_id.select("ord", "n", "bits"), percent).join(tested, ["a", "b"], "left_anti"))
     labels = _settle(labels, _verified(pairs, by_id, texts, percent))
-    found = sketches.select("ord", "n").join(labels.select(F.col("node").alias("ord"), "component"), "ord", "left")
-    return found.select("ord", "n", F.coalesce("component", "ord").alias("component"))
+    found = sketches.select("ord", "doc_id", "n").join(labels.select(F.col("node").alias("ord"), "component"), "ord", "left")
+    return checkpoint(found.select("ord", "doc_id", "n", F.coalesce("component", "ord").alias("component")))
+
+
+def _fold(found: DataFrame) -> DataFrame:
+    """``found`` (ord, doc_id, n, component) with the components that hold rows of one doc_id made one."""
+    apart = checkpoint(found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("doc_id", "lo"))
+    if not apart.limit(1).count():
+        return found
+    step = components(found.join(apart, "doc_id").select(F.col("lo").alias("a"), F.col("component").alias("b")))
+    moved = found.join(step.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+    return checkpoint(moved.select("ord", "doc_id", "n", F.coalesce("to", "component").alias("component")))
+
+
+def _with_first(found: DataFrame) -> DataFrame:
+    """``found`` with the id and the key of its component's first row: that of the smallest id, nulls last, then of the smallest key."""
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "ord")).alias("f"))
+    return found.join(checkpoint(first.select("component", F.col("f.doc_id").alias("first_id"), F.col("f.ord").alias("first"))), "component")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -288,16 +305,19 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     Words are lower-cased (A-Z) and split at ASCII white space. A document's set has its distinct
     5-word shingles, or one of all its words if they are fewer; without words or text it is empty
     and linked with nothing. Documents with 100 * shared >= percent * union are linked, and
-    component_id is the smallest doc_id that links reach. Rows of one doc_id count as one document;
-    a null doc_id is larger than any and, if its component has no other id, its component_id is null
-    and it is kept. Repeated rows each get a row; extra columns are ignored; an empty table gives none.
+    component_id is the smallest doc_id that links reach. Rows of one doc_id count as one document,
+    with the links of all their texts. Each text without a doc_id is a document of its own; if its
+    component has no id, its component_id is null and one of the component's texts is kept.
+    Repeated rows each get a row; extra columns are ignored; an empty table gives none.
     """
-    none = F.lit((1 << 63) - 1)
-    back = lambda c: F.when(F.col(c) < none, F.col(c))
-    return link(docs, percent).select(back("ord").alias("doc_id"), F.col("n").alias("n_shingles"), back("component").alias("component_id"), (F.col("ord") == F.col("component")).alias("kept"))
+    kept = F.when(F.col("doc_id").isNull(), F.col("ord") == F.col("first")).otherwise(F.col("doc_id") == F.col("first_id"))
+    return _with_first(_fold(link(docs, percent))).select("doc_id", F.col("n").alias("n_shingles"), F.col("first_id").alias("component_id"), kept.alias("kept"))
 
 
 def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """One document of each component; all columns stay as they are. Of repeated rows all stay."""
-    gone = near_duplicates(docs, percent).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(gone.withColumnRenamed("doc_id", "_gone"), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti").select(*docs.columns)
+    """One text of each component; all columns stay as they are. Of rows that repeat an id and its text all stay.
+
+    Rows of one doc_id, or of none, with other texts are judged each by its own text.
+    """
+    gone = _with_first(link(docs, percent)).filter("ord <> first").select(F.col("ord").alias("_gone")).distinct()
+    return docs.join(gone, row_key() == F.col("_gone"), "left_anti").select(*docs.columns)

@@ -86,19 +86,25 @@ def shard_documents(docs: DataFrame, shards: int = 24, bits: int = 8) -> DataFra
     table gives an empty result; repeated rows each get a slot; extra columns are ignored;
     null lang or source count as a value; rows with null doc_id sort first.
     """
+    return _placed(docs, shards, bits)
+
+
+def _placed(docs: DataFrame, shards: int, bits: int, *also: str) -> DataFrame:
+    """``shard_documents`` with more columns of ``docs``."""
     sized = docs.select(
         "doc_id",
+        *also,
         "lang",
         "source",
         (F.octet_length(F.coalesce("text", F.lit(""))) + 8).cast("long").alias("size"),
         F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
         F.when(F.col("text").isNull(), F.lit("null")).otherwise(F.md5("text")).alias("digest"),
     )
-    rows = sized.select("doc_id", "size", "text_crc32", "digest", hilbert_index(document_dims(bits), bits).alias("cell"))
+    rows = sized.select("doc_id", *also, "size", "text_crc32", "digest", hilbert_index(document_dims(bits), bits).alias("cell"))
     # small tables are checkpointed before a join, so that both sides are plain exchanges and a hot group can be split
     groups = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "cell")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", F.col("first.cell").alias("group_cell"), "n")
     groups = checkpoint(groups)
-    placed = rows.join(groups, "digest", "left").select("doc_id", "size", "text_crc32", "digest", F.coalesce("group_cell", "cell").alias("curve_index"), F.coalesce("n", F.lit(1)).alias("n"))
+    placed = rows.join(groups, "digest", "left").select("doc_id", *also, "size", "text_crc32", "digest", F.coalesce("group_cell", "cell").alias("curve_index"), F.coalesce("n", F.lit(1)).alias("n"))
 
     order = ["curve_index", "digest", "doc_id", "size"]
     ranged = checkpoint(placed.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
@@ -120,14 +126,15 @@ def shard_documents(docs: DataFrame, shards: int = 24, bits: int = 8) -> DataFra
         .withColumn("row", F.col("rows_before") + F.col("local_row") - 1)
     )
     whole = F.col("n") * F.col("size") <= F.greatest(F.col("total") / shards * WHOLE_GROUP_SHARE, F.col("largest").cast("double"))
-    summed = checkpoint(summed.select("doc_id", "size", "text_crc32", "digest", "curve_index", "n", "begin", "row", "total", whole.alias("whole")))
+    summed = checkpoint(summed.select("doc_id", *also, "size", "text_crc32", "digest", "curve_index", "n", "begin", "row", "total", whole.alias("whole")))
     starts = checkpoint(summed.filter("n > 1 and whole").groupBy("digest").agg(F.min("begin").alias("group_begin")))
     middle = F.when(F.col("group_begin").isNotNull(), F.col("group_begin") + F.col("n") * F.col("size") / 2).otherwise(F.col("begin") + F.col("size") / 2)
     cut = summed.join(starts, "digest", "left").withColumn("shard", F.least(F.floor(middle * shards / F.col("total")), F.lit(shards - 1)).cast("int"))
-    cut = checkpoint(cut.select("doc_id", "size", "text_crc32", "shard", "row", "curve_index"))
+    cut = checkpoint(cut.select("doc_id", *also, "size", "text_crc32", "shard", "row", "curve_index"))
     first = cut.groupBy("shard").agg(F.min("row").alias("first_row"))
     return cut.join(F.broadcast(first), "shard").select(  # a row for each shard
         "doc_id",
+        *also,
         "size",
         "text_crc32",
         F.lit("bytes").alias("law"),
@@ -140,5 +147,6 @@ def shard_documents(docs: DataFrame, shards: int = 24, bits: int = 8) -> DataFra
 
 def write_shards(docs: DataFrame, path: str, shards: int = 24, bits: int = 8) -> None:
     """The documents with their shard and slot, one directory for each shard, sorted by slot."""
-    placed = shard_documents(docs, shards, bits).select("doc_id", "shard", "slot")
-    docs.join(placed, "doc_id").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").parquet(path)
+    rows = checkpoint(docs.withColumn("_row", F.monotonically_increasing_id()))  # ids may be null or repeated
+    placed = _placed(rows, shards, bits, "_row").select("_row", "shard", "slot")
+    rows.join(placed, "_row").drop("_row").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").parquet(path)
