@@ -2,10 +2,12 @@
 
 from datetime import datetime, timedelta
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as T
 from threadloom.functions.scores import hot_score, precision_recall_f1
+from threadloom.plans import catalog
 from threadloom.operators import aggregates, dedup, graph, lifecycle, search, windows
 from threadloom.sources import messages
 from threadloom.streaming.sessions import first_seen, stream_sessions
@@ -102,3 +104,24 @@ def test_sources(spark, tmp_path):
     (tmp_path / "d.md").write_text("---\nsid: 7\ntitle: a: b\n---\nBody\nmore")
     row = messages.read_front_matter(spark, str(tmp_path / "d.md")).first()
     assert row["fields"] == {"sid": "7", "title": "a: b"} and row["body"] == "Body\nmore"
+
+
+def test_all_queries_are_searched_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(search, "QUERIES_PER_PASS", 3)
+    rng = np.random.default_rng(4)
+    x = rng.integers(-2, 3, size=(60, 3)).astype(float)  # with ties and zero vectors
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(60)] + [(60, None), (None, [1.0, 0.0, 0.0])], "id long, vector array<double>").repartition(4)
+    found = {}
+    for r in search.nearest_each(df, df.filter("id % 5 = 0"), 7).orderBy("query_id", "rank0").collect():
+        found.setdefault(r["query_id"], []).append(r["id"])
+    scores = np.round(search.cosines(x, x), 9)
+    assert found == {q: sorted((i for i in range(60) if i != q), key=lambda i: (-scores[i, q], i))[:7] for q in range(0, 60, 5)}
+    assert search.nearest_each(df, df.filter("id < 0"), 7).count() == 0
+
+
+def test_registered_searches_answer_every_query(spark):
+    queries = catalog.queries()
+    vectors = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").filter("vec_id % 50 = 0")
+    assert "hybrid_topk_each" in queries and vectors.count() > 1
+    assert queries["hybrid_topk_each"](spark, "/root/testdata/sf0.001").select("query_id").distinct().count() == vectors.count()
+    assert queries["bm25_topk_each"](spark, "/root/testdata/sf0.001").select("query_id").distinct().count() > 1

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import search_tokens
 from threadloom.functions.vector import cosine
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Queries that are broadcast at once, and scores that a task holds at once.
+QUERIES_PER_PASS, SCORES_AT_ONCE = 1024, 1 << 20
 
 
 def keyword_search(df: DataFrame, query: str, columns: list[str], active: Column | None = None) -> DataFrame:
@@ -20,24 +28,32 @@ def keyword_search(df: DataFrame, query: str, columns: list[str], active: Column
 
 
 def bm25(docs: DataFrame, query: str, id_col: str, text_col: str) -> DataFrame:
-    """(id, score) of the documents that hold a term of the query, scored by Okapi BM25.
+    """(id, score) of the documents that hold a term of the query, scored by Okapi BM25."""
+    return bm25_each(docs, {0: query}, id_col, text_col).select("id", "score")
+
+
+def bm25_each(docs: DataFrame, queries: dict[int, str], id_col: str, text_col: str) -> DataFrame:
+    """(query_id, id, score) of the documents that hold a term of a query, scored by Okapi BM25.
 
-    Only postings of the query's terms are exploded; the document frequencies are one row per
-    term, and the number and mean length of documents one row. A term in over half of the
-    documents gets EPSILON times the mean idf of the query's terms instead of a negative one.
+    Only postings of the queries' terms are exploded, once for all queries; the document
+    frequencies are one row per term, and the number and mean length of documents one row. A term
+    in over half of the documents gets EPSILON times the mean idf of its query's terms instead of
+    a negative one.
     """
-    terms = sorted({w for w in query.lower().split() if len(w) >= 2})
+    wanted = sorted({(k, w) for k, query in queries.items() for w in query.lower().split() if len(w) >= 2})
+    terms = sorted({w for _, w in wanted})
+    asked = docs.sparkSession.createDataFrame(wanted, "query_id int, term string")
     counted = docs.select(F.col(id_col).alias("id"), search_tokens(F.col(text_col)).alias("t")).select("id", F.size("t").alias("len"), F.filter("t", lambda x: x.isin(terms)).alias("t"))
     stats = counted.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
     postings = counted.select("id", "len", F.explode("t").alias("term")).groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
     df = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))  # a row per query term, times one row
-    idf = df.select("term", "mean", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
-    floor = idf.agg((EPSILON * F.avg("idf")).alias("floor"))
-    idf = idf.crossJoin(F.broadcast(floor)).select("term", "mean", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"))
+    idf = df.select("term", "mean", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf")).join(F.broadcast(asked), "term")
+    floor = idf.groupBy("query_id").agg((EPSILON * F.avg("idf")).alias("floor"))
+    idf = idf.join(F.broadcast(floor), "query_id").select("query_id", "term", "mean", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    scored = postings.join(F.broadcast(idf), "term").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("term", part.alias("p")))).alias("parts"))
+    scored = postings.join(F.broadcast(idf), "term").groupBy("query_id", "id").agg(F.array_sort(F.collect_list(F.struct("term", part.alias("p")))).alias("parts"))
     # terms are added in one order, so that the sum doesn't hang on the partitioning
-    return scored.select("id", F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["p"]).alias("score"))
+    return scored.select("query_id", "id", F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["p"]).alias("score"))
 
 
 def dense(vectors: DataFrame, probe: list[float], id_col: str, vector_col: str) -> DataFrame:
@@ -48,3 +64,60 @@ def dense(vectors: DataFrame, probe: list[float], id_col: str, vector_col: str)
 def top(scored: DataFrame, k: int) -> DataFrame:
     """The k best, ties by id."""
     return scored.orderBy(F.desc("score"), "id").limit(k)
+
+
+def top_each(scored: DataFrame, k: int) -> DataFrame:
+    """The k best (query_id, id, score, rank0) of each query, ties by id. Tasks keep their own k best before rows are dealt."""
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return scored.withColumn("place", place).filter(F.col("place") <= k).select("query_id", "id", "score", (F.col("place") - 1).alias("rank0"))
+
+
+def cosines(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Cosines of rows (rows, queries); 0 where a norm is 0."""
+    length = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(q, axis=1)
+    return np.divide(x @ q.T, length, out=np.zeros(length.shape), where=length > 0)
+
+
+def nearness(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The negative distances of single values (rows, queries)."""
+    return -np.abs(x - q.T)
+
+
+def nearest_each(rows: DataFrame, queries: DataFrame, k: int, score: Callable[[np.ndarray, np.ndarray], np.ndarray] = cosines) -> DataFrame:
+    """The k best (query_id, id, score, rank0) of each query among all rows but itself, scores to 9 places, ties by id.
+
+    rows, queries: (id, vector). Queries are broadcast in blocks of QUERIES_PER_PASS; a task
+    scores its rows against a block and keeps its k best for each query. Rows and queries of a
+    null id or vector take no part.
+    """
+    known = lambda df: df.filter("id IS NOT NULL AND vector IS NOT NULL").select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
+    spark, found, part = rows.sparkSession, [], []
+
+    def one_pass(block: list) -> DataFrame:
+        shared = spark.sparkContext.broadcast((np.array([r["id"] for r in block], np.int64), np.array([r["vector"] for r in block], float)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asked, q = shared.value
+            ids, best = np.zeros((len(asked), 0), np.int64), np.zeros((len(asked), 0))
+            step = max(1, SCORES_AT_ONCE // max(1, len(asked)))
+            for batch in batches:
+                for at in range(0, len(batch), step):
+                    own, vectors = batch.column(0)[at : at + step].to_numpy(), batch.column(1)[at : at + step]
+                    s = np.round(score(vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1), q), 9).T
+                    s[own == asked[:, None]] = -np.inf
+                    ids, best = np.concatenate([ids, np.broadcast_to(own, s.shape)], 1), np.concatenate([best, s], 1)
+                    order = np.lexsort((ids, -best))[:, :k]
+                    ids, best = np.take_along_axis(ids, order, 1), np.take_along_axis(best, order, 1)
+            some = best > -np.inf
+            yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(asked[:, None], ids.shape)[some]), pa.array(ids[some]), pa.array(best[some])], names=["query_id", "id", "score"])
+
+        return known(rows).mapInArrow(run, "query_id long, id long, score double")
+
+    for r in known(queries).orderBy("id").toLocalIterator():  # a block of queries at a time
+        part.append(r)
+        if len(part) >= QUERIES_PER_PASS:
+            found.append(one_pass(part))
+            part = []
+    if part or not found:
+        found.append(one_pass(part) if part else rows.limit(0).select(F.lit(0).cast("long").alias("query_id"), F.col("id").cast("long").alias("id"), F.lit(0.0).alias("score")))
+    return top_each(reduce(DataFrame.unionByName, found), k)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threadloom.functions.vector import cosine
+from threadloom.operators import search
 from threadloom.operators.fusion import ranked, reciprocal_rank_fusion
 
 
@@ -19,7 +20,18 @@ def hybrid_topk(spark, sf_dir):
     return fused.select(F.col("id").alias("vec_id"), F.round("score", 9).alias("score")).orderBy(F.desc("score"), "vec_id").limit(20).join(vectors.select("vec_id", "label"), "vec_id")
 
 
-QUERIES = {"hybrid_topk": hybrid_topk}
+def hybrid_topk_each(spark, sf_dir):
+    """Dense and scalar signals for each vector whose id is divisible by 50, against all vectors, fused by reciprocal rank; the 20 best of each."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    dense = vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    scalar = vectors.select(F.col("vec_id").alias("id"), F.when(F.col("label").isNotNull(), F.array("label")).alias("vector"))
+    lists = {"dense": search.nearest_each(dense, dense.filter("id % 50 = 0"), 60), "scalar": search.nearest_each(scalar, scalar.filter("id % 50 = 0"), 60, search.nearness)}
+    lists = {name: found.select(F.struct("query_id", "id").alias("id"), "rank0") for name, found in lists.items()}
+    fused = reciprocal_rank_fusion(lists).select("id.query_id", "id.id", F.round("score", 9).alias("score"))
+    return search.top_each(fused, 20).select("query_id", F.col("id").alias("vec_id"), "score")
+
+
+QUERIES = {"hybrid_topk": hybrid_topk, "hybrid_topk_each": hybrid_topk_each}
 
 ORACLE = {
     "hybrid_topk": """
@@ -29,5 +41,13 @@ d AS (SELECT vec_id, row_number() OVER (ORDER BY dense DESC, vec_id) AS r FROM s
 c AS (SELECT vec_id, row_number() OVER (ORDER BY scalar DESC, vec_id) AS r FROM s QUALIFY r <= 60),
 f AS (SELECT coalesce(d.vec_id, c.vec_id) AS vec_id, round(coalesce(1.0 / (60 + d.r), 0.0) + coalesce(1.0 / (60 + c.r), 0.0), 9) AS score FROM d FULL JOIN c ON d.vec_id = c.vec_id)
 SELECT f.vec_id, f.score, e.label FROM (SELECT * FROM f ORDER BY score DESC, vec_id LIMIT 20) f JOIN embeddings e ON e.vec_id = f.vec_id
+""",
+    "hybrid_topk_each": """
+WITH p AS (SELECT vec_id AS query_id, embedding AS probe, label AS probe_label FROM embeddings WHERE vec_id % 50 = 0),
+s AS (SELECT query_id, vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(probe AS DOUBLE[])), 9) AS dense, -abs(label - probe_label) AS scalar FROM embeddings, p WHERE vec_id <> query_id),
+d AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY dense DESC, vec_id) AS r FROM s WHERE dense IS NOT NULL QUALIFY r <= 60),
+c AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY scalar DESC, vec_id) AS r FROM s WHERE scalar IS NOT NULL QUALIFY r <= 60),
+f AS (SELECT coalesce(d.query_id, c.query_id) AS query_id, coalesce(d.vec_id, c.vec_id) AS vec_id, round(coalesce(1.0 / (60 + d.r), 0.0) + coalesce(1.0 / (60 + c.r), 0.0), 9) AS score FROM d FULL JOIN c ON d.query_id = c.query_id AND d.vec_id = c.vec_id)
+SELECT query_id, vec_id, score FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
 """,
 }

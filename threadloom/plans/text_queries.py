@@ -39,6 +39,16 @@ def bm25_topk(spark, sf_dir):
     return search.top(scored.withColumn("score", F.round("score", 6)).filter("score > 0"), 20).select(F.col("id").alias("doc_id"), "score")
 
 
+#: The queries of bm25_topk_each.
+TEXTS = ("the secret token of data", "the license of this software", "better than that", "by or from a nation", "data")
+
+
+def bm25_topk_each(spark, sf_dir):
+    """The best documents for each of TEXTS by Okapi BM25."""
+    scored = search.bm25_each(_read(spark, sf_dir, "documents"), dict(enumerate(TEXTS)), "doc_id", "text")
+    return search.top_each(scored.withColumn("score", F.round("score", 6)).filter("score > 0"), 20).select("query_id", F.col("id").alias("doc_id"), "score")
+
+
 def text_scalars(spark, sf_dir):
     """Scalars of every benchmark item: bigrams, hash, truncation, tokens."""
     t = F.coalesce("text", F.lit(""))
@@ -105,7 +115,7 @@ def top_per_topic(spark, sf_dir):
     return d.withColumn("place", F.row_number().over(w).cast("long")).filter("place <= 3").select("source", "place", "doc_id", "n_chars")
 
 
-QUERIES = {f.__name__: f for f in (noise_messages, keyword_search, keyword_frequency, bm25_topk, text_scalars, fuzzy_benchmark_pairs, turn_segments, turns_within_budget, longest_per_source, majority_language, label_scores, label_confusion, top_per_topic)}
+QUERIES = {f.__name__: f for f in (noise_messages, keyword_search, keyword_frequency, bm25_topk, bm25_topk_each, text_scalars, fuzzy_benchmark_pairs, turn_segments, turns_within_budget, longest_per_source, majority_language, label_scores, label_confusion, top_per_topic)}
 
 _SIGNAL = "|".join(T.DECISION_SIGNALS)
 _BIGRAMS = "list_distinct(CASE WHEN length({t}) >= 2 THEN [{t}[i : i + 1] FOR i IN range(1, length({t}))] ELSE [] END)"
@@ -129,6 +139,16 @@ p AS (SELECT doc_id, l, term, count(*) AS tf FROM c GROUP BY ALL),
 i AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS idf, mean FROM p, st GROUP BY term, n, mean),
 j AS (SELECT term, mean, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM i) ELSE idf END AS idf FROM i)
 SELECT * FROM (SELECT doc_id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / mean))), 6) AS score FROM p JOIN j USING (term) GROUP BY doc_id) WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20""",
+    "bm25_topk_each": r"""
+WITH q AS (SELECT DISTINCT query_id, unnest(list_filter(string_split(query, ' '), lambda x: length(x) >= 2)) AS term FROM (VALUES (0, 'the secret token of data'), (1, 'the license of this software'), (2, 'better than that'), (3, 'by or from a nation'), (4, 'data')) v(query_id, query)),
+t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]{2,}') AS t FROM documents),
+st AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM t),
+c AS (SELECT doc_id, len(t) AS l, unnest(t) AS term FROM t),
+p AS (SELECT doc_id, l, term, count(*) AS tf FROM c WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+i AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS idf, mean FROM p, st GROUP BY term, n, mean),
+j AS (SELECT query_id, term, mean, CASE WHEN idf < 0 THEN 0.25 * avg(idf) OVER (PARTITION BY query_id) ELSE idf END AS idf FROM i JOIN q USING (term)),
+s AS (SELECT query_id, doc_id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / mean))), 6) AS score FROM p JOIN j USING (term) GROUP BY ALL)
+SELECT query_id, doc_id, score FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 20""",
     "text_scalars": f"""
 WITH b AS (SELECT item_id, coalesce(text, '') AS t FROM benchmark),
 g AS (SELECT *, lower(t) AS w, lower(trim(t)) AS x, lower(trim(reverse(t))) AS y FROM b),
