@@ -125,3 +125,10 @@ def test_registered_searches_answer_every_query(spark):
     assert "hybrid_topk_each" in queries and vectors.count() > 1
     assert queries["hybrid_topk_each"](spark, "/root/testdata/sf0.001").select("query_id").distinct().count() == vectors.count()
     assert queries["bm25_topk_each"](spark, "/root/testdata/sf0.001").select("query_id").distinct().count() > 1
+
+
+def test_every_match_of_a_keyword_is_returned(spark, tmp_path):
+    rows = [(i, "All The same" if i % 4 else "none", "en" if i % 3 else "de", None, i) for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    found = catalog.queries()["keyword_matches"](spark, str(tmp_path))
+    assert sorted(r["doc_id"] for r in found.collect()) == [i for i in range(200) if i % 4 and i % 3]

@@ -22,11 +22,17 @@ def noise_messages(spark, sf_dir):
 
 
 def keyword_search(spark, sf_dir):
-    """English documents that hold a phrase, whatever the case, longest first."""
+    """The 50 longest of the English documents that hold a phrase, whatever the case; keyword_matches has all."""
     found = search.keyword_search(_read(spark, sf_dir, "documents"), "The", ["text", "source"], F.col("lang") == "en")
     return found.select("doc_id", "source", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(50)
 
 
+def keyword_matches(spark, sf_dir):
+    """All English documents that hold a phrase, whatever the case, in no order."""
+    found = search.keyword_search(_read(spark, sf_dir, "documents"), "The", ["text", "source"], F.col("lang") == "en")
+    return found.select("doc_id", "source", "n_chars")
+
+
 def keyword_frequency(spark, sf_dir):
     """The commonest words of user turns."""
     return aggregates.keyword_frequency(_read(spark, sf_dir, "conversations").filter("role = 'user'"), "text", 50)
@@ -115,7 +121,7 @@ def top_per_topic(spark, sf_dir):
     return d.withColumn("place", F.row_number().over(w).cast("long")).filter("place <= 3").select("source", "place", "doc_id", "n_chars")
 
 
-QUERIES = {f.__name__: f for f in (noise_messages, keyword_search, keyword_frequency, bm25_topk, bm25_topk_each, text_scalars, fuzzy_benchmark_pairs, turn_segments, turns_within_budget, longest_per_source, majority_language, label_scores, label_confusion, top_per_topic)}
+QUERIES = {f.__name__: f for f in (noise_messages, keyword_search, keyword_matches, keyword_frequency, bm25_topk, bm25_topk_each, text_scalars, fuzzy_benchmark_pairs, turn_segments, turns_within_budget, longest_per_source, majority_language, label_scores, label_confusion, top_per_topic)}
 
 _SIGNAL = "|".join(T.DECISION_SIGNALS)
 _BIGRAMS = "list_distinct(CASE WHEN length({t}) >= 2 THEN [{t}[i : i + 1] FOR i IN range(1, length({t}))] ELSE [] END)"
@@ -128,6 +134,7 @@ s AS (SELECT *, regexp_matches(lower(x), '{_SIGNAL}') AS sig, regexp_matches(x,
 SELECT role, count(*) AS n, count(*) FILTER (WHERE x = '' OR lower(x) IN ({", ".join(f"'{w}'" for w in T.NOISE_WORDS)}) OR (length(x) < 5 AND NOT sig) OR (regexp_matches(lower(x), '{"|".join(T.NOISE_TOPICS)}') AND NOT sig) OR link) AS noise,
 count(*) FILTER (WHERE regexp_matches(lower(t), '{_SIGNAL}')) AS signals, count(*) FILTER (WHERE regexp_matches(t, '^https?://\\S+(\\s+.{{0,2}})?$')) AS links FROM s GROUP BY role""",
     "keyword_search": "SELECT doc_id, source, n_chars FROM documents WHERE lang = 'en' AND (contains(lower(coalesce(text, '')), 'the') OR contains(lower(coalesce(source, '')), 'the')) ORDER BY n_chars DESC, doc_id LIMIT 50",
+    "keyword_matches": "SELECT doc_id, source, n_chars FROM documents WHERE lang = 'en' AND (contains(lower(coalesce(text, '')), 'the') OR contains(lower(coalesce(source, '')), 'the'))",
     "keyword_frequency": r"""
 WITH w AS (SELECT unnest(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+')) AS word FROM conversations WHERE role = 'user')
 SELECT word, count(*) AS n FROM w WHERE length(word) >= 2 GROUP BY word ORDER BY n DESC, word LIMIT 50""",
