@@ -32,9 +32,19 @@ def row_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
+def fresh(name: str) -> str:
+    """A column name that no table has."""
+    return f"{name}_{uuid.uuid4().hex}"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Leave the cluster's spark.checkpoint.dir alone; where it is unset, as in tests, take a temporary folder."""
+    """Leave the cluster's spark.checkpoint.dir alone; where it is unset, as in tests on one machine, take a temporary folder.
+
+    On a cluster without that setting no folder is shared, so this raises.
+    """
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="threadloom-checkpoint-"))
 
 

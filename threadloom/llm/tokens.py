@@ -1,22 +1,26 @@
 """Words of many texts at once, in numpy: spans, hashes and shingles of an Arrow column.
 
-A word's hash is a polynomial of its bytes modulo 2**64, taken from one prefix sum over
-all texts and then mixed. Hashes only choose candidates or compare sets within a pair.
+A word's hash mixes its bytes eight at a time, each step after the first on a mixed state,
+so that no arrangement of letters makes words collide by construction. Hashes only choose
+candidates or compare sets within a pair.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text that are worked on at once; it bounds the arrays below (about 8 bytes for each of them).
+#: Bytes of text that are worked on at once, if one text isn't longer; it bounds the arrays below.
 CHUNK_BYTES = 1 << 21
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 1024
 
 _U = np.uint64
-_BASE = _U(0x9E3779B97F4A7C15)
+_SEED = _U(0x9E3779B97F4A7C15)
 _SHINGLE = _U(0xD1342543DE82EF95)
 
 
@@ -27,30 +31,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_TABLE = mix(np.arange(1, 257, dtype=_U))
+#: The bytes of a lane of eight that belong to a word, by how many are left of it.
+_LANE = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], _U)
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[32, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-class _Powers:
-    """Powers of the base and of its inverse, as many as asked for so far."""
-
-    up = down = np.ones(1, _U)
-
-    @classmethod
-    def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            n = max(n, 2 * len(cls.up))
-            steps = np.full(n, _BASE, _U)
-            steps[0] = 1
-            cls.up = np.multiply.accumulate(steps)
-            steps[1:] = _U(pow(int(_BASE), -1, 1 << 64))
-            cls.down = np.multiply.accumulate(steps)
-        return cls.up, cls.down
-
-
 @dataclass
 class Words:
     """Words of a run of texts. ``first[d]:first[d + 1]`` are the words of text d."""
@@ -61,10 +49,17 @@ class Words:
     first: np.ndarray
 
     def hashes(self) -> np.ndarray:
-        up, down = _Powers.get(len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, _U)
-        np.cumsum(_TABLE[self.data] * up[: len(self.data)], out=sums[1:])
-        return mix((sums[self.end] - sums[self.begin]) * down[self.begin] + (self.end - self.begin).astype(_U))
+        size = self.end - self.begin
+        out = mix(size.astype(_U) + _SEED)
+        lanes = np.ndarray(len(self.data) + 1, "<u8", np.append(self.data, np.zeros(8, np.uint8)).tobytes(), strides=(1,))
+        rest, done = np.flatnonzero(size <= LONG_WORD), 0
+        while len(rest):  # the words that have more bytes, eight further
+            left = size[rest] - done
+            out[rest] = mix(out[rest] ^ (lanes[self.begin[rest] + done] & _LANE[np.minimum(left, 8)]))
+            rest, done = rest[left > 8], done + 8
+        for i in np.flatnonzero(size > LONG_WORD):
+            out[i] = int.from_bytes(hashlib.blake2b(self.data[self.begin[i] : self.end[i]].tobytes(), digest_size=8).digest(), "little")
+        return out
 
     def doc_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
