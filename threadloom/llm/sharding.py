@@ -5,8 +5,14 @@ are sorted by that index over the whole cluster and the order is cut into runs o
 equal bytes, so each shard covers a small box of the metadata space and the min/max
 statistics of its files prune on every dimension at once.
 
+Rows of equal text stay together. Small groups lie in the order like single rows and go to
+the shard that holds their middle. Large groups, of which there are few as each takes a
+stated share of a shard, are laid first: one that doesn't fit what is left of a shard goes to
+the head of the next, and the rows after it fill the gap. Only a group that no shard has room
+for is cut.
+
 Nothing is gathered: the global order comes from a range partitioning, prefix sums from
-sums by partition, and the only broadcast tables have one row for each partition or shard.
+sums by partition, and the broadcast tables have one row for each partition, shard or large group.
 """
 
 from __future__ import annotations
@@ -17,10 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import checkpoint
+from threadloom.llm.common import checkpoint, fresh
 
-#: Groups of equal texts up to this share of a shard stay whole; larger ones are cut, as near-equal sizes need it.
-WHOLE_GROUP_SHARE = 0.10
+#: A group of equal texts is large from this share of a shard on; so there are at most shards / LARGE_GROUP large groups.
+LARGE_GROUP = 0.05
 
 
 def hilbert_positions(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -74,13 +80,56 @@ def document_dims(bits: int) -> list[Column]:
     return [named(F.col("lang")), named(F.col("source")), by_size]
 
 
+def lay_large_groups(groups: list[tuple[float, float]], total: float, shards: int) -> tuple[list[list[tuple[int, float]]], list[float]]:
+    """Where large groups go, and where the order of the other rows is cut.
+
+    groups: (bytes of other rows before it, its own bytes) in curve order. The first result has for
+    each group its (shard, bytes there); a group is whole if it has one of them. The second has the
+    bytes of other rows at which each shard ends.
+    """
+    room, filler = total / shards, total - sum(size for _, size in groups)
+    laid: list[list[tuple[int, float]]] = [[] for _ in groups]
+    need, left = [size for _, size in groups], [room] * shards
+    waiting: list[int] = []
+    ends, at, k = [], 0.0, 0
+
+    def lay(g: int, shard: int, part: float) -> None:
+        laid[g].append((shard, part))
+        need[g], left[shard] = need[g] - part, left[shard] - part
+
+    for shard in range(shards):
+        for g in list(waiting):  # what the shards before had no room for
+            if need[g] <= left[shard] + 0.5:
+                lay(g, shard, need[g])
+            elif groups[g][1] > room and left[shard] > 0:
+                lay(g, shard, left[shard])
+        waiting = [g for g in waiting if need[g] > 0]
+        while k < len(groups) and groups[k][0] <= at + max(0.0, left[shard]):  # the run of other rows reaches it
+            before, size = groups[k][0] - at, groups[k][1]
+            if size > room:  # cut, from where it stands
+                if left[shard] > before:
+                    lay(k, shard, min(size, left[shard] - before))
+            elif size <= left[shard] + 0.5 and (before + size / 2 <= left[shard] or shard == shards - 1):
+                lay(k, shard, size)
+            waiting += [k] if need[k] > 0 else []
+            k += 1
+        take = max(0.0, min(left[shard], filler - at))
+        at, left[shard] = at + take, left[shard] - take
+        ends.append(at)
+    for g in [*waiting, *range(k, len(groups))]:  # cut over what is left, if no shard has room for it: the emptiest first
+        while need[g] > 0:
+            shard = max(range(shards), key=lambda i: (left[i], -i))
+            lay(g, shard, need[g] if left[shard] < 1 or need[g] <= left[shard] + 0.5 else left[shard])
+    return laid, ends
+
+
 def shard_documents(docs: DataFrame, shards: int = 24, bits: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard and the curve index of every row.
 
     ``law`` is 'bytes': the curve order is cut where the sum of sizes passes a multiple of
-    total / ``shards``, each row (or group) going to the shard that holds its middle. Rows of
-    equal text share one curve index (that of the smallest doc_id) and stay in one shard
-    unless their group is larger than WHOLE_GROUP_SHARE of a shard.
+    total / ``shards``, each row (or small group) going to the shard that holds its middle. Rows of
+    equal text share one curve index (that of the smallest doc_id) and stay in one shard, unless
+    their group is larger than a shard or no shard has that much room left beside other large groups.
 
     A null text has size 8 and its own group with the checksum of an empty text; an empty
     table gives an empty result; repeated rows each get a slot; extra columns are ignored;
@@ -108,38 +157,45 @@ def _placed(docs: DataFrame, shards: int, bits: int, *also: str) -> DataFrame:
 
     order = ["curve_index", "digest", "doc_id", "size"]
     ranged = checkpoint(placed.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
-    by_part = ranged.groupBy("part").agg(F.sum("size").alias("part_bytes"), F.count("*").alias("part_rows"), F.max("size").alias("part_max"))
-    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = by_part.select(
-        "part",
-        F.coalesce(F.sum("part_bytes").over(before), F.lit(0)).alias("bytes_before"),
-        F.coalesce(F.sum("part_rows").over(before), F.lit(0)).alias("rows_before"),
-        F.sum("part_bytes").over(W.partitionBy()).alias("total"),
-        F.max("part_max").over(W.partitionBy()).alias("largest"),
-    )
-    inside = W.partitionBy("part").orderBy(*order)
-    summed = (
-        ranged.withColumn("local_end", F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0)))
-        .withColumn("local_row", F.row_number().over(inside))
-        .join(F.broadcast(offsets), "part")  # a row for each partition
-        .withColumn("begin", F.col("bytes_before") + F.col("local_end") - F.col("size"))
-        .withColumn("row", F.col("rows_before") + F.col("local_row") - 1)
-    )
-    whole = F.col("n") * F.col("size") <= F.greatest(F.col("total") / shards * WHOLE_GROUP_SHARE, F.col("largest").cast("double"))
-    summed = checkpoint(summed.select("doc_id", *also, "size", "text_crc32", "digest", "curve_index", "n", "begin", "row", "total", whole.alias("whole")))
-    starts = checkpoint(summed.filter("n > 1 and whole").groupBy("digest").agg(F.min("begin").alias("group_begin")))
+    total = ranged.agg(F.sum("size")).first()[0] or 0
+    is_large = F.col("n") * F.col("size") >= F.greatest(F.lit(LARGE_GROUP * total / shards), F.lit(1.0))
+    ranged = ranged.withColumn("large", (F.col("n") > 1) & is_large)
+    filler = F.when(F.col("large"), 0).otherwise(F.col("size"))
+    grouped = F.when(F.col("large"), F.col("size")).otherwise(0)
+    before, inside = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1), W.partitionBy("part").orderBy(*order)
+    so_far = inside.rowsBetween(W.unboundedPreceding, -1)
+    by_part = ranged.groupBy("part").agg(F.sum(filler).alias("f"), F.sum(grouped).alias("g"))
+    offsets = by_part.select("part", F.coalesce(F.sum("f").over(before), F.lit(0)).alias("f_before"), F.coalesce(F.sum("g").over(before), F.lit(0)).alias("g_before"))
+    at = lambda c, start: F.col(start) + F.coalesce(F.sum(c).over(so_far), F.lit(0))
+    # the bytes of other rows before each row, and those of large groups: a row for each partition is broadcast
+    summed = checkpoint(ranged.join(F.broadcast(offsets), "part").withColumns({"begin": at(filler, "f_before"), "within": at(grouped, "g_before")}).drop("f_before", "g_before"))
+    starts = checkpoint(summed.filter("n > 1").groupBy("digest", "large").agg(F.min("begin").alias("group_begin"), F.min("within").alias("group_within"), F.first("n").alias("rows"), F.first("size").alias("each")))
+
+    found = starts.filter("large").select("digest", "group_begin", "rows", "each").orderBy("group_begin", "digest").collect()  # shards / LARGE_GROUP rows at most
+    laid, ends = lay_large_groups([(float(r["group_begin"]), float(r["rows"] * r["each"])) for r in found], float(total), shards)
+    spark, upto = docs.sparkSession, lambda parts: np.cumsum([b for _, b in parts]).tolist()
+    pieces = [(r["digest"], k, float(end)) for r, parts in zip(found, laid, strict=True) for (k, _), end in zip(parts, upto(parts), strict=True)]
+    homes = spark.createDataFrame(pieces, "digest string, home int, until double").groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("until", "home"))).alias("homes"))
+    joined = summed.join(starts.select("digest", "group_begin", "group_within"), "digest", "left").join(F.broadcast(homes), "digest", "left")
+    inner = F.col("within") - F.col("group_within") + F.col("size") / 2
+    home = F.coalesce(F.get(F.filter("homes", lambda h: inner <= h["until"]), 0)["home"], F.element_at("homes", -1)["home"])
     middle = F.when(F.col("group_begin").isNotNull(), F.col("group_begin") + F.col("n") * F.col("size") / 2).otherwise(F.col("begin") + F.col("size") / 2)
-    cut = summed.join(starts, "digest", "left").withColumn("shard", F.least(F.floor(middle * shards / F.col("total")), F.lit(shards - 1)).cast("int"))
-    cut = checkpoint(cut.select("doc_id", *also, "size", "text_crc32", "shard", "row", "curve_index"))
-    first = cut.groupBy("shard").agg(F.min("row").alias("first_row"))
-    return cut.join(F.broadcast(first), "shard").select(  # a row for each shard
+    run = F.size(F.filter(F.array(*[F.lit(float(e)) for e in ends[:-1]]).cast("array<double>"), lambda e: e < middle))
+    cut = joined.select("part", "doc_id", *also, "size", "text_crc32", "digest", "curve_index", F.when(F.col("large"), home).otherwise(run).cast("int").alias("shard"))
+    cut = checkpoint(cut)
+
+    # slots: a number within the shard and partition, after the rows of the shard in the partitions before
+    counts = cut.groupBy("shard", "part").agg(F.count("*").alias("rows"))
+    earlier = counts.select("shard", "part", F.coalesce(F.sum("rows").over(W.partitionBy("shard").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
+    own = F.row_number().over(W.partitionBy("part", "shard").orderBy(*order))
+    return cut.withColumn("own", own).join(F.broadcast(earlier), ["shard", "part"]).select(  # a row for each shard in each partition
         "doc_id",
         *also,
         "size",
         "text_crc32",
         F.lit("bytes").alias("law"),
         "shard",
-        (F.col("row") - F.col("first_row")).alias("slot"),
+        (F.col("earlier") + F.col("own") - 1).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
         "curve_index",
     )
@@ -147,6 +203,8 @@ def _placed(docs: DataFrame, shards: int, bits: int, *also: str) -> DataFrame:
 
 def write_shards(docs: DataFrame, path: str, shards: int = 24, bits: int = 8) -> None:
     """The documents with their shard and slot, one directory for each shard, sorted by slot."""
-    rows = checkpoint(docs.withColumn("_row", F.monotonically_increasing_id()))  # ids may be null or repeated
-    placed = _placed(rows, shards, bits, "_row").select("_row", "shard", "slot")
-    rows.join(placed, "_row").drop("_row").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").parquet(path)
+    row = fresh("row")
+    rows = checkpoint(docs.withColumn(row, F.monotonically_increasing_id()))  # ids may be null or repeated
+    placed = _placed(rows, shards, bits, row).select(row, "shard", "slot")
+    own = rows.drop("shard", "slot")  # columns of these names are replaced
+    own.join(placed, row).drop(row).repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").parquet(path)
