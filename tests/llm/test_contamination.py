@@ -76,3 +76,19 @@ def test_decontaminate_judges_rows_by_their_own_texts(spark):
     rows = [(None, "one two three four"), (None, "clean"), (1, "one two three four"), (1, "clean"), (2, None), (None, None)]
     kept = contamination.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, "one two three four", "x")], ITEMS))
     assert sorted((tuple(r) for r in kept.collect()), key=str) == sorted([(None, "clean"), (1, "clean"), (2, None), (None, None)], key=str)
+
+
+def test_recall_by_length_of_items(spark):
+    rng = random.Random(8)
+    items = [(i, prose(rng, 5 + i % 60, 100000), "x") for i in range(900)]
+    rows = [(i, " ".join([prose(rng, 150, 100000), items[i][1], prose(rng, 150, 100000)]), "en", "s", 0, 0, "", 0, "", "") for i in range(900)]
+    index = contamination.ItemIndex([(k, t.encode()) for k, t, _ in items], 0.75)
+    assert {c[0] for c in index.classes} == set(contamination.BLOCKS) and index.sizes[index.rare[2]].max() < 12  # both, and only the shortest by their rarest shingles
+    found = contamination.contained_items(spark.createDataFrame(rows, DOCS).repartition(3), spark.createDataFrame(items, ITEMS))
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(i, i) for i in range(900)}
+
+
+def test_clashing_names(spark):
+    rows = [(1, "one two three four", "x", 1), (2, "clean", "y", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _bad string, h long")
+    assert [tuple(r) for r in contamination.decontaminate(docs, spark.createDataFrame([(1, "one two three four", "x")], ITEMS)).collect()] == rows[1:]

@@ -8,8 +8,9 @@ small blocks once, and a window's sketch is the minimum of its blocks' sketches.
 class the containment threshold turns into a Jaccard threshold, and the number of rows in
 a band follows from it. Windows that share a band with an item make a candidate pair, and
 a pair counts only if the item's shingles, taken exactly, are contained in the document.
-Where even bands of one row would miss too many pairs, as for items of few shingles, a class
-has no sketches: a document is looked up in a sorted array of its items' rarest shingles.
+Classes of short items take finer blocks. Where even then bands of one row would miss too many
+pairs, as for items of under about ten shingles, a class has no sketches: a document is looked
+up in a sorted array of its items' rarest shingles.
 
 Items are the stated queries. They are broadcast in blocks of a fixed number, one pass
 over the documents for each block.
@@ -27,13 +28,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import row_key, share
+from threadloom.llm.common import fresh, row_key, share
 from threadloom.llm.tokens import chunks, shingle_sets, windows
 
 SHINGLE = 5
 HASHES = 64
-#: Shingles of a block; windows begin at blocks.
-BLOCK = 16
+#: Shingles of a block, for classes of long and of short items; windows begin at blocks. Each is a multiple of the next.
+BLOCKS = (16, 4)
 #: The largest ratio of item sizes within a class.
 CLASS_RATIO = 1.5
 #: Items, and bytes of their texts, that are broadcast at once, at most.
@@ -73,22 +74,22 @@ class ItemIndex:
             self.sets += [s[bounds[d] : bounds[d + 1]] for d in range(len(bounds) - 1)]
         self.sizes = np.array([len(s) for s in self.sets], np.int64)
         self.need = np.ceil(self.sizes * threshold - 1e-9).astype(np.int64)
-        self.classes: list[tuple[int, int, list]] = []
+        self.classes: list[tuple[int, int, int, list]] = []  # block, blocks of a window, rows of a band, bands
         exact: list[int] = []
         left = np.flatnonzero(self.sizes > 0)
         left = left[np.argsort(self.sizes[left], kind="stable")]
         while len(left):
             top = int(self.sizes[left[0]] * CLASS_RATIO)
             here, left = left[self.sizes[left] <= top], left[self.sizes[left] > top]
-            blocks = -(-int(self.sizes[here].max()) // BLOCK) + 1
-            least = int(self.sizes[here].min())
+            least, most = int(self.sizes[here].min()), int(self.sizes[here].max())
             held = max(1.0, threshold * WINDOW_SHARE * least)
-            r = rows_in_band(held / (least + blocks * BLOCK - held))
-            if not r:
+            for block in BLOCKS:
+                blocks = -(-most // block) + 1
+                if r := rows_in_band(held / (least + blocks * block - held)):
+                    self.classes.append((block, blocks, r, [self._band(here, first, r) for first in range(0, HASHES - r + 1, r)]))
+                    break
+            else:
                 exact += here.tolist()
-                continue
-            bands = [self._band(here, first, r) for first in range(0, HASHES - r + 1, r)]
-            self.classes.append((blocks, r, bands))
         self.rare = self._rare(exact)
 
     def _rare(self, here: list[int]):
@@ -142,24 +143,33 @@ def _hits(own: np.ndarray, doc: np.ndarray, table: tuple, index: ItemIndex) -> n
 def _candidates(shingles: np.ndarray, doc: np.ndarray, n_docs: int, index: ItemIndex) -> np.ndarray:
     """Distinct (text, item) pairs, as text * items + item, whose windows share a band or that share a rare shingle."""
     found = [_hits(shingles, doc, index.rare, index)]
-    if not index.classes:
+    if not index.classes or not len(shingles):
         return found[0]
-    count = np.bincount(doc, minlength=n_docs)
-    blocks_of = -(-count // BLOCK)
-    first_block = np.concatenate([[0], np.cumsum(blocks_of)])
-    start = np.concatenate([[0], np.cumsum(count)])
-    block_doc = np.repeat(np.arange(n_docs), blocks_of)
-    begin = start[block_doc] + (np.arange(len(block_doc)) - first_block[block_doc]) * BLOCK
-    if not len(begin):
-        return np.zeros(0, np.int64)
-    minima = np.stack([np.minimum.reduceat(_values(shingles, i), begin) for i in range(HASHES)])
-    for blocks, r, bands in index.classes:
-        sketch = minima.copy()
-        for j in range(1, blocks):  # the window that begins at a block takes in those after it, within the text
-            same = block_doc[j:] == block_doc[:-j] if j < len(block_doc) else np.zeros(0, bool)
-            at = np.flatnonzero(same)
-            sketch[:, at] = np.minimum(sketch[:, at], minima[:, at + j])
-        found += [_hits(fold(sketch[b * r : (b + 1) * r]), block_doc, band, index) for b, band in enumerate(bands)]
+    sketches: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    # minima of the finest blocks that are wanted, then of coarser ones from those
+    owner, minima, size = doc, None, 1
+    for block in sorted({c[0] for c in index.classes}):
+        count = np.bincount(owner, minlength=n_docs)
+        blocks_of = -(-count // (block // size))
+        first, start = np.cumsum(blocks_of) - blocks_of, np.cumsum(count) - count
+        wide = np.repeat(np.arange(n_docs), blocks_of)
+        begin = start[wide] + (np.arange(len(wide)) - first[wide]) * (block // size)
+        if minima is None:
+            minima = np.stack([np.minimum.reduceat(_values(shingles, i), begin) for i in range(HASHES)])
+        else:
+            minima = np.minimum.reduceat(minima, begin, axis=1)
+        owner, size = wide, block
+        sketches[block] = owner, minima
+    for block, blocks, r, bands in index.classes:
+        owner, minima = sketches[block]
+        sketch, reach = minima.copy(), 1
+        while reach < min(blocks, len(owner)):  # the window that begins at a block takes in those after it, within the text
+            step = min(reach, blocks - reach)
+            if step >= len(owner):
+                break
+            sketch[:, :-step] = np.where(owner[step:] == owner[:-step], np.minimum(sketch[:, :-step], sketch[:, step:]), sketch[:, :-step])
+            reach += step
+        found += [_hits(fold(sketch[b * r : (b + 1) * r]), owner, band, index) for b, band in enumerate(bands)]
     return np.unique(np.concatenate(found))
 
 
@@ -204,9 +214,10 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = 0.75)
     and documents without words match nothing. Repeated documents and items each match;
     rows with a null doc_id are searched, items with a null id aren't. Extra columns are
     ignored; empty tables give no pairs. Items of size classes for which one-row bands would
-    miss more than 1e-4 (those of up to about 40 shingles) are all found. Of larger ones, the
-    candidate search misses an item whose share ``WINDOW_SHARE * threshold`` lies in one place
-    with a probability of about 1e-4 at most, and finds contiguous passages practically always.
+    miss more than 1e-4 (those of under about ten shingles) are all found. Of larger ones, the
+    candidate search misses an item of which the share ``WINDOW_SHARE * threshold`` lies in one
+    place with a probability of about 1e-4 at most, and far less where all of it does; items that
+    are scattered in smaller parts over a document may be missed.
     """
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     spark = docs.sparkSession
@@ -235,5 +246,6 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = 0.75)
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = 0.75) -> DataFrame:
     """The rows whose text contains no item, whatever other rows of their doc_id, or of none, contain; all columns stay as they are."""
-    bad = contained_items(docs.select(row_key().alias("doc_id"), "text"), items, threshold).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, row_key() == F.col("_bad"), "left_anti").select(*docs.columns)
+    name = fresh("bad")
+    bad = contained_items(docs.select(row_key().alias("doc_id"), "text"), items, threshold).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, row_key() == F.col(name), "left_anti").select(*docs.columns)
