@@ -22,12 +22,12 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import share
+from threadloom.llm.common import checkpoint, share
 from threadloom.llm.tokens import CHUNK_BYTES, Words, mix, offsets_of, split_words
 
 #: Labelled documents that a fit looks at, at most, the first in md5 order of the ids.
 FIT_ROWS = 12_000
-#: Units of the model, at most: those with the highest z-scores.
+#: Units that the model selects, at most: those with the highest z-scores. A size of the model, not of what it scores.
 MODEL_UNITS = 50_000
 #: Units are whole words and their proper beginnings of these lengths in bytes.
 BEGINNINGS = range(4, 13)
@@ -172,21 +172,34 @@ def _first_of_pairs(h: np.ndarray, d: np.ndarray) -> np.ndarray:
     return h[new]
 
 
-def _profile(lexicon: Broadcast[bytes]):
-    """For each labelled text: label, words, number of significant words, and its segments."""
+def _hits(lexicon: Broadcast[bytes]):
+    """From (toxic, text) of clean documents: how often each value of a significant word occurs; value -DRIFT counts the other words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pickle.loads(lexicon.value)
+        for batch in batches:
+            for _, words in _texts(batch.column(1)):
+                value, n = np.unique(known.scores(words), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(n)], names=["value", "n"])
+
+    return run
+
+
+def _best(model: Broadcast[bytes]):
+    """A row for each labelled text: label, words, the score of its best segment and, under the law of the model, its features."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pickle.loads(model.value)
         for batch in batches:
             rows = []
             for row, words in _texts(batch.column(1)):
-                scores = known.scores(words)
+                scores = known.lexicon.scores(words)
                 for d in range(len(words.first) - 1):
                     own = scores[words.first[d] : words.first[d + 1]]
-                    rows.append((batch.column(0)[row + d].as_py(), len(own), own[own > 0].tolist(), [{"begin": b, "end": e, "score": s} for b, e, s in maximal_segments(own)]))
-            label, n, hits, segments = zip(*rows, strict=True) if rows else ((), (), (), ())
-            span = pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
-            yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(n, pa.int64()), pa.array(hits, pa.list_(pa.float64())), pa.array(segments, pa.list_(span))], names=["toxic", "n", "hits", "segments"])
+                    found = maximal_segments(own)
+                    rows.append((batch.column(0)[row + d].as_py(), len(own), max((s for _, _, s in found), default=0.0), *known.features(len(own), found)))
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), *[pa.float64()] * 3), strict=True)], names=["toxic", "n", "best", "x", "y"])
 
     return run
 
@@ -207,9 +220,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float,
 def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """A model from labelled documents; rows with null or contradicting labels are left out.
 
-    At most ``fit_rows`` labelled documents are looked at. The driver gets the counts of units
-    that pass MIN_DOCS and, for each of these documents, a few numbers. With one class only, the
-    model has no unit and scores all texts low.
+    At most ``fit_rows`` labelled documents are looked at. The driver gets the units of the model,
+    the counts of their values and, for each of these documents, five numbers. With one class only,
+    the model has no unit and scores all texts low.
     """
     spark = docs.sparkSession
     chosen = (
@@ -221,8 +234,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -
         .limit(fit_rows)
         .select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     )
-    known = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", F.coalesce("text", F.lit("")).cast("binary").alias("text"))  # fit_rows rows at most
-    counts = known.mapInArrow(_count, "unit long, toxic long, clean long").groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    # fit_rows rows at most; written, as are the counts, because they are read more than once
+    known = checkpoint(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", F.coalesce("text", F.lit("")).cast("binary").alias("text")))
+    counts = checkpoint(known.mapInArrow(_count, "unit long, toxic long, clean long").groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
     totals = counts.agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).first()
     t, c = totals["t"] or 0, totals["c"] or 0
     if not t or not c:
@@ -235,19 +249,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -
     best = scored.filter(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "unit").limit(MODEL_UNITS).collect()
     found = sorted((r["unit"] & 0xFFFFFFFFFFFFFFFF, r["odds"]) for r in best)
     lexicon = Lexicon(np.array([h for h, _ in found], np.uint64), np.array([o for _, o in found], float))
-    rows = known.mapInArrow(_profile(share(spark, lexicon)), "toxic int, n long, hits array<double>, segments array<struct<begin:long,end:long,score:double>>").collect()
-    return calibrate(lexicon, [(r["toxic"], r["n"], r["hits"], [(s["begin"], s["end"], s["score"]) for s in r["segments"]]) for r in rows])
+    return calibrate(known, lexicon)
 
 
-def calibrate(lexicon: Lexicon, rows: list[tuple[int, int, list[float], list[tuple[int, int, float]]]]) -> Model:
-    """The extreme-value law from the clean rows, then the logistic weights from all."""
-    rows = sorted(rows, key=lambda r: (r[0], r[1], r[2]))
-    clean = [r for r in rows if not r[0]]
-    n = max(1, sum(r[1] for r in clean))
-    hits = np.array([h for r in clean for h in r[2]])
+def calibrate(known: DataFrame, lexicon: Lexicon) -> Model:
+    """The extreme-value law from the clean rows of ``known`` (toxic, text), then the logistic weights from all."""
+    spark = known.sparkSession
+    clean = known.filter("toxic = 0").mapInArrow(_hits(share(spark, lexicon)), "value double, n long")
+    counted = clean.groupBy("value").agg(F.sum("n").alias("n")).orderBy("value").collect()  # a row for each value of a unit
+    value, times = np.array([r["value"] for r in counted], float), np.array([r["n"] for r in counted], float)
 
     def excess(x: float) -> float:
-        return (1 - len(hits) / n) * math.exp(-x * DRIFT) + float(np.exp(x * hits).sum()) / n - 1
+        return float((times * np.exp(x * value)).sum()) / max(1.0, times.sum()) - 1
 
     lo, hi = 1e-6, 1e-6
     while hi < 50 and excess(hi) < 0:
@@ -255,12 +268,16 @@ def calibrate(lexicon: Lexicon, rows: list[tuple[int, int, list[float], list[tup
     for _ in range(60):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if excess(mid) < 0 else (lo, mid)
-    decay = max(0.05, min(5.0, lo))
-    best = lambda r: max((s for _, _, s in r[3]), default=0.0)
-    scale = max(1, len(clean)) / max(1e-9, sum(max(1, r[1]) * math.exp(-decay * best(r)) for r in clean))
-    model = Model(lexicon, decay, scale)
-    x = np.array([model.features(r[1], r[3]) for r in rows]).reshape(-1, 2)
-    model.weights = _logistic(x, np.array([float(r[0]) for r in rows]))
+    model = Model(lexicon, max(0.05, min(5.0, lo)))
+
+    def profile(model: Model) -> list:
+        rows = known.mapInArrow(_best(share(spark, model)), "toxic int, n long, best double, x double, y double").collect()
+        return sorted(rows, key=tuple)  # five numbers for each of the fit's documents
+
+    seen = [r for r in profile(model) if not r["toxic"]]
+    model.scale = max(1, len(seen)) / max(1e-9, sum(max(1, r["n"]) * math.exp(-model.decay * r["best"]) for r in seen))
+    rows = profile(model)
+    model.weights = _logistic(np.array([(r["x"], r["y"]) for r in rows]).reshape(-1, 2), np.array([float(r["toxic"]) for r in rows]))
     return model
 
 
