@@ -1,17 +1,21 @@
 """Secret scan: candidate strings, judged by a random forest.
 
-A broad pattern finds candidates: long runs of the characters that keys are made of. Most
-aren't secrets, so a random forest that looks at their length, character transitions,
-dictionary coverage, path and neighbouring words removes the false positives. It is
-trained from labelled findings; ``label_findings`` makes such labels from what surrounds
-a candidate where no reviewed findings are at hand.
+A broad pattern finds candidates: runs of the characters that keys are made of, of eight or
+more with a digit, or of sixteen or more. Most aren't secrets, so a random forest that looks at
+their length, character transitions, dictionary coverage, path and neighbouring words removes
+the false positives. It is trained from labelled findings: a table of reviewed ones if there is
+one, else ``planted_findings``, whose labels are known because the strings were made as secrets
+or as something else, whatever the features say of them.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import math
+import random
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,16 +24,19 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm.common import checkpoint
 from threadloom.llm.tokens import offsets_of
 
-#: Candidates: 16 or more characters of keys, tokens, digests, numbers and long words.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9+/_\-]{16,}={0,2}")
+_BODY = r"A-Za-z0-9+/_\-.~!@#$%^&*:"
+#: Candidates: a letter or digit and what follows of the characters of keys, mail addresses and paths, up to the last letter or digit.
+CANDIDATE = re.compile(rf"(?<![A-Za-z0-9])(?=[{_BODY}]{{0,255}}[0-9]|[A-Za-z0-9+/_\-]{{16}})[A-Za-z0-9][{_BODY}]{{6,}}[A-Za-z0-9]={{0,2}}")
 #: Labelled findings that a fit takes of each class, at most, the first in md5 order of place and text.
 FIT_FINDINGS = 5_000
+#: Planted findings of each class.
+PLANTED = 1_500
 FEATURES = ["length", "entropy", "digit_share", "upper_share", "hex_share", "transitions", "longest_letters", "dictionary", "path_marks", "in_path", "assigned", "quoted", "keyword_before", "placeholder_near", "joined_after"]
 
 #: Words that name a credential.
@@ -78,7 +85,7 @@ def features(candidate: str, before: str, after: str, common: frozenset[str] = f
 
 
 def common_letters(docs: DataFrame, most: int = 4_096) -> frozenset[str]:
-    """The dictionary: the ``most`` commonest 3-letter runs of words (of up to 12 letters) over all texts."""
+    """The dictionary: the ``most`` commonest runs of three ASCII letters over all texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 15, np.int64)
@@ -132,14 +139,64 @@ def find_candidates(docs: DataFrame, common: frozenset[str] = frozenset(), conte
     return found.select("doc_id", "begin", "length", "digest", "prefixed", *[F.col("features")[i].alias(f"f_{k}") for i, k in enumerate(FEATURES)])
 
 
-def label_findings(candidates: DataFrame) -> DataFrame:
-    """Findings with a label by rule, where a rule is sure: 1 for provider prefixes and for unbroken, mixed
-    strings that are assigned to a credential's name; 0 for words, plain numbers and strings that nothing
-    assigns. What no rule decides is left out."""
-    mixed = (F.col("f_digit_share") > 0.05) & (F.col("f_digit_share") < 1) & (F.col("f_entropy") > 2.5)
-    sure = (F.col("f_placeholder_near") == 0) & (F.col("prefixed") | (mixed & (F.col("f_keyword_before") == 1) & (F.col("f_assigned") == 1)))
-    never = (F.col("f_keyword_before") == 0) & ~F.col("prefixed") & ((F.col("f_digit_share") == 0) | (F.col("f_digit_share") == 1) | (F.col("f_assigned") == 0))
-    return candidates.withColumn("label", F.when(sure, 1.0).when(never, 0.0)).filter("label IS NOT NULL")
+def _secret(rng: random.Random) -> tuple[str, str]:
+    """A made-up secret, and how the text before it ends."""
+    pick = lambda letters, n: "".join(rng.choices(letters, k=n))
+    hexes, base, upper = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    kind = rng.randrange(6)
+    if kind == 0:  # providers' keys give themselves away, wherever they stand
+        return rng.choice(["AKIA", "ASIA"]) + pick(upper, 16), rng.choice(["", "key ", 'id="', "export KEY=", "(", "use "])
+    if kind == 1:
+        return rng.choice(["ghp_", "gho_", "sk_live_", "glpat-", "xoxb-"]) + pick(base, rng.choice([20, 24, 36])), rng.choice(["", "token: ", 'header "', "login with "])
+    name = rng.choice([*KEYWORDS, *(k.upper() for k in KEYWORDS)])
+    before = name + rng.choice(["=", " = ", ": ", ":", '="', ' = "', " = '", '": "'])
+    if kind == 2:
+        return pick(hexes, rng.choice([16, 18, 24, 32, 40, 64])), before
+    if kind == 3:
+        return pick(base, rng.randrange(10, 48)) + str(rng.randrange(10)), before
+    if kind == 4:
+        return base64.b64encode(rng.randbytes(rng.randrange(12, 40))).decode(), before
+    return pick(base[:52], rng.randrange(3, 8)) + rng.choice("!@#$%&*") + pick(base, rng.randrange(3, 8)) + str(rng.randrange(100)), before
+
+
+def _harmless(rng: random.Random) -> tuple[str, str]:
+    """Something that isn't a secret though it has digits or is long, and how the text before it ends."""
+    pick = lambda letters, n: "".join(rng.choices(letters, k=n))
+    word = lambda: "".join(rng.choices(["an", "er", "the", "tion", "ing", "sch", "en", "os", "ment"], k=rng.randrange(1, 5)))
+    number = lambda n: pick("0123456789", n)
+    kind, before = rng.randrange(12), rng.choice(["", "", word() + " ", word() + ": ", "see ", "(", "= "])
+    made = [
+        lambda: (pick("0123456789abcdef", rng.choice([16, 32, 40, 64])), rng.choice(["commit ", "sha256 ", "md5: ", "digest ", "revision ", "checksum = ", ""])),
+        lambda: (str(uuid.UUID(int=rng.getrandbits(128))), rng.choice(["id ", "request ", "id=", "run: "])),
+        lambda: (word() + "." + word() + number(3) + "@" + word() + "." + rng.choice(["org", "com", "net"]), before),
+        lambda: (".".join(str(rng.randrange(256)) for _ in range(4)), before),
+        lambda: (f"20{number(2)}-{rng.randrange(1, 13):02d}-{rng.randrange(1, 29):02d}" + rng.choice(["", "T10:20:30"]), before),
+        lambda: ("-".join(number(n) for n in (3, 3, 4)), rng.choice([before, "call ", "phone: "])),
+        lambda: ("/".join(word() for _ in range(rng.randrange(2, 6))) + "/" + word() + number(2) + ".py", rng.choice([before, "path=", "file: "])),
+        lambda: ("https://" + word() + ".com/" + word() + "/" + number(4), before),
+        lambda: ("".join(word() for _ in range(8)), before),
+        lambda: (number(rng.randrange(8, 20)), rng.choice([before, "order ", "account ", "isbn: "])),
+        lambda: (word() + "_" + word() + number(2) + "_" + word() + word(), before),
+        lambda: (rng.choice(PLACEHOLDERS) + "-" + pick("0123456789abcdef", 12), rng.choice([*KEYWORDS]) + rng.choice(["=", ": "])),
+    ]
+    return made[kind]()
+
+
+def planted_findings(spark: SparkSession, common: frozenset[str] = frozenset(), each: int = PLANTED, seed: int = 11) -> DataFrame:
+    """Labelled findings: ``each`` made-up secrets and as many harmless strings, planted in made-up prose, as ``find_candidates`` sees them.
+
+    A label says what a string was made as; the features are only taken afterwards, from the texts.
+    """
+    rng, rows = random.Random(seed), []
+    prose = lambda: " ".join("".join(rng.choices(["an", "er", "the", "ti", "on", "ing", "sch", "en", "o", "la", "de"], k=rng.randrange(1, 4))) for _ in range(rng.randrange(1, 9)))
+    for i in range(2 * each):
+        made, before = _secret(rng) if i % 2 else _harmless(rng)
+        start = prose() + rng.choice([" ", ". ", "\n"]) + before
+        after = before[-1:] if before[-1:] in "\"'" else rng.choice(["", ".", ",", "\n"])
+        rows.append((i, start + made + after + " " + prose(), len(start), float(i % 2)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, at long, label double")  # 2 * each rows
+    found = find_candidates(df.select("doc_id", "text"), common)
+    return found.join(df.select("doc_id", "at", "label"), "doc_id").filter("begin = at").drop("at")
 
 
 def fit_forest(labelled: DataFrame, findings: int = FIT_FINDINGS, trees: int = 30, depth: int = 6, seed: int = 5) -> PipelineModel | None:
@@ -151,8 +208,9 @@ def fit_forest(labelled: DataFrame, findings: int = FIT_FINDINGS, trees: int = 3
     by_class = [labelled.filter(F.col("label") == y).orderBy(place, "doc_id", "begin").limit(findings) for y in (0.0, 1.0)]
     if not all(d.limit(1).count() for d in by_class):
         return None
+    few = checkpoint(by_class[0].union(by_class[1]))  # read once for each level of the trees
     forest = RandomForestClassifier(labelCol="label", featuresCol="vector", numTrees=trees, maxDepth=depth, seed=seed)
-    return Pipeline(stages=[VectorAssembler(inputCols=[f"f_{k}" for k in FEATURES], outputCol="vector"), forest]).fit(by_class[0].union(by_class[1]))
+    return Pipeline(stages=[VectorAssembler(inputCols=[f"f_{k}" for k in FEATURES], outputCol="vector"), forest]).fit(few)
 
 
 def judge(candidates: DataFrame, forest: PipelineModel | None) -> DataFrame:
@@ -167,10 +225,9 @@ def judge(candidates: DataFrame, forest: PipelineModel | None) -> DataFrame:
 def scan(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """The secrets of every document: doc_id, begin, length, digest and score.
 
-    ``labelled`` has findings of ``find_candidates`` with a label; by default they are labelled by
-    rule on the documents themselves. Null ids and extra columns are allowed; an empty table gives none.
+    ``labelled`` has findings of ``find_candidates`` with a label, as reviewed by someone; by default
+    it is ``planted_findings``. Null ids and extra columns are allowed; an empty table gives none.
     """
     common = common_letters(docs)
-    candidates = checkpoint(find_candidates(docs, common))  # texts are searched once
-    forest = fit_forest(label_findings(candidates) if labelled is None else labelled)
-    return judge(candidates, forest).filter("is_secret").drop("is_secret")
+    labelled = planted_findings(docs.sparkSession, common) if labelled is None else labelled
+    return judge(find_candidates(docs, common), fit_forest(labelled)).filter("is_secret").drop("is_secret")
