@@ -45,10 +45,52 @@ def test_windows_keep_budget_system_and_masks(spark):
         assert w["text"].startswith("<|im_start|>system<|im_sep|>sys<|im_end|>")
         own = w["text"].split("<|im_start|>")[-w["n_own"] :]
         assert sum(len(p.split("<|im_sep|>")[1].replace("<|im_end|>", "").split()) + chat.TURN_TOKENS for p in own) <= 32
+        whole = [p for p in w["text"].split("<|im_start|>") if p]
+        assert sum(len(p.split("<|im_sep|>")[1].replace("<|im_end|>", "").split()) + chat.TURN_TOKENS for p in whole) == w["tokens"] <= 32
         for b, n in zip(w["loss_begin"], w["loss_length"], strict=True):
             assert w["text"][:b].endswith("<|im_start|>assistant<|im_sep|>") and w["text"][b + n :].startswith("<|im_end|>")
     assert all(w["text"].count("<|im_start|>") == w["n_own"] + 2 for w in found[1:])  # system and one past turn
 
 
+def greedy(data, budget, history_turns, history_tokens, stretch):
+    """Windows turn by turn: (first turn, own turns, tokens) of one conversation without ties."""
+    cost = lambda r: len((r[3] or "").split()) + chat.TURN_TOKENS
+    out, spent, last = [], 0, None
+    system = None
+    for i, r in enumerate(data):
+        if system is None and r[2] == "system":
+            system = i
+        mine, here = cost(r), spent // (stretch * budget)
+        spent += mine
+        if out and here == last and out[-1][2] + mine <= budget:
+            out[-1][1] += 1
+            out[-1][2] += mine
+        else:
+            fixed = cost(data[system]) if system is not None and system < i else 0
+            held = 0
+            for p in range(i - 1, max(-1, i - 1 - history_turns), -1):
+                if p != system:
+                    if held + cost(data[p]) > min(history_tokens, budget - fixed - mine):
+                        break
+                    held += cost(data[p])
+            out.append([r[1], 1, fixed + held + mine])
+        last = here
+    return out
+
+
+def test_windows_are_filled_as_by_hand(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(chat, "STRETCH", 3)
+    rng = random.Random(4)
+    for system in (None, 0, 7):
+        data = [(1, k, "system" if k == system else rng.choice(["user", "assistant"]), "w " * rng.choice([0, 1, 3, 8, 20, 70])) for k in range(120)]
+        found = chat.format_windows(frame(spark, data), budget=50, history_turns=3, history_tokens=20).orderBy("window").collect()
+        assert [[r["first_turn"], r["n_own"], r["tokens"]] for r in found] == greedy(data, 50, 3, 20, 3)
+        for r in found:
+            pieces = [p for p in r["text"].split("<|im_start|>") if p]
+            assert sum(len(p.split("<|im_sep|>")[1].replace("<|im_end|>", "").split()) + chat.TURN_TOKENS for p in pieces) == r["tokens"]
+
+
 def test_empty(spark):
     assert chat.conversation_digests(chat.format_windows(frame(spark, []))).count() == 0
