@@ -42,5 +42,17 @@ def test_many_small_shards_and_tasks(spark, monkeypatch):
     assert got(passages.remove_repeats(spark.createDataFrame(rows, DOCS).repartition(4))) == brute(rows)
 
 
+def test_a_short_line_everywhere(spark, monkeypatch):
+    monkeypatch.setattr(passages, "PER_SHARD", 20)
+    dealt = []
+    monkeypatch.setattr(passages, "_wide_windows", lambda *a, f=passages._wide_windows: dealt.append(1) or f(*a))
+    rng = random.Random(6)
+    line, more = prose(rng, 11, 9000), [prose(rng, 14, 9000) for _ in range(3)]
+    rows = [(i, f"{prose(rng, 12, 9000)} {line}{' ' * (1 + i % 2)}{prose(rng, 12, 9000)} {rng.choice(more)}", "en", "s", 0, 0, "", 0, "", "") for i in range(80)]
+    rows += [(200 + i, f"a{i % 3} {line} b{i % 2} c", "en", "s", 0, 0, "", 0, "", "") for i in range(40)]
+    assert got(passages.remove_repeats(spark.createDataFrame(rows, DOCS).repartition(4))) == brute(rows)
+    assert dealt
+
+
 def test_empty(spark):
     assert passages.remove_repeats(empty(spark)).count() == 0

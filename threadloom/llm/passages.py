@@ -8,7 +8,9 @@ starts in a document with a smaller doc_id.
    run in five is an anchor, so this looks at the whole corpus for a fifth of its words.
 2. Passages. The runs of windows under one recurring anchor are dealt into shards by anchor.
    An anchor with very many occurrences is dealt over several tasks, which all get its
-   distinct passages, aggregated before.
+   distinct passages, aggregated before. If even these are very many, as around a short
+   line that stands everywhere, its windows are dealt by their own hash, and only those whose
+   hash two documents have.
 3. Automata. A shard confirms which of its windows truly occur, word by word, in two
    documents, and compiles these into an Aho-Corasick automaton over word numbers, each with
    its first document.
@@ -111,6 +113,29 @@ def _emit_passages(recurring):
     return run
 
 
+def _cut_windows(recurring=None):
+    """From (x, y, at, text): each window as (hash, x, y, at), or those whose hash may be in a bitmap as (hash, x, y, their first word, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            longs = [batch.column(i).to_numpy() for i in range(3)]
+            for row, words in chunks(batch.column(3)):
+                h, start, doc = windows(words.hashes(), words.first, WINDOW)
+                if recurring is not None:
+                    keep = np.flatnonzero(contains(recurring.value, h))
+                    h, start, doc = h[keep], start[keep], doc[keep]
+                x, y, at = (c[row + doc] for c in longs)
+                columns = _longs(h, x, y, at if recurring is None else at + start - words.first[doc])
+                if recurring is not None:
+                    b, size = words.begin[start], words.end[start + WINDOW - 1] - words.begin[start]
+                    bounds = np.concatenate([[0], np.cumsum(size)])
+                    data = words.data[np.repeat(b - bounds[:-1], size) + np.arange(bounds[-1])]
+                    columns.append(pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())]))
+                yield pa.RecordBatch.from_arrays(columns, names=["window", "x", "y", "at", "text"][: len(columns)])
+
+    return run
+
+
 def number_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The words of a binary column as numbers that are equal where the words are, and the bounds of its texts."""
     numbers, bounds = [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
@@ -256,16 +281,45 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
 
     shards = max(1, -(-(anchors.agg(F.sum("n")).first()[0] or 0) // PER_SHARD))
     hot = checkpoint(anchors.filter(2 * F.col("n") > PER_SHARD).select("anchor", F.ceil(2 * F.col("n") / PER_SHARD).alias("tasks")))
-    if hot.count() <= BROADCAST_ANCHORS:
-        hot = F.broadcast(hot)
-    dealt = occurrences.join(hot, "anchor", "left")
+    small = F.broadcast if hot.count() <= BROADCAST_ANCHORS else (lambda df: df)
+    passages = occurrences.join(small(hot), "anchor").groupBy("anchor", "tasks", F.col("text").alias("passage")).agg(F.min("ord").alias("first"), F.max("ord").alias("last"), F.count("*").alias("n"))
+    passages = checkpoint(passages)
+    # of these anchors, those whose distinct passages would be too many to go to each task
+    wide = passages.groupBy("anchor").agg(F.count("*").alias("passages")).filter(F.col("passages") > PER_SHARD).select("anchor", F.lit(True).alias("wide"))
+    hot = checkpoint(hot.join(wide, "anchor", "left").withColumn("wide", F.coalesce("wide", F.lit(False))))
+    dealt = occurrences.join(small(hot), "anchor", "left")
     # anchors of many occurrences get negative shards, their own, and a task for each share of them
     cold, own = F.pmod(F.xxhash64("anchor"), F.lit(shards)), F.col("anchor").bitwiseOR(F.lit(-(1 << 63)))
-    passages = dealt.filter("tasks IS NOT NULL").groupBy("anchor", "tasks", F.col("text").alias("passage")).agg(F.min("ord").alias("first"), F.max("ord").alias("last"))
-    spread = passages.select(own.alias("shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("task"), "passage", "first", "last")
-    dealt = dealt.select(F.when(F.col("tasks").isNull(), cold).otherwise(own).alias("shard"), F.coalesce(F.pmod(F.xxhash64("ord", "at"), "tasks"), F.lit(0)).alias("task"), "ord", "digest", "at", "text")
+    spread = passages.join(small(hot.filter("NOT wide").select("anchor")), "anchor").select(own.alias("shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("task"), "passage", "first", "last")
+    own_tasks = F.coalesce(F.pmod(F.xxhash64("ord", "at"), "tasks"), F.lit(0))
+    narrow = dealt.filter("wide IS NULL OR NOT wide").select(F.when(F.col("tasks").isNull(), cold).otherwise(own).alias("shard"), own_tasks.alias("task"), "ord", "digest", "at", "text")
+    if hot.filter("wide").limit(1).count():
+        more, rows = _wide_windows(passages.join(small(hot.filter("wide").select("anchor")), "anchor"), dealt.filter("wide"))
+        spread, narrow = spread.unionByName(more), narrow.unionByName(rows)
     by = ["shard", "task"]
-    return spread.groupBy(*by).cogroup(dealt.groupBy(*by)).applyInArrow(_locate, "ord long, digest long, begin long, end long")
+    return spread.groupBy(*by).cogroup(narrow.groupBy(*by)).applyInArrow(_locate, "ord long, digest long, begin long, end long")
+
+
+def _wide_windows(passages: DataFrame, occurrences: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The windows of these passages and occurrences whose hash two documents have, dealt by that hash.
+
+    A shard has about PER_SHARD distinct windows; its automaton goes to a task for each PER_SHARD
+    of its occurrences. So rows grow with the occurrences, whatever recurs how often.
+    """
+    each = passages.select("first", "last", "n", F.col("passage").alias("text")).mapInArrow(_cut_windows(), "window long, x long, y long, at long")
+    found = each.groupBy("window").agg(F.min("x").alias("lo"), F.max("y").alias("hi"), F.sum("at").alias("times")).filter("lo < hi")
+    found = checkpoint(found.select("window", "times"))
+    shards = max(1, -(-found.count() // PER_SHARD))
+    known = bitmap(found, "window")
+    shard = -1 - F.pmod(F.xxhash64("window"), F.lit(shards))
+    loads = checkpoint(found.groupBy(shard.alias("shard")).agg(F.ceil(F.sum("times") / PER_SHARD).alias("tasks")))
+    small = F.broadcast if shards <= BROADCAST_ANCHORS else (lambda df: df)
+    schema = "window long, x long, y long, at long, text binary"
+    distinct = passages.select("first", "last", "n", F.col("passage").alias("text")).mapInArrow(_cut_windows(known), schema)
+    distinct = distinct.groupBy("window", F.col("text").alias("passage")).agg(F.min("x").alias("first"), F.max("y").alias("last")).withColumn("shard", shard).join(small(loads), "shard")
+    spread = distinct.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("task"), "passage", "first", "last")
+    rows = occurrences.select("ord", "digest", "at", "text").mapInArrow(_cut_windows(known), schema).withColumn("shard", shard).join(small(loads), "shard")
+    return spread, rows.select("shard", F.pmod(F.xxhash64("x", "at"), "tasks").alias("task"), F.col("x").alias("ord"), F.col("y").alias("digest"), "at", "text")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
