@@ -6,6 +6,17 @@ import random
 import re
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, digest string, n_words int, label string, ord string"
+#: Names that operators use for columns of their own or give to their results.
+NAMES = """_row row _whole whole _rest rest _last last _before before _cut cut _key key _bucket bucket _begin begin _digest gone _gone bad _bad h tokens supply
+weight capacity budget level held r begun lang_pred score best top norm letter component first first_id kept by_words _by_words shard slot part law curve_index
+anchor at passage n tasks wide item_id containment value is_secret f_length stretch place piece own starts""".split()
+
+
+def clashing(spark, rows):
+    """A table of documents (doc_id, text, lang, source) with a column of each of NAMES, of a value of its own in each row."""
+    columns = ["doc_id", "text", "lang", "source", *NAMES]
+    data = [(*r[:4], *[f"{name} {i}" for name in NAMES]) for i, r in enumerate(rows)]
+    return spark.createDataFrame(data, ", ".join(f"`{c}` {'long' if c == 'doc_id' else 'string'}" for c in columns)).repartition(3)
 
 
 def words(text):

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.bits import bitmap, contains
-from threadloom.llm.common import checkpoint, row_key
+from threadloom.llm.common import checkpoint, fresh, row_key
 from threadloom.llm.graph import components
 from threadloom.llm.tokens import chunks, mix, shingle_sets
 
@@ -319,5 +319,6 @@ def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     Rows of one doc_id, or of none, with other texts are judged each by its own text.
     """
-    gone = _with_first(link(docs, percent)).filter("ord <> first").select(F.col("ord").alias("_gone")).distinct()
-    return docs.join(gone, row_key() == F.col("_gone"), "left_anti").select(*docs.columns)
+    name = fresh("gone")
+    gone = _with_first(link(docs, percent)).filter("ord <> first").select(F.col("ord").alias(name)).distinct()
+    return docs.join(gone, row_key() == F.col(name), "left_anti").select(*docs.columns)

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import SPACE, words
+from threadloom.llm.common import checkpoint, fresh, words
 
 #: Labelled rows that a fit looks at, at most: those whose ids come first in md5 order.
 FIT_ROWS = 20_000
@@ -67,16 +67,17 @@ def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         F.aggregate(w, F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("word_chars"),
         repeated_words(w).alias("n_repeat_words"),
     )
-    counted = docs.withColumn("_by_words", _let(words(F.col(text)), by_words))
+    name = fresh("by_words")
+    counted = docs.withColumn(name, _let(words(F.col(text)), by_words))
     return counted.withColumns(
         {
-            "n_words": F.col("_by_words.n_words").cast("long"),
-            "word_chars": F.col("_by_words.word_chars").cast("long"),
+            "n_words": F.col(f"{name}.n_words").cast("long"),
+            "word_chars": F.col(f"{name}.word_chars").cast("long"),
             "n_symbols": F.length(F.regexp_replace(clear, r"[^#*$%&|<>]+", "")).cast("long"),
             "n_dup_lines": _let(lines, of_lines).cast("long"),
-            "n_repeat_words": F.col("_by_words.n_repeat_words").cast("long"),
+            "n_repeat_words": F.col(f"{name}.n_repeat_words").cast("long"),
         }
-    ).drop("_by_words")
+    ).drop(name)
 
 
 def feature_columns() -> dict[str, Column]:
@@ -194,7 +195,8 @@ def fit_rules(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> l
         .limit(fit_rows)
         .select("doc_id", "quality")
     )
-    known = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # fit_rows rows at most
+    # fit_rows rows at most; written first, as Spark would else put the base rules, and with them all statistics, below the join
+    known = checkpoint(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
     stats = text_statistics(known).filter(~base_failed())
     rows = stats.select("doc_id", "quality", *[c.alias(f"f_{k}") for k, c in feature_columns().items()]).collect()
     rows.sort(key=lambda r: tuple(r[f"f_{k}"] for k in FEATURES) + (r["doc_id"],))
