@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.common import fresh, row_key, share
-from threadloom.llm.tokens import chunks, shingle_sets, windows
+from threadloom.llm.tokens import chunks, shingle_sets, whole_hash, windows
 
 SHINGLE = 5
 HASHES = 64
-#: Shingles of a block, for classes of long and of short items; windows begin at blocks. Each is a multiple of the next.
+#: Shingles of a block, powers of two, for classes of long and of short items; windows begin at blocks.
 BLOCKS = (16, 4)
 #: The largest ratio of item sizes within a class.
 CLASS_RATIO = 1.5
@@ -46,12 +46,36 @@ HITS_AT_ONCE = 1 << 20
 _MISS = 1e-4
 
 _RNG = np.random.default_rng(20240229)
-_MUL = (_RNG.integers(1 << 62, size=HASHES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+_XOR = _RNG.integers(1 << 32, size=HASHES, dtype=np.uint64).astype(np.uint32)
+_MUL = (_RNG.integers(1 << 31, size=HASHES, dtype=np.uint64).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
 
 
-def _values(shingles: np.ndarray, i: int) -> np.ndarray:
-    h = shingles * _MUL[i]
-    return ((h ^ (h >> np.uint64(29))) >> np.uint64(32)).astype(np.uint32)
+def _low(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(32)).astype(np.uint32) ^ shingles.astype(np.uint32)
+
+
+def _sketch(shingles: np.ndarray) -> np.ndarray:
+    """The least value of a set under each hash."""
+    return ((_low(shingles)[:, None] ^ _XOR) * _MUL).min(0)
+
+
+def _block_minima(shingles: np.ndarray, doc: np.ndarray, n_docs: int, blocks: list[int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each size of blocks (powers of two, ascending): the text of each block and its least values (HASHES, blocks).
+
+    Texts are filled up to whole blocks by their last shingle, so that blocks are halves put together.
+    """
+    count = np.bincount(doc, minlength=n_docs)
+    room = -(-count // blocks[-1]) * blocks[-1]
+    owner, start = np.repeat(np.arange(n_docs), room), np.cumsum(room) - room
+    place = np.minimum(np.arange(len(owner)) - start[owner], count[owner] - 1) + (np.cumsum(count) - count)[owner]
+    low, out = _low(shingles)[place], {b: (owner[::b], np.empty((HASHES, len(owner) // b), np.uint32)) for b in blocks}
+    for i in range(HASHES):
+        value, size = (low ^ _XOR[i]) * _MUL[i], 1
+        while size < blocks[-1]:
+            value, size = np.minimum(value[::2], value[1::2]), 2 * size
+            if size in out:
+                out[size][1][i] = value
+    return out
 
 
 def rows_in_band(jaccard: float, hashes: int = HASHES, miss: float = _MISS) -> int:
@@ -75,6 +99,7 @@ class ItemIndex:
         self.sizes = np.array([len(s) for s in self.sets], np.int64)
         self.need = np.ceil(self.sizes * threshold - 1e-9).astype(np.int64)
         self.classes: list[tuple[int, int, int, list]] = []  # block, blocks of a window, rows of a band, bands
+        self.sketches = [_sketch(x) if len(x) else None for x in self.sets]
         exact: list[int] = []
         left = np.flatnonzero(self.sizes > 0)
         left = left[np.argsort(self.sizes[left], kind="stable")]
@@ -90,6 +115,7 @@ class ItemIndex:
                     break
             else:
                 exact += here.tolist()
+        self.sketches = []
         self.rare = self._rare(exact)
 
     def _rare(self, here: list[int]):
@@ -103,17 +129,27 @@ class ItemIndex:
             items.append(np.full(len(own), i))
         keys, items = np.concatenate(keys), np.concatenate(items)
         order = np.argsort(keys, kind="stable")
-        seen = np.zeros(1 << 16, bool)
-        seen[keys >> np.uint64(48)] = True
-        return seen, keys[order], items[order]
+        return _seen(keys >> np.uint64(48)), keys[order], items[order]
 
     def _band(self, here: np.ndarray, first: int, r: int):
-        keys = np.array([[_values(self.sets[i], j).min() for j in range(first, first + r)] for i in here], np.uint32)
-        keys = fold(keys.T)
+        values = np.stack([self.sketches[i][first : first + r] for i in here], axis=1)
+        keys = fold(values)
         order = np.argsort(keys, kind="stable")
-        seen = np.zeros(1 << 16, bool)
-        seen[keys >> np.uint64(48)] = True
-        return seen, keys[order], here[order]
+        return _seen(_slot(values)), keys[order], here[order]
+
+
+def _seen(slots: np.ndarray) -> np.ndarray:
+    out = np.zeros(1 << 16, bool)
+    out[slots] = True
+    return out
+
+
+def _slot(columns: np.ndarray) -> np.ndarray:
+    """A number of 16 bits from the values of a band's rows, by which most windows are told apart from all items at once."""
+    key = columns[0] * np.uint32(0x9E3779B1)
+    for c in columns[1:]:
+        key = (key ^ c) * np.uint32(0x85EBCA77)
+    return key >> np.uint32(16)
 
 
 def fold(columns: np.ndarray) -> np.ndarray:
@@ -125,56 +161,48 @@ def fold(columns: np.ndarray) -> np.ndarray:
     return key * np.uint64(0x9E3779B97F4A7C15)
 
 
-def _hits(own: np.ndarray, doc: np.ndarray, table: tuple, index: ItemIndex) -> np.ndarray:
-    """Distinct (text, item) pairs, as text * items + item, of the keys that a table (seen, sorted keys, items) holds."""
-    seen, keys, items = table
-    at = np.flatnonzero(seen[own >> np.uint64(48)])
-    lo, hi = np.searchsorted(keys, own[at], "left"), np.searchsorted(keys, own[at], "right")
-    at, lo, n = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+def _hits(own: np.ndarray, doc: np.ndarray, keys: np.ndarray, items: np.ndarray, n_items: int) -> np.ndarray:
+    """Distinct (text, item) pairs, as text * items + item, of the keys that a table (sorted keys, items) holds."""
+    lo, hi = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
+    doc, lo, n = doc[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
     ends, found, k = np.cumsum(n), [np.zeros(0, np.int64)], 0
-    while k < len(at):  # HITS_AT_ONCE or one key's items at a time
+    while k < len(doc):  # HITS_AT_ONCE or one key's items at a time
         m = max(k + 1, int(np.searchsorted(ends, ends[k] - n[k] + HITS_AT_ONCE, "right")))
         part = n[k:m]
-        found.append(np.unique(np.repeat(doc[at[k:m]], part) * len(index.ids) + items[np.repeat(lo[k:m] - np.cumsum(part) + part, part) + np.arange(part.sum())]))
+        found.append(np.unique(np.repeat(doc[k:m], part) * n_items + items[np.repeat(lo[k:m] - np.cumsum(part) + part, part) + np.arange(part.sum())]))
         k = m
     return np.unique(np.concatenate(found))
 
 
 def _candidates(shingles: np.ndarray, doc: np.ndarray, n_docs: int, index: ItemIndex) -> np.ndarray:
     """Distinct (text, item) pairs, as text * items + item, whose windows share a band or that share a rare shingle."""
-    found = [_hits(shingles, doc, index.rare, index)]
+    seen, keys, items = index.rare
+    at = np.flatnonzero(seen[shingles >> np.uint64(48)])
+    found = [_hits(shingles[at], doc[at], keys, items, len(index.ids))]
     if not index.classes or not len(shingles):
         return found[0]
-    sketches: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    # minima of the finest blocks that are wanted, then of coarser ones from those
-    owner, minima, size = doc, None, 1
-    for block in sorted({c[0] for c in index.classes}):
-        count = np.bincount(owner, minlength=n_docs)
-        blocks_of = -(-count // (block // size))
-        first, start = np.cumsum(blocks_of) - blocks_of, np.cumsum(count) - count
-        wide = np.repeat(np.arange(n_docs), blocks_of)
-        begin = start[wide] + (np.arange(len(wide)) - first[wide]) * (block // size)
-        if minima is None:
-            minima = np.stack([np.minimum.reduceat(_values(shingles, i), begin) for i in range(HASHES)])
-        else:
-            minima = np.minimum.reduceat(minima, begin, axis=1)
-        owner, size = wide, block
-        sketches[block] = owner, minima
+    minima = _block_minima(shingles, doc, n_docs, sorted({c[0] for c in index.classes}))
     for block, blocks, r, bands in index.classes:
-        owner, minima = sketches[block]
-        sketch, reach = minima.copy(), 1
-        while reach < min(blocks, len(owner)):  # the window that begins at a block takes in those after it, within the text
-            step = min(reach, blocks - reach)
-            if step >= len(owner):
-                break
-            sketch[:, :-step] = np.where(owner[step:] == owner[:-step], np.minimum(sketch[:, :-step], sketch[:, step:]), sketch[:, :-step])
-            reach += step
-        found += [_hits(fold(sketch[b * r : (b + 1) * r]), owner, band, index) for b, band in enumerate(bands)]
+        owner, least = minima[block]
+        steps, reach = [], 1
+        while reach < blocks and reach < len(owner):  # a window takes in the blocks after the one it begins at, within the text
+            steps.append(min(reach, blocks - reach))
+            reach += steps[-1]
+        steps = [(k, np.flatnonzero(owner[k:] != owner[:-k])) for k in steps if k < len(owner)]
+        for b, (seen, keys, items) in enumerate(bands):
+            own = least[b * r : (b + 1) * r].copy()
+            for k, ends in steps:
+                wide = np.minimum(own[:, :-k], own[:, k:])
+                wide[:, ends] = own[:, ends]
+                own[:, :-k] = wide
+            at = np.flatnonzero(seen[_slot(own)])
+            found.append(_hits(fold(own[:, at]), owner[at], keys, items, len(index.ids)))
     return np.unique(np.concatenate(found))
 
 
 def _search(batches: Iterator[pa.RecordBatch], index: ItemIndex) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "item_id", "n_item", "n_shared"]
+    single = np.flatnonzero(index.sizes == 1).tolist()
     for batch in batches:
         ids = batch.column(0)
         for row, words in chunks(batch.column(1), lower=True):
@@ -182,24 +210,20 @@ def _search(batches: Iterator[pa.RecordBatch], index: ItemIndex) -> Iterator[pa.
             hashes = words.hashes()
             shingles, _, doc = windows(hashes, words.first, SHINGLE)
             pairs = _candidates(shingles, doc, n_docs, index)
-            short = np.diff(words.first)
-            if ((short > 0) & (short < SHINGLE)).any() and (index.sizes == 1).any():
+            bounds = np.searchsorted(doc, np.arange(n_docs + 1))
+            size, few, last = np.diff(words.first), {}, (-1, None)
+            for d in np.flatnonzero((size > 0) & (size < SHINGLE)) if len(single) else []:
                 # texts of one shingle are compared as they are
-                s, bounds = shingle_sets(words, SHINGLE)
-                single = {int(index.sets[i][0]): i for i in np.flatnonzero(index.sizes == 1)}
-                extra = [d * len(index.ids) + i for d in np.flatnonzero((short > 0) & (short < SHINGLE)) for i in np.flatnonzero(index.sizes == 1) if index.sets[i][0] == s[bounds[d]]]
-                pairs = np.union1d(pairs, np.array(extra, np.int64)) if single else pairs
-            else:
-                s = bounds = None
+                few[d] = np.array([whole_hash(hashes[words.first[d] : words.first[d + 1]])], np.uint64)
+                pairs = np.union1d(pairs, [d * len(index.ids) + i for i in single if index.sets[i][0] == few[d][0]]).astype(np.int64)
             out = []
-            if len(pairs):
-                if s is None:
-                    s, bounds = shingle_sets(words, SHINGLE)
-                for p in pairs.tolist():
-                    d, i = divmod(p, len(index.ids))
-                    shared = len(np.intersect1d(s[bounds[d] : bounds[d + 1]], index.sets[i], assume_unique=True))
-                    if shared >= index.need[i]:
-                        out.append((row + d, int(index.ids[i]), len(index.sets[i]), shared))
+            for p in pairs.tolist():
+                d, i = divmod(p, len(index.ids))
+                if d != last[0]:  # pairs are sorted by text
+                    last = d, few[d] if d in few else np.unique(shingles[bounds[d] : bounds[d + 1]])
+                shared = len(np.intersect1d(last[1], index.sets[i], assume_unique=True))
+                if shared >= index.need[i]:
+                    out.append((row + d, int(index.ids[i]), len(index.sets[i]), shared))
             if out:
                 at, item, n_item, shared = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pc.take(ids, pa.array(at)), pa.array(item, pa.int64()), pa.array(n_item, pa.int64()), pa.array(shared, pa.int64())], names=names)

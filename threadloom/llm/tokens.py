@@ -123,7 +123,7 @@ def shingle_sets(words: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     n = np.diff(words.first)
     short = np.flatnonzero((n > 0) & (n < k))
     if len(short):
-        whole = np.array([_fold(h[words.first[d] : words.first[d + 1]]) for d in short], _U)
+        whole = np.array([whole_hash(h[words.first[d] : words.first[d + 1]]) for d in short], _U)
         s, doc = np.concatenate([s, whole]), np.concatenate([doc, short])
     order = np.lexsort((s, doc))
     s, doc = s[order], doc[order]
@@ -133,7 +133,8 @@ def shingle_sets(words: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return s, np.searchsorted(doc, np.arange(len(n) + 1))
 
 
-def _fold(h: np.ndarray) -> int:
+def whole_hash(h: np.ndarray) -> int:
+    """The one shingle of a text of few words."""
     out = 0x51ED27 + len(h)
     for x in h.tolist():
         out = (out * int(_SHINGLE) + x) & 0xFFFFFFFFFFFFFFFF
