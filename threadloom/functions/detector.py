@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -97,6 +98,11 @@ def _category(signals: list[tuple[Column, float]]) -> Column:
     return F.least(F.lit(1.0), most + F.when(n >= 3, 0.1).otherwise(0.0))
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def lexical(text: Column) -> Column:
     return _category([(holds_any(text, words), w) for words, w in LEXICAL])
 
@@ -139,20 +145,35 @@ def _result(text: Column, stopped: Column, score: Column, levels: tuple[float, f
 
 def detect_message(content: Column, is_reply: Column | None = None, has_mention: Column | None = None, index: Column | None = None, recent: Column | None = None) -> Column:
     """(score, level, is_decision, anti_score) of a message."""
-    text, no = strip(F.coalesce(content, F.lit(""))), F.lit(None)
-    lex, struct_, pat, anti = lexical(text), structural(text), patterns(text), anti_score(text)
-    given = [x if x is not None else no for x in (is_reply, has_mention, index, recent)]
-    dyn = dynamic(text, given[0].cast("boolean"), given[1].cast("boolean"), given[2].cast("int"), given[3].cast("array<string>")) if any(x is not no for x in given) else F.lit(0.0)
-    score = 0.45 * lex + 0.15 * struct_ + 0.05 * dyn + 0.35 * pat
-    score = F.when((pat >= 0.7) & (score < pat), (score + pat) / 2).otherwise(score)
-    return _result(text, anti >= 0.6, score * (1 - 0.5 * anti), (0.65, 0.50, 0.20), anti)
+    given = {"is_reply": is_reply, "has_mention": has_mention, "index": index, "recent": recent}
+    kinds = {"is_reply": "boolean", "has_mention": "boolean", "index": "int", "recent": "array<string>"}
+    context = [(c if c is not None else F.lit(None)).cast(kinds[k]).alias(k) for k, c in given.items()]
+
+    def parts(x: Column) -> Column:
+        text = x["text"]
+        dyn = dynamic(text, x["is_reply"], x["has_mention"], x["index"], x["recent"])
+        return F.struct(text.alias("text"), lexical(text).alias("lex"), structural(text).alias("struct"), dyn.alias("dyn"), patterns(text).alias("pat"), anti_score(text).alias("anti"))
+
+    def judged(p: Column) -> Column:
+        score = 0.45 * p["lex"] + 0.15 * p["struct"] + 0.05 * p["dyn"] + 0.35 * p["pat"]
+        score = F.when((p["pat"] >= 0.7) & (score < p["pat"]), (score + p["pat"]) / 2).otherwise(score)
+        return _result(p["text"], p["anti"] >= 0.6, score * (1 - 0.5 * p["anti"]), (0.65, 0.50, 0.20), p["anti"])
+
+    return _once(_once(F.struct(strip(F.coalesce(content, F.lit(""))).alias("text"), *context), parts), judged)
 
 
 def detect_document(content: Column, doc_type: Column) -> Column:
     """(score, level, is_decision, anti_score) of a document of a kind."""
-    text = strip(F.coalesce(content, F.lit("")))
-    short = (F.length(text) < 50) & ~holds_any(text, DOC_SIGNALS)
-    tests = [doc_type == "weekly_report", doc_type == "meeting_notes", doc_type == "administrative", short, holds_any(text, MINOR_EDITS), holds_any(text, OPEN_POINTS)]
-    anti = F.least(F.lit(1.0), F.round(reduce(lambda a, b: a + b, [F.when(t, 0.2).otherwise(0.0) for t in tests]), 9))
-    score = (0.40 * lexical(text) + 0.20 * structural(text) + 0.35 * patterns(text, DOC_PATTERNS)) * (1 - 0.2 * anti)
-    return _result(text, (anti >= 0.6) | doc_type.isin("weekly_report", "administrative"), score, (0.45, 0.30, 0.15), anti)
+
+    def parts(x: Column) -> Column:
+        text = x["text"]
+        short = (F.length(text) < 50) & ~holds_any(text, DOC_SIGNALS)
+        tests = [x["kind"] == "weekly_report", x["kind"] == "meeting_notes", x["kind"] == "administrative", short, holds_any(text, MINOR_EDITS), holds_any(text, OPEN_POINTS)]
+        anti = F.least(F.lit(1.0), F.round(reduce(lambda a, b: a + b, [F.when(t, 0.2).otherwise(0.0) for t in tests]), 9))
+        return F.struct(text.alias("text"), x["kind"].alias("kind"), lexical(text).alias("lex"), structural(text).alias("struct"), patterns(text, DOC_PATTERNS).alias("pat"), anti.alias("anti"))
+
+    def judged(p: Column) -> Column:
+        score = (0.40 * p["lex"] + 0.20 * p["struct"] + 0.35 * p["pat"]) * (1 - 0.2 * p["anti"])
+        return _result(p["text"], (p["anti"] >= 0.6) | p["kind"].isin("weekly_report", "administrative"), score, (0.45, 0.30, 0.15), p["anti"])
+
+    return _once(_once(F.struct(strip(F.coalesce(content, F.lit(""))).alias("text"), F.coalesce(doc_type, F.lit("unknown")).alias("kind")), parts), judged)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -144,11 +146,7 @@ def matching(text: Column, keywords: list[str]) -> Column:
 
 
 def holds_any(text: Column, keywords: list[str]) -> Column:
-    low = F.lower(F.coalesce(text, F.lit("")))
-    out = F.lit(False)
-    for k in dict.fromkeys(k.lower() for k in keywords):
-        out = out | F.contains(low, F.lit(k))
-    return out
+    return F.coalesce(text, F.lit("")).rlike("(?iu)" + "|".join(re.escape(k) for k in dict.fromkeys(k.lower() for k in keywords)))
 
 
 def code_keywords(text: Column, most: int = 15) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.text import search_tokens
 from threadloom.functions.vector import cosine
+from threadloom.sources.scratch import written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Queries that are broadcast at once, and scores that a task holds at once.
@@ -32,20 +34,28 @@ def bm25(docs: DataFrame, query: str, id_col: str, text_col: str) -> DataFrame:
     return bm25_each(docs, {0: query}, id_col, text_col).select("id", "score")
 
 
+def query_terms(query: str) -> list[str]:
+    """The terms of a query, by the rule of ``search_tokens``."""
+    return re.findall(r"\w{2,}", query.lower())
+
+
 def bm25_each(docs: DataFrame, queries: dict[int, str], id_col: str, text_col: str) -> DataFrame:
     """(query_id, id, score) of the documents that hold a term of a query, scored by Okapi BM25.
 
-    Only postings of the queries' terms are exploded, once for all queries; the document
-    frequencies are one row per term, and the number and mean length of documents one row. A term
-    in over half of the documents gets EPSILON times the mean idf of its query's terms instead of
-    a negative one.
+    Texts are tokenised once, into a table of their lengths and the counts of the queries' terms;
+    the document frequencies are one row per term, and the number and mean length of documents one
+    row. A term in over half of the documents gets EPSILON times the mean idf of its query's terms
+    instead of a negative one.
     """
-    wanted = sorted({(k, w) for k, query in queries.items() for w in query.lower().split() if len(w) >= 2})
+    wanted = sorted({(k, w) for k, query in queries.items() for w in query_terms(query)})
     terms = sorted({w for _, w in wanted})
     asked = docs.sparkSession.createDataFrame(wanted, "query_id int, term string")
-    counted = docs.select(F.col(id_col).alias("id"), search_tokens(F.col(text_col)).alias("t")).select("id", F.size("t").alias("len"), F.filter("t", lambda x: x.isin(terms)).alias("t"))
+    hits = F.filter("t", lambda x: x.isin(terms))
+    counted = docs.select(F.col(id_col).alias("id"), search_tokens(F.col(text_col)).alias("t")).select("id", F.size("t").alias("len"), hits.alias("t"))
+    tf = F.transform(F.array_distinct("t"), lambda w: F.struct(w.alias("term"), F.size(F.filter("t", lambda x: x == w)).cast("long").alias("tf")))
+    counted = written(counted.select("id", "len", tf.alias("t")))
     stats = counted.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
-    postings = counted.select("id", "len", F.explode("t").alias("term")).groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
+    postings = counted.select("id", "len", F.explode("t").alias("p")).select("id", "len", "p.*")
     df = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))  # a row per query term, times one row
     idf = df.select("term", "mean", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf")).join(F.broadcast(asked), "term")
     floor = idf.groupBy("query_id").agg((EPSILON * F.avg("idf")).alias("floor"))

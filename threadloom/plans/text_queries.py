@@ -46,7 +46,7 @@ def bm25_topk(spark, sf_dir):
 
 
 #: The queries of bm25_topk_each.
-TEXTS = ("the secret token of data", "the license of this software", "better than that", "by or from a nation", "data")
+TEXTS = ("the secret token of data", "the license of this software", "better than that", "by or from a nation", "data", "License, of (this) SOFTWARE?")
 
 
 def bm25_topk_each(spark, sf_dir):
@@ -64,7 +64,7 @@ def text_scalars(spark, sf_dir):
         F.size(T.bigrams(F.lower(t))).cast("long").alias("n_bigrams"),
         T.content_hash(t).alias("hash"),
         T.truncate(t, 40).alias("short"),
-        F.size(F.regexp_extract_all(F.lower(t), F.lit("([a-z0-9_]{2,})"), 1)).cast("long").alias("n_tokens"),
+        F.size(T.search_tokens(t)).cast("long").alias("n_tokens"),
         F.round(T.bigram_jaccard(t, F.reverse(t)), 9).alias("mirror"),
         F.round(T.character_overlap(t, F.lit("abcdefghij")), 9).alias("overlap"),
     )
@@ -124,15 +124,17 @@ def top_per_topic(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (noise_messages, keyword_search, keyword_matches, keyword_frequency, bm25_topk, bm25_topk_each, text_scalars, fuzzy_benchmark_pairs, turn_segments, turns_within_budget, longest_per_source, majority_language, label_scores, label_confusion, top_per_topic)}
 
 _SIGNAL = "|".join(T.DECISION_SIGNALS)
+_EMOJI = r"\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}\x{2600}-\x{26FF}\x{2700}-\x{27BF}\x{FE00}-\x{FE0F}\x{200D}\x{1F900}-\x{1F9FF}\x{1FA00}-\x{1FAFF}"
 _BIGRAMS = "list_distinct(CASE WHEN length({t}) >= 2 THEN [{t}[i : i + 1] FOR i IN range(1, length({t}))] ELSE [] END)"
 _CLEAR = r"regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')"
 
 ORACLE = {
     "noise_messages": f"""
 WITH c AS (SELECT role, coalesce(text, '') AS t, {_CLEAR} AS x FROM conversations),
-s AS (SELECT *, regexp_matches(lower(x), '{_SIGNAL}') AS sig, regexp_matches(x, '^https?://\\S+(\\s+.{{0,2}})?$') AS link FROM c)
-SELECT role, count(*) AS n, count(*) FILTER (WHERE x = '' OR lower(x) IN ({", ".join(f"'{w}'" for w in T.NOISE_WORDS)}) OR (length(x) < 5 AND NOT sig) OR (regexp_matches(lower(x), '{"|".join(T.NOISE_TOPICS)}') AND NOT sig) OR link) AS noise,
-count(*) FILTER (WHERE regexp_matches(lower(t), '{_SIGNAL}')) AS signals, count(*) FILTER (WHERE regexp_matches(t, '^https?://\\S+(\\s+.{{0,2}})?$')) AS links FROM s GROUP BY role""",
+s AS (SELECT *, regexp_matches(lower(x), '{_SIGNAL}') AS sig, regexp_matches(x, '(?s)^https?://\\S*(\\s+.{{0,2}})?$') AS link,
+regexp_replace(x, '[\\s.,!?，。！？、]', '', 'g') AS bare, regexp_replace(x, '[^{_EMOJI}]', '', 'g') AS emoji FROM c)
+SELECT role, count(*) AS n, count(*) FILTER (WHERE x = '' OR (bare <> '' AND length(emoji) > 0.8 * length(bare)) OR lower(x) IN ({", ".join(f"'{w}'" for w in T.NOISE_WORDS)}) OR (length(x) < 5 AND NOT sig) OR (regexp_matches(lower(x), '{"|".join(T.NOISE_TOPICS)}') AND NOT sig) OR link) AS noise,
+count(*) FILTER (WHERE regexp_matches(lower(t), '{_SIGNAL}')) AS signals, count(*) FILTER (WHERE link) AS links FROM s GROUP BY role""",
     "keyword_search": "SELECT doc_id, source, n_chars FROM documents WHERE lang = 'en' AND (contains(lower(coalesce(text, '')), 'the') OR contains(lower(coalesce(source, '')), 'the')) ORDER BY n_chars DESC, doc_id LIMIT 50",
     "keyword_matches": "SELECT doc_id, source, n_chars FROM documents WHERE lang = 'en' AND (contains(lower(coalesce(text, '')), 'the') OR contains(lower(coalesce(source, '')), 'the'))",
     "keyword_frequency": r"""
@@ -147,7 +149,7 @@ i AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS idf, mean FROM
 j AS (SELECT term, mean, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM i) ELSE idf END AS idf FROM i)
 SELECT * FROM (SELECT doc_id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / mean))), 6) AS score FROM p JOIN j USING (term) GROUP BY doc_id) WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20""",
     "bm25_topk_each": r"""
-WITH q AS (SELECT DISTINCT query_id, unnest(list_filter(string_split(query, ' '), lambda x: length(x) >= 2)) AS term FROM (VALUES (0, 'the secret token of data'), (1, 'the license of this software'), (2, 'better than that'), (3, 'by or from a nation'), (4, 'data')) v(query_id, query)),
+WITH q AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '[\p{L}\p{N}_]{2,}')) AS term FROM (VALUES (0, 'the secret token of data'), (1, 'the license of this software'), (2, 'better than that'), (3, 'by or from a nation'), (4, 'data'), (5, 'License, of (this) SOFTWARE?')) v(query_id, query)),
 t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]{2,}') AS t FROM documents),
 st AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM t),
 c AS (SELECT doc_id, len(t) AS l, unnest(t) AS term FROM t),
@@ -156,12 +158,12 @@ i AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS idf, mean FROM
 j AS (SELECT query_id, term, mean, CASE WHEN idf < 0 THEN 0.25 * avg(idf) OVER (PARTITION BY query_id) ELSE idf END AS idf FROM i JOIN q USING (term)),
 s AS (SELECT query_id, doc_id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / mean))), 6) AS score FROM p JOIN j USING (term) GROUP BY ALL)
 SELECT query_id, doc_id, score FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 20""",
-    "text_scalars": f"""
+    "text_scalars": rf"""
 WITH b AS (SELECT item_id, coalesce(text, '') AS t FROM benchmark),
 g AS (SELECT *, lower(t) AS w, lower(trim(t)) AS x, lower(trim(reverse(t))) AS y FROM b),
-h AS (SELECT *, {_BIGRAMS.format(t="w")} AS gw, {_BIGRAMS.format(t="x")} AS gx, {_BIGRAMS.format(t="y")} AS gy, list_distinct(string_split(t, '')) AS ct FROM g)
+h AS (SELECT *, {_BIGRAMS.format(t="w")} AS gw, {_BIGRAMS.format(t="x")} AS gx, {_BIGRAMS.format(t="y")} AS gy, list_distinct(string_split(w, '')) AS ct FROM g)
 SELECT item_id, CAST(len(gw) AS BIGINT) AS n_bigrams, left(sha256(t), 16) AS hash, CASE WHEN length(t) <= 40 THEN t ELSE left(t, 37) || '...' END AS short,
-CAST(len(regexp_extract_all(w, '[a-z0-9_]{{2,}}')) AS BIGINT) AS n_tokens,
+CAST(len(regexp_extract_all(w, '[\p{{L}}\p{{N}}_]{{2,}}')) AS BIGINT) AS n_tokens,
 round(len(list_intersect(gx, gy)) / len(list_distinct(list_concat(gx, gy))), 9) AS mirror,
 round(len(list_intersect(ct, string_split('abcdefghij', ''))) / greatest(len(ct), 10), 9) AS overlap FROM h""",
     "fuzzy_benchmark_pairs": f"""
