@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import bigrams, strip
+from threadloom.sources.scratch import written
 
 
 def fuzzy_pairs(df: DataFrame, id_col: str, block: str, text: str, least: float) -> DataFrame:
@@ -16,6 +17,11 @@ def fuzzy_pairs(df: DataFrame, id_col: str, block: str, text: str, least: float)
     common are never spelled out, and none that qualifies is lost.
     """
     sets = df.select(F.col(block).alias("block"), F.col(id_col).alias("id"), bigrams(F.lower(strip(F.col(text)))).alias("grams")).filter(F.size("grams") > 0)
+    return _alike(sets, least)
+
+
+def _alike(sets: DataFrame, least: float) -> DataFrame:
+    """``fuzzy_pairs`` of (block, id, grams), where grams aren't empty."""
     long = sets.select("block", "id", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
     known = long.groupBy("block", "gram").agg(F.count("*").alias("df"))
     ranked = long.join(known, ["block", "gram"]).groupBy("block", "id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("g"))
@@ -28,3 +34,17 @@ def fuzzy_pairs(df: DataFrame, id_col: str, block: str, text: str, least: float)
     both = likely.join(side("a"), ["block", "id_a"]).join(side("b"), ["block", "id_b"])
     shared = F.size(F.array_intersect("g_a", "g_b"))
     return both.withColumn("similarity", shared / (F.size("g_a") + F.size("g_b") - shared)).filter(F.col("similarity") >= least).select("block", "id_a", "id_b", "similarity")
+
+
+def similar_classes(df: DataFrame, id_col: str, block: str, text: str, least: float) -> DataFrame:
+    """(block, class_id, n, links): rows of equal bigram sets are a class, named by its smallest id, with its number of rows and of other classes it is like.
+
+    Copies are put together first, so a group of them makes no pairs; links are between classes.
+    """
+    grams = F.array_sort(bigrams(F.lower(strip(F.col(text)))))
+    sets = df.filter(F.col(block).isNotNull()).select(F.col(block).alias("block"), F.col(id_col).alias("id"), grams.alias("grams")).filter(F.size("grams") > 0)
+    classes = written(sets.groupBy("block", "grams").agg(F.min("id").alias("id"), F.count("*").alias("rows")))
+    pairs = _alike(classes.select("block", "id", "grams"), least)
+    both = pairs.select("block", F.col("id_a").alias("id")).unionByName(pairs.select("block", F.col("id_b").alias("id")))
+    links = both.groupBy("block", "id").agg(F.count("*").alias("links"))
+    return classes.join(links, ["block", "id"], "left").select("block", F.col("id").alias("class_id"), F.col("rows").alias("n"), F.coalesce("links", F.lit(0)).alias("links"))
