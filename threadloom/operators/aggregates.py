@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadloom.functions.scores import precision_recall_f1
@@ -39,5 +38,4 @@ def majority(votes: DataFrame, key: list[str], vote: str) -> DataFrame:
 
 def keep_newest(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The last version of each key."""
-    w = W.partitionBy(*key).orderBy(*[F.desc(c) for c in order])
-    return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    return df.groupBy(*key).agg(F.max_by(F.struct("*"), F.struct(*order)).alias("_row")).select("_row.*")

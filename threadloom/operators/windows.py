@@ -15,10 +15,13 @@ def gap_sessions(df: DataFrame, key: str, ts: str, order: list[str], seconds: fl
     return df.withColumn("gap", gap / 1e6).withColumn("session", F.sum(F.when(F.col("gap") >= seconds, 1).otherwise(0)).over(w))
 
 
-def segments(df: DataFrame, key: str, order: list[str], topic: str) -> DataFrame:
-    """All columns with segment, which grows by one wherever the topic isn't that of the row before."""
+def segments(df: DataFrame, key: str, order: list[str], topic: str, alone: str | None = None) -> DataFrame:
+    """All columns with segment, which grows by one wherever the topic isn't that of the row before, and around rows that ``alone`` marks."""
     w = W.partitionBy(key).orderBy(*order)
-    new = F.when(F.lag(topic).over(w).eqNullSafe(F.col(topic)), 0).otherwise(1)
+    same = F.lag(topic).over(w).eqNullSafe(F.col(topic))
+    if alone is not None:
+        same = same & ~F.coalesce(F.col(alone), F.lit(False)) & ~F.coalesce(F.lag(alone).over(w), F.lit(False))
+    new = F.when(same, 0).otherwise(1)
     return df.withColumn("_new", new).withColumn("segment", F.sum("_new").over(w)).drop("_new")
 
 

@@ -17,8 +17,8 @@ def read_messages(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.read.schema(schema).option("multiLine", True).json(path)
     if path.endswith(".jsonl"):
         return read_jsonl(spark, path, schema)
-    pattern = r"^\[([^\]]+)\]\s*([^:]+):\s*(.*)$"
-    lines = spark.read.text(path).filter(F.trim("value") != "")
+    pattern = r"^\[([^\]]+)\]\s*([^:：]+)[:：]\s*(.+)$"
+    lines = spark.read.text(path).select(F.trim("value").alias("value")).filter(F.col("value").rlike(pattern))  # other lines are no messages
     return lines.select(*[F.regexp_extract("value", pattern, i + 1).alias(n) for i, n in enumerate(("msg_id", "speaker", "msg"))])
 
 

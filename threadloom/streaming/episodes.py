@@ -62,6 +62,17 @@ class Chat:
     pool: list[Episode] = field(default_factory=list)
     begun: int = 0
 
+    def dumped(self) -> bytes:
+        """The state as plain values, so that a stream can go on with a later version of these classes."""
+        one = lambda e: (e.number, e.start, e.last, e.n, [x.tolist() for x in e.vectors], e.suspended)
+        return pickle.dumps((self.current and one(self.current), [one(e) for e in self.pool], self.begun))
+
+    @classmethod
+    def loaded(cls, rules: Rules, state: bytes) -> Chat:
+        current, pool, begun = pickle.loads(state)
+        one = lambda e: Episode(*e[:4], [np.asarray(x, float) for x in e[4]], e[5])
+        return cls(rules, current and one(current), [one(e) for e in pool], begun)
+
     def _open(self, v: np.ndarray | None, now: float) -> str:
         """A suspended episode that is near enough, the nearest and among equals the oldest, or else a new one."""
         self.pool = [e for e in self.pool if now - e.suspended <= self.rules.archive]
@@ -160,14 +171,14 @@ def stream_episodes(messages: DataFrame, rules: Rules = Rules(), late: str = "1
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        chat = pickle.loads(state.get[0]) if state.exists else Chat(rules)
+        chat = Chat.loaded(rules, bytes(state.get[0])) if state.exists else Chat(rules)
         if state.hasTimedOut:
             chat.suspend(state.getCurrentWatermarkMs() / 1000)
-            state.update((pickle.dumps(chat),))
+            state.update((chat.dumped(),))
             return
         rows = pd.concat(list(batches)).sort_values(["at", "id"])
         out = [(key[0], r.id, *chat.add(r.at, r.text, _vector(r.vector))) for r in rows.itertuples(index=False)]
-        state.update((pickle.dumps(chat),))
+        state.update((chat.dumped(),))
         if chat.current is not None:
             state.setTimeoutTimestamp(max(int((chat.current.last + rules.gap) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["chat", "id", "episode", "why"])
