@@ -44,6 +44,7 @@ def test_many_small_shards_and_tasks(spark, monkeypatch):
 
 def test_a_short_line_everywhere(spark, monkeypatch):
     monkeypatch.setattr(passages, "PER_SHARD", 20)
+    monkeypatch.setattr(passages, "WIDE", 20)
     dealt = []
     monkeypatch.setattr(passages, "_wide_windows", lambda *a, f=passages._wide_windows: dealt.append(1) or f(*a))
     rng = random.Random(6)

@@ -39,6 +39,8 @@ from threadloom.llm.tokens import Words, chunks, mix, windows
 WINDOW, ANCHOR = 13, 5
 #: Passages that a shard compiles and streams, about. Anchors with over half as many occurrences are dealt over tasks.
 PER_SHARD = 20_000
+#: Distinct passages of such an anchor that go to each of its tasks, at most: about 30 MB. Those of an anchor with more are dealt by window.
+WIDE = 200_000
 #: Such anchors that are broadcast, at most; beyond it they are joined by shuffle.
 BROADCAST_ANCHORS = 100_000
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -151,17 +153,21 @@ def number_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(numbers), np.concatenate(bounds)
 
 
-def compile_automaton(numbers: np.ndarray, bounds: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[ahocorasick.Automaton | None, np.ndarray]:
-    """The automaton of the windows of these texts that occur in two documents, and the first document of each.
+def compile_automaton(numbers: np.ndarray, bounds: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[ahocorasick.Automaton | None, np.ndarray, np.ndarray]:
+    """The automaton of the windows of these texts that occur in two documents, the first document of each, and their sorted hashes.
 
     Windows are grouped by a hash of their numbers; one that isn't equal to the first of its
     group, number by number, is told apart by its numbers themselves.
     """
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
     hashes, at, text = windows(mix(numbers.astype(np.uint64)), bounds, WINDOW)
+    none = None, np.zeros(0, np.int64), np.zeros(0, np.uint64)
     if not len(at):
-        return None, np.zeros(0, np.int64)
+        return none
     all_windows = np.lib.stride_tricks.sliding_window_view(numbers, WINDOW)
+    _, group, times = np.unique(hashes, return_inverse=True, return_counts=True)
+    some = np.flatnonzero((times[group] > 1) | (first[text] < last[text]))  # others occur once, in one document
+    hashes, at, text = hashes[some], at[some], text[some]
     _, example, group = np.unique(hashes, return_index=True, return_inverse=True)
     lo, hi = np.full(len(example), np.iinfo(np.int64).max), np.full(len(example), np.iinfo(np.int64).min)
     apart: dict[tuple[int, ...], tuple[int, int]] = {}
@@ -174,18 +180,29 @@ def compile_automaton(numbers: np.ndarray, bounds: np.ndarray, first: np.ndarray
             key, x, y = tuple(all_windows[w[i]].tolist()), int(first[t[i]]), int(last[t[i]])
             old = apart.get(key, (x, y))
             apart[key] = (min(x, old[0]), max(y, old[1]))
-    owners = []
-    for g in np.flatnonzero(lo < hi):
+    owners, confirmed = [], np.flatnonzero(lo < hi)
+    for g in confirmed:
         automaton.add_word(tuple(all_windows[at[example[g]]].tolist()), len(owners))
         owners.append(lo[g])
+    known = [hashes[example[confirmed]]]
     for key, (x, y) in apart.items():
         if x < y:
             automaton.add_word(key, len(owners))
             owners.append(x)
+            known.append(windows(mix(np.array(key, np.uint64)), np.array([0, WINDOW]), WINDOW)[0])
     if not owners:
-        return None, np.zeros(0, np.int64)
+        return none
     automaton.make_automaton()
-    return automaton, np.array(owners, np.int64)
+    return automaton, np.array(owners, np.int64), np.unique(np.concatenate(known))
+
+
+def _may_hold(numbers: np.ndarray, bounds: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which texts have a window of one of these hashes: only they need to run through the automaton."""
+    h, _, text = windows(mix(numbers.astype(np.uint64)), bounds, WINDOW)
+    found = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+    out = np.zeros(len(bounds) - 1, bool)
+    out[text[found]] = True
+    return out
 
 
 def _ranges(stops: np.ndarray) -> list[tuple[int, int]]:
@@ -207,15 +224,18 @@ def _locate(passages: pa.Table, occurrences: pa.Table) -> pa.Table:
         numbers, bounds = number_words(pa.concat_arrays([texts.dictionary, passages["passage"].combine_chunks().cast(pa.binary())]))
         n, ids = len(texts.dictionary), occurrences["ord"].to_numpy()
         if passages.num_rows:
-            automaton, owners = compile_automaton(numbers[bounds[n] :], bounds[n:] - bounds[n], passages["first"].to_numpy(), passages["last"].to_numpy())
+            automaton, owners, known = compile_automaton(numbers[bounds[n] :], bounds[n:] - bounds[n], passages["first"].to_numpy(), passages["last"].to_numpy())
         else:
             lo, hi = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
             np.minimum.at(lo, which, ids)
             np.maximum.at(hi, which, ids)
-            automaton, owners = compile_automaton(numbers[: bounds[n]], bounds[: n + 1], lo, hi)
+            automaton, owners, known = compile_automaton(numbers[: bounds[n]], bounds[: n + 1], lo, hi)
         if automaton is not None:
             found: list[tuple | None] = []
-            for d in range(n):
+            for d, may in enumerate(_may_hold(numbers[: bounds[n]], bounds[: n + 1], known).tolist()):
+                if not may:
+                    found.append(None)
+                    continue
                 hits = list(automaton.iter(tuple(numbers[bounds[d] : bounds[d + 1]].tolist())))
                 if not hits:
                     found.append(None)
@@ -285,7 +305,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     passages = occurrences.join(small(hot), "anchor").groupBy("anchor", "tasks", F.col("text").alias("passage")).agg(F.min("ord").alias("first"), F.max("ord").alias("last"), F.count("*").alias("n"))
     passages = checkpoint(passages)
     # of these anchors, those whose distinct passages would be too many to go to each task
-    wide = passages.groupBy("anchor").agg(F.count("*").alias("passages")).filter(F.col("passages") > PER_SHARD).select("anchor", F.lit(True).alias("wide"))
+    wide = passages.groupBy("anchor").agg(F.count("*").alias("passages")).filter(F.col("passages") > WIDE).select("anchor", F.lit(True).alias("wide"))
     hot = checkpoint(hot.join(wide, "anchor", "left").withColumn("wide", F.coalesce("wide", F.lit(False))))
     dealt = occurrences.join(small(hot), "anchor", "left")
     # anchors of many occurrences get negative shards, their own, and a task for each share of them
