@@ -297,12 +297,13 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     keyed = _keyed(docs).select("ord", "digest", "text")
     anchors = keyed.mapInArrow(_emit_anchors, "anchor long, ord long").groupBy("anchor").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"), F.count("*").alias("n"))
     anchors = checkpoint(anchors.filter("lo < hi").select("anchor", "n"))
-    occurrences = keyed.mapInArrow(_emit_passages(bitmap(anchors, "anchor")), "anchor long, ord long, digest long, at long, text binary")
+    under = lambda known: keyed.mapInArrow(_emit_passages(bitmap(known, "anchor")), "anchor long, ord long, digest long, at long, text binary")
+    occurrences = under(anchors)
 
     shards = max(1, -(-(anchors.agg(F.sum("n")).first()[0] or 0) // PER_SHARD))
     hot = checkpoint(anchors.filter(2 * F.col("n") > PER_SHARD).select("anchor", F.ceil(2 * F.col("n") / PER_SHARD).alias("tasks")))
     small = F.broadcast if hot.count() <= BROADCAST_ANCHORS else (lambda df: df)
-    passages = occurrences.join(small(hot), "anchor").groupBy("anchor", "tasks", F.col("text").alias("passage")).agg(F.min("ord").alias("first"), F.max("ord").alias("last"), F.count("*").alias("n"))
+    passages = under(hot).join(small(hot), "anchor").groupBy("anchor", "tasks", F.col("text").alias("passage")).agg(F.min("ord").alias("first"), F.max("ord").alias("last"), F.count("*").alias("n"))
     passages = checkpoint(passages)
     # of these anchors, those whose distinct passages would be too many to go to each task
     wide = passages.groupBy("anchor").agg(F.count("*").alias("passages")).filter(F.col("passages") > WIDE).select("anchor", F.lit(True).alias("wide"))
