@@ -24,6 +24,7 @@ Hashes only select what is looked at. What is removed is decided by the automata
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import ahocorasick
@@ -37,8 +38,12 @@ from threadloom.llm.common import checkpoint
 from threadloom.llm.tokens import Words, chunks, mix, windows
 
 WINDOW, ANCHOR = 13, 5
-#: Passages that a shard compiles and streams, about. Anchors with over half as many occurrences are dealt over tasks.
+#: Passages that a shard of ordinary anchors compiles and streams, about: few enough that its automaton stays in a core's cache.
+SHARD = 4_000
+#: Occurrences of a frequent anchor that go to one task, about, beside its distinct passages. Anchors with over half as many are dealt over tasks.
 PER_SHARD = 20_000
+#: Words, or places of windows, that one step of a shard holds at once, about.
+AT_ONCE = 1 << 18
 #: Distinct passages of such an anchor that go to each of its tasks, at most: about 30 MB. Those of an anchor with more are dealt by window.
 WIDE = 200_000
 #: Such anchors that are broadcast, at most; beyond it they are joined by shuffle.
@@ -181,9 +186,10 @@ def compile_automaton(numbers: np.ndarray, bounds: np.ndarray, first: np.ndarray
             old = apart.get(key, (x, y))
             apart[key] = (min(x, old[0]), max(y, old[1]))
     owners, confirmed = [], np.flatnonzero(lo < hi)
-    for g in confirmed:
-        automaton.add_word(tuple(all_windows[at[example[g]]].tolist()), len(owners))
-        owners.append(lo[g])
+    for a in range(0, len(confirmed), 1 << 16):
+        for key in all_windows[at[example[confirmed[a : a + (1 << 16)]]]].tolist():
+            automaton.add_word(tuple(key), len(owners))
+            owners.append(lo[confirmed[len(owners)]])
     known = [hashes[example[confirmed]]]
     for key, (x, y) in apart.items():
         if x < y:
@@ -205,11 +211,43 @@ def _may_hold(numbers: np.ndarray, bounds: np.ndarray, known: np.ndarray) -> np.
     return out
 
 
-def _ranges(stops: np.ndarray) -> list[tuple[int, int]]:
-    """The union, in words, of the windows that end at these words."""
-    cut = np.flatnonzero(np.diff(stops) > WINDOW)
-    begin, end = stops[np.concatenate([[0], cut + 1])] - WINDOW + 1, stops[np.concatenate([cut, [len(stops) - 1]])] + 1
-    return list(zip(begin.tolist(), end.tolist(), strict=True))
+def _blocks(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows of about this size together, of one row at least."""
+    sums, begin = np.concatenate([[0], np.cumsum(sizes)]), 0
+    while begin < len(sizes):
+        end = max(begin + 1, int(np.searchsorted(sums, sums[begin] + limit, "right")) - 1)
+        yield begin, end
+        begin = end
+
+
+def _spread(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The row that each place of these slices belongs to, and the places."""
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    return np.repeat(np.arange(len(size)), size), np.repeat(first - bounds[:-1], size) + np.arange(bounds[-1])
+
+
+def _hits(automaton: ahocorasick.Automaton, numbers: np.ndarray, bounds: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, its word that a window ends at, the window) of these texts; many run through the automaton as one, a number of no word between them."""
+    between, size = int(numbers.max(initial=0)) + 1, np.diff(bounds)[texts]
+    found = [np.zeros((3, 0), np.int64)]
+    for i, j in _blocks(size, AT_ONCE):
+        row, at = _spread(bounds[texts[i:j]], size[i:j])
+        start = np.concatenate([[0], np.cumsum(size[i:j] + 1)])
+        line = np.full(start[-1], between, np.int64)
+        line[at - bounds[texts[i:j]][row] + start[row]] = numbers[at]
+        stop, window = np.fromiter(itertools.chain.from_iterable(automaton.iter(tuple(line.tolist()))), np.int64).reshape(-1, 2).T
+        own = np.searchsorted(start, stop, "right") - 1
+        found.append(np.stack([texts[i + own], stop - start[own], window]))
+    return tuple(np.concatenate(found, 1))
+
+
+def _ranges(group: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The union, in words, of the windows of each group that end at these words, both sorted: (group, begin, end)."""
+    new = _changes(group)
+    new[1:] |= np.diff(stops) > WINDOW
+    first = np.flatnonzero(new)
+    last = np.append(first, len(stops))[1:] - 1
+    return group[first], stops[first] - WINDOW + 1, stops[last] + 1
 
 
 def _locate(passages: pa.Table, occurrences: pa.Table) -> pa.Table:
@@ -217,12 +255,14 @@ def _locate(passages: pa.Table, occurrences: pa.Table) -> pa.Table:
 
     Equal texts run through the automaton once.
     """
-    out: list[tuple[int, int, int, int]] = []
+    none = np.zeros(0, np.int64)
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(none, none, none)]  # (occurrence, begin, end)
+    ids, digests, at = (occurrences[c].to_numpy() for c in ("ord", "digest", "at"))
     if occurrences.num_rows:
         texts = occurrences["text"].combine_chunks().dictionary_encode()
         which = texts.indices.to_numpy()
         numbers, bounds = number_words(pa.concat_arrays([texts.dictionary, passages["passage"].combine_chunks().cast(pa.binary())]))
-        n, ids = len(texts.dictionary), occurrences["ord"].to_numpy()
+        n = len(texts.dictionary)
         if passages.num_rows:
             automaton, owners, known = compile_automaton(numbers[bounds[n] :], bounds[n:] - bounds[n], passages["first"].to_numpy(), passages["last"].to_numpy())
         else:
@@ -231,26 +271,26 @@ def _locate(passages: pa.Table, occurrences: pa.Table) -> pa.Table:
             np.maximum.at(hi, which, ids)
             automaton, owners, known = compile_automaton(numbers[: bounds[n]], bounds[: n + 1], lo, hi)
         if automaton is not None:
-            found: list[tuple | None] = []
-            for d, may in enumerate(_may_hold(numbers[: bounds[n]], bounds[: n + 1], known).tolist()):
-                if not may:
-                    found.append(None)
-                    continue
-                hits = list(automaton.iter(tuple(numbers[bounds[d] : bounds[d + 1]].tolist())))
-                if not hits:
-                    found.append(None)
-                    continue
-                stops, k = np.array(hits, np.int64).T
-                own = owners[k]
-                found.append((stops, own, int(own.min()), int(own.max()), _ranges(stops)))
-            for ord_, digest, at, d in zip(ids.tolist(), occurrences["digest"].to_pylist(), occurrences["at"].to_pylist(), which.tolist(), strict=True):
-                if found[d] is None or ord_ <= found[d][2]:
-                    continue
-                stops, own, _, most, whole = found[d]
-                for begin, end in whole if ord_ > most else _ranges(stops[own < ord_]):
-                    out.append((ord_, digest, at + begin, at + end))
-    columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
-    return pa.table([pa.array(c, pa.int64()) for c in columns], names=["ord", "digest", "begin", "end"])
+            may = np.flatnonzero(_may_hold(numbers[: bounds[n]], bounds[: n + 1], known))
+            text, stops, window = _hits(automaton, numbers, bounds, may)
+            own, hits = owners[window], np.searchsorted(text, np.arange(n + 1))
+            least, most = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
+            np.minimum.at(least, text, own)
+            np.maximum.at(most, text, own)
+            of, begin, end = _ranges(text, stops)
+            ranges = np.searchsorted(of, np.arange(n + 1))
+            whole = np.flatnonzero((least[which] <= most[which]) & (ids > most[which]))  # all its windows stand in earlier documents
+            row, place = _spread(ranges[which[whole]], np.diff(ranges)[which[whole]])
+            out.append((whole[row], begin[place], end[place]))
+            some = np.flatnonzero((ids > least[which]) & (ids <= most[which]))
+            size = np.diff(hits)[which[some]]
+            for i, j in _blocks(size, AT_ONCE):
+                row, place = _spread(hits[which[some[i:j]]], size[i:j])
+                row = some[i + row]
+                earlier = own[place] < ids[row]
+                out.append(_ranges(row[earlier], stops[place[earlier]]))
+    row, begin, end = (np.concatenate(c) for c in zip(*out, strict=True))
+    return pa.Table.from_arrays(_longs(ids[row], digests[row], at[row] + begin, at[row] + end), names=["ord", "digest", "begin", "end"])
 
 
 _RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -300,7 +340,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     under = lambda known: keyed.mapInArrow(_emit_passages(bitmap(known, "anchor")), "anchor long, ord long, digest long, at long, text binary")
     occurrences = under(anchors)
 
-    shards = max(1, -(-(anchors.agg(F.sum("n")).first()[0] or 0) // PER_SHARD))
+    shards = max(1, -(-(anchors.agg(F.sum("n")).first()[0] or 0) // SHARD))
     hot = checkpoint(anchors.filter(2 * F.col("n") > PER_SHARD).select("anchor", F.ceil(2 * F.col("n") / PER_SHARD).alias("tasks")))
     small = F.broadcast if hot.count() <= BROADCAST_ANCHORS else (lambda df: df)
     passages = under(hot).join(small(hot), "anchor").groupBy("anchor", "tasks", F.col("text").alias("passage")).agg(F.min("ord").alias("first"), F.max("ord").alias("last"), F.count("*").alias("n"))
