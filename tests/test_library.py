@@ -246,3 +246,17 @@ def test_files(spark, tmp_path):
 def test_history_without_rows_and_tiers(spark):
     m = spark.createDataFrame([("c", 1, T0, None), ("c", 2, T0, None), ("c", 3, T0 + timedelta(seconds=1), "t")], "chat string, id long, ts timestamp, thread string")
     assert {r["id"]: (r["thread_history"], r["chat_history"]) for r in context.history(m, 1).collect()} == {1: ([], []), 2: ([], []), 3: ([], [2])}
+
+
+def test_rollups_with_nulls_ties_and_empty_tables(spark):
+    from threadloom.operators import rollups as R
+
+    schema = "chat string, id long, speaker string, topic string, at long, expected string"
+    rows = [("a", 2, "y", "t2", 20, "TRUE"), ("a", 1, "x", "t1", None, None), ("a", 3, "y", None, 30, "false"), (None, 1, "", "", None, None), (None, 1, "", "", None, None)]
+    got = {r["chat"]: tuple(r)[1:] for r in R.chat_rollup(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {"a": (3, 1, ["x", "y"], "t1", 20), None: (2, 0, [], "general", None)}
+    assert R.chat_rollup(spark.createDataFrame([], schema)).count() == 0
+    memo = "type string, hits long, created_at long"
+    assert R.memo_stats(spark.createDataFrame([], memo)).count() == 0
+    assert sorted(map(tuple, R.memo_stats(spark.createDataFrame([("k", None, 5), ("k", 2, 3)], memo)).collect())) == [("all", 2, 2, 3, 5), ("k", 2, 2, 3, 5)]
+    assert R.dimension_accuracy(spark.createDataFrame([], "dimension string, correct boolean"), ["d"]).collect()[0]["accuracy"] == 0.0

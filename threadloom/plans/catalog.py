@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from threadloom.plans import decision_queries, evaluation_queries, lifecycle_queries, message_queries, retrieval_queries, session_queries, store_queries, text_queries, tree_queries
+from threadloom.plans import decision_queries, evaluation_queries, lifecycle_queries, message_queries, retrieval_queries, rollup_queries, session_queries, store_queries, text_queries, tree_queries
 
-MODULES = [retrieval_queries, store_queries, text_queries, decision_queries, tree_queries, message_queries, evaluation_queries, lifecycle_queries, session_queries]
+MODULES = [retrieval_queries, store_queries, text_queries, decision_queries, tree_queries, message_queries, evaluation_queries, lifecycle_queries, rollup_queries, session_queries]
 
 
 def queries():
