@@ -1,18 +1,23 @@
-"""Topics of vectors: distances, average linkage within blocks, levels, trees by containment, assignment of new ones.
-
-Average linkage looks at all pairs, so it runs within blocks (a project, a topic of the level
-above), each in a task of its own; a block of more than ``most`` vectors must be cut further first.
-"""
+"""Topics of vectors: distances, average linkage within blocks, levels, trees, assignment of new ones."""
 
 from __future__ import annotations
 
+import posixpath
+import uuid
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from threadloom.functions.vector import cosine, cosine_distance
+from threadloom.functions.vector import cosine, cosine_distance, normalise
+from threadloom.operators.selection import values_at
+from threadloom.sources.scratch import shared_folder, written
 
 
 def distances(rows: DataFrame) -> DataFrame:
@@ -36,10 +41,13 @@ def weighted_distances(pairs: DataFrame, lengths: DataFrame) -> DataFrame:
     return both.select("block", "id_a", "id_b", F.round(F.col("distance") * factor, 9).alias("distance"))
 
 
-def linkage(distance: np.ndarray) -> list[tuple[int, int, float]]:
-    """Merges of average linkage over a matrix: (first member of one cluster, of the other, distance), the nearest first, ties by the smaller members."""
+def linkage(distance: np.ndarray, size: np.ndarray | None = None) -> list[tuple[int, int, float]]:
+    """Merges of average linkage over a matrix: (first member of one cluster, of the other, distance), the nearest first, ties by the smaller members.
+
+    ``size``: of how many members the rows are the mean distances, 1 by default.
+    """
     n = len(distance)
-    d, size, alive = distance.astype(float).copy(), np.ones(n), np.ones(n, bool)
+    d, size, alive = distance.astype(float).copy(), np.ones(n) if size is None else size.astype(float).copy(), np.ones(n, bool)
     np.fill_diagonal(d, np.inf)
     out = []
     for _ in range(n - 1):
@@ -55,51 +63,221 @@ def linkage(distance: np.ndarray) -> list[tuple[int, int, float]]:
     return out
 
 
-def _cut(merges: list[tuple[int, int, float]], n: int, height: float) -> list[int]:
-    """The smallest member of each one's cluster when merges up to a height are made."""
-    home = list(range(n))
+def _features(rows: DataFrame, width: int) -> DataFrame:
+    """(block, id, s): numbers whose sums over two clusters give the mean distance between their members; see ``_signs``.
+
+    A distance is 1 - cos, so 1 and the unit vector are enough. Weights by length are a factor
+    of 2 - r * r' for two short members and 1 / (r * r') for two long ones, with r the root of a
+    length's share: products of a number of either member, so their sums are kept as well, by
+    themselves and times the unit vector.
+    """
+    unit = rows.select("block", "id", normalise(F.col("vector")).alias("u"), *([F.col("length").cast("double").alias("length")] if "length" in rows.columns else []))
+    if "length" not in rows.columns:
+        return unit.select("block", "id", F.concat(F.array(F.lit(1.0)), "u").alias("s"))
+    mean = unit.groupBy("block").agg(F.avg("length").alias("mean"))
+    w = F.coalesce(F.least(F.lit(2.0), F.greatest(F.lit(0.5), F.col("length") / F.col("mean"))), F.lit(1.0))
+    shared = unit.join(mean, "block").withColumn("w", w)
+    none = F.array_repeat(F.lit(0.0), 2 + 2 * width)
+    both = lambda r: F.concat(F.array(F.lit(1.0)), F.col("u"), F.array(r), F.transform("u", lambda x: x * r))
+    short = F.when(F.col("w") < 1, both(F.sqrt("w"))).otherwise(none)
+    long = F.when(F.col("w") > 1, both(1 / F.sqrt("w"))).otherwise(none)
+    return shared.select("block", "id", F.concat(F.array(F.lit(1.0)), "u", short, long).alias("s"))
+
+
+def _signs(size: int, width: int) -> np.ndarray:
+    """The sign of each product in the sum that is the total distance between the members of two clusters."""
+    plain = np.concatenate([[1.0], -np.ones(width)])
+    return plain if size == len(plain) else np.concatenate([plain, plain, -plain, -plain, plain])
+
+
+#: Clusters whose nearest neighbours are sought at once.
+_QUERIES = 2048
+
+
+def _chunks(queries: DataFrame) -> Iterator[list]:
+    chunk = []
+    for row in queries.toLocalIterator():
+        chunk.append(row)
+        if len(chunk) == _QUERIES:
+            yield chunk
+            chunk = []
+    if chunk:
+        yield chunk
+
+
+def _nearest(queries: DataFrame, clusters: DataFrame, signs: np.ndarray) -> DataFrame:
+    """(block, id, other, height): the nearest cluster of its block for each of ``queries``, the smallest id of equal ones; both (block, id, n, s).
+
+    Queries go out in chunks of a fixed number and are compared with all clusters, as a matrix product in each task.
+    """
+    folder = posixpath.join(shared_folder(queries.sparkSession), f"nearest-{uuid.uuid4().hex}")
+    schema = "block string, id long, other long, height double"
+    for chunk in _chunks(queries):
+        blocks = [r["block"] for r in chunk]
+        names = pa.array(sorted(set(blocks)), pa.string())
+        own = pc.index_in(pa.array(blocks, pa.string()), names).to_numpy()
+        ids, mean = np.array([r["id"] for r in chunk], np.int64), np.array([r["s"] for r in chunk]) / np.array([[r["n"]] for r in chunk]) * signs
+        shared = queries.sparkSession.sparkContext.broadcast((blocks, names, own, ids, mean))
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            blocks, names, own, ids, mean = shared.value
+            best, other = np.full(len(ids), np.inf), np.zeros(len(ids), np.int64)
+            for batch in batches:
+                batch = batch.take(pc.sort_indices(batch, [("id", "ascending")]))  # of equal distances the first is taken
+                block = pc.index_in(batch.column(0), names).fill_null(-1).to_numpy()
+                their = batch.column(1).to_numpy()
+                x = batch.column(3).flatten().to_numpy().reshape(len(their), -1) / batch.column(2).to_numpy()[:, None]
+                for a in range(0, len(their), 1024):
+                    d = np.clip(np.round(mean @ x[a : a + 1024].T, 9), 0, None)
+                    d[(own[:, None] != block[None, a : a + 1024]) | (ids[:, None] == their[None, a : a + 1024])] = np.inf
+                    at = d.argmin(1)
+                    here, who = d[np.arange(len(ids)), at], their[a : a + 1024][at]
+                    new = (here < best) | ((here == best) & (who < other))
+                    best[new], other[new] = here[new], who[new]
+            some = np.flatnonzero(np.isfinite(best))
+            yield pa.RecordBatch.from_arrays([pa.array([blocks[k] for k in some], pa.string()), pa.array(ids[some]), pa.array(other[some]), pa.array(best[some])], ["block", "id", "other", "height"])
+
+        by_task = clusters.select("block", "id", "n", "s").mapInArrow(compare, schema)
+        by_task.groupBy("block", "id").agg(F.min(F.struct("height", "other")).alias("b")).select("block", "id", "b.other", "b.height").write.mode("append").parquet(folder)
+    return queries.sparkSession.read.schema(schema).parquet(folder)
+
 
-    def find(i: int) -> int:
-        while home[i] != i:
-            home[i] = home[home[i]]
-            i = home[i]
-        return i
+def _all(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
 
-    for i, j, h in merges:
-        if h <= height:
-            a, b = sorted((find(i), find(j)))
-            home[b] = a
-    return [find(i) for i in range(n)]
 
+def merges(rows: DataFrame, most: int = 1_000) -> DataFrame:
+    """(block, i, j, height): the merges of average linkage of rows (block, id, vector, and length, if distances are weighted by it).
 
-def clusters(rows: DataFrame, levels: int = 3, threshold: float | None = None, most: int = 2_000) -> DataFrame:
-    """(block, level, id, cluster) of rows (block, id, vector); a cluster is named by its smallest id.
+    i and j are the smallest ids of the two clusters, i the smaller. Rows without a block, an id or a vector are left out.
 
-    With a threshold there is one level, of the merges up to it. Else level 0 is the whole block and
-    the others cut at percentiles of the merges' distances, from the 90th down to the 10th.
+    Copies are one cluster from the start. While a block has more than ``most`` clusters, rounds
+    find the nearest neighbour of each, and all pairs that are each other's merge at once. A
+    cluster made of two others is no nearer to a third than the nearer of these was (average
+    linkage is reducible), so the tree is the one that merging the nearest pair each time gives,
+    and only clusters that are new or whose neighbour has gone need a new neighbour. Distances
+    come from sums over clusters. Of the clusters left, at most ``most`` in a block, one task
+    makes the rest.
     """
+    given = rows.filter("block IS NOT NULL AND id IS NOT NULL AND vector IS NOT NULL")
+    typed = given.withColumns({"block": F.col("block").cast("string"), "id": F.col("id").cast("long"), "vector": F.col("vector").cast("array<double>")})
+    first = typed.select(F.size("vector").alias("w")).first()
+    spark = rows.sparkSession
+    if first is None:
+        return spark.createDataFrame([], "block string, i long, j long, height double")
+    width = first["w"]
+    features = written(_features(typed, width))
+    signs = _signs(len(features.select("s").first()["s"]), width)
+    classes = written(features.groupBy("block", "s").agg(F.min("id").alias("id"), F.count("*").alias("n")))
+    copies = features.join(classes.select("block", "s", F.col("id").alias("i")), ["block", "s"]).filter("id <> i").select("block", "i", F.col("id").alias("j"), F.lit(0.0).alias("height"))
+    made = [copies]
+    state = classes.select("block", "id", "n", F.transform("s", lambda x: x * F.col("n")).alias("s"))
+    near = asked = None
+    while True:
+        busy = state.groupBy("block").count().filter(F.col("count") > most).select("block")
+        wide = state.join(busy, "block", "left_semi")
+        if wide.isEmpty():
+            break
+        asked = wide if asked is None else asked.join(busy, "block", "left_semi")
+        found = _nearest(asked.select("block", "id", "n", "s"), wide, signs)
+        near = found if near is None else near.join(busy, "block", "left_semi").unionByName(found)
+        back = near.select("block", F.col("other").alias("id"), F.col("id").alias("other"))
+        pairs = written(near.join(back, ["block", "id", "other"]).filter("id < other"))
+        made.append(pairs.select("block", F.col("id").alias("i"), F.col("other").alias("j"), "height"))
+        gone = pairs.select("block", "id").unionByName(pairs.select("block", F.col("other").alias("id")))
+        side = state.select("block", F.col("id").alias("other"), F.col("n").alias("m"), F.col("s").alias("t"))
+        joined = pairs.join(state, ["block", "id"]).join(side, ["block", "other"])
+        new = joined.select("block", "id", (F.col("n") + F.col("m")).alias("n"), F.zip_with("s", "t", lambda x, y: x + y).alias("s"))
+        state = written(state.join(gone, ["block", "id"], "left_anti").unionByName(new))
+        stay = near.join(gone, ["block", "id"], "left_anti")
+        lost = gone.withColumnRenamed("id", "other")
+        near = written(stay.join(lost, ["block", "other"], "left_anti").select("block", "id", "other", "height"))
+        stale = pairs.select("block", "id").unionByName(stay.join(lost, ["block", "other"], "left_semi").select("block", "id"))
+        asked = written(state.join(stale, ["block", "id"], "left_semi"))
 
-    def settle(own: pd.DataFrame) -> pd.DataFrame:
-        if len(own) > most:
-            raise ValueError(f"a block of {len(own)} vectors: cut it into blocks of {most} at most")
+    def rest(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("id")
-        ids, x = own["id"].to_numpy(), np.array(own["vector"].tolist(), float)
-        length = np.linalg.norm(x, axis=1)
-        scale = np.outer(length, length)
-        near = np.divide(x @ x.T, scale, out=np.zeros_like(scale), where=scale > 0)
-        merges = linkage(np.clip(np.round(1 - near, 9), 0, 2))
-        heights = np.array([h for _, _, h in merges])
-        if threshold is not None:
-            cuts = [threshold]
-        elif len(heights):
-            cuts = [heights.max() + 0.01, *np.quantile(heights, np.linspace(0.9, 0.1, levels - 1))]
-        else:
-            cuts = [0.0] * levels
-        out = [(own["block"].iloc[0], level, ids[i], ids[c]) for level, h in enumerate(cuts) for i, c in enumerate(_cut(merges, len(ids), h))]
-        return pd.DataFrame(out, columns=["block", "level", "id", "cluster"])
-
-    typed = rows.select(F.col("block").cast("string").alias("block"), F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
-    return typed.groupBy("block").applyInPandas(settle, "block string, level int, id long, cluster long")
+        n, s, ids = own["n"].to_numpy(), np.array(own["s"].tolist(), float), own["id"].to_numpy()
+        mean = s / n[:, None]
+        steps = linkage(np.clip(np.round((mean * signs) @ mean.T, 9), 0, None), n)
+        block = own["block"].iloc[0]
+        return pd.DataFrame([(block, ids[i], ids[j], h) for i, j, h in steps], columns=["block", "i", "j", "height"])
+
+    made.append(state.groupBy("block").applyInPandas(rest, "block string, i long, j long, height double"))
+    return written(_all(made))
+
+
+def _heights(rows: DataFrame, tree: DataFrame, levels: int) -> DataFrame:
+    """(block, level, cut): where each level cuts the tree of a block.
+
+    Level 0 is just over the highest merge and the others lie at percentiles of the heights, from
+    the 90th down to the 10th; with as few merges as levels, they lie at evenly spread ones.
+    """
+    sizes = rows.groupBy(F.col("block").cast("string").alias("block")).agg(F.lit(0).alias("_")).drop("_")
+    counted = sizes.join(tree.groupBy("block").agg(F.count("*").alias("m")), "block", "left").withColumn("last", F.coalesce("m", F.lit(0)) - 1)
+    share = F.array(F.lit(1.0), *[F.lit(float(p)) for p in np.linspace(0.9, 0.1, levels - 1)])
+    at = F.posexplode(share).alias("level", "p")
+    wide = counted.select("block", "last", at)
+    up = levels - 1 - F.col("level")
+    even = F.floor(up * (F.col("last") / max(1, levels - 1))) if levels > 1 else F.lit(0)
+    rank = F.when(F.col("last") + 1 > levels, F.when(F.col("level") == 0, F.col("last")).otherwise(F.floor(F.col("p") * F.col("last")))).when(up == levels - 1, F.col("last") if levels > 1 else F.lit(0)).otherwise(even)
+    ranked = written(wide.withColumn("rank", rank.cast("long")))
+    found = values_at(tree, "block", "height", ranked.select("block", "rank"))
+    over = F.when((F.col("level") == 0) & (F.col("last") + 1 > levels), 0.01).otherwise(0.0)
+    return ranked.join(found, ["block", "rank"], "left").select("block", "level", (F.coalesce("height", F.lit(0.0)) + over).alias("cut"))
+
+
+def _roots(edges: DataFrame) -> DataFrame:
+    """(block, level, id, cluster): where the steps (block, level, id, up) of each id end; each round doubles the steps that a row looks ahead."""
+    key = ["block", "level", "up"]
+    open_, done = written(edges), []
+    while not open_.isEmpty():
+        ahead = open_.select("block", "level", F.col("id").alias("up"), F.col("up").alias("next"), F.lit(False).alias("ended"))
+        for d in done:
+            ahead = ahead.unionByName(d.select("block", "level", F.col("id").alias("up"), F.col("cluster").alias("next"), F.lit(True).alias("ended")))
+        step = written(open_.join(ahead, key, "left").select("block", "level", "id", F.coalesce("next", "up").alias("up"), F.coalesce("ended", F.lit(True)).alias("ended")))
+        done.append(step.filter("ended").select("block", "level", "id", F.col("up").alias("cluster")))
+        open_ = step.filter("NOT ended").select("block", "level", "id", "up")
+    return _all(done) if done else edges.select("block", "level", "id", F.col("up").alias("cluster"))
+
+
+def clusters(rows: DataFrame, levels: int = 3, threshold: float | None = None, most: int = 1_000) -> DataFrame:
+    """(block, level, id, cluster) of rows (block, id, vector) by average linkage of cosine distances; a cluster is named by its smallest id.
+
+    With a threshold there is one level, of the merges up to it. Else the tree is cut at
+    ``levels`` heights, the coarsest first. A column ``length`` weights distances: two short rows
+    are moved apart, two long ones together. For ``most`` see ``merges``.
+    """
+    typed = rows.filter("block IS NOT NULL AND id IS NOT NULL AND vector IS NOT NULL").select(F.col("block").cast("string").alias("block"), F.col("id").cast("long").alias("id"))
+    tree = merges(rows, most)
+    if threshold is not None:
+        cut = typed.select("block").distinct().select("block", F.lit(0).alias("level"), F.lit(float(threshold)).alias("cut"))
+    else:
+        cut = _heights(typed, tree, levels)
+    cut = written(cut)
+    edges = tree.join(cut, "block").filter("height <= cut").select("block", "level", F.col("j").alias("id"), F.col("i").alias("up"))
+    each = typed.join(cut.select("block", "level"), "block")
+    return each.join(_roots(edges), ["block", "level", "id"], "left").select("block", F.col("level").cast("int").alias("level"), "id", F.coalesce("cluster", "id").alias("cluster"))
+
+
+def topic_hierarchy(rows: DataFrame, levels: int = 4, most: int = 1_000) -> DataFrame:
+    """(topic, block, level, cluster, n, centroid, parent, children): all topics of rows (block, id, vector and length, if weighted), as a tree.
+
+    A topic is named by its level and its smallest member; ``parent`` is the topic of the level
+    above that holds its members, null at level 0, ``centroid`` the unit mean of its vectors.
+    """
+    found = written(clusters(rows, levels, None, most))
+    unit = rows.select(F.col("block").cast("string").alias("block"), F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
+    first = rows.filter("vector IS NOT NULL").select(F.size("vector").alias("w")).first()
+    width = first["w"] if first else 0
+    mean = F.array(*[F.avg(F.col("vector")[k]) for k in range(width)]) if width else F.array().cast("array<double>")
+    topics = found.join(unit, ["block", "id"]).groupBy("block", "level", "cluster").agg(F.count("*").alias("n"), mean.alias("mean"))
+    name = lambda level, cluster: F.concat(F.lit("hier_topic_l"), level.cast("string"), F.lit("_c"), cluster.cast("string"))
+    # levels are nested, so the topic above holds all members if it holds the smallest
+    above = found.select("block", (F.col("level") + 1).alias("level"), F.col("id").alias("cluster"), name(F.col("level"), F.col("cluster")).alias("parent"))
+    tree = written(topics.join(above, ["block", "level", "cluster"], "left").withColumn("topic", name(F.col("level"), F.col("cluster"))))
+    children = tree.filter("parent IS NOT NULL").groupBy("block", F.col("parent").alias("topic")).agg(F.count("*").alias("children"))
+    return tree.join(children, ["block", "topic"], "left").select("topic", "block", "level", "cluster", "n", normalise(F.col("mean")).alias("centroid"), "parent", F.coalesce("children", F.lit(0)).alias("children"))
 
 
 def containment_tree(members: DataFrame) -> DataFrame:

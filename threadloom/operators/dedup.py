@@ -1,50 +1,39 @@
-"""Fuzzy pairs within blocks."""
+"""Texts that are alike, within blocks."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.functions.text import bigrams, strip
+from threadloom.operators.likeness import bigram_sets, like_counts, like_pairs
 from threadloom.sources.scratch import written
 
 
 def fuzzy_pairs(df: DataFrame, id_col: str, block: str, text: str, least: float) -> DataFrame:
-    """(block, id_a, id_b, similarity): pairs of one block whose texts' bigram sets reach a Jaccard similarity.
+    """(block, id_a, id_b, similarity): pairs of one block whose texts' bigram sets reach a Jaccard similarity, id_a < id_b.
 
-    Rows meet on a bigram of their prefix: sets are ordered by rarity, and two sets that reach the
-    similarity share one of the first n - ceil(least * n) + 1. So pairs without a rare bigram in
-    common are never spelled out, and none that qualifies is lost.
+    A pair that comes from copies of a text comes for each copy; where copies are many, take ``similar_classes``.
     """
-    sets = df.select(F.col(block).alias("block"), F.col(id_col).alias("id"), bigrams(F.lower(strip(F.col(text)))).alias("grams")).filter(F.size("grams") > 0)
-    return _alike(sets, least)
-
-
-def _alike(sets: DataFrame, least: float) -> DataFrame:
-    """``fuzzy_pairs`` of (block, id, grams), where grams aren't empty."""
-    long = sets.select("block", "id", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    known = long.groupBy("block", "gram").agg(F.count("*").alias("df"))
-    ranked = long.join(known, ["block", "gram"]).groupBy("block", "id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("g"))
-    ranked = ranked.select("block", "id", "n", F.transform("g", lambda x: x["gram"]).alias("grams"))
-    prefix = F.slice("grams", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least) + 1).cast("int"))
-    keyed = ranked.select("block", "id", "n", F.explode(prefix).alias("key"))
-    a, b = (keyed.select("block", "key", F.col("id").alias(f"id_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
-    likely = a.join(b, ["block", "key"]).filter(f"id_a < id_b AND n_a >= {least} * n_b AND n_b >= {least} * n_a").select("block", "id_a", "id_b").distinct()
-    side = lambda x: ranked.select("block", F.col("id").alias(f"id_{x}"), F.col("grams").alias(f"g_{x}"))
-    both = likely.join(side("a"), ["block", "id_a"]).join(side("b"), ["block", "id_b"])
-    shared = F.size(F.array_intersect("g_a", "g_b"))
-    return both.withColumn("similarity", shared / (F.size("g_a") + F.size("g_b") - shared)).filter(F.col("similarity") >= least).select("block", "id_a", "id_b", "similarity")
+    return like_pairs(bigram_sets(df, id_col, block, text), least)
+
+
+def _classes(df: DataFrame, id_col: str, block: str, text: str) -> DataFrame:
+    sets = bigram_sets(df, id_col, block, text)
+    return written(sets.groupBy("block", "grams").agg(F.min("id").alias("id"), F.count("*").alias("rows")))
 
 
 def similar_classes(df: DataFrame, id_col: str, block: str, text: str, least: float) -> DataFrame:
     """(block, class_id, n, links): rows of equal bigram sets are a class, named by its smallest id, with its number of rows and of other classes it is like.
 
-    Copies are put together first, so a group of them makes no pairs; links are between classes.
+    Copies are put together first, so a group of them makes no pairs; links are between classes
+    and are counted where they are found.
     """
-    grams = F.array_sort(bigrams(F.lower(strip(F.col(text)))))
-    sets = df.filter(F.col(block).isNotNull()).select(F.col(block).alias("block"), F.col(id_col).alias("id"), grams.alias("grams")).filter(F.size("grams") > 0)
-    classes = written(sets.groupBy("block", "grams").agg(F.min("id").alias("id"), F.count("*").alias("rows")))
-    pairs = _alike(classes.select("block", "id", "grams"), least)
-    both = pairs.select("block", F.col("id_a").alias("id")).unionByName(pairs.select("block", F.col("id_b").alias("id")))
-    links = both.groupBy("block", "id").agg(F.count("*").alias("links"))
+    classes = _classes(df, id_col, block, text)
+    links = like_counts(classes.select("block", "id", "grams"), least)
     return classes.join(links, ["block", "id"], "left").select("block", F.col("id").alias("class_id"), F.col("rows").alias("n"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def similar_class_pairs(df: DataFrame, id_col: str, block: str, text: str, least: float) -> tuple[DataFrame, DataFrame]:
+    """Pairs (block, id_a, id_b, similarity) of classes of equal bigram sets, and the classes (block, class_id, n)."""
+    classes = _classes(df, id_col, block, text)
+    return like_pairs(classes.select("block", "id", "grams"), least), classes.select("block", F.col("id").alias("class_id"), F.col("rows").alias("n"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.text import bigram_jaccard, bigrams, strip
 from threadloom.functions.vector import cosine
-from threadloom.operators.dedup import _alike
+from threadloom.operators.likeness import bigram_sets, like_pairs
 from threadloom.operators.search import top_each
 
 
@@ -135,13 +135,12 @@ def similar_new(new: DataFrame, rows: DataFrame, least: float = 0.15) -> DataFra
 def across_chats(rows: DataFrame, topic_least: float = 0.5, least: float = 0.35) -> DataFrame:
     """(id_a, id_b, similarity): rows (id, chat, topic, summary) of different chats whose topics' names and whose summaries are alike.
 
-    Topics are compared once; rows then meet on bigrams within a pair of like topics.
+    Topics are compared once; rows then meet within a pair of like topics.
     """
-    gram = lambda c: bigrams(F.lower(strip(F.col(c))))
-    topics = rows.filter("topic <> ''").select("topic").distinct().select(F.lit(0).alias("block"), F.col("topic").alias("id"), gram("topic").alias("grams")).filter(F.size("grams") > 0)
-    pairs = _alike(topics, topic_least).select(F.concat_ws("|", "id_a", "id_b").alias("block"), F.explode(F.array("id_a", "id_b")).alias("topic"))
+    topics = bigram_sets(rows.filter("topic <> ''").select("topic").distinct().select(F.lit(0).alias("all"), "topic"), "topic", "all", "topic")
+    pairs = like_pairs(topics, topic_least).select(F.concat_ws("|", "id_a", "id_b").alias("block"), F.explode(F.array("id_a", "id_b")).alias("topic"))
     pairs = pairs.unionByName(topics.select(F.col("id").alias("block"), F.col("id").alias("topic")))
-    sets = rows.join(pairs, "topic").select("block", F.struct("id", "chat", "topic").alias("id"), gram("summary").alias("grams")).filter(F.size("grams") > 0)
-    both = _alike(sets, least).filter("id_a.chat <> id_b.chat AND (NOT contains(block, '|') OR id_a.topic <> id_b.topic)")
+    sets = bigram_sets(rows.join(pairs, "topic").select("block", F.struct("id", "chat", "topic").alias("id"), "summary"), "id", "block", "summary")
+    both = like_pairs(sets, least).filter("id_a.chat <> id_b.chat AND (NOT contains(block, '|') OR id_a.topic <> id_b.topic)")
     a, b = F.col("id_a.id"), F.col("id_b.id")
     return both.select(F.least(a, b).alias("id_a"), F.greatest(a, b).alias("id_b"), F.round("similarity", 9).alias("similarity")).distinct()

@@ -128,9 +128,9 @@ def kept_conflicts(spark, sf_dir):
 
 
 def similar_documents(spark, sf_dir):
-    """Documents of a source whose texts begin alike, as classes of equal beginnings with how many are in each and how many others they are like."""
-    d = read(spark, sf_dir, "documents").select("doc_id", "source", F.substring("text", 1, 60).alias("head"))
-    return dedup.similar_classes(d, "doc_id", "source", "head", 0.7)
+    """Documents of a source whose whole texts are alike, as classes of equal bigram sets with how many are in each and how many others they are like."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return dedup.similar_classes(d, "doc_id", "source", "text", 0.7)
 
 
 QUERIES = {
@@ -187,10 +187,12 @@ b AS (SELECT *, status IN ('pending', 'pending_confirmation', 'in_discussion', '
 SELECT (SELECT count(*) FROM j WHERE status <> old) AS shelved, (SELECT count(*) FROM o) AS merged, count(*) FILTER (WHERE act AND hot_score < 5 AND confidence < 0.3) AS pruned, count(*) FILTER (WHERE act AND NOT (hot_score < 5 AND confidence < 0.3) AND hot_score >= 50 AND status = 'pending') AS promoted, count(*) AS decisions FROM b""",
     "settled_conflicts": f"WITH {DECISIONS}, {RELATIONS} SELECT src || '+' || dst AS sid, s.summary || '; ' || t.summary AS summary, s.full_text || chr(10) || '---' || chr(10) || t.full_text AS full_text, 'decided' AS status, greatest(s.impact_level, t.impact_level) AS impact_level, greatest(s.confidence, t.confidence) AS confidence, dst AS supersedes FROM r JOIN d s ON s.sid = src JOIN d t ON t.sid = dst WHERE type = 'CONFLICTS_WITH'",
     "kept_conflicts": f"WITH {DECISIONS}, {RELATIONS}, k AS (SELECT src, dst FROM r WHERE type = 'CONFLICTS_WITH' AND src IN (SELECT sid FROM d) AND dst IN (SELECT sid FROM d)) SELECT src, 'CONFLICTS_WITH' AS type, dst FROM k UNION SELECT dst, 'CONFLICTS_WITH', src FROM k",
-    "similar_documents": r"""WITH h AS (SELECT source, doc_id, lower(regexp_replace(left(text, 60), '^\s+|\s+$', '', 'g')) AS t FROM documents WHERE text IS NOT NULL AND source IS NOT NULL),
-g AS (SELECT source, doc_id, list_sort(list_distinct([t[i : i + 1] FOR i IN range(1, length(t))])) AS g FROM h WHERE length(t) >= 2),
-c AS (SELECT source AS block, min(doc_id) AS class_id, count(*) AS n, g FROM g GROUP BY source, g),
-p AS (SELECT a.block, a.class_id AS x, b.class_id AS y FROM c a JOIN c b ON a.block = b.block AND a.class_id <> b.class_id AND len(a.g) >= 0.7 * len(b.g) AND len(b.g) >= 0.7 * len(a.g) WHERE len(list_intersect(a.g, b.g)) >= 0.7 * (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))),
+    "similar_documents": r"""WITH h AS (SELECT source, doc_id, string_split(lower(regexp_replace(text, '^\s+|\s+$', '', 'g')), '') AS t FROM documents WHERE text IS NOT NULL AND source IS NOT NULL),
+g AS (SELECT source, doc_id, list_sort(list_distinct(list_transform(list_zip(t[: -2], t[2 :]), lambda z: z[1] || z[2]))) AS g FROM h WHERE len(t) >= 2),
+c AS MATERIALIZED (SELECT source AS block, min(doc_id) AS class_id, count(*) AS n, g FROM g GROUP BY source, g),
+u AS (SELECT block, class_id, len(g) AS s, unnest(g) AS x FROM c),
+o AS (SELECT a.block, a.class_id AS x, b.class_id AS y, count(*) AS common, any_value(a.s) + any_value(b.s) AS total FROM u a JOIN u b ON a.block = b.block AND a.x = b.x AND a.class_id <> b.class_id GROUP BY ALL),
+p AS (SELECT block, x, y FROM o WHERE common >= 0.7 * (total - common)),
 k AS (SELECT block, x, count(*) AS l FROM p GROUP BY ALL)
 SELECT c.block, c.class_id, c.n, coalesce(l, 0) AS links FROM c LEFT JOIN k ON k.block = c.block AND k.x = c.class_id""",
 }

@@ -71,7 +71,7 @@ def text_scalars(spark, sf_dir):
 
 
 def fuzzy_benchmark_pairs(spark, sf_dir):
-    """Pairs of benchmark items whose bigram sets are similar."""
+    """Pairs of benchmark items whose bigram sets are similar; the items are one block."""
     items = _read(spark, sf_dir, "benchmark").withColumn("topic", F.lit("all"))
     found = dedup.fuzzy_pairs(items, "item_id", "topic", "text", 0.35)
     return found.select("id_a", "id_b", F.round("similarity", 9).alias("similarity"))
