@@ -99,7 +99,7 @@ def test_greedy_against_a_loop(spark):
 def test_matching_rules(spark):
     e = spark.createDataFrame([("c", 1, "t", "abcdef", False, "decided"), ("c", 2, "t", "abcxyz", True, "decided"), ("c", 3, "u", "qqq", False, "decided")], "chat string, e int, topic string, summary string, suggestion boolean, status string")
     a = spark.createDataFrame([("c", 1, "t", "abcdeg", False, "decided"), ("c", 2, "general", "abcxyz", True, "pending"), ("c", 3, "v", "other", False, "decided"), ("c", 4, "", "more", False, "decided"), ("d", 5, "u", "qqq", False, "decided")], "chat string, a int, topic string, summary string, suggestion boolean, status string")
-    m = evaluation.greedy(evaluation.candidates(e, a))
+    m = evaluation.matched(e, a)
     assert sorted((r["l"], r["r"]) for r in m.collect()) == [(1, 1), (2, 2)]
     row = evaluation.metrics(evaluation.judged(e, a, m)).first()
     assert (row["tp"], row["fp"], row["fn"], row["topic_accuracy"], row["status_accuracy"]) == (2, 1, 1, 0.5, 0.5)
@@ -197,6 +197,48 @@ def test_linkage_and_clusters(spark):
     assert tree[(0, 0)] is None and all(p == 0 for (level, _), p in tree.items() if level)
 
 
+def overlap(x, y):
+    x, y = set((x or "").strip().lower()), set((y or "").strip().lower())
+    return round(len(x & y) / max(len(x), len(y)), 9) if x and y else 0.0
+
+
+def test_rows_without_a_chat_match_in_any(spark):
+    expected = [(None, 1, "t", "use grpc now", False, "decided"), ("c", 2, " t ", "use grpc", False, "decided")]
+    found = [("c", 7, "t", "use grpc", False, "decided"), ("d", 8, "t ", "use grpc now", False, "decided")]
+    e, a = (spark.createDataFrame(rows, f"chat string, {n} long, topic string, summary string, suggestion boolean, status string") for rows, n in ((expected, "e"), (found, "a")))
+    m = evaluation.matched(e, a)
+    assert {(r["chat"], r["l"], r["found_chat"], r["r"]) for r in m.collect()} == {(None, 1, "d", 8), ("c", 2, "c", 7)}
+    assert {r["outcome"] for r in evaluation.judged(e, a, m).collect()} == {"tp"}
+    # without a nameless row topics are still stripped
+    m = evaluation.matched(e.filter("e = 2"), a)
+    assert [(r["l"], r["r"]) for r in m.collect()] == [(2, 7)]
+
+
+def test_matching_against_one_at_a_time(spark):
+    rng = random.Random(12)
+    words = ["use", "grpc", "redis", "cache", "friday", "决定", "部署", "é"]
+    row = lambda i: (rng.choice(["c", "d", "", None]), i, rng.choice(["t", " t", "u", "general", "", None]), " ".join(rng.choices(words, k=rng.randrange(0, 4))), rng.choice([True, False, None]), "decided")
+    expected, found = [row(i) for i in range(40)], [row(i) for i in range(45)]
+    taken, want = set(), {}
+    for chat, i, topic, summary, sug, _ in expected:
+        best, score = None, 0.0
+        for k, (chat2, j, topic2, summary2, sug2, _) in enumerate(found):
+            t, t2 = (topic or "").strip(), (topic2 or "").strip()
+            if k in taken or (chat and chat2 and chat != chat2) or (t and t2 and t2 != "general" and t != t2):
+                continue
+            s = overlap(summary, summary2)
+            if s >= (0.3 if bool(sug) == bool(sug2) else 0.45) and s > score:
+                best, score = k, s
+        if best is not None:
+            taken.add(best)
+            want[i] = found[best][1]
+    e, a = (spark.createDataFrame(rows, f"chat string, {n} long, topic string, summary string, suggestion boolean, status string").repartition(3) for rows, n in ((expected, "e"), (found, "a")))
+    m = evaluation.matched(e, a)
+    assert {r["l"]: r["r"] for r in m.collect()} == want
+    outcomes = [r["outcome"] for r in evaluation.judged(e, a, m).collect()]
+    assert (outcomes.count("tp"), outcomes.count("fn")) == (len(want), 40 - len(want))
+
+
 def test_segments_around_decisions(spark):
     rows = [("c", i, t, d) for i, (t, d) in enumerate([("x", False), ("x", True), ("x", False), ("x", False), ("y", False)])]
     out = windows.segments(spark.createDataFrame(rows, "k string, i int, topic string, decision boolean"), "k", ["i"], "topic", "decision")

@@ -7,6 +7,7 @@ topic, summary, suggestion, status. A chat is a session that people have labelle
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,7 +16,11 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.scores import precision_recall_f1, ratio
 from threadloom.functions.status import is_confirmed
-from threadloom.functions.text import character_overlap, token_overlap
+from threadloom.functions.text import bigram_jaccard, character_overlap, token_overlap
+from threadloom.functions.vector import dot, normalise
+from threadloom.operators.likeness import like_between
+from threadloom.operators.selection import values_at
+from threadloom.sources.scratch import written
 
 
 def greedy(pairs: DataFrame) -> DataFrame:
@@ -43,34 +48,103 @@ def greedy(pairs: DataFrame) -> DataFrame:
     return dealt.mapInPandas(settle, schema)
 
 
+def _sides(expected: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with chats and topics that are null where blank, and stripped summaries."""
+    clear = lambda c: F.nullif(F.trim(F.coalesce(c, F.lit(""))), F.lit(""))
+    chat = F.nullif(F.col("chat"), F.lit(""))
+    e = expected.select(chat.alias("chat"), F.col("e").alias("l"), clear(F.col("topic")).alias("et"), F.trim("summary").alias("es"), F.coalesce("suggestion", F.lit(False)).alias("eg"))
+    a = found.select(chat.alias("chat"), F.col("a").alias("r"), clear(F.col("topic")).alias("at"), F.trim("summary").alias("s"), F.coalesce("suggestion", F.lit(False)).alias("ag"))
+    return e, a.withColumn("wild", F.coalesce(F.col("at") == "general", F.lit(True)))
+
+
+def _enough(eg: str = "eg", ag: str = "ag") -> Column:
+    return F.when(F.col(eg) == F.col(ag), 0.3).otherwise(0.45)
+
+
 def candidates(expected: DataFrame, found: DataFrame) -> DataFrame:
-    """(chat, l, r, score): pairs of one chat and, but for found rows of the topic 'general' or none, of one topic whose summaries are alike enough.
+    """(chat, l, r, score): pairs of one chat and, but for rows without a topic and found rows of the topic 'general', of one topic whose summaries are alike enough.
 
-    0.3 is enough for two decisions or two suggestions, 0.45 for one of each.
+    0.3 is enough for two decisions or two suggestions, 0.45 for one of each. Topics and summaries are stripped.
     """
-    e = expected.select("chat", F.col("e").alias("l"), F.coalesce("topic", F.lit("")).alias("et"), F.col("summary").alias("es"), F.coalesce("suggestion", F.lit(False)).alias("eg"))
-    a = found.select("chat", F.col("a").alias("r"), F.coalesce("topic", F.lit("")).alias("at"), F.col("summary").alias("s"), F.coalesce("suggestion", F.lit(False)).alias("ag"))
-    wild = F.col("at").isin("", "general")
+    e, a = _sides(expected, found)
     # equal topics meet by a join on them; only rows without a topic of their own meet the whole chat
-    same = e.filter("et <> ''").join(a.filter(~wild), (e["chat"] == a["chat"]) & (F.col("et") == F.col("at"))).drop(a["chat"])
-    rest = e.join(a.filter(wild), "chat").unionByName(e.filter("et = ''").join(a.filter(~wild), "chat"))
-    pairs = same.select("chat", "l", "r", "es", "s", "eg", "ag").unionByName(rest.select("chat", "l", "r", "es", "s", "eg", "ag"))
-    scored = pairs.withColumn("score", F.round(character_overlap(F.trim("es"), F.trim("s")), 9))
-    return scored.filter(F.col("score") >= F.when(F.col("eg") == F.col("ag"), 0.3).otherwise(0.45)).select("chat", "l", "r", "score")
+    same = e.join(a.filter(~F.col("wild")).withColumnRenamed("at", "et"), ["chat", "et"])
+    rest = e.join(a.filter("wild"), "chat").drop("at").unionByName(e.filter("et IS NULL").join(a.filter(~F.col("wild")), "chat").drop("at"))
+    pairs = same.unionByName(rest)
+    scored = pairs.withColumn("score", F.round(character_overlap("es", "s"), 9))
+    return scored.filter(F.col("score") >= _enough()).select("chat", "l", "r", "score")
+
+
+def open_candidates(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """(chat, l, found_chat, r, score): the pairs in which one row has no chat; such a row may match one of any chat.
+
+    They are compared in tiles within a topic; what has no topic meets all.
+    """
+    e, a = _sides(expected, found)
+    chars = lambda c: F.transform(F.array_distinct(F.filter(F.split(F.lower(c), ""), lambda x: x != "")), lambda x: F.ascii(x).cast("long"))
+    topic = lambda c: F.concat(F.lit("t:"), F.col(c))
+    blocks = F.array_compact(F.array(topic("et"), F.lit("wild"), F.when(F.col("et").isNull(), F.lit("none"))))
+    own = e.select(F.explode(blocks).alias("block"), F.struct("chat", "l", "eg").alias("id"), chars(F.col("es")).alias("grams")).filter("size(grams) > 0")
+    blocks = F.when(F.col("wild"), F.array(F.lit("wild"))).otherwise(F.array(topic("at"), F.lit("none")))
+    other = a.select(F.explode(blocks).alias("block"), F.struct("chat", "r", "ag").alias("id"), chars(F.col("s")).alias("grams")).filter("size(grams) > 0")
+    lack, have = F.col("id.chat").isNull(), F.col("id.chat").isNotNull()
+    pairs = like_between(own.filter(lack), other, 0.29, True).unionByName(like_between(own.filter(have), other.filter(lack), 0.29, True))
+    scored = pairs.select("id.chat", "id.l", "id.eg", F.col("other.chat").alias("found_chat"), "other.r", "other.ag", F.round("similarity", 9).alias("score"))
+    return scored.filter(F.col("score") >= _enough()).select("chat", "l", "found_chat", "r", "score")
+
+
+def greedy_rounds(pairs: DataFrame) -> DataFrame:
+    """``greedy`` over pairs (l, r, score) that no chat parts: in each round every l that no earlier open one can disturb takes its best free r.
+
+    An l goes first if it is the first of all open ones that have its best r among their pairs.
+    The rounds are as many as the longest chain of ls that wait for each other.
+    """
+    open_, taken = written(pairs.select("l", "r", "score")), []
+    while not open_.isEmpty():
+        best = open_.groupBy("l").agg(F.min(F.struct((-F.col("score")).alias("s"), "r")).alias("b")).select("l", "b.r", (-F.col("b.s")).alias("score"))
+        first = open_.groupBy("r").agg(F.min("l").alias("first"))
+        settled = written(best.join(first, "r").filter("l = first").select("l", "r", "score"))
+        taken.append(settled)
+        open_ = written(open_.join(settled.select("l"), "l", "left_anti").join(settled.select("r"), "r", "left_anti"))
+    return reduce(DataFrame.unionByName, taken) if taken else open_
+
+
+def matched(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """(chat, l, found_chat, r, score): which found row each expected row gets, one to one, in the order of e.
+
+    While all rows have a chat, each chat is settled by itself. A row without one may match in any
+    chat, so then the order of all rows counts: that of e, of equal ones that of the chat, and of
+    equally good found rows the one of smaller a, then chat, is taken.
+    """
+    own = candidates(expected, found)
+    nameless = lambda df: df.filter("coalesce(chat, '') = ''").isEmpty()
+    if nameless(expected) and nameless(found):
+        return greedy(own).select("chat", "l", F.col("chat").alias("found_chat"), "r", "score")
+    pairs = own.select("chat", "l", F.col("chat").alias("found_chat"), "r", "score").unionByName(open_candidates(expected, found))
+    settled = greedy_rounds(pairs.select(F.struct("l", "chat").alias("l"), F.struct("r", F.col("found_chat").alias("chat")).alias("r"), "score"))
+    return settled.select("l.chat", "l.l", F.col("r.chat").alias("found_chat"), "r.r", "score")
 
 
 def judged(expected: DataFrame, found: DataFrame, matches: DataFrame) -> DataFrame:
-    """A row for each expected row (outcome tp or fn) and each found row that counts against (fp).
+    """A row for each expected row (outcome tp or fn) and each found row that counts against (fp), by the ``matched`` ones.
 
-    Suggestions, rows of a topic that is expected anywhere, and rows without a topic of their own don't count against.
+    Suggestions, rows of a topic that is expected anywhere, and rows without a topic of their own
+    don't count against. Topics are stripped.
     """
-    m = matches.select("chat", F.col("l").alias("e"), F.col("r").alias("a"))
-    own = expected.join(m, ["chat", "e"], "left").join(found.select("chat", "a", F.col("topic").alias("found_topic"), F.col("status").alias("found_status")), ["chat", "a"], "left")
-    hits = own.select("chat", "topic", "status", F.coalesce("suggestion", F.lit(False)).alias("suggestion"), F.when(F.col("a").isNull(), "fn").otherwise("tp").alias("outcome"), (F.col("topic") == F.col("found_topic")).alias("topic_right"), (F.col("status") == F.col("found_status")).alias("status_right"))
-    known = expected.filter("topic <> ''").select("topic").distinct()
-    extra = found.join(m.select("chat", "a"), ["chat", "a"], "left_anti").filter("NOT coalesce(suggestion, false) AND coalesce(topic, '') NOT IN ('', 'general', 'unknown')").join(known, "topic", "left_anti")
-    against = extra.select("chat", "topic", "status", F.lit(False).alias("suggestion"), F.lit("fp").alias("outcome"), F.lit(False).alias("topic_right"), F.lit(False).alias("status_right"))
-    return hits.unionByName(against)
+    blank = lambda c: F.nullif(c, F.lit(""))
+    topic = F.trim("topic").alias("topic")
+    m = written(matches.select(F.col("chat").alias("m_chat"), F.col("l").alias("m_e"), "found_chat", F.col("r").alias("m_a")))
+    e = expected.select("chat", "e", topic, "status", F.coalesce("suggestion", F.lit(False)).alias("suggestion"))
+    f = found.select(F.col("chat").alias("f_chat"), "a", topic, "status", F.coalesce("suggestion", F.lit(False)).alias("suggestion"))
+    hits = e.join(m, blank(F.col("chat")).eqNullSafe(F.col("m_chat")) & (F.col("e") == F.col("m_e")), "left")
+    theirs = f.select("f_chat", "a", F.col("topic").alias("found_topic"), F.col("status").alias("found_status"))
+    own = hits.join(theirs, blank(F.col("f_chat")).eqNullSafe(F.col("found_chat")) & (F.col("a") == F.col("m_a")), "left")
+    rows = own.select("chat", "topic", "status", "suggestion", F.when(F.col("m_e").isNull(), "fn").otherwise("tp").alias("outcome"), (F.col("topic") == F.col("found_topic")).alias("topic_right"), (F.col("status") == F.col("found_status")).alias("status_right"))
+    known = e.filter("topic <> ''").select("topic").distinct()
+    taken = f.join(m, blank(F.col("f_chat")).eqNullSafe(F.col("found_chat")) & (F.col("a") == F.col("m_a")), "left_anti")
+    extra = taken.filter("NOT suggestion AND coalesce(topic, '') NOT IN ('', 'general', 'unknown')").join(known, "topic", "left_anti")
+    against = extra.select(F.col("f_chat").alias("chat"), "topic", "status", F.lit(False).alias("suggestion"), F.lit("fp").alias("outcome"), F.lit(False).alias("topic_right"), F.lit(False).alias("status_right"))
+    return rows.unionByName(against)
 
 
 def _counts() -> list[Column]:
@@ -211,10 +285,59 @@ def assignment_errors(rows: DataFrame, outputs: DataFrame, expected: DataFrame)
 
 
 def best_matches(expected: DataFrame, found: DataFrame, key: str, least: float = 0.3) -> DataFrame:
-    """(e, a, score): the found row of the same key that is most alike to each expected row, whoever else takes it; the first among equals."""
-    pairs = expected.select("e", key, "summary").join(found.select("a", key, F.col("summary").alias("s")), key)
-    scored = pairs.select("e", "a", F.round(character_overlap("summary", "s"), 9).alias("score")).filter(F.col("score") >= least)
-    return scored.groupBy("e").agg(F.max_by(F.struct("a", "score"), F.struct("score", -F.col("a"))).alias("b")).select("e", "b.*")
+    """(a, e, score): the expected row (e, ``key``, topic, summary) that each found one (a, ``key``, summary and body) is most like, whoever else takes it; the first of equal ones.
+
+    The score is the higher of the bigram similarities of the summary and, times 0.7, of the body
+    with the expected summary; 0.15 more, up to 1, where the found text holds a character of the
+    expected topic, white space aside. Scores under ``least`` are no match.
+    """
+    body = F.col("body") if "body" in found.columns else F.lit("")
+    text = lambda c: F.coalesce(c, F.lit(""))
+    f = found.select("a", key, text(F.col("summary")).alias("s"), text(body).alias("b"))
+    pairs = f.join(expected.select("e", key, text(F.col("summary")).alias("es"), text(F.col("topic")).alias("topic")), key)
+    alike = F.greatest(bigram_jaccard("s", "es", False), 0.7 * bigram_jaccard("b", "es", False))
+    held = F.lower(F.concat_ws(" ", "s", "b"))
+    named = (F.col("s") != "") & F.exists(F.filter(F.split(F.lower(F.regexp_replace("topic", " ", "")), ""), lambda c: c != ""), lambda c: F.contains(held, c))
+    scored = pairs.select("a", "e", F.round(F.least(F.lit(1.0), alike + F.when(named, 0.15).otherwise(0.0)), 9).alias("score")).filter(F.col("score") >= least)
+    return scored.groupBy("a").agg(F.max_by(F.struct("e", "score"), F.struct("score", -F.col("e"))).alias("b")).select("a", "b.*")
+
+
+#: Scenarios and the measure that each is the base of.
+SCENARIOS = ["web_simple_extract", "web_fact_update", "web_stale_rejection", "web_cross_session", "web_multi_source_merge", "web_distractor_tolerance"]
+
+
+def scenario_matches(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """Expected rows (e, scenario, chat, topic, summary, effect_summary, effect, conflict) that have a scenario, with a: the first found row (a, chat, topic, summary) of the same chat and topic that is like the effect, or else the summary, and effect_met, whether it is like the effect.
+
+    Alike are texts that share 0.3 of the distinct characters of the richer one. Null chats and topics count as empty.
+    """
+    text = lambda c: F.coalesce(c, F.lit(""))
+    e = expected.filter("coalesce(scenario, '') NOT IN ('', 'unknown')")
+    e = e.withColumns({"chat": text(F.col("chat")), "topic": text(F.col("topic")), "wanted": F.coalesce(F.nullif("effect_summary", F.lit("")), text(F.col("summary")))})
+    f = found.select(text(F.col("chat")).alias("chat"), text(F.col("topic")).alias("topic"), "a", text(F.col("summary")).alias("s"))
+    pairs = e.select("e", "chat", "topic", "wanted").join(f, ["chat", "topic"]).filter(F.round(character_overlap("wanted", "s"), 9) >= 0.3)
+    best = pairs.groupBy("e").agg(F.min("a").alias("a"))
+    own = e.join(best, "e", "left").join(f.select(F.col("a"), F.col("s").alias("found_summary")), "a", "left")
+    return own.withColumn("effect_met", F.coalesce(F.round(character_overlap(text(F.col("effect_summary")), text(F.col("found_summary"))), 9) >= 0.3, F.lit(False)))
+
+
+def scenario_measures(matches: DataFrame) -> DataFrame:
+    """One row of the measures of ``scenario_matches``; a measure without a case is 0."""
+    hit, named = F.col("a").isNotNull(), lambda k: F.col("scenario") == k
+    clash = F.coalesce("conflict", F.lit(False))
+    share = lambda good, base: F.coalesce(F.try_divide(F.count_if(good & base), F.count_if(base)), F.lit(0.0))
+    noise = (F.coalesce("effect", F.lit("")).isin("no_change", "") & ~hit) | ((F.col("effect") == "new_decision") & hit)
+    return matches.agg(
+        share(hit, named(SCENARIOS[0])).alias("extraction_accuracy"),
+        share(hit & F.col("effect_met"), named(SCENARIOS[1])).alias("update_correctness"),
+        share(hit, clash).alias("conflict_detection_rate"),
+        F.lit(0.0).alias("conflict_detection_fpr"),  # nothing is ever counted as detected beyond the expected ones
+        share(hit, clash & hit).alias("conflict_resolution_accuracy"),
+        share(~hit, named(SCENARIOS[2])).alias("stale_consistency"),
+        share(hit, named(SCENARIOS[3])).alias("cross_session_recall"),
+        share(hit, named(SCENARIOS[4])).alias("merge_quality"),
+        share(F.coalesce(noise, F.lit(False)), named(SCENARIOS[5])).alias("noise_filter_ratio"),
+    )
 
 
 def token_matched(expected: DataFrame, found: DataFrame, key: str, least: float = 0.30) -> DataFrame:
@@ -249,13 +372,68 @@ def agreement(runs: DataFrame, key: list[str], value: str) -> DataFrame:
     return each.agg(F.count("*").alias("keys"), F.round(F.avg("same"), 9).alias("agreement"))
 
 
+def _at_ranks(values: DataFrame, key: str, value: str, ranks: dict[str, Column]) -> DataFrame:
+    """(key, one column for each of ``ranks``): the values at places that are given by expressions over n, the number of a key's values."""
+    sizes = values.filter(F.col(value).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    wanted = sizes.select(key, F.explode(F.map_from_arrays(F.array(*[F.lit(k) for k in ranks]), F.array(*[r.cast("long") for r in ranks.values()]))).alias("name", "rank"))
+    found = wanted.join(values_at(values, key, value, wanted.select(key, "rank")), [key, "rank"], "left")
+    return found.groupBy(key).agg(*[F.max(F.when(F.col("name") == k, F.col(value))).alias(k) for k in ranks])
+
+
 def query_report(results: DataFrame, by: str, value: str, right: str) -> DataFrame:
     """(group, n, match_rate, mean, p50, p95) over all and by group; percentiles are the values at floor(n * p), at most the last."""
-    both = results.select(F.explode(F.array(F.lit("all"), F.coalesce(F.col(by).cast("string"), F.lit("?")))).alias("group"), F.col(value).alias("v"), F.col(right).cast("double").alias("ok"))
-    w = W.partitionBy("group").orderBy("v")
-    ranked = both.withColumn("k", F.row_number().over(w) - 1).withColumn("size", F.count("*").over(W.partitionBy("group")))
-    at = lambda p: F.max(F.when(F.col("k") == F.least(F.floor(F.col("size") * p), F.col("size") - 1), F.col("v")))
-    return ranked.groupBy("group").agg(F.count("*").alias("n"), F.round(F.avg("ok"), 6).alias("match_rate"), F.round(F.avg("v"), 6).alias("mean"), at(0.5).alias("p50"), at(0.95).alias("p95"))
+    both = results.select(F.explode(F.array(F.lit("all"), F.coalesce(F.col(by).cast("string"), F.lit("?")))).alias("group"), F.col(value).cast("double").alias("v"), F.col(right).cast("double").alias("ok"))
+    each = both.groupBy("group").agg(F.count("*").alias("n"), F.round(F.avg("ok"), 6).alias("match_rate"), F.round(F.avg("v"), 6).alias("mean"))
+    at = lambda p: F.least(F.floor(F.col("n") * p), F.col("n") - 1)
+    return each.join(_at_ranks(both, "group", "v", {"p50": at(0.5), "p95": at(0.95)}), "group", "left").select("group", "n", "match_rate", "mean", "p50", "p95")
+
+
+def timings(rows: DataFrame, key: str, ms: str) -> DataFrame:
+    """(key, n, mean, median, p95, max, min, rate) of times in milliseconds: median and p95 at floor(n * p), p95 0 for fewer than 20; rate is rows a second of their sum, 0 if that is 0."""
+    v = rows.select(F.col(key), F.col(ms).cast("double").alias("v")).filter("v IS NOT NULL")
+    one = lambda c: F.round(c, 1)
+    each = v.groupBy(key).agg(F.count("*").alias("n"), one(F.avg("v")).alias("mean"), one(F.max("v")).alias("max"), one(F.min("v")).alias("min"), F.sum("v").alias("total"))
+    at = _at_ranks(v, key, "v", {"median": F.floor(F.col("n") / 2), "p95": F.floor(F.col("n") * 0.95)})
+    rate = F.when(F.col("total") > 0, F.round(F.col("n") / (F.col("total") / 1000), 2)).otherwise(0.0)
+    return each.join(at, key, "left").select(key, "n", "mean", one(F.col("median")).alias("median"), F.when(F.col("n") >= 20, one(F.col("p95"))).otherwise(0.0).alias("p95"), "max", "min", rate.alias("rate"))
+
+
+def memory_use(snapshots: DataFrame, key: str, order: list[str], rss: str) -> DataFrame:
+    """(key, snapshots, mean, peak, final) of memory in megabytes; final is the last in ``order``."""
+    one = lambda c: F.round(c, 1)
+    return snapshots.groupBy(key).agg(F.count("*").alias("snapshots"), one(F.avg(rss)).alias("mean"), one(F.max(rss)).alias("peak"), one(F.max_by(rss, F.struct(*order))).alias("final"))
+
+
+def separation(members: DataFrame, vectors: DataFrame, width: int) -> DataFrame:
+    """(level, topics, largest, per_topic, intra, inter, ratio) of clusters (level, id, cluster) of vectors (id, vector) of ``width`` components.
+
+    ``intra`` is the mean, over members with others in their cluster, of a member's mean cosine
+    distance to these, and ``inter`` that of its mean distance to all foreign members. Both come
+    from the clusters' sums of unit vectors: n members of sum S have a total similarity of
+    |S| ** 2. No pair of members is made.
+    """
+    unit = vectors.select("id", normalise(F.col("vector")).alias("u"))
+    joined = members.join(unit, "id")
+    total = lambda name: F.array(*[F.sum(F.col(name)[k]) for k in range(width)])
+    own = joined.groupBy("level", "cluster").agg(F.count("*").alias("n"), F.sum(dot(F.col("u"), F.col("u"))).alias("q"), total("u").alias("s"))
+    every = own.groupBy("level").agg(F.sum("n").alias("all_n"), total("s").alias("all_s"))
+    c = own.join(every, "level")
+    inside = dot(F.col("s"), F.col("s"))
+    across = dot(F.col("s"), F.col("all_s")) - inside
+    n, rest = F.col("n"), F.col("all_n") - F.col("n")
+    c = c.select("level", "n", F.when(n > 1, n - (inside - F.col("q")) / (n - 1)).alias("intra"), F.when(n > 1, n).alias("intra_n"), F.when(rest > 0, n - across / rest).alias("inter"), F.when(rest > 0, n).alias("inter_n"))
+    mean = lambda x: F.coalesce(F.try_divide(F.sum(x), F.sum(f"{x}_n")), F.lit(0.0))
+    level = c.groupBy("level").agg(F.count("*").alias("topics"), F.max("n").alias("largest"), (F.sum("n") / F.count("*")).alias("per_topic"), mean("intra").alias("intra"), mean("inter").alias("inter"))
+    four = lambda x: F.round(x, 4)
+    return level.select("level", "topics", "largest", four(F.col("per_topic")).alias("per_topic"), four(F.col("intra")).alias("intra"), four(F.col("inter")).alias("inter"), four(F.col("inter") / F.greatest(F.col("intra"), F.lit(1e-9))).alias("ratio"))
+
+
+def granularity(members: DataFrame, lengths: DataFrame, short: int = 3, long: int = 5) -> DataFrame:
+    """One row (n_short, n_long, short_level, long_level, difference): the mean finest level of members with few and with many messages (id, length)."""
+    finest = members.groupBy("id").agg(F.max("level").alias("level")).join(lengths, "id")
+    side = lambda test, name: [F.count_if(test).alias(f"n_{name}"), F.coalesce(F.round(F.avg(F.when(test, F.col("level"))), 2), F.lit(0.0)).alias(f"{name}_level")]
+    row = finest.agg(*side(F.col("length") <= short, "short"), *side(F.col("length") > long, "long"))
+    return row.select("n_short", "n_long", "short_level", "long_level", F.round(F.col("short_level") - F.col("long_level"), 2).alias("difference"))
 
 
 def purity(rows: DataFrame, cluster: str, topic: str) -> DataFrame:

@@ -27,8 +27,8 @@ RUN = 1024
 _COLUMNS = 2048
 
 
-def bigram_sets(df: DataFrame, id_col: str, block: str, text: str) -> DataFrame:
-    """(block, id, grams array<long>): the distinct pairs of neighbouring characters of the lower-cased, stripped text, each as a number.
+def bigram_sets(df: DataFrame, id_col: str, block: str, text: str, as_is: bool = False) -> DataFrame:
+    """(block, id, grams array<long>): the distinct pairs of neighbouring characters of the text, lower-cased and stripped unless ``as_is``, each as a number.
 
     Rows without a block or with fewer than two characters are left out.
     """
@@ -43,24 +43,40 @@ def bigram_sets(df: DataFrame, id_col: str, block: str, text: str) -> DataFrame:
             flat = np.concatenate(grams) if grams else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))], ["block", "id", "grams"])
 
-    given = df.select(F.col(block).alias("block"), F.col(id_col).alias("id"), F.lower(strip(F.col(text))).alias("t")).filter(F.col("block").isNotNull() & (F.length("t") >= 2))
+    given = df.select(F.col(block).alias("block"), F.col(id_col).alias("id"), (F.col(text) if as_is else F.lower(strip(F.col(text)))).alias("t")).filter(F.col("block").isNotNull() & (F.length("t") >= 2))
     kinds = {f.name: f.dataType.simpleString() for f in given.schema}
     return given.mapInArrow(pairs, f"block {kinds['block']}, id {kinds['id']}, grams array<long>")
 
 
-def _tiles(sets: DataFrame, least: float) -> DataFrame:
-    """(block, ca, cb, side, id, grams): the rows of every pair of runs whose sizes can be alike; a run that meets itself comes once, as side 0."""
+def _runs(sets: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """The rows with the run that each is in, and the runs with their least and largest size."""
     sized = sets.withColumn("n", F.size("grams")).filter("n > 0")
-    placed = written(sized.repartitionByRange("block", "n", "id").sortWithinPartitions("block", "n").withColumn("run", F.shiftright(F.monotonically_increasing_id(), RUN.bit_length() - 1)))
-    runs = placed.groupBy("block", "run").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    side = lambda x: runs.select("block", F.col("run").alias(f"c{x}"), F.col("lo").alias(f"lo_{x}"), F.col("hi").alias(f"hi_{x}"))
-    tiles = written(side("a").join(side("b"), "block").filter(f"ca <= cb AND hi_b >= {least} * lo_a AND hi_a >= {least} * lo_b").select("block", "ca", "cb"))
-    first = placed.join(tiles.withColumn("run", F.col("ca")), ["block", "run"]).withColumn("side", F.lit(0))
-    second = placed.join(tiles.filter("ca < cb").withColumn("run", F.col("cb")), ["block", "run"]).withColumn("side", F.lit(1))
-    return first.unionByName(second).select("block", "ca", "cb", "side", "id", "grams")
+    placed = written(sized.repartitionByRange("block", "n", "id").sortWithinPartitions("block", "n").withColumn(column, F.shiftright(F.monotonically_increasing_id(), RUN.bit_length() - 1)))
+    return placed, placed.groupBy("block", column).agg(F.min("n").alias(f"lo_{column}"), F.max("n").alias(f"hi_{column}"))
 
 
-def _compared(tile: pa.Table, least: float) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+def _tiles(sets: DataFrame, least: float, others: DataFrame | None = None) -> DataFrame:
+    """(block, ca, cb, side, id, grams): the rows of every pair of runs whose sizes can be alike, of ``sets`` or of ``sets`` and ``others``; a run that meets itself comes once, as side 0.
+
+    Ids of ``others``, which may be of another type, are in a column ``other``.
+    """
+    placed, runs = _runs(sets, "ca")
+    if others is None:
+        placed_b, runs_b = placed.withColumnRenamed("ca", "cb"), runs.withColumnsRenamed({"ca": "cb", "lo_ca": "lo_cb", "hi_ca": "hi_cb"})
+    else:
+        placed_b, runs_b = _runs(others, "cb")
+    near = f"hi_cb >= {least} * lo_ca AND hi_ca >= {least} * lo_cb" + (" AND ca <= cb" if others is None else "")
+    tiles = written(runs.join(runs_b, "block").filter(near).select("block", "ca", "cb"))
+    first = placed.join(tiles, ["block", "ca"]).withColumn("side", F.lit(0))
+    second = placed_b.join(tiles.filter("ca < cb") if others is None else tiles, ["block", "cb"]).withColumn("side", F.lit(1))
+    if others is not None:
+        second = second.withColumnRenamed("id", "other").withColumn("id", F.lit(None).cast(sets.schema["id"].dataType))
+        first = first.withColumn("other", F.lit(None).cast(others.schema["id"].dataType))
+    columns = ["block", "ca", "cb", "side", "id", *(["other"] if others is not None else []), "grams"]
+    return first.select(*columns).unionByName(second.select(*columns))
+
+
+def _compared(tile: pa.Table, least: float, of_larger: bool = False) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     """(ids of one side, of the other, row and column of each pair that is alike, its similarity)."""
     own = tile.filter(pc.equal(tile["side"], 0)).combine_chunks()
     other = tile.filter(pc.equal(tile["side"], 1)).combine_chunks()
@@ -83,9 +99,10 @@ def _compared(tile: pa.Table, least: float) -> tuple[pa.Array, pa.Array, np.ndar
             m[row[inside], column[inside] - c] = 1
             sides.append(m)
         shared += sides[0] @ sides[1].T
-    union = cells[0][2][:, None] + cells[1][2][None, :] - shared
+    x, y = cells[0][2][:, None], cells[1][2][None, :]
+    union = np.maximum(x, y) if of_larger else x + y - shared
     a, b = np.nonzero(np.triu(shared >= least * union, 1) if alone else shared >= least * union)
-    return own["id"].combine_chunks(), other["id"].combine_chunks(), a, b, shared[a, b] / union[a, b]
+    return own["id"].combine_chunks(), other["other" if "other" in other.column_names else "id"].combine_chunks(), a, b, shared[a, b] / union[a, b]
 
 
 def like_pairs(sets: DataFrame, least: float) -> DataFrame:
@@ -103,6 +120,18 @@ def like_pairs(sets: DataFrame, least: float) -> DataFrame:
     return found.select("block", F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"), "similarity")
 
 
+def like_between(sets: DataFrame, others: DataFrame, least: float, of_larger: bool = False) -> DataFrame:
+    """(block, id, other, similarity): pairs of a set and one of ``others``, both (block, id, grams), of one block with a similarity of ``least`` or more: Jaccard's, or what they share of the larger set."""
+    kinds = {f.name: f.dataType.simpleString() for f in sets.schema}
+    other = others.schema["id"].dataType.simpleString()
+
+    def compare(tile: pa.Table) -> pa.Table:
+        x, y, a, b, similarity = _compared(tile, least, of_larger)
+        return pa.table({"block": tile["block"].combine_chunks().take(pa.array(np.zeros(len(a), np.int64))), "id": x.take(pa.array(a)), "other": y.take(pa.array(b)), "similarity": pa.array(similarity)})
+
+    return _tiles(sets, least, others).groupBy("block", "ca", "cb").applyInArrow(compare, f"block {kinds['block']}, id {kinds['id']}, other {other}, similarity double")
+
+
 def like_counts(sets: DataFrame, least: float) -> DataFrame:
     """(block, id, links): how many sets of its block each set is like; those like none are absent. No pair leaves its tile."""
     kinds = {f.name: f.dataType.simpleString() for f in sets.schema}

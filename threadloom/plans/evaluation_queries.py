@@ -21,13 +21,13 @@ def _both(spark, sf_dir):
 
 def _judged(spark, sf_dir):
     e, a = _both(spark, sf_dir)
-    return E.judged(e, a, E.greedy(E.candidates(e, a)))
+    return E.judged(e, a, E.matched(e, a))
 
 
 def match_decisions(spark, sf_dir):
     """Which found decision every expected one gets, one to one, in order."""
     e, a = _both(spark, sf_dir)
-    return E.greedy(E.candidates(e, a)).select("chat", F.col("l").alias("e"), F.col("r").alias("a"), "score")
+    return E.matched(e, a).select("chat", F.col("l").alias("e"), F.col("r").alias("a"), "score")
 
 
 def match_metrics(spark, sf_dir):
@@ -112,9 +112,56 @@ def assignment_errors(spark, sf_dir):
 
 
 def best_matches(spark, sf_dir):
-    """The most similar found decision of each expected one's chat."""
+    """The expected decision of its chat that each found one, with its body, is most like."""
     e, a = _both(spark, sf_dir)
-    return E.best_matches(e, a, "chat", 0.5)
+    return E.best_matches(e, a.withColumn("body", F.concat(F.lit("We "), "summary", F.lit(", "), "topic")), "chat")
+
+
+def scenario_matches(spark, sf_dir):
+    """Which found decision meets each expected one of a web scenario."""
+    return E.scenario_matches(_scenarios(spark, sf_dir), _rows(spark, sf_dir, 1, "a")).select("e", "scenario", "a", "effect_met")
+
+
+def scenario_measures(spark, sf_dir):
+    """The measures of all web scenarios in one row."""
+    row = E.scenario_measures(E.scenario_matches(_scenarios(spark, sf_dir), _rows(spark, sf_dir, 1, "a")))
+    return row.select(*[F.round(c, 6).alias(c) for c in row.columns])
+
+
+def _scenarios(spark, sf_dir):
+    """An expected row of a scenario for each third order; effects of every fourth, conflicts of every fifth."""
+    k = F.col("e")
+    scenario = F.element_at(F.array(*[F.lit(x) for x in [*E.SCENARIOS, "unknown", ""]]), (k % 8 + 1).cast("int"))
+    effect = F.when(k % 4 == 0, F.concat(F.lit("drop "), F.col("topic"))).otherwise("")
+    return _rows(spark, sf_dir, 0, "e").select("e", scenario.alias("scenario"), "chat", "topic", "summary", effect.alias("effect_summary"), F.when(k % 7 < 3, "new_decision").when(k % 7 < 6, "no_change").otherwise("").alias("effect"), (k % 5 == 0).alias("conflict"))
+
+
+def timings(spark, sf_dir):
+    """Times of events by their kind."""
+    return E.timings(read(spark, sf_dir, "events"), "event_type", "value")
+
+
+def memory_use(spark, sf_dir):
+    """Prices of orders as memory, by state, in the order of their dates."""
+    return E.memory_use(read(spark, sf_dir, "orders"), "o_orderstatus", ["o_orderdate", "o_orderkey"], "o_totalprice")
+
+
+def _levels(spark, sf_dir):
+    """Vectors in clusters of three levels: all, labels, and thirds of labels."""
+    v = read(spark, sf_dir, "embeddings").filter("label IS NOT NULL")
+    cluster = F.array(F.lit(0).cast("long"), F.col("label").cast("long"), (F.col("label") * 3 + F.col("vec_id") % 3).cast("long"))
+    return v.select(F.col("vec_id").alias("id"), F.posexplode(cluster).alias("level", "cluster"))
+
+
+def cluster_separation(spark, sf_dir):
+    """Distances within and between clusters on three levels."""
+    return E.separation(_levels(spark, sf_dir), read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 64)
+
+
+def cluster_granularity(spark, sf_dir):
+    """How deep vectors of few and of many messages go."""
+    members = _levels(spark, sf_dir).filter("level < 2 OR id % 4 > 0")
+    return E.granularity(members, read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), (F.col("vec_id") % 9).alias("length")))
 
 
 def token_matches(spark, sf_dir):
@@ -189,7 +236,7 @@ QUERIES = {
     for f in (
         match_decisions, match_metrics, match_by_topic, match_by_chat, match_misses, chat_isolation, recall_decay, recall_half_life, noise_robustness, strict_outcomes, strict_metrics,
         strict_unmatched, assignment_errors, best_matches, token_matches, merged_reports, repeated_runs, class_scores, run_agreement, query_report, cluster_purity, stratified_split,
-        evaluation_gates, label_coverage, manifest_overlap,
+        evaluation_gates, label_coverage, manifest_overlap, scenario_matches, scenario_measures, timings, memory_use, cluster_separation, cluster_granularity,
     )
 }
 
@@ -198,6 +245,7 @@ e AS (SELECT * EXCLUDE k, k AS e FROM b WHERE k % 3 = 0),
 a AS (SELECT chat, k AS a, CASE WHEN k % 11 = 0 THEN 'general' WHEN k % 13 = 0 THEN 'extra' ELSE topic END AS topic, summary, suggestion, status FROM b WHERE k % 3 = 1)"""
 _SIM = "CAST(round(len(list_intersect({x}, {y})) / greatest(len({x}), len({y})), 9) AS DOUBLE)"
 _CHARS = "list_distinct(string_split(lower({s}), ''))"
+_GRAMS = "list_distinct([lower({s})[i : i + 1] FOR i IN range(1, length({s}))])"
 _GREEDY = f"""WITH RECURSIVE {_ROWS},
 p AS (SELECT e.chat, e.e, a.a, {_SIM.format(x=_CHARS.format(s='e.summary'), y=_CHARS.format(s='a.summary'))} AS score, e.suggestion = a.suggestion AS same FROM e JOIN a ON a.chat = e.chat AND (a.topic = 'general' OR a.topic = e.topic)),
 q AS (SELECT * FROM p WHERE score >= CASE WHEN same THEN 0.3 ELSE 0.45 END),
@@ -238,6 +286,12 @@ CASE WHEN NOT ok THEN '' WHEN g.e IS NOT NULL THEN 'm' || g.e WHEN v.a = 3 AND v
 CASE WHEN NOT ok THEN 'missing_or_invalid_evidence' WHEN g.e IS NOT NULL THEN 'exact_source_match' WHEN v.a < 3 THEN 'invalid' WHEN v.k % 3 = 0 AND NOT (v.k % 6 = 0 AND u.two = 0) THEN 'duplicate_or_unknown_match' WHEN v.k % 3 = 0 THEN 'match_gt' WHEN v.k % 3 = 1 THEN 'valid_extra' ELSE 'invalid' END AS reason
 FROM v JOIN g ON g.k = v.k AND g.a = v.a JOIN u ON u.k = v.k)"""
 
+_SCENES = f"""WITH {_ROWS}, x AS (SELECT e, ['web_simple_extract', 'web_fact_update', 'web_stale_rejection', 'web_cross_session', 'web_multi_source_merge', 'web_distractor_tolerance', 'unknown', ''][e % 8 + 1] AS scenario, chat, topic, summary,
+CASE WHEN e % 4 = 0 THEN 'drop ' || topic ELSE '' END AS effect_summary, CASE WHEN e % 7 < 3 THEN 'new_decision' WHEN e % 7 < 6 THEN 'no_change' ELSE '' END AS effect, e % 5 = 0 AS conflict FROM e),
+w AS (SELECT *, CASE WHEN effect_summary <> '' THEN effect_summary ELSE summary END AS wanted FROM x WHERE scenario NOT IN ('', 'unknown')),
+h AS (SELECT w.e, min(a.a) AS a FROM w JOIN a ON a.chat = w.chat AND a.topic = w.topic WHERE {_SIM.format(x=_CHARS.format(s="w.wanted"), y=_CHARS.format(s="a.summary"))} >= 0.3 GROUP BY w.e),
+m AS (SELECT w.*, a.a, coalesce(w.effect_summary <> '' AND {_SIM.format(x=_CHARS.format(s="w.effect_summary"), y=_CHARS.format(s="a.summary"))} >= 0.3, false) AS effect_met FROM w LEFT JOIN h ON h.e = w.e LEFT JOIN a ON a.a = h.a)"""
+
 ORACLE = {
     "match_decisions": _GREEDY + " SELECT chat, e, a, score FROM m",
     "match_metrics": _JUDGED
@@ -261,8 +315,33 @@ SELECT (SELECT round(avg(CASE WHEN o_orderkey % 7 = 0 THEN 1e0 ELSE 0e0 END), 4)
 w AS (SELECT *, (SELECT count(*) FROM x) - tp AS fn FROM t) SELECT tp, fp, fn, valid_extra, evidence_invalid, {_prf()} FROM w""",
     "strict_unmatched": _STRICT + " SELECT 'c' || k AS chat, 'm' || e AS msg_id, CAST(e AS INT) AS e FROM x WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.chat = 'c' || x.k AND r.matched = 'm' || x.e)",
     "assignment_errors": "SELECT 'unknown output' AS error, count(*) AS n FROM orders WHERE o_orderkey % 9 = 0 HAVING count(*) > 0 UNION ALL SELECT 'unknown row', count(*) FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 6 <> 0 HAVING count(*) > 0",
-    "best_matches": f"""WITH {_ROWS}, p AS (SELECT e.e, a.a, {_SIM.format(x=_CHARS.format(s='e.summary'), y=_CHARS.format(s='a.summary'))} AS score FROM e JOIN a ON a.chat = e.chat)
-SELECT e, a, score FROM p WHERE score >= 0.5 QUALIFY row_number() OVER (PARTITION BY e ORDER BY score DESC, a) = 1""",
+    "best_matches": f"""WITH {_ROWS}, g AS (SELECT 'e' || e AS k, {_GRAMS.format(s="summary")} AS g FROM e UNION ALL SELECT 'a' || a, {_GRAMS.format(s="summary")} FROM a UNION ALL SELECT 'b' || a, {_GRAMS.format(s="'We ' || summary || ', ' || topic")} FROM a),
+p AS (SELECT e.e, a.a, x.g AS eg, y.g AS ag, z.g AS bg, len(list_intersect(string_split(lower(replace(e.topic, ' ', '')), ''), string_split(lower(a.summary || ' ' || 'We ' || a.summary || ', ' || a.topic), ''))) > 0 AS named
+FROM e JOIN a ON a.chat = e.chat JOIN g x ON x.k = 'e' || e.e JOIN g y ON y.k = 'a' || a.a JOIN g z ON z.k = 'b' || a.a),
+s AS (SELECT e, a, round(least(1e0, greatest(len(list_intersect(eg, ag)) / len(list_distinct(list_concat(eg, ag))), 0.7e0 * (len(list_intersect(eg, bg)) / len(list_distinct(list_concat(eg, bg))))) + CASE WHEN named THEN 0.15e0 ELSE 0 END), 9) AS score FROM p)
+SELECT a, e, score FROM s WHERE score >= 0.3 QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, e) = 1""",
+    "scenario_matches": _SCENES + " SELECT e, scenario, a, effect_met FROM m",
+    "scenario_measures": _SCENES + f""" SELECT {_R.format(p="count(a) FILTER (WHERE scenario = 'web_simple_extract')", q="count(*) FILTER (WHERE scenario = 'web_simple_extract')", k=6)} AS extraction_accuracy,
+{_R.format(p="count(a) FILTER (WHERE scenario = 'web_fact_update' AND effect_met)", q="count(*) FILTER (WHERE scenario = 'web_fact_update')", k=6)} AS update_correctness,
+{_R.format(p="count(a) FILTER (WHERE conflict)", q="count(*) FILTER (WHERE conflict)", k=6)} AS conflict_detection_rate, 0e0 AS conflict_detection_fpr,
+CASE WHEN count(a) FILTER (WHERE conflict) > 0 THEN 1e0 ELSE 0e0 END AS conflict_resolution_accuracy,
+{_R.format(p="count(*) FILTER (WHERE scenario = 'web_stale_rejection' AND a IS NULL)", q="count(*) FILTER (WHERE scenario = 'web_stale_rejection')", k=6)} AS stale_consistency,
+{_R.format(p="count(a) FILTER (WHERE scenario = 'web_cross_session')", q="count(*) FILTER (WHERE scenario = 'web_cross_session')", k=6)} AS cross_session_recall,
+{_R.format(p="count(a) FILTER (WHERE scenario = 'web_multi_source_merge')", q="count(*) FILTER (WHERE scenario = 'web_multi_source_merge')", k=6)} AS merge_quality,
+{_R.format(p="count(*) FILTER (WHERE scenario = 'web_distractor_tolerance' AND CASE WHEN effect = 'new_decision' THEN a IS NOT NULL ELSE a IS NULL END)", q="count(*) FILTER (WHERE scenario = 'web_distractor_tolerance')", k=6)} AS noise_filter_ratio FROM m""",
+    "timings": """WITH k AS (SELECT event_type, CAST(value AS DOUBLE) AS v, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
+SELECT event_type, count(*) AS n, round(avg(v), 1) AS mean, round(max(v) FILTER (WHERE k = n // 2), 1) AS median, CASE WHEN count(*) >= 20 THEN round(max(v) FILTER (WHERE k = floor(n * 0.95)), 1) ELSE 0e0 END AS p95, round(max(v), 1) AS max, round(min(v), 1) AS min,
+CASE WHEN sum(v) > 0 THEN round(count(*) / (sum(v) / 1000), 2) ELSE 0e0 END AS rate FROM k GROUP BY event_type""",
+    "memory_use": "SELECT o_orderstatus, count(*) AS snapshots, round(avg(o_totalprice), 1) AS mean, round(max(o_totalprice), 1) AS peak, round(arg_max(o_totalprice, (o_orderdate, o_orderkey)), 1) AS final FROM orders GROUP BY o_orderstatus",
+    "cluster_separation": """WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, label, unnest([0, 1, 2]) AS level FROM embeddings WHERE label IS NOT NULL),
+m AS (SELECT id, v, level, CASE level WHEN 0 THEN 0 WHEN 1 THEN label ELSE label * 3 + id % 3 END AS c FROM v),
+d AS (SELECT a.level, a.id, a.c = b.c AS own, avg(1 - list_cosine_similarity(a.v, b.v)) AS d FROM m a JOIN m b ON a.level = b.level AND a.id <> b.id GROUP BY ALL),
+z AS (SELECT level, count(DISTINCT c) AS topics FROM m GROUP BY level), y AS (SELECT level, max(n) AS largest, sum(n) / count(*) AS per_topic FROM (SELECT level, c, count(*) AS n FROM m GROUP BY ALL) GROUP BY level),
+x AS (SELECT level, coalesce(avg(d) FILTER (WHERE own), 0) AS intra, coalesce(avg(d) FILTER (WHERE NOT own), 0) AS inter FROM d GROUP BY level)
+SELECT level, topics, largest, round(per_topic, 4) AS per_topic, round(intra, 4) AS intra, round(inter, 4) AS inter, round(inter / greatest(intra, 1e-9), 4) AS ratio FROM x JOIN y USING (level) JOIN z USING (level)""",
+    "cluster_granularity": """WITH m AS (SELECT vec_id AS id, vec_id % 9 AS l, CASE WHEN vec_id % 4 > 0 THEN 2 ELSE 1 END AS level FROM embeddings WHERE label IS NOT NULL),
+s AS (SELECT count(*) FILTER (WHERE l <= 3) AS n_short, count(*) FILTER (WHERE l > 5) AS n_long, coalesce(round(avg(level) FILTER (WHERE l <= 3), 2), 0) AS short_level, coalesce(round(avg(level) FILTER (WHERE l > 5), 2), 0) AS long_level FROM m)
+SELECT *, round(short_level - long_level, 2) AS difference FROM s""",
     "token_matches": f"""WITH {_ROWS}, t AS (SELECT 'e' AS side, chat, e AS id, list_distinct(list_concat(regexp_extract_all(lower(summary), '[a-z][a-z0-9]*'), regexp_extract_all(lower(summary), '[0-9]+'))) AS t FROM e UNION ALL SELECT 'a', chat, a, list_distinct(list_concat(regexp_extract_all(lower(summary), '[a-z][a-z0-9]*'), regexp_extract_all(lower(summary), '[0-9]+'))) FROM a)
 SELECT DISTINCT x.id AS e FROM t x JOIN t y ON x.side = 'e' AND y.side = 'a' AND x.chat = y.chat WHERE round(len(list_intersect(x.t, y.t)) / least(len(x.t), len(y.t)), 9) >= 0.8""",
     "merged_reports": f"""WITH r AS (SELECT c_custkey % 7 AS tp, c_custkey % 5 AS fp, c_custkey % 3 AS fn FROM customer), f AS (SELECT *, {_R.format(p='2 * tp', q='2 * tp + fp + fn', k=9)} AS f FROM r),
