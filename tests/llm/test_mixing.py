@@ -76,7 +76,7 @@ def brute_prefix(rows, rest, whole, seed):
     key = lambda r: (hashlib.md5(f"{seed}:{whole}:{'?' if r[0] is None else r[0]}".encode()).hexdigest(), r[0] is not None, r[0] or 0, r[1] is not None, hashlib.md5((r[1] or "").encode()).hexdigest())
     used, taken = 0, []
     for r in sorted(rows, key=key):
-        if used < rest:
+        if used < rest and used + len(words(r[1])) / 2 <= rest:
             taken.append(r)
         used += len(words(r[1]))
     return taken
@@ -110,6 +110,20 @@ def test_prefixes(spark, monkeypatch, epochs, share):
     assert mixing.repeated(mixing.mix(docs, share=share, epochs=epochs, seed=4), ["doc_id"]).count() == sum(want.values())
 
 
+def test_leaves_miss_their_budgets_by_half_a_document(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = mixing.mix(docs, share=0.6, seed=3).collect()
+    longest, got, budget = {}, {}, {}
+    for r in docs.collect():
+        leaf = (f"domain{int(r['source'][3:]) % 4}" if r["source"] else "other", r["lang"] or "?", r["source"] or "?")
+        longest[leaf] = max(longest.get(leaf, 0), len(words(r["text"])))
+    for r in rows:
+        leaf = (r["_domain"], r["_lang"], r["_source"])
+        got[leaf], budget[leaf] = got.get(leaf, 0) + r["_tokens"] * r["_copies"], r["_leaf_budget"]
+    assert all(abs(got[leaf] - budget[leaf]) <= longest[leaf] / 2 + 1e-6 for leaf in got)
+    assert abs(sum(got.values()) - sum(budget.values())) < 0.05 * sum(budget.values())
+
+
 def test_empty(spark):
     assert mixing.mix(empty(spark)).count() == 0
 

@@ -84,9 +84,11 @@ def mix(docs: DataFrame, budget: float | None = None, share: float = 0.5, weight
 
     Tokens are words at ASCII white space. ``budget`` is in tokens (by default ``share`` of
     all); no document is taken more than ``epochs`` times. A leaf with a budget of q supplies
-    and a rest takes each document q times and, once more, those that begin before the rest is
-    used up in the order of md5(seed, epoch, doc_id). So a leaf passes its budget by less than
-    a document. Documents without words cost nothing and go with the prefix they stand in.
+    and a rest takes each document q times and, once more, a prefix of them in the order of
+    md5(seed, epoch, doc_id): the documents that the rest has room for, and the one that crosses
+    its end if at least half of it lies within. So a leaf misses its budget by half a document
+    at most, on either side, and the errors of many leaves offset each other.
+    Documents without words cost nothing and go with the prefix they stand in.
 
     Null languages and sources are a value of their own ('?'). Equal rows are ordered by their
     text's digest, so repeated rows count each. An empty table gives no rows. Columns of the
@@ -125,7 +127,7 @@ def mix(docs: DataFrame, budget: float | None = None, share: float = 0.5, weight
     inside = W.partitionBy(*path).orderBy("key", "doc_id", "digest").rowsBetween(W.unboundedPreceding, -1)
     at_cut = near.filter(F.col("bucket") == F.col("cut.bucket")).withColumn("digest", F.md5("text")).withColumn("tokens", tokens)
     at_cut = at_cut.withColumn("begin", F.col("cut.before") + F.coalesce(F.sum("tokens").over(inside), F.lit(0)))
-    mixed = elsewhere.select(*out(F.col("whole") + whole_in.cast("int"))).unionByName(at_cut.select(*out(F.col("whole") + (F.col("begin") < F.col("rest")).cast("int"))))
+    mixed = elsewhere.select(*out(F.col("whole") + whole_in.cast("int"))).unionByName(at_cut.select(*out(F.col("whole") + ((F.col("begin") < F.col("rest")) & (F.col("begin") + F.col("tokens") / 2 <= F.col("rest"))).cast("int"))))
     return mixed.filter("_copies > 0")
 
 
