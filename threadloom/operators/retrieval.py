@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from threadloom.functions.text import bigram_jaccard, bigrams, strip
 from threadloom.functions.vector import cosine
 from threadloom.operators.likeness import bigram_sets, like_pairs
-from threadloom.operators.search import top_each
+from threadloom.operators.search import nearest_each, top_each
 
 
 def fused(signals: dict[str, DataFrame], most: int, k: int = 60) -> DataFrame:
@@ -73,14 +73,11 @@ def diverse(found: DataFrame, limit: float = 0.85) -> DataFrame:
 
 
 def layered(queries: DataFrame, layers: dict[str, tuple[DataFrame, int]]) -> DataFrame:
-    """(query_id, layer, id, score): the nearest rows (id, vector) of each layer to queries (query_id, probe), as many as the layer says.
-
-    queries: a stated set that is broadcast.
-    """
+    """(query_id, layer, id, score): the nearest rows (id, vector) of each layer to queries (id, vector), as many as the layer says; a row of the query's own id counts too."""
     found = []
     for name, (rows, most) in layers.items():
-        scored = rows.join(F.broadcast(queries)).select("query_id", "id", F.round(cosine("vector", "probe"), 9).alias("score"))
-        found.append(top_each(scored, most).select("query_id", F.lit(name).alias("layer"), F.col("id").cast("long").alias("id"), "score"))
+        near = nearest_each(rows, queries, most, itself=True)
+        found.append(near.select("query_id", F.lit(name).alias("layer"), "id", "score"))
     return reduce(DataFrame.unionByName, found)
 
 

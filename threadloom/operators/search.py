@@ -93,8 +93,8 @@ def nearness(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return -np.abs(x - q.T)
 
 
-def nearest_each(rows: DataFrame, queries: DataFrame, k: int, score: Callable[[np.ndarray, np.ndarray], np.ndarray] = cosines) -> DataFrame:
-    """The k best (query_id, id, score, rank0) of each query among all rows but itself, scores to 9 places, ties by id.
+def nearest_each(rows: DataFrame, queries: DataFrame, k: int, score: Callable[[np.ndarray, np.ndarray], np.ndarray] = cosines, itself: bool = False) -> DataFrame:
+    """The k best (query_id, id, score, rank0) of each query among all rows, but for the one of its own id unless ``itself``, scores to 9 places, ties by id.
 
     rows, queries: (id, vector). Queries are broadcast in blocks of QUERIES_PER_PASS; a task
     scores its rows against a block and keeps its k best for each query. Rows and queries of a
@@ -114,7 +114,8 @@ def nearest_each(rows: DataFrame, queries: DataFrame, k: int, score: Callable[[n
                 for at in range(0, len(batch), step):
                     own, vectors = batch.column(0)[at : at + step].to_numpy(), batch.column(1)[at : at + step]
                     s = np.round(score(vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1), q), 9).T
-                    s[own == asked[:, None]] = -np.inf
+                    if not itself:
+                        s[own == asked[:, None]] = -np.inf
                     ids, best = np.concatenate([ids, np.broadcast_to(own, s.shape)], 1), np.concatenate([best, s], 1)
                     order = np.lexsort((ids, -best))[:, :k]
                     ids, best = np.take_along_axis(ids, order, 1), np.take_along_axis(best, order, 1)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadloom.functions import status as S
-from threadloom.operators import dedup, lifecycle
+from threadloom.operators import dedup, intake, lifecycle
 from threadloom.plans.base import DECISIONS, RELATIONS, decisions, read, relations, sql_list
 
 _KINDS = ["CREATE", "UPDATE", "STATUS_CHANGE", "UPDATE", "OBJECTION", "STATUS_CHANGE", "DEPRECATE", "REVERT", "GUESS"]
@@ -47,9 +48,11 @@ def changed_decisions(spark, sf_dir):
 
 
 def change_history(spark, sf_dir):
-    """The newest changes of some decisions, with their versions."""
-    log = changes(spark, sf_dir).filter("sid IN ('d1', 'd2', 'd3', 'd5')")
-    return lifecycle.versions(log, log.select("sid", F.lit(3).alias("version")).distinct()).orderBy(F.desc("ts"), "sid", "seq").limit(10).select("sid", "seq", "kind", F.col("version").cast("long").alias("version"))
+    """The ten newest changes of every decision, with their versions."""
+    log = changes(spark, sf_dir)
+    numbered = lifecycle.versions(log, log.select("sid", F.lit(3).alias("version")).distinct())
+    newest = numbered.withColumn("place", F.row_number().over(W.partitionBy("sid").orderBy(F.desc("ts"), "seq")))
+    return newest.filter("place <= 10").select("sid", "seq", "kind", F.col("version").cast("long").alias("version"), F.col("place").cast("long").alias("place"))
 
 
 def first_states(spark, sf_dir):
@@ -133,10 +136,27 @@ def similar_documents(spark, sf_dir):
     return dedup.similar_classes(d, "doc_id", "source", "text", 0.7)
 
 
+def taken_in(spark, sf_dir):
+    """What becomes of every tenth order as a new decision among the others, with verdicts on some pairs; topics are customers."""
+    o = read(spark, sf_dir, "orders").withColumn("k", F.col("o_orderkey"))
+    k, text = F.col("k"), lambda c: F.md5(c.cast("string"))
+    rows = o.select(
+        k, F.concat(F.lit("d"), F.when(k % 70 == 0, k - 1).otherwise(k).cast("string")).alias("sid"), F.lit("p").alias("project"), F.concat(F.lit("t"), F.col("o_custkey").cast("string")).alias("topic"),
+        F.lit("").alias("title"), F.concat(text(k % 40), F.when(k % 3 == 0, text(k % 11)).otherwise("")).alias("summary"), F.when(k % 4 > 0, text(k % 23)).otherwise("").alias("full_text"),
+        F.element_at(F.array(*[F.lit(x) for x in S.STATUSES]), (k % len(S.STATUSES) + 1).cast("int")).alias("status"), F.lit("minor").alias("impact_level"), (k % 100 / 100.0).alias("confidence"), F.array((k % 5).cast("string")).alias("tags"),
+    )
+    new, old = rows.filter("k % 10 = 0").withColumnRenamed("k", "seq"), rows.filter("k % 10 > 0").withColumnRenamed("k", "ord").withColumn("version", F.lit(1))
+    other = old.select(F.col("sid").alias("other"), "topic", F.col("ord").alias("o"))
+    pairs = new.select("sid", "topic", "seq").join(other, "topic").filter("(seq + o) % 3 = 0")
+    action = F.when((F.col("seq") + F.col("o")) % 4 == 0, "skip").when((F.col("seq") + F.col("o")) % 4 == 1, "update").otherwise("conflict")
+    verdicts = pairs.select("sid", "other", action.alias("action"), F.concat(F.lit("see "), "other").alias("info"))
+    return intake.take_in(new, old, verdicts).outcomes.select("seq", "sid", "outcome", "target", F.col("wave").cast("long").alias("wave"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        change_audit, changed_decisions, change_history, first_states, decision_objections, decisions_created_by, merged_tables, access_scores, duplicate_decisions, merged_duplicates,
+        taken_in, change_audit, changed_decisions, change_history, first_states, decision_objections, decisions_created_by, merged_tables, access_scores, duplicate_decisions, merged_duplicates,
         promoted_decisions, consolidation_report, settled_conflicts, kept_conflicts, similar_documents,
     )
 }
@@ -162,7 +182,7 @@ ORACLE = {
 w AS (SELECT *, kind IN ('CREATE', 'UPDATE') AS wr, CASE WHEN kind = 'DEPRECATE' THEN 'deprecated' WHEN kind = 'REVERT' THEN 'pending' WHEN kind = 'CREATE' AND status = '' THEN 'pending' WHEN kind IN ('CREATE', 'UPDATE', 'STATUS_CHANGE') THEN status END AS st FROM v)
 SELECT sid, arg_max(title, seq) FILTER (WHERE wr AND title <> '') AS title, arg_max(summary, seq) FILTER (WHERE wr AND summary <> '') AS summary, arg_max(full_text, seq) FILTER (WHERE wr AND full_text IS NOT NULL) AS full_text, arg_max(impact_level, seq) FILTER (WHERE wr AND impact_level = 'major') AS impact_level,
 arg_max(st, seq) FILTER (WHERE st <> '') AS status, arg_max(confidence, seq) FILTER (WHERE wr) AS confidence, 1 + count(*) FILTER (WHERE kind = 'UPDATE') AS version, count(*) FILTER (WHERE kind = 'OBJECTION') AS n_objections, strftime(min(ts), '%Y-%m-%d') AS created, strftime(max(ts), '%Y-%m-%d') AS updated FROM w GROUP BY sid""",
-    "change_history": f"WITH {_LOG} SELECT sid, seq, kind, row_number() OVER (PARTITION BY sid ORDER BY seq) + 3 AS version FROM c WHERE sid IN ('d1', 'd2', 'd3', 'd5') ORDER BY ts DESC, sid, seq LIMIT 10",
+    "change_history": f"WITH {_LOG}, n AS (SELECT sid, seq, kind, ts, row_number() OVER (PARTITION BY sid ORDER BY seq) + 3 AS version FROM c) SELECT sid, seq, kind, version, row_number() OVER (PARTITION BY sid ORDER BY ts DESC, seq) AS place FROM n QUALIFY place <= 10",
     "first_states": f"WITH {_LOG} SELECT sid, status, strftime(min(ts), '%Y-%m-%d') AS first FROM c WHERE status NOT IN ('', 'lost') GROUP BY ALL",
     "decision_objections": f"WITH {_LOG} SELECT 'obj_' || sid || '_' || seq AS oid, sid, summary AS content, coalesce(author, 'unknown') AS author FROM z WHERE rejected IS NULL AND kind = 'OBJECTION'",
     "decisions_created_by": f"WITH {DECISIONS} SELECT sid, status FROM d WHERE created_at <= TIMESTAMP '1997-06-01'",

@@ -67,9 +67,9 @@ def changes_before(spark, sf_dir):
 
 
 def message_evidence(spark, sf_dir):
-    """The turn that best backs what a conversation's last assistant turn begins with."""
+    """The turn that best backs what a conversation's last assistant turn says."""
     c = read(spark, sf_dir, "conversations").filter("turn IS NOT NULL").select(F.col("conv_id").alias("chat"), F.col("turn").alias("id"), "role", F.coalesce("text", F.lit("")).alias("text"))
-    d = c.filter("role = 'assistant'").groupBy("chat").agg(F.max(F.struct("id", "text")).alias("l")).select(F.concat(F.lit("s"), F.col("chat").cast("string")).alias("sid"), "chat", F.substring("l.text", 1, 60).alias("summary"))
+    d = c.filter("role = 'assistant'").groupBy("chat").agg(F.max(F.struct("id", "text")).alias("l")).select(F.concat(F.lit("s"), F.col("chat").cast("string")).alias("sid"), "chat", F.col("l.text").alias("summary"))
     return context.best_evidence(d, c).select("sid", F.col("id").cast("long").alias("id"), "score")
 
 
@@ -77,7 +77,7 @@ def file_bridges(spark, sf_dir):
     """Pages as files, bridged to words of a conversation."""
     p = read(spark, sf_dir, "pages")
     path = F.concat(F.coalesce("url", F.lit("")), F.lit("f"), F.element_at(F.array(*[F.lit(x) for x in (".py", ".md", ".go", ".png", "")]), (F.col("page_id") % 5 + 1).cast("int")))
-    files = p.select(path.alias("path"), T.language_of(path).alias("language"), F.substring("html", 1, 400).alias("diff"))
+    files = p.select(path.alias("path"), T.language_of(path).alias("language"), F.col("html").alias("diff"))
     return context.bridges(files, ["zzz", "Go", "Markdown", "nav", "7"])
 
 
@@ -218,12 +218,12 @@ SELECT a.user_id AS chat, epoch_us(a.ts) AS moment, count(b.event_id) AS n FROM
 WHERE a.event_type <> 'purchase' GROUP BY a.event_id, a.user_id, a.ts""",
     "message_evidence": r"""
 WITH c AS (SELECT conv_id AS chat, turn AS id, role, coalesce(text, '') AS text FROM conversations WHERE turn IS NOT NULL),
-d AS (SELECT chat, left(arg_max(text, (id, text)), 60) AS summary FROM c WHERE role = 'assistant' GROUP BY chat),
+d AS (SELECT chat, arg_max(text, (id, text)) AS summary FROM c WHERE role = 'assistant' GROUP BY chat),
 k AS (SELECT d.chat, id, list_distinct(string_split(lower(regexp_replace(summary, '\s+', '', 'g')), '')) AS x, list_distinct(string_split(lower(regexp_replace(text, '\s+', '', 'g')), '')) AS y FROM d JOIN c ON c.chat = d.chat),
 s AS (SELECT chat, id, CASE WHEN len(x) < 3 THEN 0 ELSE CAST(round(len(list_intersect(x, y)) / len(x), 9) AS DOUBLE) END AS score FROM k)
 SELECT 's' || chat AS sid, id, score FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY chat ORDER BY score DESC, id) = 1 AND score >= 0.6""",
     "file_bridges": """
-WITH p AS (SELECT coalesce(url, '') || 'f' || ['.py', '.md', '.go', '.png', ''][page_id % 5 + 1] AS path, ['python', 'markdown', 'go', '', ''][page_id % 5 + 1] AS language, left(html, 400) AS diff FROM pages),
+WITH p AS (SELECT coalesce(url, '') || 'f' || ['.py', '.md', '.go', '.png', ''][page_id % 5 + 1] AS path, ['python', 'markdown', 'go', '', ''][page_id % 5 + 1] AS language, html AS diff FROM pages),
 k AS (SELECT * FROM (VALUES (0, 'zzz'), (1, 'go'), (2, 'markdown'), (3, 'nav'), (4, '7')) v(i, k)),
 f AS (SELECT path, i, k, CASE WHEN contains(lower(path), k) THEN 'file_path' WHEN language = k THEN 'language' WHEN contains(lower(coalesce(diff, '')), k) THEN 'diff_summary' END AS kind FROM p, k)
 SELECT path, k AS keyword, kind FROM f WHERE kind IS NOT NULL QUALIFY row_number() OVER (PARTITION BY path ORDER BY i) = 1""",

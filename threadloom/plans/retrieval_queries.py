@@ -37,19 +37,27 @@ def _documents(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", "source", F.col("lang").alias("topic"))
 
 
+def _queries(spark, sf_dir):
+    """A query for each vector whose id is divisible by 50: (query_id, text), the number of one of TEXTS in turn."""
+    ids = read(spark, sf_dir, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"))
+    return ids.withColumn("text", (F.col("query_id") / 50 % len(TEXTS)).cast("int"))
+
+
 def _signals(spark, sf_dir):
-    """The dense signal of vectors 0, 50, 100, ..., and that of the words of TEXTS, by the number of the text."""
+    """The dense signal of each query's vector, but where its text is the third, and that of its words, but where it is the fourth."""
     vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    probes = vectors.filter(f"id % 50 = 0 AND id < {50 * len(TEXTS)} AND id <> 100").select((F.col("id") / 50).cast("int").alias("query_id"), F.col("vector").alias("probe"))
-    dense = search.top_each(vectors.join(F.broadcast(probes)).select("query_id", "id", F.round(cosine("vector", "probe"), 9).alias("score")), 30)  # a probe for each of TEXTS
+    asked = _queries(spark, sf_dir)
+    dense = search.nearest_each(vectors, vectors.join(asked.filter("text <> 2").select(F.col("query_id").alias("id")), "id", "left_semi"), 30, itself=True).select("query_id", "id", "score")
     words = search.bm25_each(read(spark, sf_dir, "documents"), dict(enumerate(TEXTS)), "doc_id", "text").withColumn("score", F.round("score", 6)).filter("score > 0 AND query_id <> 3")
-    return {"dense": dense, "words": search.top_each(words, 30)}
+    best = search.top_each(words, 30).select(F.col("query_id").alias("text"), "id", "score")
+    return {"dense": dense, "words": asked.join(best, "text").select("query_id", "id", "score")}
 
 
 def retrieve(spark, sf_dir):
-    """Both signals for each text, fused or passed through, with a keyword fallback, resolved and grouped by topic."""
+    """Both signals for each query, fused or passed through, with a keyword fallback, resolved and grouped by topic."""
     found = retrieval.fused(_signals(spark, sf_dir), 50)
-    queries = spark.createDataFrame([*enumerate(TEXTS), (99, "oken =")], "query_id int, query string")
+    texts = F.array(*[F.lit(t) for t in TEXTS])
+    queries = _queries(spark, sf_dir).select("query_id", F.get(texts, F.col("text")).alias("query")).unionByName(spark.createDataFrame([(-1, "oken =")], "query_id long, query string"))
     found = retrieval.with_fallback(found, queries, read(spark, sf_dir, "documents"), "doc_id", ["text", "source"], 50)
     groups = retrieval.grouped(retrieval.resolved(found, _documents(spark, sf_dir), "doc_id"), "topic", 10)
     return groups.select("query_id", "topic", F.col("topic_rank").cast("long").alias("topic_rank"), F.col("place").cast("long").alias("place"), "matches", "doc_id", F.round("score", 9).alias("score"))
@@ -70,11 +78,10 @@ def diverse_topk(spark, sf_dir):
 
 
 def layered_topk(spark, sf_dir):
-    """The nearest labels, by their mean vectors, and the nearest vectors."""
+    """The nearest labels, by their mean vectors, and the nearest vectors of each vector whose id is divisible by 50."""
     v = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector"))
     topics = retrieval.centroids(v, "label", "vector").select(F.col("cluster").alias("id"), "vector")
-    probes = v.filter("id IN (0, 50, 100)").select(F.col("id").alias("query_id"), F.col("vector").alias("probe"))
-    return retrieval.layered(probes, {"topic": (topics, 5), "episode": (v.select("id", "vector"), 10)})
+    return retrieval.layered(v.filter("id % 50 = 0"), {"topic": (topics, 5), "episode": (v.select("id", "vector"), 10)})
 
 
 def label_centroids(spark, sf_dir):
@@ -119,8 +126,9 @@ _SIGNALS = rf"""q AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(
 t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]{{2,}}') AS t FROM documents), st AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM t), c AS (SELECT doc_id, len(t) AS l, unnest(t) AS term FROM t),
 p AS (SELECT doc_id, l, term, count(*) AS tf FROM c WHERE term IN (SELECT term FROM q) GROUP BY ALL), i AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS idf, mean FROM p, st GROUP BY term, n, mean),
 j AS (SELECT query_id, term, mean, CASE WHEN idf < 0 THEN 0.25 * avg(idf) OVER (PARTITION BY query_id) ELSE idf END AS idf FROM i JOIN q USING (term)),
-w AS (SELECT query_id, doc_id AS id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / mean))), 6) AS score FROM p JOIN j USING (term) WHERE query_id <> 3 GROUP BY ALL),
-pr AS (SELECT CAST(vec_id // 50 AS INT) AS query_id, embedding AS probe FROM embeddings WHERE vec_id % 50 = 0 AND vec_id < {50 * len(TEXTS)} AND vec_id <> 100),
+wt AS (SELECT query_id AS text, doc_id AS id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / mean))), 6) AS score FROM p JOIN j USING (term) WHERE query_id <> 3 GROUP BY ALL),
+qs AS (SELECT vec_id AS query_id, vec_id // 50 % {len(TEXTS)} AS text FROM embeddings WHERE vec_id % 50 = 0), w AS (SELECT query_id, id, score FROM wt JOIN qs USING (text)),
+pr AS (SELECT query_id, embedding AS probe FROM embeddings JOIN qs ON query_id = vec_id WHERE text <> 2),
 dn AS (SELECT query_id, vec_id AS id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(probe AS DOUBLE[])), 9) AS score FROM embeddings, pr),
 sg AS (SELECT *, row_number() OVER (PARTITION BY query_id, s ORDER BY score DESC, id) AS r FROM (SELECT 'w' AS s, * FROM w WHERE score > 0 UNION ALL SELECT 'd', * FROM dn) QUALIFY r <= 30),
 ns AS (SELECT query_id, count(DISTINCT s) AS k FROM sg GROUP BY query_id),
@@ -131,7 +139,7 @@ _RANKED = "rk AS (SELECT query_id, id, score, lang, row_number() OVER (PARTITION
 
 ORACLE = {
     "retrieve": f"""WITH {_SIGNALS},
-sl AS (SELECT * FROM (VALUES {_VALUES}, (99, 'oken =')) v(query_id, query) WHERE query_id NOT IN (SELECT query_id FROM fo)),
+sl AS (SELECT * FROM (SELECT qs.query_id, query FROM qs JOIN (VALUES {_VALUES}) v(text, query) USING (text) UNION ALL SELECT -1, 'oken =') WHERE query_id NOT IN (SELECT query_id FROM fo)),
 fb AS (SELECT query_id, doc_id AS id, 0e0 AS score FROM documents, sl WHERE contains(lower(coalesce(text, '') || chr(10) || coalesce(source, '')), lower(query)) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY doc_id) <= 50),
 al AS (SELECT * FROM fo UNION ALL SELECT * FROM fb), {_RANKED.format(f='al')},
 gr AS (SELECT query_id, CASE WHEN coalesce(lang, '') = '' THEN 'general' ELSE lang END AS topic, id, score, rank FROM rk),
@@ -142,7 +150,7 @@ SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY new DESC,
     "layered_topk": """WITH v AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 u AS (SELECT label, i, avg(v[i]) AS x FROM v, range(1, 65) t(i) GROUP BY ALL), m AS (SELECT label AS id, list(x ORDER BY i) AS v FROM u GROUP BY label),
 l AS (SELECT 'topic' AS layer, CAST(id AS BIGINT) AS id, v, 5 AS k FROM m UNION ALL SELECT 'episode', id, v, 10 FROM v)
-SELECT q.id AS query_id, layer, l.id, round(list_cosine_similarity(l.v, q.v), 9) AS score FROM l, (SELECT * FROM v WHERE id IN (0, 50, 100)) q QUALIFY row_number() OVER (PARTITION BY q.id, layer ORDER BY round(list_cosine_similarity(l.v, q.v), 9) DESC, l.id) <= k""",
+SELECT q.id AS query_id, layer, l.id, round(list_cosine_similarity(l.v, q.v), 9) AS score FROM l, (SELECT * FROM v WHERE id % 50 = 0) q QUALIFY row_number() OVER (PARTITION BY q.id, layer ORDER BY round(list_cosine_similarity(l.v, q.v), 9) DESC, l.id) <= k""",
     "label_centroids": """WITH u AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS x, count(*) AS n FROM embeddings, range(1, 65) t(i) GROUP BY ALL)
 SELECT label AS cluster, max(n) AS n, round(max(x) FILTER (WHERE i = 1) / sqrt(sum(x * x)), 6) AS first, round(max(x) FILTER (WHERE i = 64) / sqrt(sum(x * x)), 6) AS last FROM u GROUP BY label""",
     "entity_paths": """WITH q AS (SELECT * FROM (VALUES (1, 7), (1, 12), (2, 100), (2, 7)) v(query_id, p)),

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from threadloom.operators import clustering, retrieval
 from threadloom.plans.base import read
 from threadloom.streaming import episodes as E
+from threadloom.streaming import timed
+
+#: The end of January 2024 in epoch seconds: when timers stop.
+UNTIL = 1706745600.0
 
 
 def _messages(spark, sf_dir):
@@ -61,6 +65,26 @@ def vector_tree(spark, sf_dir):
     return clustering.containment_tree(vector_clusters(spark, sf_dir))
 
 
+def topic_hierarchy(spark, sf_dir):
+    """All vectors as one tree of topics of four levels; distances are weighted by lengths."""
+    v = read(spark, sf_dir, "embeddings").select(F.lit("all").alias("block"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), (F.col("vec_id") % 7 + 1).alias("length"))
+    found = clustering.topic_hierarchy(v, 4)
+    return found.select("topic", "level", "cluster", "n", "parent", "children", F.round(F.element_at("centroid", 1), 6).alias("first"))
+
+
+def suspended_episodes(spark, sf_dir):
+    """When episodes of users' events are suspended after four hours without another, and archived a day later, up to the end of January."""
+    plain = _messages(spark, sf_dir).withColumn("vector", F.lit(None).cast("array<double>")).withColumn("text", F.lit(""))
+    found = timed.timed_episodes(plain, E.Rules(gap=4 * 3600.0, size=1_000_000_000, pool=1_000_000_000), UNTIL).filter("id IS NULL")
+    return found.select("chat", "episode", "event", F.round(F.col("at") * 1000).cast("long").alias("at"))
+
+
+def pooled_episodes(spark, sf_dir):
+    """Episodes of users' events by time, words and vectors, with one pool of 20 suspended ones over all users."""
+    found = timed.pooled_episodes(_messages(spark, sf_dir), E.Rules(gap=4 * 3600.0, size=30), UNTIL)
+    return found.select("chat", "id", "episode", "event", F.round(F.col("at") * 1000).cast("long").alias("at"))
+
+
 def vector_distances(spark, sf_dir):
     """Weighted distances of the vectors of each label."""
     v = read(spark, sf_dir, "embeddings").select(F.col("label").alias("block"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
@@ -78,9 +102,12 @@ def topic_assignment(spark, sf_dir):
     return clustering.assigned(v, top.unionByName(low), 2, 0.45, 0.3)
 
 
-QUERIES = {f.__name__: f for f in (episode_assignment, gap_episodes, discussion_groups, quiet_changes, first_changes, vector_clusters, vector_tree, vector_distances, topic_assignment)}
+QUERIES = {f.__name__: f for f in (episode_assignment, gap_episodes, discussion_groups, quiet_changes, first_changes, vector_clusters, vector_tree, topic_hierarchy, suspended_episodes, pooled_episodes, vector_distances, topic_assignment)}
 
 ORACLE = {
+    "suspended_episodes": """WITH g AS (SELECT user_id, epoch_us(ts) AS t, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) < 14400000000 THEN 0 ELSE 1 END AS new FROM events WHERE user_id IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT user_id, t, sum(new) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) - 1 AS s FROM g), e AS (SELECT CAST(user_id AS VARCHAR) AS chat, CAST(s AS BIGINT) AS episode, max(t) / 1e3 + 14400000 AS z FROM s GROUP BY ALL)
+SELECT chat, episode, 'suspended:gap' AS "event", CAST(round(z) AS BIGINT) AS "at" FROM e WHERE z <= 1706745600000 UNION ALL SELECT chat, episode, 'archived', CAST(round(z + 86400000) AS BIGINT) FROM e WHERE z + 86400000 <= 1706745600000""",
     "gap_episodes": """WITH g AS (SELECT user_id, CASE WHEN (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) / 1e6 < 1800 THEN 0 ELSE 1 END AS new FROM events)
 SELECT CAST(user_id AS VARCHAR) AS chat, CAST(sum(new) AS BIGINT) AS episodes, count(*) AS n FROM g GROUP BY user_id""",
     "quiet_changes": """WITH g AS (SELECT user_id, epoch_us(ts) AS t, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) <= 3600000000 THEN 0 ELSE 1 END AS new FROM events),

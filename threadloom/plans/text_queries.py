@@ -22,9 +22,9 @@ def noise_messages(spark, sf_dir):
 
 
 def keyword_search(spark, sf_dir):
-    """The 50 longest of the English documents that hold a phrase, whatever the case; keyword_matches has all."""
+    """The English documents that hold a phrase, whatever the case, the longest first."""
     found = search.keyword_search(_read(spark, sf_dir, "documents"), "The", ["text", "source"], F.col("lang") == "en")
-    return found.select("doc_id", "source", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(50)
+    return found.select("doc_id", "source", "n_chars").orderBy(F.desc("n_chars"), "doc_id")
 
 
 def keyword_matches(spark, sf_dir):
@@ -135,7 +135,7 @@ s AS (SELECT *, regexp_matches(lower(x), '{_SIGNAL}') AS sig, regexp_matches(x,
 regexp_replace(x, '[\\s.,!?，。！？、]', '', 'g') AS bare, regexp_replace(x, '[^{_EMOJI}]', '', 'g') AS emoji FROM c)
 SELECT role, count(*) AS n, count(*) FILTER (WHERE x = '' OR (bare <> '' AND length(emoji) > 0.8 * length(bare)) OR lower(x) IN ({", ".join(f"'{w}'" for w in T.NOISE_WORDS)}) OR (length(x) < 5 AND NOT sig) OR (regexp_matches(lower(x), '{"|".join(T.NOISE_TOPICS)}') AND NOT sig) OR link) AS noise,
 count(*) FILTER (WHERE regexp_matches(lower(t), '{_SIGNAL}')) AS signals, count(*) FILTER (WHERE link) AS links FROM s GROUP BY role""",
-    "keyword_search": "SELECT doc_id, source, n_chars FROM documents WHERE lang = 'en' AND (contains(lower(coalesce(text, '')), 'the') OR contains(lower(coalesce(source, '')), 'the')) ORDER BY n_chars DESC, doc_id LIMIT 50",
+    "keyword_search": "SELECT doc_id, source, n_chars FROM documents WHERE lang = 'en' AND (contains(lower(coalesce(text, '')), 'the') OR contains(lower(coalesce(source, '')), 'the')) ORDER BY n_chars DESC, doc_id",
     "keyword_matches": "SELECT doc_id, source, n_chars FROM documents WHERE lang = 'en' AND (contains(lower(coalesce(text, '')), 'the') OR contains(lower(coalesce(source, '')), 'the'))",
     "keyword_frequency": r"""
 WITH w AS (SELECT unnest(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+')) AS word FROM conversations WHERE role = 'user')

@@ -42,7 +42,7 @@ def tree_preorder(spark, sf_dir):
 
 def tree_json(spark, sf_dir):
     """Every tree of decisions as nested JSON."""
-    return graph.subtrees(decisions(spark, sf_dir).filter("n < 3000"), "sid", "parent_id", "status")
+    return graph.subtrees(decisions(spark, sf_dir), "sid", "parent_id", "status")
 
 
 def decision_neighbours(spark, sf_dir):
@@ -81,7 +81,14 @@ _REACH = """u AS (SELECT src, dst FROM {edges} UNION SELECT dst, src FROM {edges
 w AS (SELECT 'd2' AS node, 0 AS depth UNION SELECT u.dst, depth + 1 FROM w JOIN u ON u.src = w.node WHERE depth < {hops}),
 m AS (SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM w GROUP BY node)"""
 
+def _json_sql(levels: int = 8) -> str:
+    """The trees from the deepest level up."""
+    steps = [f"""t{k} AS (SELECT node, up, '{{"id":"' || node || '","label":"' || status || '","children":[' || coalesce((SELECT string_agg(x.tree, ',' ORDER BY x.node) FROM t{k + 1} x WHERE x.up = n.node), '') || ']}}' AS tree FROM n WHERE depth = {k})""" for k in range(levels - 1, -1, -1)]
+    return _UP + f""", n AS (SELECT node, len(path) - 1 AS depth, path[-2] AS up, status FROM c JOIN d ON d.sid = c.node), t{levels} AS (SELECT '' AS node, '' AS up, '' AS tree WHERE false), {", ".join(steps)} SELECT node, tree FROM t0"""
+
+
 ORACLE = {
+    "tree_json": _json_sql(),
     "tree_children": f"WITH {DECISIONS} SELECT parent_id AS parent, count(*) AS n, string_agg(sid, ',' ORDER BY sid) AS children FROM d WHERE parent_id <> '' AND parent_id <> sid GROUP BY parent_id",
     "tree_depth": _UP + " SELECT node, array_to_string(path, '/') AS path, CAST(len(path) - 1 AS BIGINT) AS depth FROM c",
     "tree_ancestors": _UP + " SELECT node, CAST(i - 1 AS BIGINT) AS place, path[i] AS ancestor FROM (SELECT node, path, unnest(range(1, len(path))) AS i FROM c WHERE len(path) > 1)",
