@@ -41,7 +41,7 @@ MODEL_BYTES = 64 << 20
 #: Symbols of a segment that is merged in lockstep with others.
 LOCKSTEP = 40
 #: Segments of at most LOCKSTEP characters that a worker remembers, about 200 bytes each, besides those of one run of rows.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 19
 
 _SPACE = "▁"
 _SEGMENT = re.compile(f"{_SPACE}*[^{_SPACE}]+|{_SPACE}+")
