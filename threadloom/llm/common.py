@@ -15,7 +15,18 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of a batch that goes to Python. Batches of whole texts are held several times over, by the JVM and by Python.
+BATCH_ROWS = 1000
+
+
+def lean(spark: SparkSession) -> None:
+    """Batches of BATCH_ROWS rows, unless the session has been given another number than Spark's own 10,000."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    lean(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

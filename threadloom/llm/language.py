@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.llm.common import lean
 from threadloom.llm.tokens import offsets_of
 
 #: Buckets of hashed n-grams; the matrix has so many rows and a column for each language.
@@ -184,5 +185,6 @@ def held_out(doc_id: Column) -> Column:
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents whose language was told; all columns stay as they are. The model is learned from ``docs`` itself."""
+    lean(docs.sparkSession)
     model = fit_languages(docs)
     return _identified(docs, model).filter(F.col("lang_pred") != UNKNOWN).select("row.*")
