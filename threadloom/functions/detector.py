@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from threadloom.functions.text import holds_any, is_mostly_emoji, is_pure_question, strip
+from threadloom.functions.text import is_mostly_emoji, is_pure_question, strip
 
 # Words of a signal and its weight.
 LEXICAL = [
@@ -91,31 +91,39 @@ DOC_SIGNALS = ["技术栈", "框架", "选用", "使用", "采用", "决定", "
 MINOR_EDITS, OPEN_POINTS = ["fix typo", "format", "格式", "错别字", "排版"], ["TODO", "FIXME", "待完成", "待办"]
 
 
-def _category(signals: list[tuple[Column, float]]) -> Column:
-    """The highest weight of the signals that hold, a tenth more from three on, 1 at most."""
-    n = reduce(lambda a, b: a + b, [t.cast("int") for t, _ in signals])
-    most = F.greatest(F.lit(0.0), *[F.when(t, F.lit(w)).otherwise(F.lit(0.0)) for t, w in signals])
-    return F.least(F.lit(1.0), most + F.when(n >= 3, 0.1).otherwise(0.0))
-
-
 def _once(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once."""
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def lexical(text: Column) -> Column:
-    return _category([(holds_any(text, words), w) for words, w in LEXICAL])
+def _category(signals: list[tuple[Column, float]]) -> Column:
+    """The highest weight of the signals that hold, a tenth more from three on, 1 at most. Each signal is looked at once."""
+
+    def weighed(held: Column) -> Column:
+        most = F.greatest(F.lit(0.0), *[F.when(F.get(held, k), F.lit(w)).otherwise(F.lit(0.0)) for k, (_, w) in enumerate(signals)])
+        return F.least(F.lit(1.0), most + F.when(F.size(F.filter(held, lambda t: t)) >= 3, 0.1).otherwise(0.0))
+
+    return _once(F.array(*[t for t, _ in signals]), weighed)
 
 
-def structural(text: Column) -> Column:
+def _holds(low: Column, words: list[str]) -> Column:
+    """Whether a lower-cased text holds one of some words, whatever their case."""
+    known = F.array(*[F.lit(w) for w in dict.fromkeys(w.lower() for w in words)])
+    return F.exists(known, lambda w: F.contains(low, w))
+
+
+def lexical(low: Column) -> Column:
+    return _category([(_holds(low, words), w) for words, w in LEXICAL])
+
+
+def structural(text: Column, low: Column) -> Column:
     quoted = F.contains(text, F.lit('"')) | F.contains(text, F.lit("「")) | F.contains(text, F.lit("『"))
-    technical = (F.length(text) > 50) & holds_any(text, TECHNICAL)
-    return _category([(holds_any(text, LISTS), 0.40), (holds_any(text, OPTIONS), 0.35), (quoted, 0.20), (technical, 0.35), (holds_any(text, ASSIGNMENTS), 0.45)])
+    technical = (F.length(text) > 50) & _holds(low, TECHNICAL)
+    return _category([(_holds(low, LISTS), 0.40), (_holds(low, OPTIONS), 0.35), (quoted, 0.20), (technical, 0.35), (_holds(low, ASSIGNMENTS), 0.45)])
 
 
-def dynamic(text: Column, is_reply: Column, has_mention: Column, index: Column, recent: Column) -> Column:
+def dynamic(low: Column, is_reply: Column, has_mention: Column, index: Column, recent: Column) -> Column:
     """What the place of a message in its conversation says: ``recent`` are words of the messages before."""
-    low = F.lower(text)
     goes_on = F.size(F.filter(F.coalesce(recent, F.array().cast("array<string>")), lambda k: F.contains(low, F.lower(k)))) >= 2
     return _category([(F.coalesce(is_reply, F.lit(False)), 0.35), (F.coalesce(has_mention, F.lit(False)), 0.40), (F.coalesce(index, F.lit(0)) > 2, 0.25), (goes_on, 0.30)])
 
@@ -124,11 +132,11 @@ def patterns(text: Column, table: list[tuple[str, float]] = PATTERNS) -> Column:
     return _category([(text.rlike(p), w) for p, w in table])
 
 
-def anti_score(text: Column) -> Column:
+def anti_score(text: Column, low: Column) -> Column:
     """How much speaks against a decision, 1 at most."""
-    parts = [F.when(holds_any(text, words), w).otherwise(0.0) for words, w in AGAINST]
+    parts = [F.when(_holds(low, words), w).otherwise(0.0) for words, w in AGAINST]
     parts += [F.when(is_mostly_emoji(text), 0.5).otherwise(0.0), F.when(is_pure_question(text), 0.3).otherwise(0.0)]
-    parts.append(F.when(holds_any(text, SMALL_TALK) & (F.length(text) < 20), 0.5).otherwise(0.0))
+    parts.append(F.when((F.length(text) < 20) & _holds(low, SMALL_TALK), 0.5).otherwise(0.0))
     return F.least(F.lit(1.0), F.round(reduce(lambda a, b: a + b, parts), 9))
 
 
@@ -143,37 +151,43 @@ def _result(text: Column, stopped: Column, score: Column, levels: tuple[float, f
     return F.struct(score.alias("score"), level.alias("level"), level.isin("high", "medium").alias("is_decision"), anti.alias("anti_score"))
 
 
+def _lowered(content: Column, **more: Column) -> Column:
+    """A struct of the stripped text, the same in lower case, and ``more``."""
+    own = F.struct(strip(F.coalesce(content, F.lit(""))).alias("text"), *[c.alias(k) for k, c in more.items()])
+    return _once(own, lambda x: F.struct(x["text"].alias("text"), F.lower(x["text"]).alias("low"), *[x[k].alias(k) for k in more]))
+
+
 def detect_message(content: Column, is_reply: Column | None = None, has_mention: Column | None = None, index: Column | None = None, recent: Column | None = None) -> Column:
     """(score, level, is_decision, anti_score) of a message."""
     given = {"is_reply": is_reply, "has_mention": has_mention, "index": index, "recent": recent}
     kinds = {"is_reply": "boolean", "has_mention": "boolean", "index": "int", "recent": "array<string>"}
-    context = [(c if c is not None else F.lit(None)).cast(kinds[k]).alias(k) for k, c in given.items()]
+    context = {k: (c if c is not None else F.lit(None)).cast(kinds[k]) for k, c in given.items()}
 
     def parts(x: Column) -> Column:
-        text = x["text"]
-        dyn = dynamic(text, x["is_reply"], x["has_mention"], x["index"], x["recent"])
-        return F.struct(text.alias("text"), lexical(text).alias("lex"), structural(text).alias("struct"), dyn.alias("dyn"), patterns(text).alias("pat"), anti_score(text).alias("anti"))
+        text, low = x["text"], x["low"]
+        dyn = dynamic(low, x["is_reply"], x["has_mention"], x["index"], x["recent"])
+        return F.struct(text.alias("text"), lexical(low).alias("lex"), structural(text, low).alias("struct"), dyn.alias("dyn"), patterns(text).alias("pat"), anti_score(text, low).alias("anti"))
 
     def judged(p: Column) -> Column:
         score = 0.45 * p["lex"] + 0.15 * p["struct"] + 0.05 * p["dyn"] + 0.35 * p["pat"]
         score = F.when((p["pat"] >= 0.7) & (score < p["pat"]), (score + p["pat"]) / 2).otherwise(score)
         return _result(p["text"], p["anti"] >= 0.6, score * (1 - 0.5 * p["anti"]), (0.65, 0.50, 0.20), p["anti"])
 
-    return _once(_once(F.struct(strip(F.coalesce(content, F.lit(""))).alias("text"), *context), parts), judged)
+    return _once(_once(_lowered(content, **context), parts), judged)
 
 
 def detect_document(content: Column, doc_type: Column) -> Column:
     """(score, level, is_decision, anti_score) of a document of a kind."""
 
     def parts(x: Column) -> Column:
-        text = x["text"]
-        short = (F.length(text) < 50) & ~holds_any(text, DOC_SIGNALS)
-        tests = [x["kind"] == "weekly_report", x["kind"] == "meeting_notes", x["kind"] == "administrative", short, holds_any(text, MINOR_EDITS), holds_any(text, OPEN_POINTS)]
+        text, low = x["text"], x["low"]
+        short = (F.length(text) < 50) & ~_holds(low, DOC_SIGNALS)
+        tests = [x["kind"] == "weekly_report", x["kind"] == "meeting_notes", x["kind"] == "administrative", short, _holds(low, MINOR_EDITS), _holds(low, OPEN_POINTS)]
         anti = F.least(F.lit(1.0), F.round(reduce(lambda a, b: a + b, [F.when(t, 0.2).otherwise(0.0) for t in tests]), 9))
-        return F.struct(text.alias("text"), x["kind"].alias("kind"), lexical(text).alias("lex"), structural(text).alias("struct"), patterns(text, DOC_PATTERNS).alias("pat"), anti.alias("anti"))
+        return F.struct(text.alias("text"), x["kind"].alias("kind"), lexical(low).alias("lex"), structural(text, low).alias("struct"), patterns(text, DOC_PATTERNS).alias("pat"), anti.alias("anti"))
 
     def judged(p: Column) -> Column:
         score = (0.40 * p["lex"] + 0.20 * p["struct"] + 0.35 * p["pat"]) * (1 - 0.2 * p["anti"])
         return _result(p["text"], (p["anti"] >= 0.6) | p["kind"].isin("weekly_report", "administrative"), score, (0.45, 0.30, 0.15), p["anti"])
 
-    return _once(_once(F.struct(strip(F.coalesce(content, F.lit(""))).alias("text"), F.coalesce(doc_type, F.lit("unknown")).alias("kind")), parts), judged)
+    return _once(_once(_lowered(content, kind=F.coalesce(doc_type, F.lit("unknown"))), parts), judged)

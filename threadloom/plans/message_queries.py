@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import detector as D
 from threadloom.functions import text as T
-from threadloom.operators import context
+from threadloom.operators import context, documents_json, splitting
 from threadloom.plans.base import ACTIVE, DECISIONS, decisions, read
+from threadloom.sources.scratch import spread
 
 
 def _messages(spark, sf_dir):
@@ -25,7 +26,7 @@ def detected_messages(spark, sf_dir):
 
 def detected_documents(spark, sf_dir):
     """The kind of every document and how much it reads like a decision."""
-    t = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.when(F.col("doc_id") % 5 == 0, F.lit("# 决定 Option A: owner todo ")).otherwise(""), F.coalesce("text", F.lit(""))).alias("text"), F.when(F.col("doc_id") % 7 == 0, "Weekly notes").when(F.col("doc_id") % 7 == 1, "Spec of it").otherwise("Text").alias("title"))
+    t = spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.concat(F.when(F.col("doc_id") % 5 == 0, F.lit("# 决定 Option A: owner todo ")).otherwise(""), F.coalesce("text", F.lit(""))).alias("text"), F.when(F.col("doc_id") % 7 == 0, "Weekly notes").when(F.col("doc_id") % 7 == 1, "Spec of it").otherwise("Text").alias("title"))
     t = t.withColumn("kind", T.document_type(F.col("title"), F.col("text")))
     return t.select("doc_id", "kind", D.detect_document(F.col("text"), F.col("kind")).alias("d")).select("doc_id", "kind", "d.score", "d.level", "d.is_decision")
 
@@ -100,6 +101,21 @@ def document_chunks(spark, sf_dir):
     return d.select("doc_id", F.col("place").cast("long").alias("place"), F.col("begin").cast("long").alias("begin"), F.md5("content").alias("content"))
 
 
+def split_documents(spark, sf_dir):
+    """Documents cut at the seams of Markdown, plain text or code, in pieces of 512 characters at most."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "text", F.element_at(F.array(F.lit("markdown"), F.lit("text"), F.lit("python")), (F.col("doc_id") % 3 + 1).cast("int")).alias("language"))
+    return splitting.split_texts(d, "doc_id", "text", "language", 512, 32).select("doc_id", "place", "begin", "end", F.md5("content").alias("content"))
+
+
+def json_leaves(spark, sf_dir):
+    """The values in JSON of events, some of it broken, with times by the names of fields."""
+    e = read(spark, sf_dir, "events")
+    iso = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss")
+    text = F.concat(F.lit('{"event":{"props":'), "props", F.lit(',"created_at":"'), iso, F.lit('","note":"'), iso, F.lit('"},"tags":["a",["'), "event_type", F.lit('"]],"n":null'))
+    j = e.select("event_id", F.concat(text, F.when(F.col("event_id") % 50 == 0, "").otherwise("}")).alias("j"))
+    return documents_json.leaves(j, "event_id", "j").select("event_id", "path", "field", "value", F.unix_micros("at").alias("at"), F.col("error").isNotNull().alias("broken"))
+
+
 def context_tiers(spark, sf_dir):
     """The first five documents of each source: those that hold a phrase, then long ones, then others."""
     d = read(spark, sf_dir, "documents").filter("source IS NOT NULL")
@@ -154,7 +170,7 @@ def answers(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        detected_messages, detected_documents, message_words, message_history, changes_before, message_evidence, file_bridges, file_kinds, block_search, document_chunks,
+        detected_messages, detected_documents, message_words, message_history, changes_before, message_evidence, file_bridges, file_kinds, block_search, document_chunks, split_documents, json_leaves,
         context_tiers, participant_topics, entity_context, conversation_texts, context_budget, time_values, answers,
     )
 }
@@ -222,6 +238,10 @@ d AS (SELECT chat, arg_max(text, (id, text)) AS summary FROM c WHERE role = 'ass
 k AS (SELECT d.chat, id, list_distinct(string_split(lower(regexp_replace(summary, '\s+', '', 'g')), '')) AS x, list_distinct(string_split(lower(regexp_replace(text, '\s+', '', 'g')), '')) AS y FROM d JOIN c ON c.chat = d.chat),
 s AS (SELECT chat, id, CASE WHEN len(x) < 3 THEN 0 ELSE CAST(round(len(list_intersect(x, y)) / len(x), 9) AS DOUBLE) END AS score FROM k)
 SELECT 's' || chat AS sid, id, score FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY chat ORDER BY score DESC, id) = 1 AND score >= 0.6""",
+    "json_leaves": """
+WITH j AS (SELECT event_id, event_id % 50 = 0 AS broken, '{"event":{"props":' || props || ',"created_at":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '","note":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '"},"tags":["a",["' || event_type || '"]],"n":null}' AS j, epoch_us(date_trunc('second', ts)) AS z FROM events WHERE props IS NOT NULL AND ts IS NOT NULL AND event_type IS NOT NULL),
+t AS (SELECT event_id, t.fullkey AS path, t.key, json_extract_string(t.atom, '$') AS value, g.z FROM (SELECT * FROM j WHERE NOT broken) g, json_tree(g.j) t WHERE t.type NOT IN ('OBJECT', 'ARRAY'))
+SELECT event_id, path, CASE WHEN starts_with(path, '$.tags') THEN 'tags' ELSE key END AS field, value, CASE WHEN path = '$.event.created_at' THEN z END AS "at", false AS broken FROM t UNION ALL SELECT event_id, '$', '', NULL, NULL, true FROM j WHERE broken""",
     "file_bridges": """
 WITH p AS (SELECT coalesce(url, '') || 'f' || ['.py', '.md', '.go', '.png', ''][page_id % 5 + 1] AS path, ['python', 'markdown', 'go', '', ''][page_id % 5 + 1] AS language, html AS diff FROM pages),
 k AS (SELECT * FROM (VALUES (0, 'zzz'), (1, 'go'), (2, 'markdown'), (3, 'nav'), (4, '7')) v(i, k)),

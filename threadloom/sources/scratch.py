@@ -28,3 +28,9 @@ def written(df: DataFrame) -> DataFrame:
     path = posixpath.join(shared_folder(df.sparkSession), f"table-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out to as many tasks as can run at once, if it has fewer: work that is heavy for its bytes, read from few files."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
