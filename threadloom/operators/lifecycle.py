@@ -160,6 +160,45 @@ def merged_conflicts(conflicts: DataFrame, decisions: DataFrame) -> DataFrame:
     return both.select("sid", F.concat_ws("; ", "s_summary", "t_summary").alias("summary"), F.concat_ws("\n---\n", "s_full_text", "t_full_text").alias("full_text"), F.lit("decided").alias("status"), F.greatest("s_impact_level", "t_impact_level").alias("impact_level"), F.greatest("s_confidence", "t_confidence").alias("confidence"), F.col("target").alias("supersedes"))
 
 
+def settle_conflicts(decisions: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """``decisions`` after conflicts (sid, source, target) are settled: for each a new decided one ``sid``, and the target superseded.
+
+    A merged decision has both summaries and texts, joined, the higher impact (by name) and
+    confidence, version 1, and of the fields topic_id, project, authority, assignee and parent_id, as far as there
+    are, the source's unless it is empty, of tags both; ``created_at`` is the source's. Other columns
+    are null. Conflicts of which a side is unknown, or without a sid, settle nothing; of several of one
+    sid the first by source and target counts, and one whose sid is known overwrites that decision.
+    Null texts count as empty.
+    """
+    of_sid = conflicts.filter("coalesce(sid, '') <> ''").groupBy("sid").agg(F.min(F.struct("source", "target")).alias("c")).select(F.col("sid").alias("new_sid"), "c.*")
+    side = lambda key, name: decisions.select(F.col("sid").alias(key), F.struct(*[c for c in decisions.columns if c != "sid"]).alias(name))
+    both = of_sid.join(side("source", "s"), "source").join(side("target", "t"), "target")
+    text = lambda c: F.coalesce(c, F.lit(""))
+    pick = lambda c: F.coalesce(F.nullif(F.col(f"s.{c}"), F.lit("")), F.col(f"t.{c}"))
+    put = {
+        "sid": F.col("new_sid"),
+        "summary": F.concat(text(F.col("s.summary")), F.lit("; "), text(F.col("t.summary"))),
+        "full_text": F.concat(text(F.col("s.full_text")), F.lit("\n---\n"), text(F.col("t.full_text"))),
+        "status": F.lit("decided"),
+        "impact_level": F.greatest("s.impact_level", "t.impact_level"),
+        "confidence": F.greatest("s.confidence", "t.confidence"),
+    }
+    if "version" in decisions.columns:
+        put["version"] = F.lit(1)
+    if "created_at" in decisions.columns:
+        put["created_at"] = F.col("s.created_at")
+    if "tags" in decisions.columns:
+        none = F.array().cast("array<string>")
+        put["tags"] = F.array_sort(F.array_union(F.coalesce("s.tags", none), F.coalesce("t.tags", none)))
+    put |= {c: pick(c) for c in ("topic_id", "project", "authority", "assignee", "parent_id") if c in decisions.columns}
+    kinds = {f.name: f.dataType for f in decisions.schema}
+    made = both.select(*[put.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in decisions.columns])
+    gone = both.select(F.col("target").alias("sid"), F.lit(True).alias("_gone")).distinct()
+    rest = decisions.join(made.select("sid"), "sid", "left_anti").join(gone, "sid", "left")
+    rest = rest.withColumn("status", F.when(F.col("_gone"), "superseded").otherwise(F.col("status")))
+    return rest.select(*decisions.columns).unionByName(made)
+
+
 def kept_conflicts(conflicts: DataFrame, decisions: DataFrame) -> DataFrame:
     """(src, type, dst): both directions of conflicts (source, target) between decisions that exist."""
     known = decisions.select("sid")

@@ -136,6 +136,15 @@ def similar_documents(spark, sf_dir):
     return dedup.similar_classes(d, "doc_id", "source", "text", 0.7)
 
 
+def conflicts_settled(spark, sf_dir):
+    """All decisions after the conflicts between them have been settled by merging."""
+    d = decisions(spark, sf_dir).withColumn("authority", F.when(F.col("n") % 3 == 0, "").otherwise(F.concat(F.lit("a"), (F.col("n") % 5).cast("string"))))
+    d = d.withColumn("tags", F.array((F.col("n") % 4).cast("string"), F.lit("x")))
+    clash = relations(spark, sf_dir).filter("type = 'CONFLICTS_WITH'").select(F.concat_ws("+", "src", "dst").alias("sid"), F.col("src").alias("source"), F.col("dst").alias("target"))
+    out = lifecycle.settle_conflicts(d, clash)
+    return out.select("sid", "topic_id", "authority", F.concat_ws(",", F.array_sort("tags")).alias("tags"), "summary", "full_text", "status", "impact_level", "confidence", F.col("version").cast("long").alias("version"))
+
+
 def taken_in(spark, sf_dir):
     """What becomes of every tenth order as a new decision among the others, with verdicts on some pairs; topics are customers."""
     o = read(spark, sf_dir, "orders").withColumn("k", F.col("o_orderkey"))
@@ -156,7 +165,7 @@ def taken_in(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        taken_in, change_audit, changed_decisions, change_history, first_states, decision_objections, decisions_created_by, merged_tables, access_scores, duplicate_decisions, merged_duplicates,
+        taken_in, conflicts_settled, change_audit, changed_decisions, change_history, first_states, decision_objections, decisions_created_by, merged_tables, access_scores, duplicate_decisions, merged_duplicates,
         promoted_decisions, consolidation_report, settled_conflicts, kept_conflicts, similar_documents,
     )
 }
@@ -206,6 +215,11 @@ r AS (SELECT j.sid, hot_score, greatest(confidence, coalesce(w.c, 0)) AS confide
 b AS (SELECT *, status IN ('pending', 'pending_confirmation', 'in_discussion', 'decided', 'executing') AS act FROM r)
 SELECT (SELECT count(*) FROM j WHERE status <> old) AS shelved, (SELECT count(*) FROM o) AS merged, count(*) FILTER (WHERE act AND hot_score < 5 AND confidence < 0.3) AS pruned, count(*) FILTER (WHERE act AND NOT (hot_score < 5 AND confidence < 0.3) AND hot_score >= 50 AND status = 'pending') AS promoted, count(*) AS decisions FROM b""",
     "settled_conflicts": f"WITH {DECISIONS}, {RELATIONS} SELECT src || '+' || dst AS sid, s.summary || '; ' || t.summary AS summary, s.full_text || chr(10) || '---' || chr(10) || t.full_text AS full_text, 'decided' AS status, greatest(s.impact_level, t.impact_level) AS impact_level, greatest(s.confidence, t.confidence) AS confidence, dst AS supersedes FROM r JOIN d s ON s.sid = src JOIN d t ON t.sid = dst WHERE type = 'CONFLICTS_WITH'",
+    "conflicts_settled": f"""WITH {DECISIONS}, {RELATIONS}, w AS (SELECT *, CASE WHEN n % 3 = 0 THEN '' ELSE 'a' || (n % 5) END AS authority, [CAST(n % 4 AS VARCHAR), 'x'] AS tags FROM d),
+m AS (SELECT src || '+' || dst AS sid, src, dst FROM r WHERE type = 'CONFLICTS_WITH' AND src IN (SELECT sid FROM d) AND dst IN (SELECT sid FROM d) GROUP BY ALL)
+SELECT sid, topic_id, authority, array_to_string(list_sort(tags), ',') AS tags, summary, full_text, CASE WHEN sid IN (SELECT dst FROM m) THEN 'superseded' ELSE status END AS status, impact_level, confidence, version FROM w
+UNION ALL SELECT m.sid, CASE WHEN s.topic_id <> '' THEN s.topic_id ELSE t.topic_id END, CASE WHEN s.authority <> '' THEN s.authority ELSE t.authority END, array_to_string(list_sort(list_distinct(list_concat(s.tags, t.tags))), ','), s.summary || '; ' || t.summary,
+s.full_text || chr(10) || '---' || chr(10) || t.full_text, 'decided', greatest(s.impact_level, t.impact_level), greatest(s.confidence, t.confidence), 1 FROM m JOIN w s ON s.sid = m.src JOIN w t ON t.sid = m.dst""",
     "kept_conflicts": f"WITH {DECISIONS}, {RELATIONS}, k AS (SELECT src, dst FROM r WHERE type = 'CONFLICTS_WITH' AND src IN (SELECT sid FROM d) AND dst IN (SELECT sid FROM d)) SELECT src, 'CONFLICTS_WITH' AS type, dst FROM k UNION SELECT dst, 'CONFLICTS_WITH', src FROM k",
     "similar_documents": r"""WITH h AS (SELECT source, doc_id, string_split(lower(regexp_replace(text, '^\s+|\s+$', '', 'g')), '') AS t FROM documents WHERE text IS NOT NULL AND source IS NOT NULL),
 g AS (SELECT source, doc_id, list_sort(list_distinct(list_transform(list_zip(t[: -2], t[2 :]), lambda z: z[1] || z[2]))) AS g FROM h WHERE len(t) >= 2),
