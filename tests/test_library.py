@@ -197,6 +197,19 @@ def test_linkage_and_clusters(spark):
     assert tree[(0, 0)] is None and all(p == 0 for (level, _), p in tree.items() if level)
 
 
+def test_settled_conflicts_with_nulls_and_ties(spark):
+    d = spark.createDataFrame([("a", "", "A", None, "decided", "minor", 0.4, ["x"], 5), ("b", "t", None, "text b", "pending", "major", None, None, 2), ("c", None, "C", "c", "pending", None, 0.9, ["y", "x"], 1)], "sid string, topic_id string, summary string, full_text string, status string, impact_level string, confidence double, tags array<string>, version int")
+    clash = spark.createDataFrame([("m", "a", "b"), ("m", "c", "a"), ("n", "a", "zz"), ("", "a", "b"), (None, "a", "b"), ("c", "c", "b")], "sid string, source string, target string")
+    got = {r["sid"]: tuple(r)[1:] for r in lifecycle.settle_conflicts(d, clash).collect()}
+    assert got == {
+        "a": ("", "A", None, "decided", "minor", 0.4, ["x"], 5),
+        "b": ("t", None, "text b", "superseded", "major", None, None, 2),
+        "m": ("t", "A; ", "\n---\ntext b", "decided", "minor", 0.4, ["x"], 1),
+        "c": ("t", "C; ", "c\n---\ntext b", "decided", "major", 0.9, ["x", "y"], 1),
+    }
+    assert lifecycle.settle_conflicts(d.limit(0), clash).count() == 0
+
+
 def overlap(x, y):
     x, y = set((x or "").strip().lower()), set((y or "").strip().lower())
     return round(len(x & y) / max(len(x), len(y)), 9) if x and y else 0.0

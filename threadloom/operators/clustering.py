@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.vector import cosine, cosine_distance, normalise
 from threadloom.operators.selection import values_at
-from threadloom.sources.scratch import shared_folder, written
+from threadloom.sources.scratch import beside, shared_folder, written
 
 
 def distances(rows: DataFrame) -> DataFrame:
@@ -295,9 +295,9 @@ def assigned(new: DataFrame, nodes: DataFrame, depth: int = 3, descend: float =
     """(id, node, score): where new rows (id, vector) go in a tree of centroids (node, parent, vector; roots have no parent), level by level.
 
     A row goes down into the nearest child while its cosine reaches ``descend``; one that ``attach`` reaches is taken,
-    but not gone further from. Rows that no root takes have none. nodes: a table of topics, which is broadcast.
+    but not gone further from. Rows that no root takes have none. The tree is broadcast if it is small (``beside``).
     """
-    tree = F.broadcast(nodes.select("node", "parent", F.col("vector").alias("centroid")))
+    tree = beside(nodes.select("node", "parent", F.col("vector").alias("centroid")))
     at = new.select("id", "vector", F.lit(None).cast("long").alias("node"), F.lit(None).cast("double").alias("score"), F.lit(True).alias("open"))
     for _ in range(depth):
         step = at.filter("open").select("id", "vector", F.col("node").alias("own")).join(tree, F.col("parent").eqNullSafe(F.col("own")))

@@ -132,8 +132,9 @@ def heat_after(heat: Column, scans: Column, pushes: Column) -> Column:
 def merge_pairs(pairs: DataFrame, decisions: DataFrame) -> DataFrame:
     """What becomes of decisions when each loser of ``pairs`` (keep, lose) goes into its keeper: columns of ``decisions`` with full_text, confidence, version and status set.
 
-    A keeper's text is the longest, with those not held in it appended, in order of their sids; its
-    confidence is the highest and its version one above the highest. Losers are superseded.
+    Losers' texts come in the order of their sids: one that is longer than the keeper's so far replaces it,
+    one that is held in it changes nothing, any other is appended. The keeper's confidence is the
+    highest and its version one above the highest. Losers are superseded.
     """
     d = decisions.select("sid", "full_text", "confidence", "version", "status")
     lost = pairs.join(d.select(F.col("sid").alias("lose"), F.col("full_text").alias("lt"), F.col("confidence").alias("lc"), F.col("version").alias("lv")), "lose")

@@ -12,6 +12,7 @@ from threadloom.functions.text import bigram_jaccard, bigrams, strip
 from threadloom.functions.vector import cosine
 from threadloom.operators.likeness import bigram_sets, like_pairs
 from threadloom.operators.search import nearest_each, top_each
+from threadloom.sources.scratch import beside
 
 
 def fused(signals: dict[str, DataFrame], most: int, k: int = 60) -> DataFrame:
@@ -101,7 +102,7 @@ def by_entities(asked: DataFrame, mentions: DataFrame, references: DataFrame, mo
 
     asked: (query_id, name); mentions: (source, name) of messages and documents; references: (id, source).
     """
-    paths = mentions.join(F.broadcast(asked), "name").select("query_id", "name", "source").distinct().join(references, "source")
+    paths = mentions.join(beside(asked), "name").select("query_id", "name", "source").distinct().join(references, "source")
     found = paths.groupBy("query_id", "id").agg(F.count_distinct("name").alias("names"))
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("names"), "id"))
     return found.withColumn("place", place).filter(F.col("place") <= most).select("query_id", "id", (1.0 / F.col("place")).alias("score"))

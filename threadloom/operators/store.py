@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import status as S
 from threadloom.functions.text import holds_any
+from threadloom.sources.scratch import beside
 
 
 def active(decisions: DataFrame) -> DataFrame:
@@ -89,7 +90,7 @@ def cross_topic(decisions: DataFrame, relations: DataFrame, project: str, topic:
     own = decisions.filter(F.col("project") == project).withColumn("topic", topic_of(F.col("topic_id")))
     from_topic = own.filter(F.col("topic") == topic).select(F.col("sid").alias("src"))
     to_topics = relations.join(from_topic, "src", "left_semi").join(own.select(F.col("sid").alias("dst"), F.col("topic")), "dst").select("topic").union(own.sparkSession.createDataFrame([(topic,)], "topic string"))
-    return own.join(F.broadcast(to_topics.distinct()), "topic", "left_semi").drop("topic")  # topics of one project
+    return own.join(beside(to_topics.distinct()), "topic", "left_semi").drop("topic")
 
 
 def relevant(decisions: DataFrame, keywords: list[str]) -> DataFrame:

@@ -55,8 +55,12 @@ def write_markdown(rows: DataFrame, path: str) -> None:
     rows.select("project", "topic", "text").repartition("project", "topic").write.partitionBy("project", "topic").option("lineSep", "\u0000").mode("append").option("maxRecordsPerFile", 1).text(path)
 
 
-def append_versions(decisions: DataFrame, path: str) -> None:
-    """Appends decisions (sid, project, topic, ...) as their next versions to a table in ``path``, which may be empty or absent."""
+def append_versions(decisions: DataFrame, path: str, order: list[str] | None = None) -> None:
+    """Appends decisions (sid, project, topic, ...) as their next versions to a table in ``path``, which may be empty or absent.
+
+    Several rows of one sid are numbered by the columns ``order``, then by all others. The highest
+    version is read before writing, so a table may have one writer at a time; two would give one version twice.
+    """
     spark = decisions.sparkSession
     try:
         top = spark.read.parquet(path).groupBy("sid").agg(F.max("version").alias("top"))
@@ -64,7 +68,7 @@ def append_versions(decisions: DataFrame, path: str) -> None:
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
         top = spark.createDataFrame([], "sid string, top long")
-    own = F.row_number().over(W.partitionBy("sid").orderBy(*[c for c in decisions.columns if c != "sid"]))
+    own = F.row_number().over(W.partitionBy("sid").orderBy(*(order or []), *[c for c in decisions.columns if c != "sid" and c not in (order or [])]))
     rows = decisions.join(top, "sid", "left").withColumn("version", (own + F.coalesce("top", F.lit(0))).cast("long")).drop("top")
     rows.write.partitionBy("project", "topic").mode("append").parquet(path)
 

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,3 +35,12 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt out to as many tasks as can run at once, if it has fewer: work that is heavy for its bytes, read from few files."""
     slots = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
+#: Rows of a side that is broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def beside(df: DataFrame) -> DataFrame:
+    """``df`` to be broadcast, if it has at most BROADCAST_ROWS rows; else as it is, to be joined by a shuffle."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
