@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
-from threadloom.operators import context
+from threadloom.operators import context, retrieval
 
 
 def test_a_path_with_many_changes_has_one_bridge(spark):
     rows = [("a.go", "go", "nav"), ("a.go", "go", "zzz"), ("b", "", "nav"), ("b", "nav", None), ("c", "", "")]
     df = spark.createDataFrame(rows, "path string, language string, diff string")
     assert sorted(map(tuple, context.bridges(df, ["zzz", "", "Go", "nav"]).collect())) == [("a.go", "zzz", "diff_summary"), ("b", "nav", "language")]
+
+
+def _jaccard(a, b):
+    x, y = ({t[i : i + 2] for i in range(len(t) - 1)} for t in (a.strip().lower(), b.strip().lower()))
+    return round(len(x & y) / len(x | y), 9) if x | y else 0.0
+
+
+def test_similar_new_compares_in_tiles(spark):
+    rows = [(k, k % 3 or None, f"Name {k * 37 % 101}" if k % 4 else " ", f"text of {k % 5}") for k in range(120)]
+    df = spark.createDataFrame(rows, "id long, topic int, summary string, full_text string").repartition(3)
+    found = retrieval.similar_new(df.filter("id % 10 = 1"), df, 0.3)
+    assert "BroadcastNestedLoopJoin" not in (plan := found._jdf.queryExecution().toString()) and "aggregate(" not in plan and "FlatMapGroupsInArrow" in plan
+    said = lambda r: r[2] if r[2].strip() else r[3]
+    want = {(a[0], b[0], _jaccard(said(a), said(b))) for a in rows if a[0] % 10 == 1 for b in rows if a[1] is not None and a[1] == b[1] and a[0] != b[0] and _jaccard(said(a), said(b)) >= 0.3}
+    assert want and set(map(tuple, found.collect())) == want

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from threadloom.functions.text import bigram_jaccard, bigrams, strip
+from threadloom.functions.text import bigram_jaccard
 from threadloom.functions.vector import cosine
-from threadloom.operators.likeness import bigram_sets, like_pairs
+from threadloom.operators.likeness import bigram_sets, like_between, like_pairs
 from threadloom.operators.search import nearest_each, top_each
 from threadloom.sources.scratch import beside
 
@@ -123,11 +123,11 @@ def nearest_in_topic(new: DataFrame, rows: DataFrame, most: int = 5, accept: flo
 
 
 def similar_new(new: DataFrame, rows: DataFrame, least: float = 0.15) -> DataFrame:
-    """(id, match, similarity): rows of a new row's topic whose summaries, or texts where one has none, are alike. new: a stated set that is broadcast."""
-    said = lambda: F.coalesce(F.nullif(F.trim("summary"), F.lit("")), F.col("full_text"))
-    n = new.select("id", "topic", said().alias("own"))
-    pairs = rows.select(F.col("id").alias("match"), "topic", said().alias("other")).join(F.broadcast(n), "topic").filter("id <> match")
-    return pairs.select("id", "match", F.round(bigram_jaccard("own", "other"), 9).alias("similarity")).filter(F.col("similarity") >= least)
+    """(id, match, similarity): rows of a new row's topic whose summaries, or texts where one has none, are alike; ``least`` is over 0."""
+    said = F.coalesce(F.nullif(F.trim("summary"), F.lit("")), F.col("full_text"))
+    sets = lambda df: bigram_sets(df.select("id", "topic", said.alias("said")), "id", "topic", "said")
+    pairs = like_between(sets(new), sets(rows), least - 1e-9).filter("id <> other")
+    return pairs.select("id", F.col("other").alias("match"), F.round("similarity", 9).alias("similarity")).filter(F.col("similarity") >= least)
 
 
 def across_chats(rows: DataFrame, topic_least: float = 0.5, least: float = 0.35) -> DataFrame:
