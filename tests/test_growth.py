@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import random
+
+import numpy as np
+
 from threadloom.operators import context, retrieval
 
 
@@ -24,3 +28,22 @@ def test_similar_new_compares_in_tiles(spark):
     said = lambda r: r[2] if r[2].strip() else r[3]
     want = {(a[0], b[0], _jaccard(said(a), said(b))) for a in rows if a[0] % 10 == 1 for b in rows if a[1] is not None and a[1] == b[1] and a[0] != b[0] and _jaccard(said(a), said(b)) >= 0.3}
     assert want and set(map(tuple, found.collect())) == want
+
+
+def test_nearest_in_topic_meets_copies_once(spark):
+    rng = random.Random(4)
+    rows = [(k, k % 4 or None, [rng.gauss(0, 1) for _ in range(6)] if k % 9 else None, f"text {k % 5} of it" if k % 11 else "") for k in range(150)]
+    df = spark.createDataFrame(rows, "id long, topic int, vector array<double>, text string").repartition(3)
+    found = retrieval.nearest_in_topic(df.filter("id % 3 = 0"), df, 5, 0.8, 0.3)
+    assert "aggregate(" not in found._jdf.queryExecution().toString()  # no cosine or likeness of single pairs
+    cos = lambda a, b: round(float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)), 9)
+    want = {}
+    for i, topic, v, t in rows[::3]:
+        others = [r for r in rows if topic is not None and r[1] == topic and r[0] != i]
+        near = sorted((-cos(v, r[2]), r[0]) for r in others if v and r[2])[:1]
+        if near and -near[0][0] > 0.8:
+            want[i] = (near[0][1], round(-near[0][0], 6), "vector")
+        elif like := [(r[0], round(_jaccard(t, r[3]), 6), "text") for r in others if _jaccard(t, r[3]) >= 0.3]:
+            want[i] = min(like)
+    assert {w[2] for w in want.values()} == {"vector", "text"}
+    assert {r["id"]: (r["match"], round(r["score"], 6), r["kind"]) for r in found.collect()} == want

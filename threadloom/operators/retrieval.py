@@ -8,11 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from threadloom.functions.text import bigram_jaccard
 from threadloom.functions.vector import cosine
 from threadloom.operators.likeness import bigram_sets, like_between, like_pairs
 from threadloom.operators.search import nearest_each, top_each
-from threadloom.sources.scratch import beside
+from threadloom.sources.scratch import beside, written
 
 
 def fused(signals: dict[str, DataFrame], most: int, k: int = 60) -> DataFrame:
@@ -111,15 +110,24 @@ def by_entities(asked: DataFrame, mentions: DataFrame, references: DataFrame, mo
 def nearest_in_topic(new: DataFrame, rows: DataFrame, most: int = 5, accept: float = 0.5, alike: float = 0.15) -> DataFrame:
     """(id, match, score, kind): for each new row (id, topic, vector, text) the nearest of the topic's others, if its cosine is over ``accept``.
 
-    Else the first, by id, of those whose text shares ``alike`` of its bigrams. new: a stated set that is broadcast.
+    Else the first, by id, of those whose text shares ``alike`` of its bigrams, a number over 0.
+    Vectors meet as matrix products within tasks, texts as classes of equal bigrams, so that copies meet once.
     """
-    n = new.select(F.col("id").alias("new"), "topic", F.col("vector").alias("probe"), F.col("text").alias("own"))
-    pairs = rows.join(F.broadcast(n), "topic").filter("id <> new")
-    near = pairs.select(F.col("new").alias("query_id"), "id", F.round(cosine("vector", "probe"), 9).alias("score"))
-    best = top_each(near, most).filter((F.col("rank0") == 0) & (F.col("score") > accept)).select(F.col("query_id").alias("new"), F.col("id").alias("match"), "score", F.lit("vector").alias("kind"))
-    text = pairs.select("new", "id", F.round(bigram_jaccard("own", "text"), 9).alias("score")).filter(F.col("score") >= alike)
-    first = text.groupBy("new").agg(F.min(F.struct("id", "score")).alias("f")).select("new", F.col("f.id").alias("match"), "f.score", F.lit("text").alias("kind"))
-    return best.unionByName(first.join(best.select("new"), "new", "left_anti")).withColumnRenamed("new", "id")
+    near = nearest_each(rows, new, most, within="topic").filter((F.col("rank0") == 0) & (F.col("score") > accept))
+    best = written(near.select(F.col("query_id").alias("new"), F.col("id").alias("match"), "score", F.lit("vector").alias("kind")))
+    asked = written(bigram_sets(new.join(best.select(F.col("new").alias("id")), "id", "left_anti"), "id", "topic", "text"))
+    kinds = asked.groupBy("block", "grams").agg(F.min("id").alias("kind"))
+    # a class counts by its two first ids, as a row is not like itself
+    place = lambda *key: F.row_number().over(W.partitionBy(*key).orderBy("id"))
+    firsts = bigram_sets(rows, "id", "topic", "text").withColumn("place", place("block", "grams")).filter("place <= 2")
+    firsts = written(firsts.groupBy("block", "grams").agg(F.min("id").alias("class"), F.collect_set("id").alias("ids")))
+    pairs = like_between(kinds.select("block", F.col("kind").alias("id"), "grams"), firsts.select("block", F.col("class").alias("id"), "grams"), alike - 1e-9)
+    pairs = pairs.select("block", F.col("id").alias("kind"), F.col("other").alias("class"), F.round("similarity", 9).alias("score")).filter(F.col("score") >= alike)
+    met = pairs.join(firsts.drop("grams"), ["block", "class"]).select("block", "kind", "score", F.explode("ids").alias("id"))
+    met = met.withColumn("place", place("block", "kind")).filter("place <= 2").drop("place")
+    own = asked.select("block", "grams", F.col("id").alias("new")).join(kinds, ["block", "grams"]).select("block", "kind", "new")
+    first = own.join(met, ["block", "kind"]).filter("id <> new").groupBy("new").agg(F.min(F.struct("id", "score")).alias("f"))
+    return best.unionByName(first.select("new", F.col("f.id").alias("match"), "f.score", F.lit("text").alias("kind"))).withColumnRenamed("new", "id")
 
 
 def similar_new(new: DataFrame, rows: DataFrame, least: float = 0.15) -> DataFrame:

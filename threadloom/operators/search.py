@@ -8,6 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -93,32 +94,40 @@ def nearness(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return -np.abs(x - q.T)
 
 
-def nearest_each(rows: DataFrame, queries: DataFrame, k: int, score: Callable[[np.ndarray, np.ndarray], np.ndarray] = cosines, itself: bool = False) -> DataFrame:
+def nearest_each(rows: DataFrame, queries: DataFrame, k: int, score: Callable[[np.ndarray, np.ndarray], np.ndarray] = cosines, itself: bool = False, within: str | None = None) -> DataFrame:
     """The k best (query_id, id, score, rank0) of each query among all rows, but for the one of its own id unless ``itself``, scores to 9 places, ties by id.
 
     rows, queries: (id, vector). Queries are broadcast in blocks of QUERIES_PER_PASS; a task
     scores its rows against a block and keeps its k best for each query. Rows and queries of a
-    null id or vector take no part.
+    null id or vector take no part. ``within``: a column of both; only rows of a query's own value
+    are scored, and those of null take no part.
     """
-    known = lambda df: df.filter("id IS NOT NULL AND vector IS NOT NULL").select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
+    group = F.lit("") if within is None else F.col(within).cast("string")
+    known = lambda df: df.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"), group.alias("group")).dropna()
     spark, found, part = rows.sparkSession, [], []
 
     def one_pass(block: list) -> DataFrame:
-        shared = spark.sparkContext.broadcast((np.array([r["id"] for r in block], np.int64), np.array([r["vector"] for r in block], float)))
+        names = sorted({r["group"] for r in block})
+        places = {g: np.array([n for n, r in enumerate(block) if r["group"] == g]) for g in names} if within else {"": slice(None)}
+        shared = spark.sparkContext.broadcast((np.array([r["id"] for r in block], np.int64), np.array([r["vector"] for r in block], float), pa.array(names, pa.string()), [places[g] for g in names]))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            asked, q = shared.value
-            ids, best = np.zeros((len(asked), 0), np.int64), np.zeros((len(asked), 0))
+            asked, q, names, places = shared.value
+            ids, best = np.zeros((len(asked), k), np.int64), np.full((len(asked), k), -np.inf)
             step = max(1, SCORES_AT_ONCE // max(1, len(asked)))
             for batch in batches:
                 for at in range(0, len(batch), step):
-                    own, vectors = batch.column(0)[at : at + step].to_numpy(), batch.column(1)[at : at + step]
-                    s = np.round(score(vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1), q), 9).T
-                    if not itself:
-                        s[own == asked[:, None]] = -np.inf
-                    ids, best = np.concatenate([ids, np.broadcast_to(own, s.shape)], 1), np.concatenate([best, s], 1)
-                    order = np.lexsort((ids, -best))[:, :k]
-                    ids, best = np.take_along_axis(ids, order, 1), np.take_along_axis(best, order, 1)
+                    mine, vectors = batch.column(0)[at : at + step].to_numpy(), batch.column(1)[at : at + step]
+                    x = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(mine), -1)
+                    of = pc.index_in(batch.column(2)[at : at + step], names).fill_null(-1).to_numpy()
+                    for g in np.unique(of[of >= 0]):
+                        own, here = mine[of == g], places[g]
+                        s = np.round(score(x[of == g], q[here]), 9).T
+                        if not itself:
+                            s[own == asked[here][:, None]] = -np.inf
+                        i, b = np.concatenate([ids[here], np.broadcast_to(own, s.shape)], 1), np.concatenate([best[here], s], 1)
+                        order = np.lexsort((i, -b))[:, :k]
+                        ids[here], best[here] = np.take_along_axis(i, order, 1), np.take_along_axis(b, order, 1)
             some = best > -np.inf
             yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(asked[:, None], ids.shape)[some]), pa.array(ids[some]), pa.array(best[some])], names=["query_id", "id", "score"])
 
