@@ -6,7 +6,7 @@ import random
 
 import numpy as np
 
-from threadloom.operators import context, retrieval
+from threadloom.operators import context, graph, retrieval
 
 
 def test_a_path_with_many_changes_has_one_bridge(spark):
@@ -47,3 +47,24 @@ def test_nearest_in_topic_meets_copies_once(spark):
             want[i] = min(like)
     assert {w[2] for w in want.values()} == {"vector", "text"}
     assert {r["id"]: (r["match"], round(r["score"], 6), r["kind"]) for r in found.collect()} == want
+
+
+def test_chains_that_have_ended_meet_nobody(spark, monkeypatch):
+    rows = [(str(k), str(k // 2) if k > 1 and k % 7 else "") for k in range(1, 200)] + [("x", "y"), ("y", "x"), ("z", "none"), ("own", "own"), ("p", "x")]
+    df = spark.createDataFrame(rows, "id string, up string").repartition(3)
+    met = []
+    keep = graph.written
+    monkeypatch.setattr(graph, "written", lambda t: (met.append(t), keep(t))[1])
+    got = {r["node"]: (r["path"], r["complete"]) for r in graph.paths(df, "id", "up").collect()}
+    joined = [t for t in met if t.columns == ["node", "path", "top"]][1:]  # the first are single nodes
+    assert joined and all(r["path"][1:] for t in joined for r in t.collect() if r["top"] is None)
+    up = {k: u for k, u in rows if u in dict(rows) and u != k}
+    for node, (path, complete) in got.items():
+        if node in "xyp":
+            assert not complete and path[-1] == node
+            continue
+        want = [node]
+        while want[0] in up:
+            want.insert(0, up[want[0]])
+        assert complete and path == want
+    assert len(got) == len(rows)

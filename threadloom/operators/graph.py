@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions.status import is_active
-from threadloom.sources.scratch import written
+from threadloom.sources.scratch import beside, written
 
 
 def reachable(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
@@ -64,19 +64,25 @@ def paths(nodes: DataFrame, key: str, parent: str, depth: int = 32) -> DataFrame
 
     By doubling: in each round a chain takes on the chain of its first node, so rounds grow with the
     logarithm of the depth. Chains end where a parent doesn't exist; ``complete`` is false where
-    ``depth`` or a cycle ended one.
+    ``depth`` or a cycle ended one. Chains that have ended are set apart, and the others meet only
+    the chains of their first nodes: ever fewer nodes, each the first of ever more chains, so these
+    are broadcast once they are few (``beside``).
     """
     up = parent_edges(nodes, key, parent)
     known = nodes.select(F.col(key).alias("src")).distinct()
     first = nodes.select(F.col(key).alias("node")).distinct().join(up.join(known, "src", "left_semi").select(F.col("dst").alias("node"), "src"), "node", "left")
     chains = written(first.groupBy("node").agg(F.min("src").alias("top")).select("node", F.array(F.col("node")).alias("path"), "top"))
-    steps = 0
-    while (1 << steps) <= depth and chains.filter("top IS NOT NULL").limit(1).count():
-        above = chains.select(F.col("node").alias("top"), F.col("path").alias("above"), F.col("top").alias("next"))
-        joined = chains.join(above, "top", "left")
+    ended, open_, steps = [chains.filter("top IS NULL")], chains.filter("top IS NOT NULL"), 0
+    while (1 << steps) <= depth and open_.limit(1).count():
+        tops = beside(written(open_.select(F.col("top").alias("node")).distinct()))
+        above = reduce(DataFrame.unionByName, [*ended, open_]).join(tops, "node", "left_semi").select(F.col("node").alias("top"), F.col("path").alias("above"), F.col("top").alias("next"))
+        joined = open_.join(beside(written(above)), "top", "left")
         cycle = F.coalesce(F.arrays_overlap("above", "path"), F.lit(False))
         chains = written(joined.select("node", F.when(F.col("above").isNull() | cycle, F.col("path")).otherwise(F.concat("above", "path")).alias("path"), F.when(cycle, F.col("top")).otherwise(F.col("next")).alias("top")))
+        ended.append(chains.filter("top IS NULL"))
+        open_ = chains.filter("top IS NOT NULL")
         steps += 1
+    chains = reduce(DataFrame.unionByName, [*ended, open_])
     return chains.select("node", "path", (F.size("path") - 1).alias("depth"), F.col("top").isNull().alias("complete"))
 
 
