@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 
-from threadloom.operators import context, graph, retrieval
+from threadloom.operators import clustering, context, graph, retrieval
 
 
 def test_a_path_with_many_changes_has_one_bridge(spark):
@@ -68,3 +69,25 @@ def test_chains_that_have_ended_meet_nobody(spark, monkeypatch):
             want.insert(0, up[want[0]])
         assert complete and path == want
     assert len(got) == len(rows)
+
+
+def test_linkage_grows_with_the_square(spark):
+    rng = np.random.default_rng(3)
+    for n, places in ((40, 9), (60, 1)):  # with one place there are many ties
+        x = rng.normal(size=(n, 3))
+        d = np.round(((x[:, None] - x[None]) ** 2).sum(2), places)
+        m, size, left = d.copy(), np.ones(n), list(range(n))
+        np.fill_diagonal(m, np.inf)
+        want = []
+        while len(left) > 1:
+            i, j = min(((a, b) for a in left for b in left if a < b), key=lambda p: (m[p], p))
+            want.append((i, j, round(float(m[i, j]), 6)))
+            m[i] = m[:, i] = (size[i] * m[i] + size[j] * m[j]) / (size[i] + size[j])
+            m[i, i] = np.inf
+            size[i] += size[j]
+            left.remove(j)
+        assert places < 9 or [(i, j, round(h, 6)) for i, j, h in clustering.linkage(d)] == want
+        assert np.allclose(sorted(h for _, _, h in clustering.linkage(d)), sorted(w[2] for w in want), atol=1e-6)
+    x = rng.normal(size=(3000, 8))
+    began = time.process_time()
+    assert len(clustering.linkage(-x @ x.T + 100)) == 2999 and time.process_time() - began < 6

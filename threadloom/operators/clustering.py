@@ -41,26 +41,44 @@ def weighted_distances(pairs: DataFrame, lengths: DataFrame) -> DataFrame:
     return both.select("block", "id_a", "id_b", F.round(F.col("distance") * factor, 9).alias("distance"))
 
 
+#: Clusters of a block that one task merges to the end: a matrix of 134 MB.
+MOST = 4_096
+
+
 def linkage(distance: np.ndarray, size: np.ndarray | None = None) -> list[tuple[int, int, float]]:
     """Merges of average linkage over a matrix: (first member of one cluster, of the other, distance), the nearest first, ties by the smaller members.
 
-    ``size``: of how many members the rows are the mean distances, 1 by default.
+    ``size``: of how many members the rows are the mean distances, 1 by default. Each cluster is
+    followed to its nearest, the first of equal ones, until two are each other's: these merge
+    whatever else there is, so the work grows with the square of the rows.
     """
     n = len(distance)
-    d, size, alive = distance.astype(float).copy(), np.ones(n) if size is None else size.astype(float).copy(), np.ones(n, bool)
+    d, size = np.minimum(distance, distance.T).astype(float, copy=False), np.ones(n) if size is None else size.astype(float)
     np.fill_diagonal(d, np.inf)
-    out = []
-    for _ in range(n - 1):
-        i, j = sorted(np.unravel_index(np.argmin(d), d.shape))
-        out.append((int(i), int(j), float(d[i, j])))
+    out, chain, alive = [], [], np.ones(n, bool)
+    while len(out) < n - 1:
+        if not chain:
+            chain = [int(np.argmax(alive))]
+        last = chain[-1]
+        to = int(np.argmin(d[last]))
+        if len(chain) == 1 or to != chain[-2]:
+            chain = [last, to] if to in chain else [*chain, to]  # a cycle can only come from rounded means
+            continue
+        i, j = sorted((last, to))
+        out.append((i, j, float(d[i, j])))
         merged = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
         d[i], d[:, i] = merged, merged
         d[j], d[:, j] = np.inf, np.inf
-        d[i, i] = np.inf
         size[i] += size[j]
         alive[j] = False
-        d[i, ~alive] = d[~alive, i] = np.inf
-    return out
+        chain = chain[:-2]
+    # a merge comes after those that its clusters are made of, whatever rounding does to their heights
+    height, key = np.zeros(n), []
+    for i, j, h in out:
+        inner = max(height[i], height[j])
+        height[i] = h if h >= inner else np.nextafter(inner, np.inf)
+        key.append(height[i])
+    return [out[k] for k in sorted(range(len(out)), key=lambda k: (key[k], out[k][:2]))]
 
 
 def _features(rows: DataFrame, width: int) -> DataFrame:
@@ -146,7 +164,7 @@ def _all(tables: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, tables)
 
 
-def merges(rows: DataFrame, most: int = 1_000) -> DataFrame:
+def merges(rows: DataFrame, most: int = MOST) -> DataFrame:
     """(block, i, j, height): the merges of average linkage of rows (block, id, vector, and length, if distances are weighted by it).
 
     i and j are the smallest ids of the two clusters, i the smaller. Rows without a block, an id or a vector are left out.
@@ -199,7 +217,8 @@ def merges(rows: DataFrame, most: int = 1_000) -> DataFrame:
         own = own.sort_values("id")
         n, s, ids = own["n"].to_numpy(), np.array(own["s"].tolist(), float), own["id"].to_numpy()
         mean = s / n[:, None]
-        steps = linkage(np.clip(np.round((mean * signs) @ mean.T, 9), 0, None), n)
+        d = (mean * signs) @ mean.T
+        steps = linkage(np.clip(np.round(d, 9, out=d), 0, None, out=d), n)
         block = own["block"].iloc[0]
         return pd.DataFrame([(block, ids[i], ids[j], h) for i, j, h in steps], columns=["block", "i", "j", "height"])
 
@@ -241,7 +260,7 @@ def _roots(edges: DataFrame) -> DataFrame:
     return _all(done) if done else edges.select("block", "level", "id", F.col("up").alias("cluster"))
 
 
-def clusters(rows: DataFrame, levels: int = 3, threshold: float | None = None, most: int = 1_000) -> DataFrame:
+def clusters(rows: DataFrame, levels: int = 3, threshold: float | None = None, most: int = MOST) -> DataFrame:
     """(block, level, id, cluster) of rows (block, id, vector) by average linkage of cosine distances; a cluster is named by its smallest id.
 
     With a threshold there is one level, of the merges up to it. Else the tree is cut at
@@ -260,7 +279,7 @@ def clusters(rows: DataFrame, levels: int = 3, threshold: float | None = None, m
     return each.join(_roots(edges), ["block", "level", "id"], "left").select("block", F.col("level").cast("int").alias("level"), "id", F.coalesce("cluster", "id").alias("cluster"))
 
 
-def topic_hierarchy(rows: DataFrame, levels: int = 4, most: int = 1_000) -> DataFrame:
+def topic_hierarchy(rows: DataFrame, levels: int = 4, most: int = MOST) -> DataFrame:
     """(topic, block, level, cluster, n, centroid, parent, children): all topics of rows (block, id, vector and length, if weighted), as a tree.
 
     A topic is named by its level and its smallest member; ``parent`` is the topic of the level
