@@ -81,6 +81,18 @@ def test_one_pool_over_all_chats(spark, seed):
     assert told(timed.pooled_episodes(table(spark, rows), rules, until).collect()) == one_pool(rows, rules, until)
 
 
+def test_rounds_run_only_chats_of_which_others_are_put_out(spark, monkeypatch):
+    rules = Rules(gap=100.0, size=1000, archive=3000.5, pool=3)
+    alone = [("alone", 1000 + k, 90000.0 + 10000 * k, "a", [1.0, 0.1]) for k in range(3)]  # never put out
+    rows = messages(4, 4, 40, 150) + alone
+    until = S0 + alone[-1][2] + 10000
+    ran, keep = [], timed.timed_episodes
+    monkeypatch.setattr(timed, "timed_episodes", lambda m, *more: (ran.append({r[0] for r in m.select("chat").distinct().collect()}), keep(m, *more))[1])
+    got = told(timed.pooled_episodes(table(spark, rows), rules, until).collect())
+    assert got == one_pool(rows, rules, until) and "evicted" in {x[4] for x in got}
+    assert len(ran) > 1 and "alone" in ran[0] and not any("alone" in r for r in ran[1:])
+
+
 def test_a_restarted_stream_equals_the_table(spark, tmp_path):
     rules = Rules(gap=100.0, idle=80.0, duration=900.0, size=6, archive=3000.0, pool=2)
     rows = messages(3, 4, 120, 400)

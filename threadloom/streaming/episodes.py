@@ -136,7 +136,8 @@ _SCHEMA = "chat string, id long, episode long, why string"
 
 def _prepared(messages: DataFrame) -> DataFrame:
     seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    return messages.select(F.col("chat").cast("string").alias("chat"), F.col("id").cast("long").alias("id"), "ts", seconds.alias("at"), F.coalesce("text", F.lit("")).alias("text"), F.col("vector").cast("array<double>").alias("vector"))
+    kind = "array<float>" if messages.schema["vector"].dataType.simpleString() == "array<float>" else "array<double>"  # half the bytes where floats are given
+    return messages.select(F.col("chat").cast("string").alias("chat"), F.col("id").cast("long").alias("id"), "ts", seconds.alias("at"), F.coalesce("text", F.lit("")).alias("text"), F.col("vector").cast(kind).alias("vector"))
 
 
 def _vector(v) -> np.ndarray | None:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from threadloom.functions.text import TOPIC_SHIFTS
-from threadloom.sources.scratch import written
+from threadloom.sources.scratch import beside, written
 from threadloom.streaming.episodes import Rules, _cosine, _prepared, _vector
 
 ROWS = "chat string, id long, episode long, event string, at double, step long"
@@ -159,7 +160,7 @@ def timed_episodes(messages: DataFrame, rules: Rules = Rules(), until: float | N
 
     own = _prepared(messages).filter("chat IS NOT NULL AND at IS NOT NULL").select("chat", "id", "at", "text", "vector", F.lit(1).alias("kind"), F.lit(0.0).alias("suspended"))
     if evictions is not None:
-        own = own.unionByName(evictions.select("chat", F.col("number").alias("id"), "at", F.lit("").alias("text"), F.lit(None).cast("array<double>").alias("vector"), F.lit(0).alias("kind"), "suspended"))
+        own = own.unionByName(evictions.select("chat", F.col("number").alias("id"), "at", F.lit("").alias("text"), F.lit(None).cast(own.schema["vector"].dataType).alias("vector"), F.lit(0).alias("kind"), "suspended"))
     return own.repartition("chat").sortWithinPartitions("chat", "at", "kind", "id").mapInPandas(run, ROWS)
 
 
@@ -178,55 +179,75 @@ def ranked(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     return placed.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_place")).drop("_part", "_place", "_before")
 
 
-def put_out(events: DataFrame, most: int) -> DataFrame:
-    """(chat, number, suspended, at): the suspended episodes of ``events`` (ROWS) that a pool of ``most`` over all chats puts out, and when.
+def waits(events: DataFrame) -> DataFrame:
+    """(chat, number, suspended, left, reopened, was): every suspension of ``events`` (ROWS), when and how it ended of itself, and when it was put out."""
+    episode = W.partitionBy("chat", "episode").orderBy("step")
+    moves = events.filter("event LIKE 'suspended%' OR event IN ('reopened', 'archived', 'evicted')").withColumn("next", F.lead("at").over(episode)).withColumn("how", F.lead("event").over(episode))
+    out = F.coalesce(F.col("how") == "evicted", F.lit(False))
+    return moves.filter("event LIKE 'suspended%'").select(
+        "chat", F.col("episode").alias("number"), F.col("at").alias("suspended"), F.when(~out, F.col("next")).alias("left"), F.coalesce(F.col("how") == "reopened", F.lit(False)).alias("reopened"), F.when(out, F.col("next")).alias("was")
+    )
+
+
+def put_out(suspensions: DataFrame, most: int) -> DataFrame:
+    """``suspensions`` (``waits``) with at: when a pool of ``most`` over all chats puts the episode out, or null.
 
     When a suspension makes the pool too large, the one suspended longest ago goes. So an episode
     goes with the suspension of the rank at which ``most`` later ones wait; later ones that have been
-    reopened by then don't count. That rank is found step by step, counting the reopened ones in between.
-    At one moment archiving comes first, then suspending and last reopening.
+    reopened by then don't count. Where none of the next ``most`` is ever reopened that rank is known at once,
+    from runs of ranks that each end with the first ``most`` of the next; else it is found step by step,
+    counting the reopened ones in between. At one moment archiving comes first, then suspending and last reopening.
     """
-    episode = W.partitionBy("chat", "episode").orderBy("step")
-    moves = events.filter("event LIKE 'suspended%' OR event IN ('reopened', 'archived')").withColumn("left", F.lead("at").over(episode)).withColumn("how", F.lead("event").over(episode))
-    waits = moves.filter("event LIKE 'suspended%'").select("chat", F.col("episode").alias("number"), F.col("at").alias("suspended"), "left", F.coalesce(F.col("how") == "reopened", F.lit(False)).alias("reopened"))
-    rows = written(ranked(waits, ["suspended", "chat", "number"], "rank"))
+    columns = suspensions.columns
+    span = max(4096, 4 * (most + 1))
+    run = F.floor(F.col("rank") / span)
+    runs = F.when(F.col("rank") % span < most, F.array(run, run - 1)).otherwise(F.array(run))
+    along = W.partitionBy("run").orderBy("rank")
+    dealt = ranked(suspensions, ["suspended", "chat", "number"], "rank").withColumn("run", F.explode(runs))
+    known = dealt.withColumn("at", F.lead("suspended", most).over(along)).withColumn("_n", F.sum(F.col("reopened").cast("long")).over(along.rowsBetween(W.unboundedPreceding, 0))).withColumn("_n", F.lead("_n", most).over(along) - F.col("_n"))
+    # ranks beyond the last are never reached; who has left by then isn't put out
+    stays = F.expr("at IS NULL OR NOT (left IS NULL OR left > at OR left = at AND reopened)")
+    rows = written(known.filter(F.col("run") == run).select(*columns, "rank", F.when(~stays, F.col("at")).alias("at"), (~stays & (F.col("_n") > 0)).alias("open")))
+
     moments = rows.select(F.col("rank").alias("at_rank"), F.col("suspended").alias("at"))
     width = most + 1
     gone = rows.filter("reopened").select(F.col("rank").alias("other"), F.col("left").alias("other_left")).withColumn("bucket", F.floor(F.col("other") / width))
-    open_ = written(rows.withColumn("at_rank", F.col("rank") + most))
+    open_ = rows.filter("open").select("rank", "left", "reopened", (F.col("rank") + most).alias("at_rank"))
     done = []
-    while True:
-        # ranks beyond the last are never reached; who has left by then isn't put out
+    while not open_.isEmpty():
         timed = open_.join(moments, "at_rank").filter("left IS NULL OR left > at OR left = at AND reopened")
         bucket = F.explode(F.sequence(F.floor((F.col("rank") + 1) / width), F.floor(F.col("at_rank") / width)))
         between = timed.withColumn("bucket", bucket).join(gone, "bucket").filter("other > rank AND other <= at_rank AND other_left < at").groupBy("rank").agg(F.count("*").alias("fewer"))
         counted = written(timed.join(between, "rank", "left").withColumn("aim", F.col("rank") + most + F.coalesce("fewer", F.lit(0))))
-        done.append(counted.filter("aim <= at_rank").select("chat", "number", "suspended", "at"))
-        open_ = counted.filter("aim > at_rank").select(*rows.columns, F.col("aim").alias("at_rank"))
-        if open_.isEmpty():
-            break
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
+        done.append(counted.filter("aim <= at_rank").select("rank", "at"))
+        open_ = counted.filter("aim > at_rank").select("rank", "left", "reopened", F.col("aim").alias("at_rank"))
+    out = rows.filter("NOT open").select(*columns, "at")
+    if done:
+        out = out.unionByName(rows.filter("open").drop("at").join(reduce(DataFrame.unionByName, done), "rank", "left").select(*columns, "at"))
     return out
 
 
 def pooled_episodes(messages: DataFrame, rules: Rules = Rules(), until: float | None = None, rounds: int = 30) -> DataFrame:
     """``timed_episodes`` with one pool of ``rules.pool`` episodes over all chats.
 
-    Who is put out hangs on all chats, and what a chat's messages reopen hangs on who was. Rounds
-    run the chats with the evictions known so far and rank all suspensions anew; up to the first
-    eviction that changes all is final, so that moment moves on in each round until nothing changes.
+    Who is put out hangs on all chats, and what a chat's messages reopen hangs on who was. Each round
+    ranks all suspensions anew and runs the chats again of which others are put out than before; up to
+    the first eviction that changes all is final, so that moment moves on in each round until nothing changes.
     Raises if ``rounds`` aren't enough.
     """
-    evictions, events = None, None
+    none = messages.sparkSession.createDataFrame([], "chat string, number long, suspended double, at double")
+    events = written(timed_episodes(messages, rules, until, none))
+    suspensions = written(waits(events))
     for _ in range(rounds):
-        known = evictions if evictions is not None else messages.sparkSession.createDataFrame([], "chat string, number long, suspended double, at double")
-        events = written(timed_episodes(messages, rules, until, known))
-        found = written(put_out(events.filter("event <> 'evicted'"), rules.pool))
-        if found.exceptAll(known).isEmpty() and known.exceptAll(found).isEmpty():
+        found = put_out(suspensions, rules.pool)
+        changed = written(found.filter(~F.col("at").eqNullSafe(F.col("was"))).select("chat").distinct())
+        if changed.isEmpty():
             return events
-        evictions = found
+        again = beside(changed)
+        evictions = found.filter("at IS NOT NULL").join(again, "chat", "left_semi").select(*none.columns)
+        rerun = written(timed_episodes(messages.withColumn("chat", F.col("chat").cast("string")).join(again, "chat", "left_semi"), rules, until, evictions))
+        events = events.join(again, "chat", "left_anti").unionByName(rerun)
+        suspensions = written(suspensions.join(again, "chat", "left_anti").unionByName(waits(rerun)))
     raise RuntimeError(f"evictions still change after {rounds} rounds")
 
 
