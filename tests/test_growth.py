@@ -6,8 +6,10 @@ import random
 import time
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from threadloom.operators import clustering, context, graph, retrieval
+from threadloom.functions.text import bigram_jaccard
+from threadloom.operators import clustering, context, graph, lifecycle, likeness, retrieval
 
 
 def test_a_path_with_many_changes_has_one_bridge(spark):
@@ -91,3 +93,18 @@ def test_linkage_grows_with_the_square(spark):
     x = rng.normal(size=(3000, 8))
     began = time.process_time()
     assert len(clustering.linkage(-x @ x.T + 100)) == 2999 and time.process_time() - began < 6
+
+
+def test_likeness_of_pairs_is_made_in_batches(spark):
+    texts = ["", None, "a", "ab", " Ab ", "abab", "决定 👍👍 a", "İx", "Use option 7 for X", "use option 77 for x", "\n"]
+    rows = [(i, j, a, b) for i, a in enumerate(texts) for j, b in enumerate(texts)] * 40  # more than are sorted at once
+    df = spark.createDataFrame(rows, "i int, j int, a string, b string").coalesce(1)
+    for stripped in (True, False):
+        got = df.select("*", likeness.pair_likeness(F.col("a"), F.col("b"), stripped).alias("got"), bigram_jaccard("a", "b", stripped).alias("want")).collect()
+        assert all(r["got"] == r["want"] for r in got) and len({r["got"] for r in got}) > 3
+    d = spark.createDataFrame([(str(k), f"Use option {k % 4}", "decided", k, 0.5, 1.0) for k in range(9)], "sid string, summary string, status string, version int, confidence double, hot_score double")
+    pairs = spark.createDataFrame([(str(a), str(b)) for a in range(9) for b in range(9) if a < b], "id_a string, id_b string")
+    found = lifecycle.duplicate_pairs(pairs, d, 0.95)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect" not in plan and plan.count("like(") == 1
+    assert {(r["keep"], r["lose"]) for r in found.collect()} == {(str(b), str(a)) for a in range(9) for b in range(9) if a < b and a % 4 == b % 4}

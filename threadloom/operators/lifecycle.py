@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import status as S
 from threadloom.functions.scores import hot_score
-from threadloom.functions.text import bigram_jaccard
+from threadloom.operators.likeness import pair_likeness
 
 # Kinds of changes.
 KINDS = ["CREATE", "UPDATE", "STATUS_CHANGE", "CONFLICT_MERGE", "CONFLICT_KEEP_BOTH", "OBJECTION", "DEPRECATE", "REVERT"]
@@ -218,7 +218,7 @@ def duplicate_pairs(pairs: DataFrame, decisions: DataFrame, least: float = 0.7)
     """(keep, lose, similarity) of candidate pairs (id_a, id_b) of active decisions that are alike enough: the worthier stays, the smaller sid among equals."""
     side = lambda c, p: decisions.filter(S.is_active(F.col("status"))).select(F.col("sid").alias(c), F.col("summary").alias(f"{p}_summary"), S.decision_score(F.col("status"), F.col("version"), F.col("confidence"), F.col("hot_score")).alias(f"{p}_worth"))
     both = pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct().join(side("a", "a"), "a").join(side("b", "b"), "b")
-    both = both.withColumn("similarity", F.round(bigram_jaccard("a_summary", "b_summary"), 9)).filter(F.col("similarity") >= least)
+    both = both.withColumn("similarity", F.round(pair_likeness(F.col("a_summary"), F.col("b_summary")), 9)).filter(F.col("similarity") >= least)
     first = F.col("a_worth") >= F.col("b_worth")
     return both.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("keep"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("lose"), "similarity")
 

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import strip
@@ -25,6 +25,8 @@ from threadloom.sources.scratch import written
 RUN = 1024
 #: Members whose columns of the matrices are made at once.
 _COLUMNS = 2048
+#: Pairs whose bigrams are sorted at once.
+_PAIRS = 2048
 
 
 def bigram_sets(df: DataFrame, id_col: str, block: str, text: str, as_is: bool = False) -> DataFrame:
@@ -48,6 +50,38 @@ def bigram_sets(df: DataFrame, id_col: str, block: str, text: str, as_is: bool =
     return given.mapInArrow(pairs, f"block {kinds['block']}, id {kinds['id']}, grams array<long>")
 
 
+def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The row of each pair of neighbouring characters, and the pair as a number; null has none."""
+    texts = pc.fill_null(texts, "")
+    row = np.repeat(np.arange(len(texts)), pc.utf8_length(texts).to_numpy())
+    c = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), np.uint32).astype(np.int64)
+    inside = row[:-1] == row[1:]
+    return row[:-1][inside], (c[:-1] << 21 | c[1:])[inside]
+
+
+def _jaccards(a: pa.Array, b: pa.Array) -> np.ndarray:
+    (ra, ga), (rb, gb) = _grams(a), _grams(b)
+    kinds, kind = np.unique(np.concatenate([ga, gb]), return_inverse=True)
+    width = max(1, len(kinds))
+    x, y = np.unique(ra * width + kind[: len(ga)]), np.unique(rb * width + kind[len(ga) :])
+    count = lambda keys: np.bincount(keys // width, minlength=len(a))
+    both = count(np.intersect1d(x, y, assume_unique=True))
+    union = count(x) + count(y) - both
+    return both / np.maximum(union, 1)
+
+
+def pair_likeness(a: Column, b: Column, stripped: bool = True) -> Column:
+    """``text.bigram_jaccard`` of the two texts of each row, for many rows: a batch's bigrams are sorted at once, not made one by one."""
+
+    def like(x: pa.Array, y: pa.Array) -> pa.Array:
+        parts = [_jaccards(x.slice(k, _PAIRS), y.slice(k, _PAIRS)) for k in range(0, len(x), _PAIRS)]
+        return pa.array(np.concatenate([np.zeros(0), *parts]))
+
+    clear = strip if stripped else (lambda t: t)
+    # else a filter on the result would have it computed a second time
+    return F.arrow_udf(like, "double").asNondeterministic()(F.lower(clear(a)), F.lower(clear(b)))
+
+
 def _runs(sets: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     """The rows with the run that each is in, and the runs with their least and largest size."""
     sized = sets.withColumn("n", F.size("grams")).filter("n > 0")
