@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import bigram_jaccard
-from threadloom.operators import clustering, context, graph, lifecycle, likeness, retrieval
+from threadloom.operators import clustering, context, evaluation, graph, lifecycle, likeness, retrieval
 
 
 def test_a_path_with_many_changes_has_one_bridge(spark):
@@ -108,3 +108,11 @@ def test_likeness_of_pairs_is_made_in_batches(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "array_intersect" not in plan and plan.count("like(") == 1
     assert {(r["keep"], r["lose"]) for r in found.collect()} == {(str(b), str(a)) for a in range(9) for b in range(9) if a < b and a % 4 == b % 4}
+
+
+def test_best_matches_make_bigrams_in_batches(spark):
+    e = spark.createDataFrame([(1, "c", "T", "keep it"), (2, "c", None, None), (3, "d", "zz", "abc")], "e int, chat string, topic string, summary string")
+    a = spark.createDataFrame([(10, "c", "keep it", ""), (11, "c", None, "We keep it"), (12, "d", "xyz", None)], "a int, chat string, summary string, body string")
+    best = evaluation.best_matches(e, a, "chat")
+    assert "array_intersect" not in best._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, best.collect())) == [(10, 1, 1.0), (11, 1, round(0.7 * 6 / 9, 9))]

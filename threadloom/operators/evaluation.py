@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.scores import precision_recall_f1, ratio
 from threadloom.functions.status import is_confirmed
-from threadloom.functions.text import bigram_jaccard, character_overlap, token_overlap
+from threadloom.functions.text import character_overlap, token_overlap
 from threadloom.functions.vector import dot, normalise
-from threadloom.operators.likeness import like_between
+from threadloom.operators.likeness import like_between, pair_likeness
 from threadloom.operators.selection import values_at
 from threadloom.sources.scratch import written
 
@@ -295,7 +295,7 @@ def best_matches(expected: DataFrame, found: DataFrame, key: str, least: float =
     text = lambda c: F.coalesce(c, F.lit(""))
     f = found.select("a", key, text(F.col("summary")).alias("s"), text(body).alias("b"))
     pairs = f.join(expected.select("e", key, text(F.col("summary")).alias("es"), text(F.col("topic")).alias("topic")), key)
-    alike = F.greatest(bigram_jaccard("s", "es", False), 0.7 * bigram_jaccard("b", "es", False))
+    alike = F.greatest(pair_likeness(F.col("s"), F.col("es"), False), 0.7 * pair_likeness(F.col("b"), F.col("es"), False))
     held = F.lower(F.concat_ws(" ", "s", "b"))
     named = (F.col("s") != "") & F.exists(F.filter(F.split(F.lower(F.regexp_replace("topic", " ", "")), ""), lambda c: c != ""), lambda c: F.contains(held, c))
     scored = pairs.select("a", "e", F.round(F.least(F.lit(1.0), alike + F.when(named, 0.15).otherwise(0.0)), 9).alias("score")).filter(F.col("score") >= least)
