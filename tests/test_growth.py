@@ -8,7 +8,7 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
-from threadloom.functions.text import bigram_jaccard
+from threadloom.functions.text import bigram_jaccard, blocks
 from threadloom.operators import clustering, context, evaluation, graph, lifecycle, likeness, retrieval
 
 
@@ -116,3 +116,12 @@ def test_best_matches_make_bigrams_in_batches(spark):
     best = evaluation.best_matches(e, a, "chat")
     assert "array_intersect" not in best._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, best.collect())) == [(10, 1, 1.0), (11, 1, round(0.7 * 6 / 9, 9))]
+
+
+def test_blocks_cut_a_text_once(spark):
+    text = "".join(f"#h{k}\n" for k in range(6000)) + "#end"
+    began = time.time()
+    got = spark.createDataFrame([(text,), (None,), ("a\n#b",)], "t string").select(blocks(F.col("t"))).collect()
+    assert time.time() - began < 10
+    assert got[0][0][0] == (0, "heading", "#h0") and got[0][0][-1] == (6000, "content", "#end") and len(got[0][0]) == 6001
+    assert got[1][0] == [] and got[2][0] == [(0, "heading", "a"), (1, "content", "#b")]

@@ -313,8 +313,8 @@ def blocks(content: Column) -> Column:
     All but the last are headings by kind, as each ends where a heading begins.
     """
     parts = F.filter(F.split(F.coalesce(content, F.lit("")), r"(?m)(?:^|(?<=\n))(?=#)"), lambda p: p != "")
-    last = F.size(parts) - 1
-    return F.transform(parts, lambda p, i: F.struct(i.alias("place"), F.when(i < last, "heading").otherwise("content").alias("kind"), F.when(i < last, F.regexp_replace(p, r"\n$", "")).otherwise(p).alias("content")))
+    named = lambda ps: F.transform(ps, lambda p, i: F.struct(i.alias("place"), F.when(i < F.size(ps) - 1, "heading").otherwise("content").alias("kind"), F.when(i < F.size(ps) - 1, F.regexp_replace(p, r"\n$", "")).otherwise(p).alias("content")))
+    return F.get(F.transform(F.array(parts), named), 0)  # else the text is cut again for each of its blocks
 
 
 def chunks(text: Column, size: int = 1024, overlap: int = 0) -> Column:

@@ -91,7 +91,7 @@ def file_kinds(spark, sf_dir):
 
 def block_search(spark, sf_dir):
     """The five blocks of each document, a block a line, that hold some words most often."""
-    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.explode(T.blocks(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("\n#")))).alias("b")).select("doc", "b.*")
+    d = spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("doc"), F.explode(T.blocks(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("\n#")))).alias("b")).select("doc", "b.*")
     return context.relevant_blocks(d, "the of in a is").select("doc", F.col("place").cast("long").alias("place"), "kind", "score")
 
 
