@@ -125,3 +125,21 @@ def test_blocks_cut_a_text_once(spark):
     assert time.time() - began < 10
     assert got[0][0][0] == (0, "heading", "#h0") and got[0][0][-1] == (6000, "content", "#end") and len(got[0][0]) == 6001
     assert got[1][0] == [] and got[2][0] == [(0, "heading", "a"), (1, "content", "#b")]
+
+
+def test_strict_outcomes_read_messages_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    rows = [("c", "m1", "we ship it"), ("c", "m2", "we ship"), ("d", "m1", "no")]
+    messages = spark.createDataFrame(rows, "chat string, msg_id string, msg string").mapInPandas(seen, "chat string, msg_id string, msg string")
+    expected = spark.createDataFrame([("c", 1, "m1"), ("c", 2, "m2")], "chat string, e int, msg_id string")
+    made = [("c", 1, ["m1", "m2"]), ("c", 2, ["m1"]), ("c", 3, ["m2", "m1"]), ("c", 4, ["m1", "m9"]), ("d", 1, ["m1"]), ("d", 2, [])]
+    outputs = spark.createDataFrame(made, "chat string, a int, cited array<string>").select("*", F.lit("ship").alias("quote"), F.lit("choice").alias("kind"), F.lit(False).alias("suggestion"), F.lit("decided").alias("status"))
+    got = sorted((r.chat, r.a, r.outcome, r.matched) for r in evaluation.strict_outcomes(outputs, expected, messages).collect())
+    assert got == [("c", 1, "match_gt", "m1"), ("c", 2, "invalid", ""), ("c", 3, "match_gt", "m2"), ("c", 4, "invalid", ""), ("d", 1, "invalid", ""), ("d", 2, "invalid", "")]
+    assert read.value == len(rows)

@@ -215,13 +215,17 @@ def noise_robustness(found: DataFrame) -> DataFrame:
     return rates.agg(F.round(F.sum("fp") / F.sum("n"), 4).alias("overall"), F.round(F.var_pop("rate"), 4).alias("variance"), F.round(F.greatest(F.lit(0.0), 1 - F.avg("rate")), 4).alias("score"))
 
 
-def evidence_valid(outputs: DataFrame, messages: DataFrame) -> DataFrame:
-    """``outputs`` (chat, a, cited: array, quote, ...) with evidence: whether all cited messages exist and one of them holds the quote."""
+def _evidence(outputs: DataFrame, messages: DataFrame) -> DataFrame:
+    """(chat, a, evidence, quoted): as in ``evidence_valid``, and the cited messages that hold the quote."""
     cited = outputs.select("chat", "a", "quote", F.explode("cited").alias("msg_id"))
     found = cited.join(messages.select("chat", "msg_id", "msg", F.lit(True).alias("known")), ["chat", "msg_id"], "left")
-    held = F.bool_or(F.coalesce(F.col("known") & (F.col("quote") != "") & F.contains("msg", F.col("quote")), F.lit(False)))
-    checked = found.groupBy("chat", "a").agg((F.bool_and(F.coalesce("known", F.lit(False))) & held).alias("evidence"))
-    return outputs.join(checked, ["chat", "a"], "left").withColumn("evidence", F.coalesce("evidence", F.lit(False)))
+    known, held = F.coalesce("known", F.lit(False)), F.coalesce(F.col("known") & (F.col("quote") != "") & F.contains("msg", F.col("quote")), F.lit(False))
+    return found.groupBy("chat", "a").agg((F.bool_and(known) & F.bool_or(held)).alias("evidence"), F.collect_set(F.when(held, F.col("msg_id"))).alias("quoted"))
+
+
+def evidence_valid(outputs: DataFrame, messages: DataFrame) -> DataFrame:
+    """``outputs`` (chat, a, cited: array, quote, ...) with evidence: whether all cited messages exist and one of them holds the quote."""
+    return outputs.join(_evidence(outputs, messages).drop("quoted"), ["chat", "a"], "left").withColumn("evidence", F.coalesce("evidence", F.lit(False)))
 
 
 def strict_outcomes(outputs: DataFrame, expected: DataFrame, messages: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
@@ -232,12 +236,15 @@ def strict_outcomes(outputs: DataFrame, expected: DataFrame, messages: DataFrame
     verdicts (chat, a, verdict, matched) count: match_gt if the row is free, else invalid;
     valid_extra; invalid. Without a verdict an output is invalid.
     """
-    own = evidence_valid(outputs.filter(is_confirmed(F.col("kind"), F.col("suggestion"), F.col("status"))), messages)
+    confirmed = outputs.filter(is_confirmed(F.col("kind"), F.col("suggestion"), F.col("status")))
+    # several branches read the evidence and the exact matches, so each is made once
+    own = written(confirmed.select("chat", "a").join(_evidence(confirmed, messages), ["chat", "a"], "left").withColumn("evidence", F.coalesce("evidence", F.lit(False))))
     bad = own.filter("NOT evidence").select("chat", "a", F.lit("invalid").alias("outcome"), F.lit("").alias("matched"), F.lit("missing_or_invalid_evidence").alias("reason"))
     good = own.filter("evidence")
-    cited = good.select("chat", "a", "quote", F.explode(F.array_distinct("cited")).alias("msg_id")).join(messages.select("chat", "msg_id", "msg"), ["chat", "msg_id"]).filter(F.contains("msg", F.col("quote")))
+    cited = good.select("chat", "a", F.explode("quoted").alias("msg_id"))
     pairs = cited.join(expected.select("chat", "msg_id", "e"), ["chat", "msg_id"]).select("chat", F.col("a").alias("l"), F.col("e").alias("r"), (-F.col("e")).cast("double").alias("score")).distinct()
     exact = greedy(pairs).join(expected.select("chat", F.col("e").alias("r"), "msg_id"), ["chat", "r"]).select("chat", F.col("l").alias("a"), F.lit("match_gt").alias("outcome"), F.col("msg_id").alias("matched"), F.lit("exact_source_match").alias("reason"))
+    exact = written(exact)
     rest = good.select("chat", "a").join(exact.select("chat", "a"), ["chat", "a"], "left_anti")
     if verdicts is None:
         left = rest.select("chat", "a", F.lit("invalid").alias("outcome"), F.lit("").alias("matched"), F.lit("no_adjudicator").alias("reason"))
