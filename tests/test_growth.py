@@ -143,3 +143,30 @@ def test_strict_outcomes_read_messages_once(spark):
     got = sorted((r.chat, r.a, r.outcome, r.matched) for r in evaluation.strict_outcomes(outputs, expected, messages).collect())
     assert got == [("c", 1, "match_gt", "m1"), ("c", 2, "invalid", ""), ("c", 3, "match_gt", "m2"), ("c", 4, "invalid", ""), ("d", 1, "invalid", ""), ("d", 2, "invalid", "")]
     assert read.value == len(rows)
+
+
+def test_small_blocks_share_tiles(spark):
+    """Many small blocks meet in few tiles, a block over several runs in all of its tiles; pairs are those of plain sets."""
+    rng = random.Random(3)
+    sets = [("big" if k < 40 else f"b{k % 60}", k, sorted(rng.sample(range(12), rng.randrange(1, 8)) + [2**40 + k % 3])) for k in range(400)]
+    df = spark.createDataFrame(sets, "block string, id long, grams array<long>").repartition(3)
+    like = lambda x, y: len({*x} & {*y}) / len({*x} | {*y})
+    want = {(b, i, j): like(x, y) for b, i, x in sets for c, j, y in sets if b == c and i < j and like(x, y) >= 0.4}
+    assert likeness._tiles(df, 0.4).select("ca", "cb").distinct().count() < 30
+    sizes, likeness.RUN = likeness.RUN, 16
+    try:
+        pairs = {(r.block, r.id_a, r.id_b): r.similarity for r in likeness.like_pairs(df, 0.4).collect()}
+        both = {(r.block, r.id, r.other) for r in likeness.like_between(df.filter("id % 3 = 0"), df.withColumn("id", F.col("id").cast("string")), 0.4).collect()}
+        links = {(r.block, r.id): r.links for r in likeness.like_counts(df, 0.4).collect()}
+    finally:
+        likeness.RUN = sizes
+    assert pairs.keys() == want.keys() and all(abs(pairs[k] - v) < 1e-9 for k, v in want.items())
+    assert both == {(b, i, str(j)) for b, i, x in sets for c, j, y in sets if b == c and i % 3 == 0 and like(x, y) >= 0.4}
+    assert links == {(b, i): n for b, i, _ in sets if (n := sum(k[0] == b and i in k[1:] for k in want))}
+
+
+def test_tiles_send_packed_sets(spark):
+    df = spark.range(50).select(F.lit("b").alias("block"), "id", F.sequence(F.lit(2**41), F.lit(2**41 + 99)).alias("grams"))
+    tiles = likeness._tiles(df, 0.5)
+    assert dict(tiles.dtypes)["packed"] == "binary" and "grams" not in tiles.columns
+    assert tiles.agg(F.max(F.length("packed"))).first()[0] < 110
