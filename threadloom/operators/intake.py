@@ -4,7 +4,8 @@ The rule is one row at a time. Rows that can't meet are independent, though: wha
 hangs on the decisions it is like and on those of its sid, and these change only by rows that
 are like them too. So rows are applied in waves: a row is ready when no earlier open row
 shares a decision or a likeness with it, all ready rows of a wave go at once, and the result
-is that of one at a time. The waves are as many as the longest chain of rows that meet.
+is that of one at a time. The waves are as many as the longest chain of rows that meet; each
+goes over the rows that are still open and the decisions that these may meet.
 """
 
 from __future__ import annotations
@@ -99,9 +100,9 @@ def take_in(new: DataFrame, existing: DataFrame, verdicts: DataFrame, near: floa
     said = written(said.select("sid", "e", "v.action", "v.info"))
     top = state_all.agg(F.coalesce(F.max("ord"), F.lit(0))).first()[0]
 
-    open_, outcomes, conflicts, wave = rows, [], [], 0
+    open_, outcomes, conflicts, wave, settled_for = rows, [], [], 0, []
+    state = state.drop("src")
     while not open_.isEmpty():
-        state = state.drop("src")
         met = written(_met(open_, state, like, near))
         # what a row waits for: its sid, the decisions it is like and the open rows it is like
         mates = like.select("seq", F.col("src").alias("mate")).filter("mate >= 0").join(open_.select("seq"), "seq", "left_semi").join(open_.select(F.col("seq").alias("mate"), F.col("sid").alias("need")), "mate").select("seq", "need")
@@ -120,13 +121,20 @@ def take_in(new: DataFrame, existing: DataFrame, verdicts: DataFrame, near: floa
         settled = written(settled)
         outcomes.append(settled.select("seq", "sid", "outcome", F.col("target"), F.lit(wave).alias("wave")))
         conflicts.append(settled.filter("outcome <> 'dropped'").select(F.col("target").alias("sid"), F.explode("against").alias("other")))
-        state = written(_applied(state, settled.filter("outcome <> 'dropped'"), top))
         open_ = written(open_.join(ready.select("seq"), "seq", "left_anti"))
+        # a decision stays in the waves while an open row has its topic or its sid
+        topics = open_.filter("topic <> ''").select("topic", F.lit(True).alias("by_topic")).distinct()
+        sids = open_.select("sid", F.lit(True).alias("by_sid")).distinct()
+        after = _applied(state, settled.filter("outcome <> 'dropped'"), top).join(topics, "topic", "left").join(sids, "sid", "left")
+        after = written(after.withColumn("live", F.coalesce("by_topic", "by_sid", F.lit(False))).drop("by_topic", "by_sid"))
+        settled_for.append(after.filter("NOT live").drop("live"))
+        state = after.filter("live").drop("live")
+        like = written(like.join(open_.select("seq"), "seq", "left_semi"))
         wave += 1
 
     shown = F.when((F.col("note") != "") & ~F.contains("full_text", F.col("note")), F.concat("full_text", F.lit(SUPPLEMENT), "note")).otherwise(F.col("full_text"))
     columns = ["ord", "version", *FIELDS]
-    decisions = state.withColumn("full_text", shown).select(*columns).unionByName(apart.select(*columns))
+    decisions = reduce(DataFrame.unionByName, settled_for, state).withColumn("full_text", shown).select(*columns).unionByName(apart.select(*columns))
     if not outcomes:
         empty = lambda schema: spark.createDataFrame([], schema)
         return Intake(decisions, empty("seq long, sid string, outcome string, target string, wave int"), empty("sid string, other string"))
