@@ -152,7 +152,8 @@ def test_small_blocks_share_tiles(spark):
     df = spark.createDataFrame(sets, "block string, id long, grams array<long>").repartition(3)
     like = lambda x, y: len({*x} & {*y}) / len({*x} | {*y})
     want = {(b, i, j): like(x, y) for b, i, x in sets for c, j, y in sets if b == c and i < j and like(x, y) >= 0.4}
-    assert likeness._tiles(df, 0.4).select("ca", "cb").distinct().count() < 30
+    plan = likeness.like_pairs(df, 0.4)._jdf.queryExecution().analyzed().toString()
+    assert "FlatMapGroupsInArrow [ca#" in plan  # a group of Python for each tile, not for each block of it
     sizes, likeness.RUN = likeness.RUN, 16
     try:
         pairs = {(r.block, r.id_a, r.id_b): r.similarity for r in likeness.like_pairs(df, 0.4).collect()}
