@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import random
 import time
+import tracemalloc
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import bigram_jaccard, blocks
-from threadloom.operators import clustering, context, evaluation, graph, lifecycle, likeness, retrieval
+from threadloom.operators import clustering, context, evaluation, graph, lifecycle, likeness, retrieval, search
 
 
 def test_a_path_with_many_changes_has_one_bridge(spark):
@@ -186,3 +187,25 @@ def test_histories_shuffle_messages_once(spark):
         past = sorted((t, i, th or "") for c, i, t, th in rows if None not in (c, t, at) and c == chat and t < at)
         mine = [i for _, i, th in past if thread and th == thread][-7:]
         assert found[k] == (mine, [i for _, i, th in past if th in ("", thread)][-7:]), (chat, k, at, thread)
+
+
+def test_a_task_sorts_only_scores_that_can_stay():
+    rng, k = np.random.default_rng(3), 5
+    ids, best = np.zeros((64, k), np.int64), np.full((64, k), -np.inf)
+    assert search.SCORES_AT_ONCE * 8 <= 2 << 20
+    scores, rows = np.round(rng.normal(size=(64, 6000)), 2), rng.permutation(6000)  # with many ties
+    scores[0] = np.where(rows < 3, scores[0], -np.inf)  # fewer than k
+    scores[1, ::2], scores[2] = np.nan, 0.0
+    peaks = []
+    for at in range(0, 6000, 2000):
+        part, own = scores[:, at : at + 2000], rows[at : at + 2000]
+        for here in (np.arange(0, 64, 2), np.arange(1, 64, 2)) if at else (slice(None),):
+            met = part[here]
+            tracemalloc.start()
+            search.better(ids, best, here, met, own)
+            peaks.append(tracemalloc.get_traced_memory()[1] / met.nbytes)
+            tracemalloc.stop()
+    assert max(peaks[1:]) < 1  # merging all scores with those of before and sorting them took several times as much
+    for n in range(64):
+        want = sorted((-s, i) for s, i in zip(scores[n], rows, strict=True) if s > -np.inf)[:k]
+        assert [(-s, i) for s, i in zip(best[n], ids[n], strict=True) if s > -np.inf] == want

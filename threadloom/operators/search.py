@@ -19,7 +19,7 @@ from threadloom.sources.scratch import written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Queries that are broadcast at once, and scores that a task holds at once.
-QUERIES_PER_PASS, SCORES_AT_ONCE = 1024, 1 << 20
+QUERIES_PER_PASS, SCORES_AT_ONCE = 1024, 1 << 18
 
 
 def keyword_search(df: DataFrame, query: str, columns: list[str], active: Column | None = None) -> DataFrame:
@@ -94,6 +94,25 @@ def nearness(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return -np.abs(x - q.T)
 
 
+def better(ids: np.ndarray, best: np.ndarray, here: np.ndarray | slice, s: np.ndarray, own: np.ndarray) -> None:
+    """Puts the scores (queries, rows) of rows ``own`` into the k best (queries, k) of queries ``here``, ties by id.
+
+    Only scores that reach a query's last place are sorted, so that little but them is held.
+    """
+    at = np.arange(len(best))[here]
+    q, r = np.nonzero((s >= best[at, -1:]) & (s > -np.inf))
+    if not len(q):
+        return
+    of = np.unique(q)
+    k, mine = best.shape[1], at[of]
+    place = np.concatenate([np.repeat(np.arange(len(of)), k), np.searchsorted(of, q)])
+    i, b = np.concatenate([ids[mine].ravel(), own[r]]), np.concatenate([best[mine].ravel(), s[q, r]])
+    order = np.lexsort((i, -b, place))
+    begins = np.searchsorted(place[order], np.arange(len(of)))
+    first = order[(begins[:, None] + np.arange(k)).ravel()]  # each has k at least, those of before
+    ids[mine], best[mine] = i[first].reshape(-1, k), b[first].reshape(-1, k)
+
+
 def nearest_each(rows: DataFrame, queries: DataFrame, k: int, score: Callable[[np.ndarray, np.ndarray], np.ndarray] = cosines, itself: bool = False, within: str | None = None) -> DataFrame:
     """The k best (query_id, id, score, rank0) of each query among all rows, but for the one of its own id unless ``itself``, scores to 9 places, ties by id.
 
@@ -125,9 +144,7 @@ def nearest_each(rows: DataFrame, queries: DataFrame, k: int, score: Callable[[n
                         s = np.round(score(x[of == g], q[here]), 9).T
                         if not itself:
                             s[own == asked[here][:, None]] = -np.inf
-                        i, b = np.concatenate([ids[here], np.broadcast_to(own, s.shape)], 1), np.concatenate([best[here], s], 1)
-                        order = np.lexsort((i, -b))[:, :k]
-                        ids[here], best[here] = np.take_along_axis(i, order, 1), np.take_along_axis(b, order, 1)
+                        better(ids, best, here, s, own)
             some = best > -np.inf
             yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(asked[:, None], ids.shape)[some]), pa.array(ids[some]), pa.array(best[some])], names=["query_id", "id", "score"])
 
