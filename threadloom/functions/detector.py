@@ -77,6 +77,47 @@ DOC_PATTERNS = [
     (r"(技术栈|使用|采用|选用)[：:]\s*\S+", 0.75),
     (r"(使用|采用|选用|选择)\s*(Gin|React|Vue|Go|Python|Java|MySQL|PostgreSQL|Redis|MongoDB|Kubernetes|Docker)", 0.80),
 ]
+# Words of which a text holds one if it matches the pattern at the same place of PATTERNS and of DOC_PATTERNS.
+PATTERN_WORDS = [
+    ["方案", "方式", "方法", "技术", "框架", "工具"],
+    ["就"],
+    ["决定", "确认", "同意"],
+    ["最终", "最后"],
+    ["就", "按", "照", "这样"],
+    ["这个", "该", "此"],
+    ["倾向于", "偏向", "建议", "推荐"],
+    ["我"],
+    ["因此", "所以", "那"],
+    ["总结"],
+    ["结论"],
+    ["负责", "处理", "跟进", "做", "完成"],
+    ["负责", "owner"],
+    ["用", "选"],
+    ["考虑", "使用", "采用", "选"],
+    ["否决", "驳回", "不同意", "反对"],
+    ["我反对", "我不同意", "持保留意见", "有异议", "不认同"],
+    ["代替", "替代", "而不是", "而非"],
+    ["不同意", "反对", "不认可"],
+    ["这个决定", "这个方案", "这个选择"],
+    ["截止", "前", "ddl", "deadline"],
+    ["投票", "表决"],
+]
+DOC_PATTERN_WORDS = [
+    ["方案", "方式", "方法", "技术", "框架", "工具"],
+    ["决定", "确认", "同意"],
+    ["结论"],
+    ["同意", "批准", "通过"],
+    ["考虑", "使用", "采用", "选"],
+    ["决定", "结论", "决策", "方案选择", "技术选型"],
+    ["架构", "设计", "方案"],
+    ["理由", "原因", "依据", "考量", "权衡", "对比"],
+    ["优点", "缺点", "优势", "劣势", "Pros", "Cons", "好处", "坏处"],
+    ["方案", "Option", "对比项"],
+    ["技术选型", "框架选择", "工具选择", "数据库选型"],
+    ["最终推荐", "推荐方案", "建议方案", "最终选择"],
+    ["技术栈", "使用", "采用", "选用"],
+    ["使用", "采用", "选用", "选择"],
+]
 # Words that speak against a decision, and their weight.
 AGAINST = [
     (["早上好", "下午好", "晚上好", "大家好", "hello", "hi ", "hey", "辛苦了", "谢谢", "感谢", "拜拜", "再见", "see you"], 0.3),
@@ -106,20 +147,36 @@ def _category(signals: list[tuple[Column, float]]) -> Column:
     return _once(F.array(*[t for t, _ in signals]), weighed)
 
 
-def _holds(low: Column, words: list[str]) -> Column:
+#: Characters before those of CJK, and whether a word holds none of them.
+NARROW = r"[\x{0}-\x{2e7f}]"
+_is_wide = lambda w: all(c > "\u2e7f" for c in w)
+
+
+def wide(text: Column) -> Column:
+    """What a text has from CJK's characters on, a space between what others part: few characters of most texts, so that looking for many words costs little."""
+    return F.regexp_replace(text, f"{NARROW}+", " ")
+
+
+def _finds(text: Column, broad: Column, words: list[str]) -> Column:
+    """Whether a text holds one of some words; ``broad`` is its ``wide``, where words of such characters are looked for."""
+    known = [w for w in dict.fromkeys(words) if not any(o != w and o in w for o in words)]
+    one_of = lambda t, ws: F.exists(F.array(*[F.lit(w) for w in ws]), lambda w: F.contains(t, w))
+    parts = [(broad, [w for w in known if _is_wide(w)]), (text, [w for w in known if not _is_wide(w)])]
+    return reduce(lambda a, b: a | b, [one_of(t, ws) for t, ws in parts if ws])
+
+
+def _holds(low: Column, broad: Column, words: list[str]) -> Column:
     """Whether a lower-cased text holds one of some words, whatever their case."""
-    known = F.array(*[F.lit(w) for w in dict.fromkeys(w.lower() for w in words)])
-    return F.exists(known, lambda w: F.contains(low, w))
+    return _finds(low, broad, [w.lower() for w in words])
 
 
-def lexical(low: Column) -> Column:
-    return _category([(_holds(low, words), w) for words, w in LEXICAL])
+def lexical(low: Column, broad: Column) -> Column:
+    return _category([(_holds(low, broad, words), w) for words, w in LEXICAL])
 
 
-def structural(text: Column, low: Column) -> Column:
-    quoted = F.contains(text, F.lit('"')) | F.contains(text, F.lit("「")) | F.contains(text, F.lit("『"))
-    technical = (F.length(text) > 50) & _holds(low, TECHNICAL)
-    return _category([(_holds(low, LISTS), 0.40), (_holds(low, OPTIONS), 0.35), (quoted, 0.20), (technical, 0.35), (_holds(low, ASSIGNMENTS), 0.45)])
+def structural(text: Column, low: Column, broad: Column) -> Column:
+    technical = (F.length(text) > 50) & _holds(low, broad, TECHNICAL)
+    return _category([(_holds(low, broad, LISTS), 0.40), (_holds(low, broad, OPTIONS), 0.35), (_finds(text, broad, ['"', "「", "『"]), 0.20), (technical, 0.35), (_holds(low, broad, ASSIGNMENTS), 0.45)])
 
 
 def dynamic(low: Column, is_reply: Column, has_mention: Column, index: Column, recent: Column) -> Column:
@@ -128,15 +185,16 @@ def dynamic(low: Column, is_reply: Column, has_mention: Column, index: Column, r
     return _category([(F.coalesce(is_reply, F.lit(False)), 0.35), (F.coalesce(has_mention, F.lit(False)), 0.40), (F.coalesce(index, F.lit(0)) > 2, 0.25), (goes_on, 0.30)])
 
 
-def patterns(text: Column, table: list[tuple[str, float]] = PATTERNS) -> Column:
-    return _category([(text.rlike(p), w) for p, w in table])
+def patterns(text: Column, broad: Column, table: list[tuple[str, float]] = PATTERNS, words: list[list[str]] = PATTERN_WORDS) -> Column:
+    """A pattern is tried only on texts that hold one of its words."""
+    return _category([(_finds(text, broad, ws) & text.rlike(p), w) for (p, w), ws in zip(table, words, strict=True)])
 
 
-def anti_score(text: Column, low: Column) -> Column:
+def anti_score(text: Column, low: Column, broad: Column) -> Column:
     """How much speaks against a decision, 1 at most."""
-    parts = [F.when(_holds(low, words), w).otherwise(0.0) for words, w in AGAINST]
+    parts = [F.when(_holds(low, broad, words), w).otherwise(0.0) for words, w in AGAINST]
     parts += [F.when(is_mostly_emoji(text), 0.5).otherwise(0.0), F.when(is_pure_question(text), 0.3).otherwise(0.0)]
-    parts.append(F.when((F.length(text) < 20) & _holds(low, SMALL_TALK), 0.5).otherwise(0.0))
+    parts.append(F.when((F.length(text) < 20) & _holds(low, broad, SMALL_TALK), 0.5).otherwise(0.0))
     return F.least(F.lit(1.0), F.round(reduce(lambda a, b: a + b, parts), 9))
 
 
@@ -152,9 +210,10 @@ def _result(text: Column, stopped: Column, score: Column, levels: tuple[float, f
 
 
 def _lowered(content: Column, **more: Column) -> Column:
-    """A struct of the stripped text, the same in lower case, and ``more``."""
+    """A struct of the stripped text, the same in lower case, what is wide of that, and ``more``."""
     own = F.struct(strip(F.coalesce(content, F.lit(""))).alias("text"), *[c.alias(k) for k, c in more.items()])
-    return _once(own, lambda x: F.struct(x["text"].alias("text"), F.lower(x["text"]).alias("low"), *[x[k].alias(k) for k in more]))
+    both = _once(own, lambda x: F.struct(F.lower(x["text"]).alias("low"), *[x[k].alias(k) for k in ("text", *more)]))
+    return _once(both, lambda x: F.struct(wide(x["low"]).alias("broad"), *[x[k].alias(k) for k in ("text", "low", *more)]))
 
 
 def detect_message(content: Column, is_reply: Column | None = None, has_mention: Column | None = None, index: Column | None = None, recent: Column | None = None) -> Column:
@@ -164,9 +223,9 @@ def detect_message(content: Column, is_reply: Column | None = None, has_mention:
     context = {k: (c if c is not None else F.lit(None)).cast(kinds[k]) for k, c in given.items()}
 
     def parts(x: Column) -> Column:
-        text, low = x["text"], x["low"]
+        text, low, broad = x["text"], x["low"], x["broad"]
         dyn = dynamic(low, x["is_reply"], x["has_mention"], x["index"], x["recent"])
-        return F.struct(text.alias("text"), lexical(low).alias("lex"), structural(text, low).alias("struct"), dyn.alias("dyn"), patterns(text).alias("pat"), anti_score(text, low).alias("anti"))
+        return F.struct(text.alias("text"), lexical(low, broad).alias("lex"), structural(text, low, broad).alias("struct"), dyn.alias("dyn"), patterns(text, broad).alias("pat"), anti_score(text, low, broad).alias("anti"))
 
     def judged(p: Column) -> Column:
         score = 0.45 * p["lex"] + 0.15 * p["struct"] + 0.05 * p["dyn"] + 0.35 * p["pat"]
@@ -180,11 +239,11 @@ def detect_document(content: Column, doc_type: Column) -> Column:
     """(score, level, is_decision, anti_score) of a document of a kind."""
 
     def parts(x: Column) -> Column:
-        text, low = x["text"], x["low"]
-        short = (F.length(text) < 50) & ~_holds(low, DOC_SIGNALS)
-        tests = [x["kind"] == "weekly_report", x["kind"] == "meeting_notes", x["kind"] == "administrative", short, _holds(low, MINOR_EDITS), _holds(low, OPEN_POINTS)]
+        text, low, broad = x["text"], x["low"], x["broad"]
+        short = (F.length(text) < 50) & ~_holds(low, broad, DOC_SIGNALS)
+        tests = [x["kind"] == "weekly_report", x["kind"] == "meeting_notes", x["kind"] == "administrative", short, _holds(low, broad, MINOR_EDITS), _holds(low, broad, OPEN_POINTS)]
         anti = F.least(F.lit(1.0), F.round(reduce(lambda a, b: a + b, [F.when(t, 0.2).otherwise(0.0) for t in tests]), 9))
-        return F.struct(text.alias("text"), x["kind"].alias("kind"), lexical(low).alias("lex"), structural(text, low).alias("struct"), patterns(text, DOC_PATTERNS).alias("pat"), anti.alias("anti"))
+        return F.struct(text.alias("text"), x["kind"].alias("kind"), lexical(low, broad).alias("lex"), structural(text, low, broad).alias("struct"), patterns(text, broad, DOC_PATTERNS, DOC_PATTERN_WORDS).alias("pat"), anti.alias("anti"))
 
     def judged(p: Column) -> Column:
         score = (0.40 * p["lex"] + 0.20 * p["struct"] + 0.35 * p["pat"]) * (1 - 0.2 * p["anti"])

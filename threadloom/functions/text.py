@@ -59,7 +59,7 @@ IGNORED_FOLDERS = [
 
 def strip(text: Column) -> Column:
     """Without white space at the ends; null stays null."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
 
 
 def bigrams(text: Column) -> Column:
@@ -291,7 +291,7 @@ def epoch_time(epoch: Column) -> Column:
 def document_type(title: Column, content: Column) -> Column:
     """The kind of a document by ordered rules over its title (or the first 100 characters), then over its first 200 characters."""
     name = F.lower(F.when(F.coalesce(title, F.lit("")) == "", F.substring(F.coalesce(content, F.lit("")), 1, 100)).otherwise(title))
-    head = F.substring(F.lower(F.coalesce(content, F.lit(""))), 1, 200)
+    head = F.substring(F.lower(F.substring(F.coalesce(content, F.lit("")), 1, 200)), 1, 200)
     # Words of titles, then of beginnings, in order.
     return (
         F.when(holds_any(name, ["周报", "weekly", "日报", "daily", "月报", "双周报"]), "weekly_report")
