@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadloom.operators import clustering, selection
+from threadloom.sources import scratch
 
 
 def vectors(seed, n, d=5, blocks=("p",)):
@@ -75,6 +76,77 @@ def test_the_same_tree_as_one_merge_at_a_time(spark, seed, n, most, levels, weig
     assert got == want
 
 
+def test_no_more_clusters_in_a_task_than_its_share(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(40, 3))
+    df = spark.createDataFrame([("p", i, [float(c) for c in v]) for i, v in enumerate(x)], "block string, id long, vector array<double>")
+    taken = []
+    monkeypatch.setattr(clustering, "_SHARE", 24)
+    given = clustering._merged
+    monkeypatch.setattr(clustering, "_merged", lambda wide, near, *more: taken.append(near.select(F.explode(F.array("i", "j"))).distinct().count()) or given(wide, near, *more))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    found = sorted((r["i"], r["j"]) for r in clustering.merges(df, 9).collect())
+    assert found == sorted(m[:2] for m in nearest_first(np.maximum(np.round(1 - x @ x.T, 9), 0))) and max(taken) <= 25
+
+
+def test_few_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [("p", i, [float(x) for x in rng.normal(size=8)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "block string, id long, vector array<double>")
+    tables = []
+    monkeypatch.setattr(clustering, "written", lambda df: tables.append(df) or scratch.written(df))
+    made = sorted((r["height"], r["i"], r["j"]) for r in clustering.merges(df, 128).collect())
+    x = np.array([r[2] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = sorted((h, i, j) for i, j, h in clustering.linkage(np.maximum(np.round(1 - x @ x.T, 9), 0)))
+    assert [m[1:] for m in made] == [w[1:] for w in want] and np.allclose([m[0] for m in made], [w[0] for w in want], atol=1e-6)
+    assert len(tables) <= 3 + 4 * 4  # a round writes its pairs, where they end, its merges and the clusters left
+
+
+@pytest.mark.parametrize(("dims", "n"), [(3, 40), (40, 40)])
+def test_equal_distances(spark, dims, n):
+    # unit vectors and sums of two of them: few distances, each of very many pairs
+    rng = random.Random(dims)
+    x = {tuple(float(k in at) for k in range(dims)) for at in ({rng.randrange(dims) for _ in range(rng.choice((1, 2)))} for _ in range(n))}
+    df = spark.createDataFrame([("p", i, list(v)) for i, v in enumerate(sorted(x))], "block string, id long, vector array<double>")
+    found = sorted((r["i"], r["j"], r["height"]) for r in clustering.merges(df, 2).collect())
+    u = np.array(sorted(x)) / np.linalg.norm(np.array(sorted(x)), axis=1, keepdims=True)
+    assert found == sorted(nearest_first(np.maximum(np.round(1 - u @ u.T, 9), 0)))
+
+
+def nearest_first(d):
+    """Merges of average linkage, the nearest pair of all each time, of equal ones the smallest."""
+    members, out = [[k] for k in range(len(d))], []
+    while len(members) > 1:
+        h, a, b = min((max(0.0, round(float(d[np.ix_(p, q)].mean()), 9)), a, b) for a, p in enumerate(members) for b, q in enumerate(members) if a < b)
+        out.append((members[a][0], members[b][0], h))
+        members[a] = sorted(members[a] + members[b])
+        del members[b]
+    return out
+
+
+def test_merges_up_to_a_height():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(150, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    d = np.clip(np.round(1 - x @ x.T, 9), 0, None)
+    i, j = np.triu_indices(len(x), 1)
+    signs, want = clustering._signs(7, 6), nearest_first(d)
+    for t in (0.0, 0.2, 0.6, 0.9, np.inf):
+        near = d[i, j] <= t
+        mean, size = np.hstack([np.ones((len(x), 1)), x]), np.ones(len(x), int)
+        got = clustering.merged_up_to(mean, size, i[near], j[near], d[i, j][near], signs, t, -1 if np.isinf(t) else len(x))
+        some = [w for w in want if w[2] <= t]
+        assert [g[:2] for g in got] == [w[:2] for w in some] and np.allclose([g[2] for g in got], [w[2] for w in some], atol=1e-6)
+        assert size.sum() == len(x) and (size > 0).sum() == len(x) - len(some)
+
+
+def test_vectors_that_are_no_numbers(spark):
+    df = spark.createDataFrame([("p", i, [math.inf if i >> k & 1 else 1.0 for k in range(3)]) for i in range(1, 8)], "block string, id long, vector array<double>")
+    with pytest.raises(ValueError, match="distance"):
+        clustering.merges(df, 2)
+
+
 def test_rows_left_out_and_no_rows(spark):
     schema = "block string, id long, vector array<double>"
     rows = [(None, 1, [1.0, 0.0]), ("p", None, [1.0, 0.0]), ("p", 3, None), ("p", 4, [1.0, 0.0]), ("p", 4, [1.0, 0.0])]

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import posixpath
-import uuid
-from collections.abc import Iterator
+import heapq
 from functools import reduce
 
 import numpy as np
@@ -17,7 +15,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.vector import cosine, cosine_distance, normalise
 from threadloom.operators.selection import values_at
-from threadloom.sources.scratch import beside, shared_folder, written
+from threadloom.sources.scratch import beside, written
 
 
 def distances(rows: DataFrame) -> DataFrame:
@@ -108,56 +106,156 @@ def _signs(size: int, width: int) -> np.ndarray:
     return plain if size == len(plain) else np.concatenate([plain, plain, -plain, -plain, plain])
 
 
-#: Clusters whose nearest neighbours are sought at once.
-_QUERIES = 2048
+#: Pairs sought for a cluster, on average, while these are fewer than a task takes.
+_PAIRS = 128
+#: Clusters that one task takes at least, if so many have near ones.
+_SHARE = 1024
+#: Rows of a tile; two tiles are compared in one task.
+_TILE = 8192
 
 
-def _chunks(queries: DataFrame) -> Iterator[list]:
-    chunk = []
-    for row in queries.toLocalIterator():
-        chunk.append(row)
-        if len(chunk) == _QUERIES:
-            yield chunk
-            chunk = []
-    if chunk:
-        yield chunk
+def _near(wide: DataFrame, signs: np.ndarray, most: int) -> tuple[DataFrame, DataFrame]:
+    """(block, i, j, height) and (block, t, top): the pairs i < j of clusters (block, id, n, s, m) nearest to each other, complete up to there.
 
-
-def _nearest(queries: DataFrame, clusters: DataFrame, signs: np.ndarray) -> DataFrame:
-    """(block, id, other, height): the nearest cluster of its block for each of ``queries``, the smallest id of equal ones; both (block, id, n, s).
-
-    Queries go out in chunks of a fixed number and are compared with all clusters, as a matrix product in each task.
+    All pairs nearer than t are among them, and those at t whose larger id is at most ``top``;
+    nothing else is. Each two tiles of a block give their nearest pairs, of equal ones those with
+    the smaller larger id, and the first place where one of them had to stop is the end for all.
+    ``m`` is the number of a block's clusters.
+    """
+    tiles = F.greatest(F.least(F.lit(8), F.ceil(F.col("m") / 1024)), F.ceil(F.col("m") / _TILE)).cast("int")
+    dealt = wide.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    copies = dealt.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("block", F.least("tile", "to").alias("a"), F.greatest("tile", "to").alias("b"), "tile", "tiles", "m", "id", "n", "s")
+
+    def compare(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("id").combine_chunks()
+        a, b, m, tiles = (rows.column(c)[0].as_py() for c in ("a", "b", "m", "tiles"))
+        id_, tile = rows.column("id").to_numpy(), rows.column("tile").to_numpy()
+        x = pc.list_flatten(rows.column("s")).to_numpy().reshape(len(id_), -1) / rows.column("n").to_numpy()[:, None]
+        ours, theirs = np.flatnonzero(tile == a), np.flatnonzero(tile == b)
+        # as many as there are pairs with one larger id, and more, so that at least one such id is complete
+        room = max(min(_PAIRS * m, most * most // 8) * 5 // (2 * tiles * (tiles + 1)), 2 * max(len(ours), len(theirs)))
+        kept, (t, top) = [np.empty((0,), d) for d in (float, np.int64, np.int64)], (np.inf, 0)
+        for p in range(0, len(ours), 1024):
+            left = x[ours[p : p + 1024]] * signs
+            for q in range(0, len(theirs), 1024):
+                i, j = id_[ours[p : p + 1024]][:, None], id_[theirs[q : q + 1024]][None, :]
+                d = np.clip(np.round(left @ x[theirs[q : q + 1024]].T, 9), 0, None)
+                if a == b:
+                    d[i >= j] = np.inf
+                at = np.flatnonzero((d < t) | ((d == t) & (np.maximum(i, j) < top)) if np.isfinite(t) else np.isfinite(d))
+                if not len(at):
+                    continue
+                i, j = i[at // d.shape[1], 0], j[0, at % d.shape[1]]
+                kept = [np.concatenate(c) for c in zip(kept, (d.ravel()[at], np.minimum(i, j), np.maximum(i, j)))]
+                if len(kept[0]) > 2 * room or (len(kept[0]) > room and np.isfinite(t)):
+                    kept, (t, top) = _first(kept, room)
+        kept, end = _first(kept, room)
+        t, top = end if np.isfinite(end[0]) else (t, top)
+        if np.isfinite(t):  # a row without i says where this pair of tiles stopped
+            kept = [np.append(kept[0], t), np.append(kept[1], 0), np.append(kept[2], top - 1)]
+        none = np.arange(len(kept[0])) == (len(kept[0]) - 1 if np.isfinite(t) else -1)
+        return pa.table([pa.array([rows.column("block")[0].as_py()] * len(none), pa.string()), pa.array(kept[1], mask=none), pa.array(kept[2]), pa.array(kept[0])], ["block", "i", "j", "height"])
+
+    found = written(copies.groupBy("block", "a", "b").applyInArrow(compare, "block string, i long, j long, height double"))
+    ends = found.groupBy("block").agg(F.min(F.when(F.col("i").isNull(), F.struct("height", "j"))).alias("e")).select("block", F.coalesce("e.height", F.lit(float("inf"))).alias("t"), F.coalesce("e.j", F.lit(-1)).alias("top"))
+    pairs = found.filter("i IS NOT NULL")
+    # clusters that one task takes: as many numbers as in the matrix of the last ones
+    share = max(_SHARE, most * most // len(signs))
+    large = wide.filter(F.col("m") > share).select("block").distinct().withColumn("rank", F.lit(share - 1))
+    if not large.isEmpty():
+        each = pairs.select("block", F.explode(F.array("i", "j")).alias("id"), "height").groupBy("block", "id").agg(F.min("height").alias("height"))
+        cut = values_at(each, "block", "height", large).select("block", F.col("height").alias("cut"))
+        nearer = F.col("cut") < F.col("t")
+        ends = ends.join(cut, "block", "left").select("block", F.when(nearer, F.col("cut")).otherwise(F.col("t")).alias("t"), F.when(nearer, F.lit(2**63 - 1)).otherwise(F.col("top")).alias("top"))
+    ends = written(ends)
+    return pairs.join(F.broadcast(ends), "block").filter("height < t OR (height = t AND j <= top)").drop("t", "top"), ends
+
+
+def _first(pairs: list[np.ndarray], room: int) -> tuple[list[np.ndarray], tuple[float, int]]:
+    """The first ``room`` of pairs (height, i, j) by height and j, and the height and j of the first one left out."""
+    if len(pairs[0]) <= room:
+        return pairs, (np.inf, 0)
+    some = np.flatnonzero(pairs[0] <= np.partition(pairs[0], room)[room])
+    pairs = [c[some] for c in pairs]
+    order = np.lexsort((pairs[2], pairs[0]))
+    return [c[order[:room]] for c in pairs], (float(pairs[0][order[room]]), int(pairs[2][order[room]]))
+
+
+def merged_up_to(mean: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, height: np.ndarray, signs: np.ndarray, t: float, top: int) -> list[tuple[int, int, float]]:
+    """Merges of average linkage up to the height t, the nearest first, ties by the smaller rows; ``mean`` and ``size`` are changed to those of the clusters made.
+
+    ``i``, ``j`` and ``height`` are the pairs of rows up to t (at t, those with j up to ``top``).
+    Two clusters are at t or nearer only if two of their members are, so a cluster's neighbours
+    are among those of the clusters that it is made of, and what they are not isn't needed.
     """
-    folder = posixpath.join(shared_folder(queries.sparkSession), f"nearest-{uuid.uuid4().hex}")
-    schema = "block string, id long, other long, height double"
-    for chunk in _chunks(queries):
-        blocks = [r["block"] for r in chunk]
-        names = pa.array(sorted(set(blocks)), pa.string())
-        own = pc.index_in(pa.array(blocks, pa.string()), names).to_numpy()
-        ids, mean = np.array([r["id"] for r in chunk], np.int64), np.array([r["s"] for r in chunk]) / np.array([[r["n"]] for r in chunk]) * signs
-        shared = queries.sparkSession.sparkContext.broadcast((blocks, names, own, ids, mean))
-
-        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            blocks, names, own, ids, mean = shared.value
-            best, other = np.full(len(ids), np.inf), np.zeros(len(ids), np.int64)
-            for batch in batches:
-                batch = batch.take(pc.sort_indices(batch, [("id", "ascending")]))  # of equal distances the first is taken
-                block = pc.index_in(batch.column(0), names).fill_null(-1).to_numpy()
-                their = batch.column(1).to_numpy()
-                x = batch.column(3).flatten().to_numpy().reshape(len(their), -1) / batch.column(2).to_numpy()[:, None]
-                for a in range(0, len(their), 1024):
-                    d = np.clip(np.round(mean @ x[a : a + 1024].T, 9), 0, None)
-                    d[(own[:, None] != block[None, a : a + 1024]) | (ids[:, None] == their[None, a : a + 1024])] = np.inf
-                    at = d.argmin(1)
-                    here, who = d[np.arange(len(ids)), at], their[a : a + 1024][at]
-                    new = (here < best) | ((here == best) & (who < other))
-                    best[new], other[new] = here[new], who[new]
-            some = np.flatnonzero(np.isfinite(best))
-            yield pa.RecordBatch.from_arrays([pa.array([blocks[k] for k in some], pa.string()), pa.array(ids[some]), pa.array(other[some]), pa.array(best[some])], ["block", "id", "other", "height"])
-
-        by_task = clusters.select("block", "id", "n", "s").mapInArrow(compare, schema)
-        by_task.groupBy("block", "id").agg(F.min(F.struct("height", "other")).alias("b")).select("block", "id", "b.other", "b.height").write.mode("append").parquet(folder)
-    return queries.sparkSession.read.schema(schema).parquet(folder)
+    n = len(mean)
+    ends = np.concatenate([i, j])
+    order = np.argsort(ends, kind="stable")
+    near = np.split(np.concatenate([j, i]).astype(np.int32)[order], np.searchsorted(ends[order], np.arange(1, n)))
+    home, alive = np.arange(n), size.astype(np.int64)
+
+    def nearest(k: int) -> tuple | None:
+        other = was = near[k]
+        while not np.array_equal(up := home[other], other):
+            other = up
+        home[was] = other
+        other = np.unique(other)
+        other = other[other != k]
+        d = np.clip(np.round(mean[other] @ (mean[k] * signs), 9), 0, None)
+        other, d = other[d <= t], d[d <= t]
+        near[k] = other
+        if len(d):
+            d = np.where((d < t) | ((other <= top) & (k <= top)), d, np.inf)
+            at = int(d.argmin())
+            if np.isfinite(d[at]):
+                a, b = sorted((k, int(other[at])))
+                return float(d[at]), a, b, k, int(alive[a]), int(alive[b])
+        return None
+
+    heap = []
+    order = np.lexsort((np.concatenate([j, i]), np.concatenate([height, height]), ends))
+    for at in order[np.unique(ends[order], return_index=True)[1]]:
+        k, other = int(ends[at]), int(i[at - len(i)] if at >= len(i) else j[at])
+        a, b = sorted((k, other))
+        heap.append((float(height[at % len(i)]), a, b, k, int(alive[a]), int(alive[b])))
+    heapq.heapify(heap)
+    out = []
+    while heap:
+        d, a, b, k, size_a, size_b = heapq.heappop(heap)
+        if alive[a] == size_a and alive[b] == size_b:
+            out.append((a, b, d))
+            mean[a] = (mean[a] * size_a + mean[b] * size_b) / (size_a + size_b)
+            alive[a], alive[b], home[b] = size_a + size_b, 0, a
+            near[a], near[b] = np.concatenate([near[a], near[b]]), None
+            k = a
+        elif alive[k] != (size_a if k == a else size_b):
+            continue  # it is another cluster by now, which has a place of its own
+        if (again := nearest(k)) is not None:
+            heapq.heappush(heap, again)
+    size[:] = alive
+    return out
+
+
+def _merged(wide: DataFrame, near: DataFrame, ends: DataFrame, signs: np.ndarray) -> DataFrame:
+    """(block, i, j, height, n, s): the merges that the pairs of ``_near`` settle; the last one of a cluster has its n and s."""
+
+    def merge(clusters: pa.Table, pairs: pa.Table) -> pa.Table:
+        clusters = clusters.sort_by("id").combine_chunks()
+        id_, n = clusters.column("id").to_numpy(), clusters.column("n").to_numpy().copy()
+        mean = pc.list_flatten(clusters.column("s")).to_numpy().reshape(len(id_), -1) / n[:, None]
+        i, j, height = (pairs.column(c).to_numpy() for c in ("i", "j", "height"))
+        t, top = clusters.column("t")[0].as_py(), np.searchsorted(id_, clusters.column("top")[0].as_py(), "right") - 1
+        steps = merged_up_to(mean, n, np.searchsorted(id_, i), np.searchsorted(id_, j), height, signs, t, int(top))
+        last = {a: k for k, (a, _, _) in enumerate(steps)}
+        whole = [n[a] > 0 and last[a] == k for k, (a, _, _) in enumerate(steps)]
+        a, b = (np.array([s[c] for s in steps], int) for c in (0, 1))
+        block = pa.array([clusters.column("block")[0].as_py()] * len(steps), pa.string())
+        s = pa.array([mean[x] * n[x] if e else None for x, e in zip(a, whole)], pa.list_(pa.float64()))
+        return pa.table([block, pa.array(id_[a]), pa.array(id_[b]), pa.array([x[2] for x in steps], pa.float64()), pa.array([int(n[x]) if e else None for x, e in zip(a, whole)], pa.int64()), s], ["block", "i", "j", "height", "n", "s"])
+
+    met = near.select("block", F.explode(F.array("i", "j")).alias("id")).distinct()
+    some = wide.join(met, ["block", "id"], "left_semi").join(F.broadcast(ends), "block").select("block", "id", "n", "s", "t", "top")
+    return some.groupBy("block").cogroup(near.groupBy("block")).applyInArrow(merge, "block string, i long, j long, height double, n long, s array<double>")
 
 
 def _all(tables: list[DataFrame]) -> DataFrame:
@@ -170,12 +268,12 @@ def merges(rows: DataFrame, most: int = MOST) -> DataFrame:
     i and j are the smallest ids of the two clusters, i the smaller. Rows without a block, an id or a vector are left out.
 
     Copies are one cluster from the start. While a block has more than ``most`` clusters, rounds
-    find the nearest neighbour of each, and all pairs that are each other's merge at once. A
+    find its nearest pairs, all up to a height, and one task makes all merges up to there. A
     cluster made of two others is no nearer to a third than the nearer of these was (average
     linkage is reducible), so the tree is the one that merging the nearest pair each time gives,
-    and only clusters that are new or whose neighbour has gone need a new neighbour. Distances
-    come from sums over clusters. Of the clusters left, at most ``most`` in a block, one task
-    makes the rest.
+    and no other pairs are needed. Distances come from sums over clusters. Such a task has at most
+    ``most``²/8 pairs or so, of clusters with as many numbers as a matrix of ``most`` rows. Of the
+    clusters left, at most ``most`` in a block, one task makes the rest.
     """
     given = rows.filter("block IS NOT NULL AND id IS NOT NULL AND vector IS NOT NULL")
     typed = given.withColumns({"block": F.col("block").cast("string"), "id": F.col("id").cast("long"), "vector": F.col("vector").cast("array<double>")})
@@ -190,28 +288,18 @@ def merges(rows: DataFrame, most: int = MOST) -> DataFrame:
     copies = features.join(classes.select("block", "s", F.col("id").alias("i")), ["block", "s"]).filter("id <> i").select("block", "i", F.col("id").alias("j"), F.lit(0.0).alias("height"))
     made = [copies]
     state = classes.select("block", "id", "n", F.transform("s", lambda x: x * F.col("n")).alias("s"))
-    near = asked = None
     while True:
-        busy = state.groupBy("block").count().filter(F.col("count") > most).select("block")
-        wide = state.join(busy, "block", "left_semi")
+        sized = state.groupBy("block").agg(F.count("*").alias("m")).filter(F.col("m") > most)
+        wide = state.join(F.broadcast(sized), "block")
         if wide.isEmpty():
             break
-        asked = wide if asked is None else asked.join(busy, "block", "left_semi")
-        found = _nearest(asked.select("block", "id", "n", "s"), wide, signs)
-        near = found if near is None else near.join(busy, "block", "left_semi").unionByName(found)
-        back = near.select("block", F.col("other").alias("id"), F.col("id").alias("other"))
-        pairs = written(near.join(back, ["block", "id", "other"]).filter("id < other"))
-        made.append(pairs.select("block", F.col("id").alias("i"), F.col("other").alias("j"), "height"))
-        gone = pairs.select("block", "id").unionByName(pairs.select("block", F.col("other").alias("id")))
-        side = state.select("block", F.col("id").alias("other"), F.col("n").alias("m"), F.col("s").alias("t"))
-        joined = pairs.join(state, ["block", "id"]).join(side, ["block", "other"])
-        new = joined.select("block", "id", (F.col("n") + F.col("m")).alias("n"), F.zip_with("s", "t", lambda x, y: x + y).alias("s"))
+        steps = written(_merged(wide, *_near(wide, signs, most), signs))
+        if steps.isEmpty():
+            raise ValueError("the vectors of a block aren't numbers: no two have a distance")
+        made.append(steps.select("block", "i", "j", "height"))
+        gone = steps.select("block", F.explode(F.array("i", "j")).alias("id"))
+        new = steps.filter("n IS NOT NULL").select("block", F.col("i").alias("id"), "n", "s")
         state = written(state.join(gone, ["block", "id"], "left_anti").unionByName(new))
-        stay = near.join(gone, ["block", "id"], "left_anti")
-        lost = gone.withColumnRenamed("id", "other")
-        near = written(stay.join(lost, ["block", "other"], "left_anti").select("block", "id", "other", "height"))
-        stale = pairs.select("block", "id").unionByName(stay.join(lost, ["block", "other"], "left_semi").select("block", "id"))
-        asked = written(state.join(stale, ["block", "id"], "left_semi"))
 
     def rest(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("id")
